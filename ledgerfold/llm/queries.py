@@ -45,3 +45,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
     )
+
+
+@query()
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup_minhash import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"), words=2).withColumnRenamed("id", "doc_id")
