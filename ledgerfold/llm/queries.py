@@ -118,3 +118,25 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup_embedding import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import public_tokenizer, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizer(), 1024).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+    from .tokens import public_tokenizer
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizer(), 2048, 1).drop("ids").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
