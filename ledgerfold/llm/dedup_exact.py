@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .arrowtext import buffers
 from .scratch import partitions, small_enough, stored
@@ -222,7 +223,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     while key in names:
         key += "_"
     at = names.index(text_col)
-    schema = docs.schema.add(key, "binary")
+    schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
     kinds = to_arrow_schema(schema)
 
     def with_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

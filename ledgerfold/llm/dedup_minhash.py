@@ -381,3 +381,17 @@ def near_classes(
         )
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """docs, all columns, without the ids that near_classes drops. An id of several rows stays if one of them is kept."""
+    found = near_classes(docs, id_col, text_col, words, percent)
+    new = "__id"
+    while new in docs.columns:
+        new += "_"
+    dropped = stored(found.groupBy(F.col("id").alias(new)).agg(F.max("kept").alias(new + "kept")).where(~F.col(new + "kept")).select(new))
+    if small_enough(dropped.count(), 16):
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(new)), "left_anti")

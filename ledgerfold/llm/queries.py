@@ -140,3 +140,75 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extracted
 
     return extracted(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    judged = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    shown = [F.round(c, 6).alias(c) for c in ("p_text", "p_host", "p_path", "p_quality")]
+    return judged.select(F.col("id").alias("doc_id"), "host", "path", *shown, "kept")
+
+
+#: Domains of the tables' sources, in order of their numbers modulo 4, and weights by level.
+DOMAINS = ["web", "news", "books", "forum"]
+WEIGHTS = {
+    "domain": {"web": 400, "news": 300, "books": 200, "forum": 100},
+    "lang": {"en": 500, "de": 200, "fr": 200, "es": 100},
+}
+
+
+def domain_of(source):
+    number = F.regexp_extract(source, "([0-9]+)$", 1).cast("int") % 4
+    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), number + 1), F.lit("other"))
+
+
+def _level(above: str, keys: str, name: str, weight: str) -> str:
+    """SQL that shares a budget out among children; see mixing.shared_out."""
+    parent = ", ".join(k for k in keys.split(", ") if k != name)
+    over = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+        SELECT *, CASE WHEN is_full THEN capacity ELSE (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({over})) * weight
+            // nullif(w_all - sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER ({over}), 0) END AS given
+        FROM (SELECT *, (budget - c_before) * weight >= capacity * (w_all - w_before) AS is_full
+            FROM (SELECT *, coalesce(sum(capacity) OVER o, 0) AS c_before, coalesce(sum(weight) OVER o, 0) AS w_before,
+                    sum(weight) OVER ({over}) AS w_all
+                FROM (SELECT {keys}, CAST({weight} AS BIGINT) AS weight, capacity, budget FROM (
+                    SELECT {keys}, sum(tokens) * 3 AS capacity FROM leaves GROUP BY {keys}) {above})
+                WINDOW o AS ({over} ORDER BY capacity / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+    """
+
+
+@query(
+    f"""
+    WITH rows AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            coalesce(['web', 'news', 'books', 'forum'][TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 + 1], 'other') AS domain,
+            coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents),
+    leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY ALL),
+    total AS (SELECT CAST(sum(tokens) * 50 // 100 AS BIGINT) AS budget FROM leaves),
+    a AS ({_level("CROSS JOIN total", "domain", "domain", "CASE domain WHEN 'web' THEN 400 WHEN 'news' THEN 300 WHEN 'books' THEN 200 WHEN 'forum' THEN 100 ELSE 100 END")}),
+    b AS ({_level("JOIN (SELECT domain, given AS budget FROM a) USING (domain)", "domain, lang", "lang", "CASE lang WHEN 'en' THEN 500 WHEN 'de' THEN 200 WHEN 'fr' THEN 200 WHEN 'es' THEN 100 ELSE 100 END")}),
+    c AS ({_level("JOIN (SELECT domain, lang, given AS budget FROM b) USING (domain, lang)", "domain, lang, source", "source", "100")}),
+    given AS (SELECT domain, lang, source, coalesce(CAST(c.given AS BIGINT) // nullif(leaves.tokens, 0), 0) AS epochs,
+        CAST(c.given AS BIGINT) - coalesce(CAST(c.given AS BIGINT) // nullif(leaves.tokens, 0), 0) * leaves.tokens AS rest
+        FROM c JOIN leaves USING (domain, lang, source)),
+    keyed AS (SELECT *, md5('7:' || epochs || ':' || doc_id) AS key FROM rows JOIN given USING (domain, lang, source)),
+    run AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed),
+    part AS (SELECT *, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS part_tokens FROM run)
+    SELECT doc_id, domain, lang, source, tokens, epochs, part_tokens, epochs * tokens + part_tokens AS taken_tokens
+    FROM part WHERE epochs * tokens + part_tokens > 0
+    """
+)
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_sources
+
+    drawn = mixed_sources(table(spark, sf_dir, "documents"), domain_of(F.col("source")), WEIGHTS, percent=50, max_epochs=3, seed=7)
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
