@@ -1,10 +1,6 @@
-"""Registry of the queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import batch_queries, execution_queries, log_queries, payload_queries, stream_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
