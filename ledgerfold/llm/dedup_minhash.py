@@ -10,10 +10,11 @@
 4. First round: every node is held against one leader, of all leaders of its
    buckets the one it shares most keys with. That ties most nodes of a large
    group together with one comparison each.
-5. Second round, for what the first left open. A node that failed its leader is
-   held against everything tied to that leader (blocks against blocks, nothing
-   emitted but links). Candidate pairs between different groups pass the
-   collision-corrected estimate of their similarity first.
+5. Second round, for what the first left open. Nodes that the choice of leaders
+   connects are a family. In a family, all that isn't tied to its largest part is
+   held against the whole family (blocks against blocks, nothing emitted but
+   links). Candidate pairs between families pass the collision-corrected
+   estimate of their similarity first.
 6. A link is only made by comparing two full sets.
 
 Bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8^5)^32, all but
@@ -302,36 +303,33 @@ def _links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     )
     links = stored(block_links(tasks, nodes, docs, words, percent))
 
-    root = stored(components(links))
-    tied = root.withColumnRenamed("root", "comp")
-    lead_root = root.withColumnsRenamed({"node": "leader", "root": "lead_comp"})
+    # one run for two graphs: of candidates (families) and of links (what is tied in them)
+    marked = lambda mark, node: F.concat(F.lit(mark).cast("binary"), F.col(node))
+    graphs = first.select(marked("f", "leader").alias("a"), marked("f", "node").alias("b")).union(
+        links.select(marked("t", "a").alias("a"), marked("t", "b").alias("b"))
+    )
+    found = stored(components(graphs))
+    graph, bare = F.substring("node", 1, 1), lambda c: F.substring(c, 2, 16)
+    of = lambda mark, name: found.where(graph == F.lit(mark).cast("binary")).select(bare("node").alias("node"), bare("root").alias(name))
     state = stored(
         buckets.select("node")
         .distinct()
-        .join(tied, "node", "left")
-        .join(first, "node", "left")
-        .join(lead_root, "leader", "left")
-        .select(
-            "node",
-            F.coalesce("comp", "node").alias("comp"),
-            F.coalesce("comp", "lead_comp", "node").alias("fam"),
-            F.col("comp").isNull().alias("alone"),
-        )
+        .join(of("f", "fam"), "node", "left")
+        .join(of("t", "comp"), "node", "left")
+        .select("node", F.coalesce("fam", "node").alias("fam"), F.coalesce("comp", "node").alias("comp"))
     )
-    open_nodes = state.where("alone and fam <> node")
-    inside = open_nodes.select("fam").distinct().join(state, "fam")
-    tasks = open_nodes.select(F.col("fam").alias("grp"), "node", F.lit(0).alias("role")).union(
+    parts = state.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("fam").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    inside = stored(state.join(largest.select("fam", F.col("top.comp").alias("main")), "fam"))
+    tasks = inside.where("comp <> main").select(F.col("fam").alias("grp"), "node", F.lit(0).alias("role")).union(
         inside.select(F.col("fam").alias("grp"), "node", F.lit(1).alias("role"))
     )
-    # keys under which different groups meet
+    # keys under which different families meet
     met = buckets.select("key", "node").join(state.select("node", "fam"), "node").withColumn("f", F.xxhash64("fam"))
     mixed_keys = met.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo <> hi").select("key")
     met = stored(met.join(mixed_keys, "key").select("key", "node", "f"))
     a, b = met.withColumnsRenamed({"node": "a", "f": "fa"}), met.withColumnsRenamed({"node": "b", "f": "fb"})
-    tried = first.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = (
-        a.join(b, "key").where("fa < fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ).join(tried, ["a", "b"], "left_anti")
+    pairs = a.join(b, "key").where("fa < fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(_likely(pairs, nodes, percent))
     degree = stored(
         pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
