@@ -161,7 +161,10 @@ WEIGHTS = {
 
 def domain_of(source):
     number = F.regexp_extract(source, "([0-9]+)$", 1).cast("int") % 4
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), number + 1), F.lit("other"))
+    out = F.lit("other")
+    for i, name in enumerate(DOMAINS):
+        out = F.when(number == i, name).otherwise(out)
+    return out
 
 
 def _level(above: str, keys: str, name: str, weight: str) -> str:
