@@ -1 +1,298 @@
-"""Queries."""
+"""Steps, waits, invocations, retries, polls and callbacks over orders and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import errors, schedules
+from ..operators import execution
+from .registry import query, table
+
+ORDER_STATUS = """CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 13 = 1 THEN 'PENDING' WHEN o_orderkey % 13 = 2 THEN 'READY' WHEN o_orderkey % 13 = 3 THEN 'TIMED_OUT'
+    WHEN o_orderkey % 13 = 4 THEN 'ARCHIVED' WHEN o_orderkey % 13 = 5 THEN 'STOPPED' WHEN o_orderkey % 13 = 6 THEN 'CANCELLED' WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' WHEN o_orderstatus = 'O' THEN 'STARTED' ELSE 'FAILED' END"""
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").withColumn("status", F.expr(ORDER_STATUS))
+
+
+@query(
+    f"""
+    WITH o AS (SELECT *, {ORDER_STATUS} AS status, o_orderkey % 2 = 0 AS once FROM orders)
+    SELECT o_orderkey, status, once, CASE WHEN status IS NULL THEN 'RUN' WHEN status = 'SUCCEEDED' THEN 'RETURN' WHEN status = 'FAILED' THEN 'RAISE' WHEN status = 'PENDING' THEN 'WAIT'
+        WHEN status = 'STARTED' AND once THEN 'INTERRUPTED' WHEN status = 'ARCHIVED' THEN 'UNRECOGNIZED' ELSE 'RUN' END AS action FROM o
+    """
+)
+def replay_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir).withColumn("once", F.col("o_orderkey") % 2 == 0)
+    return rows.select("o_orderkey", "status", "once", execution.replay_action(F.col("status"), F.col("once")).alias("action"))
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderstatus = 'F' AS is_replay, CASE WHEN o_orderstatus = 'F' THEN 'recorded ' || o_custkey ELSE 'computed ' || (o_orderkey * 2) END AS value FROM orders
+    """
+)
+def step_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    log = rows.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("STARTED").alias("status"), F.concat(F.lit("recorded "), "o_custkey").alias("result"))
+    body = F.concat(F.lit("computed "), (F.col("o_orderkey") * 2).cast("string"))
+    return execution.stepped(rows.select("o_orderkey"), log, "o_orderkey", body).select("o_orderkey", "is_replay", "value")
+
+
+@query(
+    f"""
+    WITH o AS (SELECT *, {ORDER_STATUS} AS status, (o_orderkey % 50) / 4.0::DOUBLE AS asked FROM orders)
+    SELECT o_orderkey, CAST(greatest(1, ceil(asked)) AS INT) AS seconds,
+        CASE WHEN status IS NULL THEN 'START' WHEN status = 'SUCCEEDED' THEN 'RESUMED' WHEN status = 'STARTED' THEN 'WAITING' ELSE 'UnexpectedStatus' END AS outcome,
+        datediff('second', o_orderdate, o_orderdate + to_seconds(CAST(greatest(1, ceil(asked)) AS INT))) AS due_after FROM o
+    """
+)
+def wait_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = (F.col("o_orderkey") % 50).cast("double") / 4.0
+    rows = orders(spark, sf_dir).withColumn("due", execution.due(F.col("o_orderdate"), asked))
+    return rows.select(
+        "o_orderkey",
+        schedules.asked_seconds(asked).alias("seconds"),
+        execution.wait_outcome(F.col("status")).alias("outcome"),
+        F.expr("timestampdiff(SECOND, o_orderdate, due)").alias("due_after"),
+    )
+
+
+@query(
+    f"""
+    WITH r AS (SELECT o_custkey AS fn, arg_max({ORDER_STATUS.replace("o_orderkey %", "(o_orderkey + 1) %")}, o_orderkey) FILTER (({ORDER_STATUS.replace("o_orderkey %", "(o_orderkey + 1) %")}) IS NOT NULL) AS status FROM orders GROUP BY o_custkey)
+    SELECT c_custkey, status, CASE WHEN status IN ('FAILED', 'TIMED_OUT', 'STOPPED', 'CANCELLED') THEN 'FunctionFailed' WHEN status = 'ARCHIVED' THEN 'UnrecognizedStatus' END AS error
+    FROM customer LEFT JOIN r ON c_custkey = fn
+    """
+)
+def invoke_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("status", F.expr(ORDER_STATUS.replace("o_orderkey %", "(o_orderkey + 1) %")))
+    registry = rows.where("status is not null").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("status", "o_orderkey").alias("status"))
+    return execution.invoked(table(spark, sf_dir, "customer").select("c_custkey"), registry, "c_custkey").select("c_custkey", "status", "error")
+
+
+def _delays(name: str, formula: str, most: int) -> str:
+    return f"""SELECT '{name}' AS strategy, CAST(a AS INT) AS attempt, {formula} AS base, CAST(greatest(1, round({formula})) AS INT) AS seconds, a >= {most} AS stops FROM range(1, 9) t(a)"""
+
+
+def _schedule(spark: SparkSession, strategies: dict[str, schedules.Backoff]) -> DataFrame:
+    attempts = spark.range(1, 9).select(F.col("id").cast("int").alias("attempt"))
+    out = None
+    for name, how in strategies.items():
+        base = schedules.base_delay(F.col("attempt"), how)
+        own = attempts.select(F.lit(name).alias("strategy"), "attempt", base.alias("base"), schedules.whole_seconds(base).alias("seconds"), (F.col("attempt") >= how.max_attempts).alias("stops"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(_delays("x3", "least(2.0::DOUBLE * pow(3.0::DOUBLE, a - 1), 300.0::DOUBLE)", 5) + " UNION ALL " + _delays("x1.5", "least(0.5::DOUBLE * pow(1.5::DOUBLE, a - 1), 60.0::DOUBLE)", 6))
+def retry_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schedule(spark, {"x3": schedules.Backoff(5, 2.0, 300.0, 3.0, jitter="none"), "x1.5": schedules.Backoff(6, 0.5, 60.0, 1.5, jitter="none")})
+
+
+@query(_delays("by1", "least(1.0::DOUBLE + 1.0::DOUBLE * (a - 1), 300.0::DOUBLE)", 6) + " UNION ALL " + _delays("by2.5", "least(1.0::DOUBLE + 2.5::DOUBLE * (a - 1), 10.0::DOUBLE)", 4))
+def retry_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schedule(spark, {"by1": schedules.Backoff(6, 1.0, 300.0, None, 1.0, "none"), "by2.5": schedules.Backoff(4, 1.0, 10.0, None, 2.5, "none")})
+
+
+@query(
+    """
+    WITH p(preset, most, initial, cap, rate, inc, jitter) AS (VALUES ('default', 6, 5.0, 60.0, 2.0, 1.0, 'full'), ('linear', 6, 1.0, 300.0, NULL, 1.0, 'none'), ('no_retry', 1, 5.0, 300.0, 2.0, 1.0, 'full'),
+        ('exponential_fill', 3, 5.0, 300.0, 2.0, 1.0, 'full'), ('linear_fill', 6, 1.0, 300.0, NULL, 1.0, 'full'), ('polling', 60, 5.0, 300.0, 1.5, 1.0, 'full')),
+    b AS (SELECT preset, CAST(a AS INT) AS attempt, jitter, a >= most AS stops, least(CASE WHEN rate IS NULL THEN initial::DOUBLE + inc::DOUBLE * (a - 1) ELSE initial::DOUBLE * pow(rate::DOUBLE, a - 1) END, cap::DOUBLE) AS high FROM p, range(1, 7) t(a))
+    SELECT preset, attempt, stops, CASE jitter WHEN 'none' THEN high ELSE 0.0 END AS low, high FROM b
+    """
+)
+def retry_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, how in schedules.PRESETS.items():
+        low, high = schedules.jitter_bounds(schedules.base_delay(F.col("attempt"), how), how.jitter)
+        own = spark.range(1, 7).select(F.col("id").cast("int").alias("attempt")).select(
+            F.lit(name).alias("preset"), "attempt", (F.col("attempt") >= how.max_attempts).alias("stops"), low.alias("low"), high.alias("high")
+        )
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(
+    """
+    WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS INT) AS attempt, o_orderstatus <> 'P' AS retryable FROM orders)
+    SELECT o_orderkey, attempt, retryable, CASE WHEN attempt >= 6 OR NOT retryable THEN 'STOP' WHEN attempt % 2 = 0 THEN 'PAUSE' ELSE 'RETRY' END AS action,
+        CASE WHEN attempt < 6 AND retryable THEN CAST(round(least(5.0::DOUBLE * pow(2.0::DOUBLE, attempt - 1), 60.0::DOUBLE)) AS INT) END AS delay FROM o
+    """
+)
+def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).cast("int").alias("attempt"), (F.col("o_orderstatus") != "P").alias("retryable"))
+    decision = schedules.retry_decision(F.col("attempt"), schedules.PRESETS["default"], F.col("retryable"), pause_every=2)
+    return rows.withColumn("d", decision).select("o_orderkey", "attempt", "retryable", "d.action", "d.delay")
+
+
+@query()
+def retry_jitter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full and half jitter of each order's delay with whether it keeps its bounds."""
+    how = schedules.PRESETS["default"]
+    base = schedules.base_delay(F.col("o_orderkey") % 5 + 1, how)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base"))
+    kinds = {k: schedules.jittered(F.col("base"), k, 11) for k in ("half", "full")}
+    rows = rows.select("*", *(c.alias(k) for k, c in kinds.items()))
+    inside = (F.col("half").between(F.col("base") / 2, F.col("base"))) & F.col("full").between(F.lit(0), F.col("base"))
+    return rows.withColumn("inside", inside)
+
+
+@query(
+    """
+    WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type = 'purchase' AS ok FROM events),
+    u AS (SELECT * FROM a WHERE n <= 4), e AS (SELECT user_id, min(n) FILTER (ok) AS won, max(n) AS last FROM u GROUP BY 1),
+    w AS (SELECT u.user_id, sum(CAST(round(least(2.0::DOUBLE * pow(3.0::DOUBLE, n - 1), 300.0::DOUBLE)) AS BIGINT)) AS waited FROM u JOIN e USING (user_id) WHERE n < coalesce(won, last) GROUP BY 1)
+    SELECT user_id, CASE WHEN won IS NOT NULL THEN 'SUCCEEDED' WHEN last >= 4 THEN 'ChildFailed' ELSE 'PENDING' END AS status, coalesce(won, last) AS attempts, CAST(coalesce(waited, 0) AS BIGINT) AS waited,
+        'attempt-' || coalesce(won, last) AS last_child, 'block-backoff-' || coalesce(won, last) AS last_wait FROM e LEFT JOIN w USING (user_id)
+    """
+)
+def with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .batch_queries import event_items
+
+    rows = event_items(spark, sf_dir).select("user_id", (F.col("idx") + 1).alias("n"), (F.col("event_type") == "purchase").alias("ok"))
+    out = execution.retried_blocks(rows, "user_id", "n", "ok", schedules.Backoff(4, 2.0, 300.0, 3.0, jitter="none"))
+    child, wait = execution.attempt_names(F.lit("block"), F.col("attempts"))
+    return out.select("user_id", "status", F.col("attempts").cast("long").alias("attempts"), F.col("waited").cast("long").alias("waited"), child.alias("last_child"), wait.alias("last_wait"))
+
+
+@query(
+    """
+    WITH c AS (SELECT o_custkey, row_number() OVER w AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER w AS state FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT o_custkey, min(n) FILTER (state >= 1000000) AS hit, max(n) AS last FROM c WHERE n <= 8 GROUP BY 1)
+    SELECT o_custkey, CASE WHEN hit IS NOT NULL THEN 'COMPLETE' WHEN last >= 8 THEN 'MaxChecksExceeded' ELSE 'CONTINUE' END AS outcome, coalesce(hit, last) AS checks FROM e
+    """
+)
+def poll_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        F.row_number().over(w).alias("n"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("state"),
+    )
+    out = execution.polled(rows, "o_custkey", "n", F.col("state") >= 1000000, schedules.Backoff(8))
+    return out.withColumn("checks", F.col("checks").cast("long"))
+
+
+@query(
+    """
+    WITH RECURSIVE w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(o_orderkey % 20 AS INT) END AS first, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 900 AS INT) END AS deadline FROM orders WHERE o_orderkey % 50 = 0),
+    r(o_orderkey, n, sec, deadline) AS (SELECT o_orderkey, 1, first, deadline FROM w UNION ALL
+        SELECT o_orderkey, n + 1, sec + CASE WHEN n > 95 THEN 60 ELSE least(n, 10) END, deadline FROM r WHERE n < 120)
+    SELECT o_orderkey, n, CAST(sec AS BIGINT) AS at_second FROM r WHERE deadline IS NULL OR sec + 1 <= deadline
+    """
+)
+def refresh_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").where(k % 50 == 0).select("o_orderkey")
+    first = F.when(k % 3 == 0, schedules.FIRST_REFRESH).otherwise((k % 20).cast("int"))
+    out = execution.refreshes(rows, "o_orderkey", first, F.when(k % 4 > 0, (k % 900).cast("int")))
+    return out.select("o_orderkey", "n", F.col("at").cast("long").alias("at_second"))
+
+
+@query(
+    """
+    WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS sec FROM events),
+    p AS (SELECT c.user_id, c.sec, min(d.sec) FILTER (d.sec <= c.sec + 86400) AS done FROM (SELECT DISTINCT user_id, sec FROM e WHERE event_type = 'signup') c
+        LEFT JOIN e d ON d.user_id = c.user_id AND d.event_type = 'purchase' AND d.sec >= c.sec GROUP BY ALL)
+    SELECT user_id, sec AS created, CASE WHEN done IS NULL THEN 'TIMED_OUT' ELSE 'SUCCEEDED' END AS outcome, coalesce(done - sec, 86400) AS settled_after FROM p
+    """
+)
+def callback_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_seconds(spark, sf_dir)
+    of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "at").distinct()
+    return execution.callbacks(of("signup"), of("purchase"), "user_id", 86400).withColumnRenamed("after", "settled_after")
+
+
+def event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", at.alias("at"))
+
+
+@query(
+    """
+    WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE event_type = 'click'),
+    g AS (SELECT user_id, sec, lead(sec) OVER (PARTITION BY user_id ORDER BY sec) - sec AS silent FROM e)
+    SELECT user_id, min(sec) AS second, arg_min(silent, sec) AS silent FROM g WHERE silent > 172800 GROUP BY user_id
+    """
+)
+def heartbeat_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = event_seconds(spark, sf_dir).where("event_type = 'click'").select("user_id", "at").distinct()
+    return execution.missed_heartbeats(beats, "user_id", "at", 172800).withColumnRenamed("at", "second")
+
+
+@query(
+    f"""
+    WITH o AS (SELECT o_orderkey, {ORDER_STATUS} AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'Callback.Heartbeat' END AS wire, o_orderkey % 29 = 0 AS submit_failed FROM orders)
+    SELECT o_orderkey, CASE WHEN submit_failed THEN 'SubmitterFailed' WHEN status = 'TIMED_OUT' AND wire IS NOT NULL THEN 'HeartbeatTimedOut' WHEN status = 'TIMED_OUT' THEN 'TimedOut'
+        WHEN status IN ('FAILED', 'CANCELLED', 'STOPPED') THEN 'ExternalFailure' END AS failure FROM o
+    """
+)
+def wait_for_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    failed = errors.callback_failure(F.col("status"), F.when(k % 2 == 0, "Callback.Heartbeat"))
+    return orders(spark, sf_dir).select("o_orderkey", F.when(k % 29 == 0, "SubmitterFailed").otherwise(failed).alias("failure"))
+
+
+@query(f"SELECT o_orderkey, ({ORDER_STATUS}) IN ('SUCCEEDED', 'FAILED', 'CANCELLED', 'TIMED_OUT', 'STOPPED') AS resolves FROM orders")
+def rebuild_resolves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir).select("o_orderkey", execution.resolves_in_rebuild(F.col("status")).alias("resolves"))
+
+
+@query(
+    f"""
+    WITH o AS (SELECT o_orderkey, {ORDER_STATUS} AS status, o_orderkey % 5 = 0 AS updated FROM orders), t AS (SELECT unnest(['step', 'wait', 'invoke', 'create_callback', 'run_in_child_context']) AS op)
+    SELECT o_orderkey, op, CASE WHEN status IS NULL AND op = 'step' THEN 'start(false), attempt start' WHEN status IS NULL THEN 'start(false)'
+        WHEN op = 'step' THEN CASE status WHEN 'STARTED' THEN 'start(true), attempt start' WHEN 'READY' THEN 'start(true), attempt start' END
+        WHEN status IN ('STARTED', 'PENDING', 'READY') THEN 'start(true)'
+        WHEN op = 'wait' AND status = 'SUCCEEDED' OR op IN ('invoke', 'create_callback') AND status IN ('SUCCEEDED', 'FAILED', 'TIMED_OUT', 'STOPPED', 'CANCELLED') THEN CASE WHEN updated THEN 'end(false)' ELSE 'end(true)' END
+        END AS hooks FROM o, t
+    """
+)
+def hook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.lifecycle import hooks
+
+    ops = F.explode(F.array(*map(F.lit, ("step", "wait", "invoke", "create_callback", "run_in_child_context")))).alias("op")
+    rows = orders(spark, sf_dir).select("o_orderkey", "status", (F.col("o_orderkey") % 5 == 0).alias("updated"), ops)
+    return rows.select("o_orderkey", "op", hooks(F.col("op"), F.col("status"), F.lit(2), F.col("updated")).alias("hooks"))
+
+
+@query(
+    """
+    WITH u AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'view' THEN 'START' WHEN 'purchase' THEN 'SUCCEED' WHEN 'error' THEN 'FAIL' WHEN 'click' THEN 'RETRY' END AS action, event_id % 11 > 0 AS written FROM events)
+    SELECT event_id, CASE action WHEN 'START' THEN 'operation_started' WHEN 'SUCCEED' THEN 'operation_succeeded' WHEN 'FAIL' THEN 'operation_failed' WHEN 'RETRY' THEN 'operation_retry_scheduled' END AS event,
+        false AS is_replay FROM u WHERE action IS NOT NULL AND written
+    """
+)
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.lifecycle import emitted
+
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "START").when(kind == "purchase", "SUCCEED").when(kind == "error", "FAIL").when(kind == "click", "RETRY")
+    rows = table(spark, sf_dir, "events").select("event_id", action.alias("action"), (F.col("event_id") % 11 > 0).alias("written"))
+    return emitted(rows, "action", "written").select("event_id", "event", "is_replay")
+
+
+@query(
+    """
+    WITH i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, event_type FROM events)
+    SELECT user_id, n, CASE WHEN n = 1 THEN 'execution_started' ELSE 'execution_resumed' END AS begins, CASE WHEN event_type = 'view' THEN 'execution_suspended' END AS ends,
+        n > 1 AND was = 'error' AS is_replay, CASE WHEN NOT (n > 1 AND was = 'error') THEN '{"user":' || user_id || ',"n":' || n || '}' END AS log_line FROM i
+    """
+)
+def execution_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    from ..operators.lifecycle import execution_event, log_line
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.row_number().over(w).alias("n"), F.lag("event_type").over(w).alias("was"))
+    begins, ends = execution_event(F.col("n") > 1, F.col("event_type") == "view")
+    replay = (F.col("n") > 1) & (F.col("was") == "error")
+    fields = F.struct(F.col("user_id").alias("user"), "n")
+    return rows.select("user_id", F.col("n").cast("long").alias("n"), begins.alias("begins"), ends.alias("ends"), F.coalesce(replay, F.lit(False)).alias("is_replay"), log_line(replay, fields).alias("log_line"))

@@ -1 +1,77 @@
-"""Queries."""
+"""Streams of events, run to their end, with batch queries of the same meaning beside them."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.stored import shared_folder
+from ..streaming import sink, timers
+from .registry import query
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, kinds: dict[str, str]) -> DataFrame:
+    """events as a file stream of (key, kind, ts); kinds: by event type."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
+    kind = F.lit(None).cast("string")
+    for name, shown in kinds.items():
+        kind = F.when(F.col("event_type") == name, shown).otherwise(kind)
+    shown = rows.select(F.col("user_id").cast("string").alias("key"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    return shown.where("kind is not null").withWatermark("ts", "0 seconds")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """All that a stream has to say now, each micro-batch written once."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folder = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    started = (
+        stream.writeStream.foreachBatch(sink.checkpointed(f"{folder}/out"))
+        .option("checkpointLocation", f"{folder}/log")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return sink.written(spark, f"{folder}/out")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, 'RESUMED' AS outcome, epoch_us(min(ts)) // 1000 + 3600000 AS at_ms FROM events WHERE event_type = 'view' GROUP BY user_id HAVING min(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'view')")
+def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"view": "start"})
+    return run_to_end(timers.outcomes(rows, timers.Wait(3600))).drop("batch")
+
+
+@query()
+def stream_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"signup": "create", "purchase": "complete", "click": "heartbeat"})
+    return run_to_end(timers.outcomes(rows, timers.Callback(86400 * 4, 86400 * 2))).drop("batch")
+
+
+@query(
+    """
+    WITH c AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, CASE event_type WHEN 'view' THEN 0 ELSE 1 END) AS n FROM events WHERE event_type IN ('view', 'purchase')),
+    e AS (SELECT user_id, min(n) FILTER (event_type = 'purchase') AS done, max(n) AS last FROM c GROUP BY 1),
+    f AS (SELECT user_id, CASE WHEN done <= 3 THEN done WHEN last >= 3 THEN 3 END AS n, coalesce(done <= 3, false) AS ok FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN ok THEN 'COMPLETE' ELSE 'MaxChecksExceeded' END AS outcome, epoch_us(ts) // 1000 AS at_ms FROM f JOIN c USING (user_id, n)
+    """
+)
+def stream_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"view": "check", "purchase": "done"})
+    return run_to_end(timers.outcomes(rows, timers.Poll(3), timed=False)).drop("batch")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, 'fail' AS kind, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'error'")
+def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"error": "fail"})
+    return run_to_end(rows.select("key", "kind", F.unix_millis("ts").alias("at_ms"))).drop("batch")
