@@ -185,7 +185,9 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between each group's held (role 0) and streamed (role 1) nodes, by their full sets.
 
-    tasks: (grp binary, node, role int). A group is cut into cells of HELD by
+    What is emitted connects what is linked: a node that is linked with several
+    held ones gives one row for each group of them that wasn't connected before,
+    so a cell gives no more rows than it has nodes. tasks: (grp binary, node, role int). A group is cut into cells of HELD by
     STREAMED nodes; a text is sent to each of its cells. docs: (id, text).
     """
     tasks = stored(tasks.distinct())
@@ -217,17 +219,25 @@ def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, index = None, None
-        names, sets = [], []
+        names, sets, tied = [], [], []
+
+        def find(i: int) -> int:
+            while tied[i] != i:
+                tied[i] = tied[tied[i]]
+                i = tied[i]
+            return i
+
         for batch in batches:
             out_a, out_b = [], []
             keys = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
             for (grp, r, c, role, node), members in zip(keys, shingle_sets(batch.column(5), words), strict=True):
                 if (grp, r, c) != cell:
-                    cell, index, names, sets = (grp, r, c), None, [], []
+                    cell, index, names, sets, tied = (grp, r, c), None, [], [], []
                 if digest(members) != node:  # another text under the same id
                     continue
                 if role == 0:
                     if node not in names:
+                        tied.append(len(names))
                         names.append(node)
                         sets.append(members)
                     continue
@@ -237,10 +247,14 @@ def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
                     index = _postings(sets)
                 both = _in_common(index, members)
                 union = index[3] + len(members) - both
-                for i in np.flatnonzero(100 * both >= percent * union).tolist():
-                    if names[i] != node:
-                        out_a.append(min(names[i], node))
-                        out_b.append(max(names[i], node))
+                near = {find(i) for i in np.flatnonzero(100 * both >= percent * union).tolist()}
+                own = names.index(node) if node in names else None
+                for i in near - {own if own is None else find(own)}:
+                    out_a.append(min(names[i], node))
+                    out_b.append(max(names[i], node))
+                near |= set() if own is None else {find(own)}
+                for i in near:  # from now on tied through this node
+                    tied[i] = min(near)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
     return dealt.mapInArrow(rows, "a binary, b binary")
