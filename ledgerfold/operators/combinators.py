@@ -59,3 +59,8 @@ def stopped(inputs: DataFrame, winners: DataFrame, group: str, eager: str | None
 def empty_input(groups: DataFrame, inputs: DataFrame, group: str) -> DataFrame:
     """Groups without inputs: an error for select_ok and race, an empty list for the joins."""
     return groups.join(inputs.select(group).distinct(), group, "left_anti")
+
+
+def winner_record(group_size: Column, winner: Column, limit: int) -> Column:
+    """What is kept of a winner whose value is too large for the log: its index, so that a replay runs only that input."""
+    return F.when(group_size > limit, F.to_json(F.struct(winner.alias("winner"))))

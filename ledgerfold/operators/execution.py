@@ -122,3 +122,18 @@ def missed_heartbeats(beats: DataFrame, key: str, at: str, seconds: int) -> Data
 def resolves_in_rebuild(status: Column) -> Column:
     """Whether an operation comes to an end when an oversized body is run again."""
     return status.isin("SUCCEEDED", "FAILED", "CANCELLED", "TIMED_OUT", "STOPPED")
+
+
+def child_record(result: Column, limit: int) -> tuple[Column, Column]:
+    """(result, replay_children) of a child: a result over the limit is left out and its children are replayed."""
+    over = F.octet_length(result) > limit
+    return F.when(~over, result), F.coalesce(over, F.lit(False))
+
+
+def interrupted_attempt(status: Column, at_most_once: Column, attempt: Column, how: schedules.Backoff) -> Column:
+    """struct(attempt, error, action, delay) for a step that a crash left started and that may run only once an attempt; else null."""
+    decision = schedules.retry_decision(attempt + 1, how)
+    return F.when(
+        (status == "STARTED") & at_most_once,
+        F.struct((attempt + 1).alias("attempt"), F.lit("StepInterruptedError").alias("error"), decision["action"].alias("action"), decision["delay"].alias("delay")),
+    )

@@ -111,6 +111,14 @@ def outcome(fatal: Column, panicked: Column, completed: Column, failed: Column)
     return F.when(fatal, "FATAL").when(panicked, "PANIC").when(completed & ~failed, "SUCCEEDED").when(completed, "FAILED").otherwise("PENDING")
 
 
+def decoded(payloads: DataFrame, payload: str, schema: str) -> DataFrame:
+    """payloads with value by schema and error: a payload that isn't such JSON is a recorded failure, not a stopped job."""
+    value = F.from_json(payload, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    rows = payloads.withColumn("value", value)
+    bad = F.col("value.__bad").isNotNull()
+    return rows.withColumn("error", F.when(bad, "SerializationFailed")).withColumn("value", F.when(~bad, F.col("value").dropFields("__bad")))
+
+
 def suspensions(events: DataFrame, execution: str, order: list[str], permits: Column, waits: Column) -> DataFrame:
     """events at which no permit is held and something waits, of each execution the first. permits and waits are changes."""
     w = W.partitionBy(execution).orderBy(*order)

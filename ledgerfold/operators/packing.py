@@ -58,3 +58,9 @@ def sent(updates: DataFrame, execution: str, seq: str, failed: str) -> DataFrame
     """Updates that are written: after a failed write nothing more is sent."""
     bad = updates.groupBy(execution).agg(F.min(F.when(F.col(failed), F.col(seq))).alias("failed_at"))
     return updates.join(bad, execution).where(F.col("failed_at").isNull() | (F.col(seq) < F.col("failed_at"))).drop("failed_at")
+
+
+def admitted(updates: DataFrame, execution: str, seq: str, token: str) -> DataFrame:
+    """Updates up to and with the first response that brings no new token; later ones wait for the next invocation."""
+    gone = updates.groupBy(execution).agg(F.min(F.when(F.col(token).isNull(), F.col(seq))).alias("withdrawn_at"))
+    return updates.join(gone, execution).where(F.col("withdrawn_at").isNull() | (F.col(seq) <= F.col("withdrawn_at"))).drop("withdrawn_at")

@@ -324,3 +324,25 @@ def race_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combinator_empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     return combinators.empty_input(orders, table(spark, sf_dir, "lineitem"), "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+@query(
+    f"""
+    WITH {SETTLED_SQL}, w AS (SELECT l_orderkey, arg_min(idx, settle) AS winner, CAST(sum(l_quantity) AS BIGINT) AS size FROM s GROUP BY l_orderkey)
+    SELECT l_orderkey, CASE WHEN size > 150 THEN '{{"winner":' || winner || '}}' END AS record FROM w
+    """
+)
+def winner_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled_lines(spark, sf_dir)
+    sizes = rows.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("size"))
+    won = combinators.race(rows, "l_orderkey", "l_partkey").join(sizes, "l_orderkey")
+    return won.select("l_orderkey", combinators.winner_record(F.col("size"), F.col("winner"), 150).alias("record"))
+
+
+@query()
+def batch_concurrent_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slots, each line taking its quantity in seconds: the policy over the order in which lines settle."""
+    items = line_items(spark, sf_dir).select("l_orderkey", "idx", "ok", F.col("l_quantity").cast("long").alias("seconds"))
+    times = batch.dispatched(items, "l_orderkey", "seconds", 2).select("l_orderkey", "idx", "settled")
+    rows = items.join(times, ["l_orderkey", "idx"]).withColumn("settle", F.struct("settled", "idx")).drop("settled")
+    return _shown(batch.completed(rows, "l_orderkey", "ok", LINE_POLICY, "settle"))

@@ -296,3 +296,30 @@ def execution_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     replay = (F.col("n") > 1) & (F.col("was") == "error")
     fields = F.struct(F.col("user_id").alias("user"), "n")
     return rows.select("user_id", F.col("n").cast("long").alias("n"), begins.alias("begins"), ends.alias("ends"), F.coalesce(replay, F.lit(False)).alias("is_replay"), log_line(replay, fields).alias("log_line"))
+
+
+@query(
+    f"""
+    WITH o AS (SELECT o_orderkey, {ORDER_STATUS} AS status, o_orderkey % 2 = 0 AS once, CAST(o_orderkey % 7 AS INT) AS attempt FROM orders)
+    SELECT o_orderkey, attempt + 1 AS next_attempt, 'StepInterruptedError' AS error, CASE WHEN attempt + 1 >= 6 THEN 'STOP' ELSE 'RETRY' END AS action,
+        CASE WHEN attempt + 1 < 6 THEN CAST(round(least(5.0::DOUBLE * pow(2.0::DOUBLE, attempt), 60.0::DOUBLE)) AS INT) END AS delay FROM o WHERE status = 'STARTED' AND once
+    """
+)
+def interrupted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    what = execution.interrupted_attempt(F.col("status"), k % 2 == 0, (k % 7).cast("int"), schedules.PRESETS["default"])
+    rows = orders(spark, sf_dir).withColumn("x", what).where("x is not null")
+    return rows.select("o_orderkey", F.col("x.attempt").alias("next_attempt"), "x.error", "x.action", "x.delay")
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, repeat(text, 60) AS result FROM documents)
+    SELECT doc_id, octet_length(encode(result)) > 262144 AS replay_children, CASE WHEN octet_length(encode(result)) <= 262144 THEN sha256(result) END AS recorded FROM d
+    """
+)
+def child_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.codecs import INLINE_RESULT
+
+    result, replay = execution.child_record(F.repeat("text", F.lit(60)), INLINE_RESULT)
+    return table(spark, sf_dir, "documents").select("doc_id", replay.alias("replay_children"), F.sha2(result.cast("binary"), 256).alias("recorded"))

@@ -205,3 +205,46 @@ def bootstrap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(paged.PagedState)
     return spark.read.format("ledgerfold_pages").option("operations", 1000).option("page", 64).load()
+
+
+@query(
+    """
+    WITH t AS (SELECT user_id, min(event_id) AS gone FROM events WHERE event_type = 'error' AND event_id % 3 = 0 GROUP BY 1)
+    SELECT user_id, event_id FROM events LEFT JOIN t USING (user_id) WHERE gone IS NULL OR event_id <= gone
+    """
+)
+def token_withdrawal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.when(~((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)), F.lit("t"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", token.alias("token"))
+    return packing.admitted(rows, "user_id", "event_id", "token").select("user_id", "event_id")
+
+
+@query(
+    """
+    SELECT event_id, CASE WHEN event_id % 10 > 0 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 10 = 0 THEN 'SerializationFailed' END AS error FROM events
+    """
+)
+def payload_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.log import decoded
+
+    payload = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{broken"), "props")).otherwise(F.col("props"))
+    return decoded(table(spark, sf_dir, "events").select("event_id", payload.alias("payload")), "payload", "k int").select("event_id", "value.k", "error")
+
+
+@query(
+    """
+    SELECT doc_id, sha256('"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"') AS value_sha, CAST(NULL AS VARCHAR) AS problem FROM documents
+    """
+)
+def payload_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text goes to a file of payloads and comes back by its reference."""
+    import uuid
+
+    from ..sources import payloads
+    from ..sources.stored import shared_folder
+
+    folder = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    quoted = F.to_json(F.array("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value"))
+    kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), codecs.hashed_segment(F.col("doc_id").cast("string"))), always=True)
+    return payloads.read(kept, folder).select("doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha"), "problem")
