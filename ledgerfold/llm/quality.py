@@ -27,6 +27,8 @@ from .scratch import small_enough, stored
 SAMPLE = 10_000
 #: Prior strengths are kept within these bounds (in documents).
 STRENGTH = (5.0, 10_000.0)
+#: A document is kept from this probability on; to lose a good one is the worse error.
+THRESHOLD = 0.4
 
 #: Byte classes whose shares are features.
 _CLASSES = [b"|", b"!", b"#$%&*", b"+=<>@~^_\\/{}[]", b"0123456789", b".,;:'\"?()-", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n", b" \t"]
@@ -201,7 +203,7 @@ def quality(
     host_col: str = "source",
     path_col: str = "lang",
     label_col: str = "quality",
-    threshold: float = 0.5,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per row of docs: id, host, path, p_text, p_host, p_path, p_quality, kept.
 
@@ -224,7 +226,7 @@ def keep_good(
     text_col: str = "text",
     host_col: str = "source",
     path_col: str = "lang",
-    threshold: float = 0.5,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """docs, all columns, without the rows that quality rejects."""
     model = fit(docs, labels, id_col, text_col)
