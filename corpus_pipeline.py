@@ -13,6 +13,7 @@ from ledgerfold.llm import dedup_exact, dedup_minhash, mixing, packing, quality
 from ledgerfold.llm.queries import WEIGHTS, domain_of
 from ledgerfold.llm.scratch import stored
 from ledgerfold.llm.tokens import public_tokenizer
+from ledgerfold.sources.shipping import ship
 
 #: Share of the tokens that are left when sources are mixed, in percent.
 MIXED_PERCENT = 80
@@ -43,12 +44,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizer(), 2048, 1).drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def _shipped(stage):
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality classifier", good_quality),
-    ("exact dedup", distinct_texts),
-    ("MinHash near-dedup", distinct_enough),
-    ("mixing sources to target weights", mixed),
-    ("packing", packed),
+    ("quality classifier", _shipped(good_quality)),
+    ("exact dedup", _shipped(distinct_texts)),
+    ("MinHash near-dedup", _shipped(distinct_enough)),
+    ("mixing sources to target weights", _shipped(mixed)),
+    ("packing", _shipped(packed)),
 ]
 
 #: SQL can't express a classifier that is fitted here, sketches or a tokenizer.

@@ -288,3 +288,17 @@ def test_keep_drawn_keeps_columns(spark):
     df = docs(spark, EDGE + [(100 + i, "x y z") for i in range(200)])
     kept = mixing.keep_drawn(df, F.lit("d"), {}, 50)
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
+
+
+def test_stored_tables_can_be_cleared(spark, tmp_path):
+    from ledgerfold.llm import scratch
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert scratch.stored(spark.range(3)).count() == 3
+        assert list(tmp_path.glob("ledgerfold/*/*/*.parquet"))
+        scratch.clear(spark)
+        assert not list(tmp_path.glob("ledgerfold/*"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
