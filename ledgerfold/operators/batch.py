@@ -122,7 +122,7 @@ def item_status(items: DataFrame, ended: DataFrame, batch: str, ok: str, concurr
 
 def views(items: DataFrame, batch: str, value: str) -> DataFrame:
     """One row a batch from items with idx and status: counts, marks, values in item order, the first failed item."""
-    ordered = lambda when, c: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("idx", c)))), lambda x: x[c])
+    ordered = lambda when, c: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("idx", F.col(c).alias("v"))))), lambda x: x["v"])
     good, bad = F.col("status") == "SUCCEEDED", F.col("status") == "FAILED"
     mark = F.when(good, "S").when(bad, "F").otherwise("-")
     return items.withColumn("mark", mark).groupBy(batch).agg(

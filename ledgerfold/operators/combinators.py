@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _in_order(when: Column, *columns: str) -> Column:
-    return F.array_sort(F.collect_list(F.when(when, F.struct("idx", *columns))))
+def _in_order(when: Column, value: str) -> Column:
+    return F.array_sort(F.collect_list(F.when(when, F.struct("idx", "ok", F.col(value).alias("value")))))
 
 
 def try_join_all(inputs: DataFrame, group: str, value: str) -> DataFrame:
@@ -21,31 +21,31 @@ def try_join_all(inputs: DataFrame, group: str, value: str) -> DataFrame:
         group,
         F.col("failed_index").isNull().alias("ok"),
         "failed_index",
-        F.when(F.col("failed_index").isNull(), F.transform("all", lambda x: x[value])).alias("values"),
+        F.when(F.col("failed_index").isNull(), F.transform("all", lambda x: x["value"])).alias("values"),
     )
 
 
 def join_all(inputs: DataFrame, group: str, value: str) -> DataFrame:
     """(group, outcomes): every input's (idx, ok, value) in input order."""
-    return inputs.groupBy(group).agg(_in_order(F.lit(True), "ok", value).alias("outcomes"))
+    return inputs.groupBy(group).agg(_in_order(F.lit(True), value).alias("outcomes"))
 
 
 def select_ok(inputs: DataFrame, group: str, value: str) -> DataFrame:
     """(group, winner, value, losers): the first success to settle; without one, all failures by input index."""
-    won = F.min(F.when(F.col("ok"), F.struct("settle", "idx", value)))
+    won = F.min(F.when(F.col("ok"), F.struct("settle", "idx", F.col(value).alias("value"))))
     return inputs.groupBy(group).agg(won.alias("won"), _in_order(~F.col("ok"), value).alias("bad")).select(
         group,
         F.col("won.idx").alias("winner"),
-        F.col(f"won.{value}").alias("value"),
+        F.col("won.value").alias("value"),
         F.when(F.col("won").isNull(), F.transform("bad", lambda x: x["idx"])).alias("losers"),
     )
 
 
 def race(inputs: DataFrame, group: str, value: str) -> DataFrame:
     """(group, winner, ok, value): the first to settle, whatever its outcome."""
-    first = F.min(F.struct("settle", "idx", "ok", value))
+    first = F.min(F.struct("settle", "idx", "ok", F.col(value).alias("value")))
     return inputs.groupBy(group).agg(first.alias("first")).select(
-        group, F.col("first.idx").alias("winner"), F.col("first.ok").alias("ok"), F.col(f"first.{value}").alias("value")
+        group, F.col("first.idx").alias("winner"), F.col("first.ok").alias("ok"), F.col("first.value").alias("value")
     )
 
 

@@ -103,7 +103,7 @@ def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int
     created and completions have key and at (seconds). A timeout of 0 is none.
     """
     late = F.lit(False) if timeout == 0 else F.col("done_at") > F.col("at") + timeout
-    rows = created.join(completions.select(F.col(key).alias("k"), F.col("at").alias("done_at")), (F.col(key) == F.col("k")) & (F.col("done_at") >= F.col("at")), "left")
+    rows = created.join(completions.select(F.col(key).alias("__key"), F.col("at").alias("done_at")), (F.col(key) == F.col("__key")) & (F.col("done_at") >= F.col("at")), "left")
     first = rows.groupBy(key, "at").agg(F.min(F.when(~late, F.col("done_at"))).alias("done_at"))
     return first.select(
         key,

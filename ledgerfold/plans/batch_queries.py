@@ -284,7 +284,7 @@ def try_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda x: F.concat(F.when(x["ok"], "ok:").otherwise("error:"), x["l_partkey"].cast("string"))
+    one = lambda x: F.concat(F.when(x["ok"], "ok:").otherwise("error:"), x["value"].cast("string"))
     out = combinators.join_all(settled_lines(spark, sf_dir), "l_orderkey", "l_partkey")
     return out.select("l_orderkey", F.array_join(F.transform("outcomes", one), ",").alias("outcomes"))
 
