@@ -34,15 +34,20 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def run_to_end(stream: DataFrame) -> DataFrame:
     """All that a stream has to say now, each micro-batch written once."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     folder = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
-    started = (
-        stream.writeStream.foreachBatch(sink.checkpointed(f"{folder}/out"))
-        .option("checkpointLocation", f"{folder}/log")
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    spark.conf.set(provider, ROCKS)  # a stream keeps the settings it starts with
+    try:
+        started = (
+            stream.writeStream.foreachBatch(sink.checkpointed(f"{folder}/out"))
+            .option("checkpointLocation", f"{folder}/log")
+            .trigger(availableNow=True)
+            .start()
+        )
+        started.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return sink.written(spark, f"{folder}/out")
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a local session without it gets a temporary folder."""
@@ -15,8 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerfold-"))
     return folder.rstrip("/")
 
 
