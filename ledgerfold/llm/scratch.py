@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes up to which a table of known size may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -28,9 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="ledgerfold-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerfold-"))
 
 
 def _own_folder(spark: SparkSession) -> str:

@@ -290,15 +290,11 @@ def test_keep_drawn_keeps_columns(spark):
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
 
 
-def test_stored_tables_can_be_cleared(spark, tmp_path):
+def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     from ledgerfold.llm import scratch
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert scratch.stored(spark.range(3)).count() == 3
-        assert list(tmp_path.glob("ledgerfold/*/*/*.parquet"))
-        scratch.clear(spark)
-        assert not list(tmp_path.glob("ledgerfold/*"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert scratch.stored(spark.range(3)).count() == 3
+    assert list(tmp_path.glob("ledgerfold/*/*/*.parquet"))
+    scratch.clear(spark)
+    assert not list(tmp_path.glob("ledgerfold/*"))
