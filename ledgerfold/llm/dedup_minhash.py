@@ -79,7 +79,8 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     for a, b in steps(offsets):
         value, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
         for i in range(b - a):
-            yield np.unique(value[at[i] : at[i + 1]])
+            own = np.sort(value[at[i] : at[i + 1]])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
 
 
 def digest(members: np.ndarray) -> bytes | None:

@@ -35,6 +35,13 @@ _CLASSES = [b"|", b"!", b"#$%&*", b"+=<>@~^_\\/{}[]", b"0123456789", b".,;:'\"?(
 FEATURES = len(_CLASSES) + 7
 
 
+def _counted(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of marked bytes in each text."""
+    before = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, out=before[1:])
+    return np.diff(before[offsets])
+
+
 def features(column: pa.Array) -> np.ndarray:
     """A row of text statistics for each text."""
     data, offsets = buffers(column)
@@ -46,10 +53,8 @@ def features(column: pa.Array) -> np.ndarray:
         for chars in _CLASSES:
             table = np.zeros(256, bool)
             table[list(chars)] = True
-            before = np.concatenate(([0], np.cumsum(table[part], dtype=np.int64)))
-            columns.append(np.diff(before[own]) / size)
-        before = np.concatenate(([0], np.cumsum(part >= 0x80, dtype=np.int64)))
-        columns.append(np.diff(before[own]) / size)
+            columns.append(_counted(table[part], own) / size)
+        columns.append(_counted(part >= 0x80, own) / size)
         words, at = word_hashes(lower_ascii(part), own)
         n = np.diff(at)
         again = np.zeros(len(words) + 1, np.int64)

@@ -4,9 +4,10 @@ A byte-level BPE tokenizer splits a text into pretokens before it merges. A
 single space or newline between two characters that aren't white space always
 starts a pretoken, whatever surrounds it; added tokens hold no white space.
 Cutting a text there changes nothing, so a batch of texts becomes a batch of
-short chunks, of which each distinct one is encoded once, in calls of about
-equal bytes. A text of any length is just more chunks. Chunks met before are
-kept in a bounded cache of the worker.
+short chunks, of which each distinct one is encoded once, joined to calls of about
+equal bytes: as tokens keep the bytes of a text, their widths tell where each
+chunk's tokens end. A text of any length is just more chunks. Chunks met before
+are kept in a bounded cache of the worker.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from .arrowtext import buffers, steps
 
 #: Bytes of distinct chunks that go to the tokenizer in one call.
-CALL_BYTES = 256 * 1024
+CALL_BYTES = 16 * 1024
 #: Chunks that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 #: Bytes of text that are handled at a time.
 BATCH_BYTES = 16 * 1024 * 1024
 
@@ -48,6 +49,11 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     return mark[(before > 0x20) & (after > 0x20) & ~doubtful & (after != _TWO) & ~np.isin(after, _THREE)]
 
 
+def _joinable(chunk: bytes) -> bool:
+    """Whether a chunk still begins and ends a pretoken between other such chunks."""
+    return len(chunk) > 1 and chunk[0] in (0x20, 0x0A) and chunk[1] > 0x20 and chunk[1] != _TWO and chunk[1] not in _THREE and 0x20 < chunk[-1] < 0x80
+
+
 class Encoder:
     """Ids of chunks by one tokenizer file, with memory."""
 
@@ -58,24 +64,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text that a token stands for
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a character for each byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
         self.known: dict[bytes, bytes] = {}
 
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in coded]
+
+    def _joined(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of joinable chunks, from one text of them all."""
+        (ids,) = self._encode([b"".join(chunks)])
+        ends = np.cumsum(self.width[ids])
+        want = np.cumsum([len(c) for c in chunks])
+        at = np.searchsorted(ends, want) + 1
+        if len(ids) < at[-1] or (ends[at - 1] != want).any():
+            raise ValueError("the tokenizer doesn't keep the bytes of a text")
+        return [ids[i:j].tobytes() for i, j in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
+
     def ids(self, chunks: list[bytes]) -> list[bytes]:
         """Each chunk's ids as little-endian unsigned 32-bit numbers."""
         known = self.known
         found = [known.get(c) for c in chunks]
         new = [i for i, x in enumerate(found) if x is None]
-        start = 0
-        while start < len(new):
-            end, size = start, 0
-            while end < len(new) and (end == start or size < CALL_BYTES):
-                size += len(chunks[new[end]])
-                end += 1
-            part = new[start:end]
-            coded = self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)
-            for i, e in zip(part, coded, strict=True):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-            start = end
+        alone = [i for i in new if not _joinable(chunks[i])]
+        for i, x in zip(alone, self._encode([chunks[i] for i in alone]), strict=True):
+            found[i] = x.tobytes()
+        part, size = [], 0
+        for i in new:
+            if found[i] is not None:
+                continue
+            part.append(i)
+            size += len(chunks[i])
+            if size >= CALL_BYTES:
+                for j, x in zip(part, self._joined([chunks[k] for k in part]), strict=True):
+                    found[j] = x
+                part, size = [], 0
+        if part:
+            for j, x in zip(part, self._joined([chunks[k] for k in part]), strict=True):
+                found[j] = x
         if len(known) + len(new) > REMEMBERED:
             known.clear()
         for i in new[:REMEMBERED]:
@@ -95,7 +126,10 @@ def encoder(path: str) -> Encoder:
 
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(ids of each distinct chunk, chunk numbers in text order, offsets into these by text)."""
-    cuts = np.union1d(safe_cuts(data), offsets)
+    mark = np.zeros(len(data) + 1, bool)
+    mark[safe_cuts(data)] = True
+    mark[offsets] = True
+    cuts = np.flatnonzero(mark)
     chunks = pa.Array.from_buffers(
         pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()

@@ -138,6 +138,21 @@ def views(items: DataFrame, batch: str, value: str) -> DataFrame:
     )
 
 
+def summary_record(kind: str, reason: Column, summary: Column | None = None) -> Column:
+    """The record of an oversized batch from the columns of views; a summary is its last key and never read again."""
+    parts = [
+        F.lit(kind).alias("type"),
+        F.col("total_count").alias("totalCount"),
+        F.col("success_count").alias("successCount"),
+        F.col("failure_count").alias("failureCount"),
+        F.col("started_count").alias("startedCount"),
+        reason.alias("completionReason"),
+        F.col("status"),
+        F.col("item_statuses").alias("itemStatuses"),
+    ]
+    return F.to_json(F.struct(*parts, *([] if summary is None else [summary.alias("summary")])))
+
+
 def item_name(given: Column, idx: Column, kind: str = "map-item") -> Column:
     """The recorded name: the caller's unless null or empty."""
     return F.coalesce(F.nullif(given, F.lit("")), F.concat(F.lit(f"{kind}-"), idx.cast("string")))

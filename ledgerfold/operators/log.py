@@ -40,6 +40,11 @@ def mint(operations: DataFrame, parent: str, order: list[str]) -> DataFrame:
     return operations.withColumn("number", F.row_number().over(W.partitionBy(parent).orderBy(*order)))
 
 
+def minted_last(inputs: DataFrame, group: str) -> DataFrame:
+    """(group, number): a combinator takes its number when it is first polled, so after all its inputs."""
+    return inputs.groupBy(group).agg((F.count(F.lit(1)) + 1).alias("number"))
+
+
 def descend(levels: list[DataFrame], keys: list[str], parents: list[str | None]) -> DataFrame:
     """(level, key, positional, wire_id, parent_wire_id, depth) for a tree given as one table a level.
 

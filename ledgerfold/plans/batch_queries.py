@@ -346,3 +346,27 @@ def batch_concurrent_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = batch.dispatched(items, "l_orderkey", "seconds", 2).select("l_orderkey", "idx", "settled")
     rows = items.join(times, ["l_orderkey", "idx"]).withColumn("settle", F.struct("settled", "idx")).drop("settled")
     return _shown(batch.completed(rows, "l_orderkey", "ok", LINE_POLICY, "settle"))
+
+
+@query(
+    f"""
+    WITH {LINES_ENDED}, v AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (status = 'SUCCEEDED') AS good, count(*) FILTER (status = 'FAILED') AS bad, count(*) FILTER (status = 'STARTED') AS open,
+        string_agg(CASE status WHEN 'SUCCEEDED' THEN 'S' WHEN 'FAILED' THEN 'F' ELSE '-' END, '' ORDER BY idx) AS marks, any_value(reason) AS reason FROM st GROUP BY l_orderkey)
+    SELECT l_orderkey, '{{"type":"MapResult","totalCount":' || n || ',"successCount":' || good || ',"failureCount":' || bad || ',"startedCount":' || open || ',"completionReason":"' || reason
+        || '","status":"' || CASE WHEN bad > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END || '","itemStatuses":"' || marks || '","summary":"' || good || ' of ' || n || '"}}' AS record FROM v
+    """
+)
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = line_items(spark, sf_dir)
+    ended = batch.completed(items, "l_orderkey", "ok", LINE_POLICY)
+    shown = batch.views(batch.item_status(items, ended, "l_orderkey", "ok", concurrent=True), "l_orderkey", "l_partkey")
+    text = F.concat(F.col("success_count").cast("string"), F.lit(" of "), F.col("total_count").cast("string"))
+    return shown.join(ended.select("l_orderkey", "reason"), "l_orderkey").select("l_orderkey", batch.summary_record("MapResult", F.col("reason"), text).alias("record"))
+
+
+@query("SELECT l_orderkey, count(*) + 1 AS number, sha256(CAST(count(*) + 1 AS VARCHAR)) AS wire_id FROM lineitem GROUP BY l_orderkey")
+def combinator_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import log
+
+    out = log.minted_last(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return out.withColumn("wire_id", identity.wire_id(F.col("number").cast("string")))
