@@ -68,9 +68,9 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], other: int, p
     """
     cap = F.col("tokens") * max_epochs
     level = lambda df, keys: df.groupBy(*keys).agg(F.sum(cap).alias("capacity"))
-    total = leaves.agg(F.expr(f"cast(coalesce(sum(tokens), 0) * {percent} div 100 as long)").alias("budget"))
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     top = shared_out(
-        level(leaves, LEAF[:1]).crossJoin(F.broadcast(total)).withColumn("weight", weight_of(F.col("domain"), weights.get("domain", {}), other)), [], "domain"
+        level(leaves, LEAF[:1]).withColumn("budget", F.lit(total).cast("long")).withColumn("weight", weight_of(F.col("domain"), weights.get("domain", {}), other)), [], "domain"
     )
     for depth in (2, 3):
         parent, name = LEAF[: depth - 1], LEAF[depth - 1]
