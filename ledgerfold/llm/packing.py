@@ -6,12 +6,14 @@ bins hold k pieces of at most capacity / k ids each. A rest that would leave
 more than PADDING of its slot empty is cut again: a piece that fills a slot of
 class k + 1 exactly, and what remains. Bins of a class are filled with k pieces
 by every worker on its own. The pieces that a worker has left over, fewer than
-k of each class, are brought together by class; what is then left, fewer than k
-of each class in all, is packed by decreasing length.
+k of each class, are brought together by class, in groups of bounded size again
+and again while they are many; what is then left, fewer than k of each class in
+all, is packed by decreasing length.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from .tokens import BATCH_BYTES, encoded
 
 #: The part of its slot that a piece may leave empty, and the length below which it may leave more.
 PADDING, SHORT = 0.02, 24
+#: Left-over pieces that are brought together in one group: several times what its classes can leave.
+GROUP_ROWS = 50_000
 
 
 def cut(total: int, capacity: int) -> list[int]:
@@ -84,11 +88,11 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
 def _filled(rows: DataFrame, capacity: int, turn: int) -> DataFrame:
     """rows with sequence_id and offset for those that fill a bin in their partition, null for the rest.
 
-    Of sequence ids, the two highest digits in base 2 are the turn, the next 30 the partition.
+    Of sequence ids, the four highest digits in base 2 are the turn, the next 28 the partition.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = (turn << 61) | (TaskContext.get().partitionId() << 31)
+        base = (turn << 59) | (TaskContext.get().partitionId() << 31)
         bins = 0
         waiting: dict[int, list[dict]] = {}
         schema = None
@@ -132,7 +136,7 @@ def _last(rows: DataFrame, capacity: int) -> DataFrame:
             i = next((i for i, x in enumerate(room) if x >= r["length"]), len(room))
             if i == len(room):
                 room.append(capacity)
-            r["sequence_id"], r["offset"] = (2 << 61) | i, capacity - room[i]
+            r["sequence_id"], r["offset"] = (15 << 59) | i, capacity - room[i]
             room[i] -= r["length"]
         if held:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -159,8 +163,13 @@ def packed(
     alone. Rows that repeat an id are documents of their own. ids is null unless
     keep_ids. Other columns are not read.
     """
-    first = stored(_filled(stored(pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids)), capacity, 0))
-    left = first.where("sequence_id is null").drop("sequence_id", "offset")
-    second = stored(_filled(left.repartition(F.floor(F.lit(capacity) / F.col("length"))), capacity, 1))
-    third = _last(second.where("sequence_id is null"), capacity)
-    return first.where("sequence_id is not null").union(second.where("sequence_id is not null")).union(third)
+    filled = stored(_filled(stored(pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids)), capacity, 0))
+    out, turn, groups = filled.where("sequence_id is not null"), 1, None
+    while groups != 1:  # at most half as many groups each time
+        left = filled.where("sequence_id is null").drop("sequence_id", "offset")
+        wanted = math.ceil(left.count() / GROUP_ROWS)
+        groups = max(1, wanted if groups is None else min(wanted, groups // 2))
+        group = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups))
+        filled = stored(_filled(left.repartition(F.floor(F.lit(capacity) / F.col("length")), group), capacity, turn))
+        out, turn = out.union(filled.where("sequence_id is not null")), turn + 1
+    return out.union(_last(filled.where("sequence_id is null"), capacity))

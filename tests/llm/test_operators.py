@@ -222,6 +222,22 @@ def test_token_counts_and_packing(spark):
         assert at <= 2048
 
 
+def test_packing_brings_left_overs_together_in_groups(spark, monkeypatch):
+    df = docs(spark, [(i, "word " * (i % 90)) for i in range(900)]).repartition(8)
+    path = tokens.public_tokenizer()
+    whole = packing.packed(df, path).agg(F.sum("length")).first()[0]
+    monkeypatch.setattr(packing, "GROUP_ROWS", 250)
+    pieces = packing.packed(df, path).collect()
+    assert sum(r.length for r in pieces) == whole
+    bins = defaultdict(list)
+    for r in pieces:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+        assert sum(n for _, n in own) <= 2048
+    assert whole > 0.9 * 2048 * len(bins)
+
+
 def test_near_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dedup_embedding, "HELD", 13)
     monkeypatch.setattr(dedup_embedding, "PIVOTS", 4)
