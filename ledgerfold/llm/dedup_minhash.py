@@ -192,10 +192,15 @@ def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     STREAMED nodes; a text is sent to each of its cells. docs: (id, text).
     """
     tasks = stored(tasks.distinct())
-    sizes = tasks.groupBy("grp").agg(
-        F.ceil(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)) / HELD).cast("int").alias("rows"),
-        F.ceil(F.sum("role") / STREAMED).cast("int").alias("cols"),
+    # stored, so that Spark can split a large group where it can't broadcast the sizes
+    sizes = stored(
+        tasks.groupBy("grp").agg(
+            F.ceil(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)) / HELD).cast("int").alias("rows"),
+            F.ceil(F.sum("role") / STREAMED).cast("int").alias("cols"),
+        )
     )
+    if small_enough(sizes.count(), 80):
+        sizes = F.broadcast(sizes)
     held = F.col("role") == 0
     cells = (
         tasks.join(sizes, "grp")
