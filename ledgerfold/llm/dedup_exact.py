@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .arrowtext import buffers
+from .arrowtext import buffers, steps
 from .scratch import partitions, small_enough, stored
 
 #: Fingerprints of about so many rows go to one owner.
@@ -68,11 +68,14 @@ def golomb_decode(n: int, k: int, coded: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _normalised(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
+def _normalised(column: pa.Array) -> Iterator[tuple[slice, list[bytes], list[bytes]]]:
+    """(rows, their texts, their digests), a few megabytes of text at a time."""
     data, offsets = buffers(column)
-    low = data.tobytes().lower()
-    texts = [low[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return texts, [hashlib.sha256(t).digest() for t in texts]
+    for start, end in steps(offsets):
+        own = (offsets[start : end + 1] - offsets[start]).tolist()
+        low = data[offsets[start] : offsets[end]].tobytes().lower()
+        texts = [low[a:b] for a, b in zip(own[:-1], own[1:], strict=True)]
+        yield slice(start, end), texts, [hashlib.sha256(t).digest() for t in texts]
 
 
 def _fingerprint(sha: list[bytes]) -> np.ndarray:
@@ -84,10 +87,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, sha = _normalised(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sha, pa.binary()), pa.array(_fingerprint(sha), pa.int64())], ["id", "sha", "fp"]
-            )
+            for part, _, sha in _normalised(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], pa.array(sha, pa.binary()), pa.array(_fingerprint(sha), pa.int64())], ["id", "sha", "fp"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -170,11 +173,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sha = _normalised(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.large_binary()).cast(pa.binary()), pa.array(sha, pa.binary()), pa.array(_fingerprint(sha), pa.int64())],
-                ["id", "bytes", "sha", "fp"],
-            )
+            for part, texts, sha in _normalised(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], pa.array(texts, pa.binary()), pa.array(sha, pa.binary()), pa.array(_fingerprint(sha), pa.int64())],
+                    ["id", "bytes", "sha", "fp"],
+                )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         with_bytes, f"id {kind}, bytes binary, sha binary, fp long"
@@ -228,8 +231,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def with_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, sha = _normalised(batch.column(at).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], kinds.names)
+            for part, _, sha in _normalised(batch.column(at).cast(pa.string())):
+                yield pa.RecordBatch.from_arrays([*batch[part].columns, pa.array(sha, pa.binary())], kinds.names)
 
     hashed = docs.mapInArrow(with_sha, schema)
     groups = groups.select(F.col("sha").alias(key), F.col("keep_id").alias(key + "id"), F.lit(True).alias(key + "in"))

@@ -135,8 +135,10 @@ def with_probability(docs: DataFrame, model: Model, text_col: str, name: str) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = 1 / (1 + np.exp(-model.logit(features(batch.column(at).cast(pa.string())))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names)
+            texts = batch.column(at).cast(pa.string())
+            for start, end in steps(buffers(texts)[1]):
+                p = 1 / (1 + np.exp(-model.logit(features(texts[start:end]))))
+                yield pa.RecordBatch.from_arrays([*batch[start:end].columns, pa.array(p)], names)
 
     return docs.mapInArrow(rows, schema)
 
