@@ -24,8 +24,8 @@ from .arrowtext import buffers, steps
 
 #: Bytes of distinct chunks that go to the tokenizer in one call.
 CALL_BYTES = 16 * 1024
-#: Chunks that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 48
+#: Chunks that a worker remembers, the first that it met, and the longest of them.
+REMEMBERED, LONGEST = 250_000, 48
 #: Bytes of text that are handled at a time.
 BATCH_BYTES = 16 * 1024 * 1024
 
@@ -107,9 +107,9 @@ class Encoder:
         if part:
             for j, x in zip(part, self._joined([chunks[k] for k in part]), strict=True):
                 found[j] = x
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        for i in new[:REMEMBERED]:
+        for i in new:
+            if len(known) >= REMEMBERED:
+                break
             if len(chunks[i]) <= LONGEST:
                 known[chunks[i]] = found[i]
         return found
