@@ -86,3 +86,16 @@ FIRST_REFRESH, CEILING, EXTENDED, BEFORE_EXTENDED, RESERVE = 1, 10, 60, 95, 1
 def refresh_delay(unchanged: Column) -> Column:
     """Seconds to the next refresh after so many that changed nothing (from 1)."""
     return F.when(unchanged > BEFORE_EXTENDED, EXTENDED).otherwise(F.least(unchanged, F.lit(CEILING))).cast("int")
+
+
+def refresh_offset(unchanged: Column) -> Column:
+    """Seconds from the first refresh to the one after so many that changed nothing (from 0): the sum of their delays."""
+    slow = F.least(unchanged, F.lit(BEFORE_EXTENDED)).cast("long")
+    ramp = F.least(slow, F.lit(CEILING))
+    return F.floor(ramp * (ramp + 1) / 2) + (slow - ramp) * CEILING + (unchanged - slow) * EXTENDED
+
+
+def unchanged_within(seconds: Column) -> Column:
+    """At least as many refreshes after the first as fit within so many seconds by refresh_offset."""
+    extended = CEILING * (CEILING + 1) // 2 + (BEFORE_EXTENDED - CEILING) * CEILING
+    return F.lit(BEFORE_EXTENDED) + F.greatest(F.lit(0), F.floor((seconds - extended) / EXTENDED))

@@ -89,12 +89,16 @@ def polled(checks: DataFrame, key: str, attempt: str, done: Column, how: schedul
 
 
 def refreshes(waiting: DataFrame, key: str, first: Column, deadline: Column, most: int = 120) -> DataFrame:
-    """(key, n, at): seconds at which an unchanged operation is looked up, as long as a second is left before the deadline."""
-    so_far = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = waiting.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    step = F.when(F.col("n") == 1, first).otherwise(schedules.refresh_delay(F.col("n") - 1))
-    rows = rows.withColumn("at", F.sum(step).over(so_far)).withColumn("limit", deadline)
-    return rows.where(F.col("limit").isNull() | (F.col("at") + schedules.RESERVE <= F.col("limit"))).select(key, "n", "at")
+    """(key, n, at): seconds at which an unchanged operation is looked up, as long as a second is left before the deadline.
+
+    A row with a deadline has all its look-ups, however many. Without one they
+    never end; of those the first `most` are given.
+    """
+    rows = waiting.withColumns({"__first": first, "__limit": deadline})
+    last = F.when(F.col("__limit").isNull(), most).otherwise(1 + schedules.unchanged_within(F.col("__limit") - schedules.RESERVE - F.col("__first")))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), last.cast("int"))))
+    rows = rows.withColumn("at", F.col("__first") + schedules.refresh_offset(F.col("n") - 1))
+    return rows.where(F.col("__limit").isNull() | (F.col("at") + schedules.RESERVE <= F.col("__limit"))).select(key, "n", "at")
 
 
 def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int) -> DataFrame:

@@ -205,6 +205,20 @@ def test_refreshes_stop_before_the_deadline(spark):
     assert at == [1, 2, 4]
 
 
+def test_refreshes_go_on_to_a_late_deadline(spark):
+    limits = {1: 5, 2: 2400, 3: 2500, 4: 10_000, 5: 100_000, 6: 0}
+    rows = spark.createDataFrame([(k, k % 3 + 1, v) for k, v in limits.items()] + [(7, 1, None)], "k long, f int, d int")
+    want = set()
+    for k, limit in limits.items():
+        n, at = 1, k % 3 + 1
+        while at + 1 <= limit:
+            want.add((k, n, at))
+            at += 60 if n > 95 else min(n, 10)
+            n += 1
+    got = execution.refreshes(rows, "k", F.col("f"), F.col("d")).collect()
+    assert {tuple(r) for r in got if r.k != 7} == want and len(got) == len(want) + 120
+
+
 def test_callbacks(spark):
     made = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "k long, at long")
     done = spark.createDataFrame([(1, 9), (1, 3), (2, 99)], "k long, at long")
