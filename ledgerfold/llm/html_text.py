@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements and text blocks. Elements that are never
-article text (by tag, role, class or id) are left out. Each block passes points
+article text (by tag, role, class or id) are left out, by class or id only if
+the article isn't in them. Each block passes points
 for its length and commas to its ancestors, halved at each level; an ancestor's
 points are discounted by the share of its text that stands in links. The best
 container is kept, with those of its siblings that score like it or read like
@@ -24,24 +25,28 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 ROLES = set("navigation banner contentinfo complementary search menu menubar dialog alert".split())
-BOILERPLATE = set(
+BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer header masthead comment comments disqus respond reply replies cookie cookies consent notice alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
+READERS = set("comment comments disqus respond reply replies".split())  # may hold more text than the article
 KEPT_TAGS = {"html", "body", "article", "main"}
+LONG = 80  # characters from which text reads as a paragraph wherever it stands
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
+_MODIFIER = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*")
 _HEADING = re.compile(r"h[1-6]$")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "text", "out", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "text", "out", "named", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool) -> None:
+    def __init__(self, tag: str, parent: _Node | None, out: bool, named: frozenset[str] = frozenset()) -> None:
         self.tag, self.parent, self.out = tag, parent, out
+        self.named = named  # words of its own class and id that speak against it
         self.children: list[_Node] = []
         self.text = ""  # of a block of text; elements have none of their own
         self.points, self.chars, self.linked = 0.0, 0, 0
@@ -49,19 +54,20 @@ class _Node:
             parent.children.append(self)
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _judged(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether an element is left out for its tag, role or style, and the words of its class and id that speak against it."""
     if tag in NEVER:
-        return True
+        return True, frozenset()
     if tag in KEPT_TAGS and tag != "article" or not attributes.strip():
-        return False
+        return False, frozenset()
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return found.get("role", "").lower() in ROLES or bool(words & BOILERPLATE)
+        return True, frozenset()
+    names = _MODIFIER.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())
+    return found.get("role", "").lower() in ROLES, BOILERPLATE.intersection(_WORD.findall(names))
 
 
-def _tree(page: str) -> _Node:
+def _tree(page: str, by_name: bool) -> _Node:
     root = _Node("html", None, False)
     stack = [root]
     inline: list[str] = []  # text of the block being read, and whether each part stands in a link
@@ -100,7 +106,10 @@ def _tree(page: str) -> _Node:
             link = max(0, link + (-1 if closing else 1)) if tag == "a" else link
             if tag == "br":
                 say(" ")
-            if closing or tag in VOID or not _left_out(tag, m[3]):
+            if closing or tag in VOID:
+                continue
+            out, named = _judged(tag, m[3])
+            if not out and not (by_name and named):
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)  # a hidden phrase
             link -= tag == "a" and link > 0
@@ -119,7 +128,8 @@ def _tree(page: str) -> _Node:
             stack.pop()
         if tag == "tr" and stack[-1].tag == "tr":
             stack.pop()
-        node = _Node(tag, stack[-1], stack[-1].out or _left_out(tag, m[3]))
+        out, named = _judged(tag, m[3])
+        node = _Node(tag, stack[-1], stack[-1].out or out, named if by_name else frozenset())
         if tag in RAW:
             end = re.compile(rf"</{tag}", re.I).search(page, at)
             at = end.start() if end else n
@@ -136,9 +146,58 @@ def _walk(node: _Node) -> Iterator[_Node]:
         held.extend(reversed(x.children))
 
 
+def _plain(x: _Node) -> bool:
+    """Whether a block reads as a paragraph."""
+    return not _HEADING.match(x.parent.tag) and x.linked < 0.3 * x.chars and (x.chars >= LONG or x.parent.tag in ("p", "blockquote", "pre"))
+
+
+def _leave_out_named(root: _Node) -> None:
+    """Leave out elements for their class or id, but for those that hold the article.
+
+    An element holds it with most of the page's text (what readers wrote aside;
+    most by far if there is an article elsewhere), with the only article or main,
+    or with an h1 within one of these. Its text is what stands in elements of it.
+    """
+    order = [x for x in _walk(root) if not x.out]
+    if not any(x.named for x in order):
+        return
+    # of each element: text without links, its h1 and main, and its articles and mains that bear no such name
+    text, heads, holders, theirs, within = ({id(x): 0 for x in order} for _ in range(5))
+    readers = {id(x) for x in order if x.named & READERS and (x.tag != "article" or "comment" in x.named)}
+    for x in reversed(order):
+        i = id(x)
+        text[i] += x.chars - x.linked if x.text and not x.parent.named else 0
+        heads[i] += x.tag in ("h1", "main")
+        holders[i] += x.tag in ("article", "main") and not x.named
+        if i in readers and heads[i]:
+            readers.discard(i)
+        theirs[i] = text[i] if i in readers else theirs[i]
+        if x.parent is not None:
+            up = id(x.parent)
+            for of in (text, heads, holders, theirs):
+                of[up] += of[i]
+    total = text[id(root)] - theirs[id(root)]
+    for x in order:
+        i = id(x)
+        up = x.parent
+        within[i] = 0 if up is None else within[id(up)] + (up.tag in ("article", "main") and not up.named)
+        if up is not None and up.out:
+            x.out = True
+        elif x.named:
+            own = 0 if i in readers else text[i] - theirs[i]
+            elsewhere = holders[id(root)] > holders[i] + within[i]
+            most = 5 * own > 4 * total if elsewhere else 2 * own > total
+            x.out = not (most or i not in readers and (holders[id(root)] == 1 == holders[i] or heads[i] and within[i]))
+
+
 def main_text(page: str | None) -> str:
     """The page's article, a line for each block of text; empty if there is none."""
-    root = _tree(page or "")
+    root = _tree(page or "", True)
+    before = [x for x in _walk(root) if x.text and not x.out]
+    _leave_out_named(root)
+    blocks = [x for x in before if not x.out]
+    if len(blocks) < len(before) and (not blocks or not any(map(_plain, blocks)) and any(map(_plain, before))) or not blocks:
+        root = _tree(page or "", False)
     blocks = [x for x in _walk(root) if x.text and not x.out]
     scored: dict[int, _Node] = {}
     for b in blocks:

@@ -121,5 +121,30 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+LINES = [f"Line {i}, of the article, which goes on for a while and has some commas, as lines of articles do." for i in range(4)]
+BODY = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="wrapper has-sidebar"><div>{BODY}</div><div class="sidebar"><p>Side, bar, text, with, commas.</p></div></div>',
+        f'<article class="post no-comments">{BODY}</article>',
+        f'<div id="page-with-header"><div class="header"><p>Site, name.</p></div>{BODY}</div>',
+        f'<div class="post social">{BODY}</div>',
+        f'<article class="post comments">{BODY}</article>',
+        f'<p>Short, note, here.</p><div class="content related">{BODY}</div>',
+        f'<div class="comments">{BODY}</div>',
+        f'<article>{BODY}</article><div class="comments">{"<p>Reader, says, something, long, here, again, and, again.</p>" * 20}</div>',
+        f'<div class="post">{BODY}</div><div class="comments">{"<p>Reader, says, something, long, here, again, and, again.</p>" * 20}</div>',
+        f'<div class="related"><article><p>Another, page.</p></article></div><div>{BODY}</div>',
+        f'<article>{BODY}<div class="ad">{"Buy, this. " * 60}</div></article>',
+        f'<div class="ad"><p>{"Buy, this. " * 60}</p></div><article>{BODY}</article>',
+    ],
+)
+def test_a_class_does_not_lose_the_article(page):
+    assert [x for x in html_text.main_text(page).split("\n") if x != "Short, note, here."] == LINES
+
+
 def test_plain_text_is_its_own_article():
     assert html_text.main_text("just  text &eacute;") == "just text é"
