@@ -5,15 +5,15 @@ article text (by tag, role, class or id) are left out, by class or id only if
 the article isn't in them. Each block passes points
 for its length and commas to its ancestors, halved at each level; an ancestor's
 points are discounted by the share of its text that stands in links. The best
-container is kept, with those of its siblings that score like it or read like
-text.
+container is kept, with what reads like text beside it and beside the elements
+around it, up to the article's own.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +32,7 @@ BOILERPLATE = frozenset(
 )
 READERS = set("comment comments disqus respond reply replies".split())  # may hold more text than the article
 KEPT_TAGS = {"html", "body", "article", "main"}
+ALONE = {"p", "#text", "blockquote", "pre", "ul", "ol", "table"}  # part of an article without a container
 LONG = 80  # characters from which text reads as a paragraph wherever it stands
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -155,8 +156,8 @@ def _leave_out_named(root: _Node) -> None:
     """Leave out elements for their class or id, but for those that hold the article.
 
     An element holds it with most of the page's text (what readers wrote aside;
-    most by far if there is an article elsewhere), with the only article or main,
-    or with an h1 within one of these. Its text is what stands in elements of it.
+    most by far if there is an article elsewhere), with the only article or main and
+    a quarter of that text, or with an h1 within one of these. Its text is what stands in elements of it.
     """
     order = [x for x in _walk(root) if not x.out]
     if not any(x.named for x in order):
@@ -187,7 +188,7 @@ def _leave_out_named(root: _Node) -> None:
             own = 0 if i in readers else text[i] - theirs[i]
             elsewhere = holders[id(root)] > holders[i] + within[i]
             most = 5 * own > 4 * total if elsewhere else 2 * own > total
-            x.out = not (most or i not in readers and (holders[id(root)] == 1 == holders[i] or heads[i] and within[i]))
+            x.out = not (most or i not in readers and (holders[id(root)] == 1 == holders[i] and 4 * own >= total or heads[i] and within[i]))
 
 
 def main_text(page: str | None) -> str:
@@ -222,19 +223,44 @@ def main_text(page: str | None) -> str:
         return x.points * (1 - x.linked / x.chars) if x.chars else 0.0
 
     best = max(scored.values(), key=score)
-    least = 0.2 * score(best)
-    kept = [best]
-    if best.parent is not None:
-        kept = [
-            x
-            for x in best.parent.children
-            if x is best
-            or not x.out
-            and x.chars
-            and x.linked < 0.3 * x.chars
-            and (score(x) >= least or x.tag in ("p", "#text", "blockquote", "pre", "ul", "ol", "table") or _HEADING.match(x.tag))
-        ]
-    return "\n".join(b.text for x in kept for b in _walk(x) if b.text and not b.out)
+    kept = _article(best, 0.2 * score(best), score)
+    lines, held = [], [root]
+    while held:
+        x = held.pop()
+        if id(x) in kept:
+            lines += [b.text for b in _walk(x) if b.text and not b.out]
+        else:
+            held.extend(reversed(x.children))
+    return "\n".join(lines)
+
+
+def _article(best: _Node, least: float, score: Callable[[_Node], float]) -> set[int]:
+    """Ids of the elements that make up the article: the best container and what reads as text beside it and further up.
+
+    Up to the enclosing article (or main), all that isn't mostly links belongs to
+    it. Elsewhere it goes up while half of what stands beside reads as paragraphs.
+    """
+    kept = {id(best)}
+    above = []
+    x = best
+    while x is not None:
+        above.append(x)
+        x = x.parent
+    bound = next((i for tag in ("article", "main") for i, x in enumerate(above) if x.tag == tag), None)
+    for i, x in enumerate(above[1:]):
+        beside = [c for c in x.children if c is not above[i] and not c.out and c.chars]
+        texts = [c for c in beside if c.linked < 0.3 * c.chars]
+        if bound is None or i >= bound:  # not inside: headings, paragraphs and what scores like the best
+            texts = [c for c in texts if c.tag in ALONE or _HEADING.match(c.tag) or bound is None and _prose(c) or score(c) >= least]
+        kept.update(map(id, texts))
+        if bound is not None and i >= bound or bound is None and 2 * sum(c.chars for c in texts) < sum(c.chars for c in beside):
+            break
+    return kept
+
+
+def _prose(x: _Node) -> bool:
+    """Whether at least half of an element's text reads as paragraphs."""
+    return 2 * sum(b.chars for b in _walk(x) if b.text and not b.out and _plain(b)) >= x.chars
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

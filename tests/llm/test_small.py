@@ -146,5 +146,30 @@ def test_a_class_does_not_lose_the_article(page):
     assert [x for x in html_text.main_text(page).split("\n") if x != "Short, note, here."] == LINES
 
 
+LEAD = "A lead of some eighty characters that opens the article, without being long at all."
+LONG_BODY = "".join(f"<p>{i} {'word, ' * 3}{'word ' * 55}</p>" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><div class="lead"><p>{0}</p></div><div class="body">{1}</div><section><p>The end.</p></section></article>',
+        '<div><div class="lead"><p>{0}</p></div><div class="body">{1}</div><div><p>The end.</p></div></div>',
+        '<article><div><div><p>{0}</p></div></div><div><div>{1}</div></div><div><div>The end.</div></div></article>',
+        '<main><div><div><p>{0}</p></div></div><div><div>{1}</div></div><div><div>The end.</div></div></main>',
+        '<div><div><p>{0}</p></div></div><div><div>{1}</div></div><div><div><p>The end.</p></div></div>',
+    ],
+)
+def test_a_long_article_keeps_its_short_parts(page):
+    lines = html_text.main_text("<body>" + page.format(LEAD, LONG_BODY) + '<div><a href="/">Home</a> <a href="/b">Blog</a></div></body>').split("\n")
+    assert (lines[0], lines[-1], len(lines)) == (LEAD, "The end.", 12)
+
+
+def test_the_neighbours_of_an_article_stay_out():
+    page = f'<main><h1>Title</h1><article><div>{LONG_BODY}</div></article><div><p>Another page.</p></div></main><div><p>About us.</p></div>'
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "Title" and len(lines) == 11
+
+
 def test_plain_text_is_its_own_article():
     assert html_text.main_text("just  text &eacute;") == "just text é"
