@@ -117,9 +117,18 @@ def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int
     )
 
 
-def missed_heartbeats(beats: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(key, at, silent): heartbeats that no other followed within so many seconds, of each key the first."""
-    rows = beats.withColumn("silent", F.lead(at).over(W.partitionBy(key).orderBy(at)) - F.col(at)).where(F.col("silent") > seconds)
+def missed_heartbeats(beats: DataFrame, key: str, at: str, seconds: int, created: DataFrame | None = None, until: Column | None = None) -> DataFrame:
+    """(key, at, silent): heartbeats that no other followed within so many seconds, of each key the first.
+
+    created has (key, at) of operations, from which the first beat is awaited as
+    well. until is the time up to which the log is known (a number, a scalar
+    subquery or a column of beats and created, such as an operation's end): a
+    key's last beat is silent up to it. Without it, the log ends with that beat.
+    """
+    if created is not None:
+        beats = beats.unionByName(created.select(*beats.columns))
+    after = F.lead(at).over(W.partitionBy(key).orderBy(at))
+    rows = beats.withColumn("silent", (after if until is None else F.coalesce(after, until)) - F.col(at)).where(F.col("silent") > seconds)
     return rows.groupBy(key).agg(F.min(F.struct(at, "silent")).alias("x")).select(key, f"x.{at}", "x.silent")
 
 

@@ -222,8 +222,14 @@ def event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def heartbeat_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats = event_seconds(spark, sf_dir).where("event_type = 'click'").select("user_id", "at").distinct()
-    return execution.missed_heartbeats(beats, "user_id", "at", 172800).withColumnRenamed("at", "second")
+    """Each user's first click that two days of silence followed, up to the last event; of a user who never clicked, the signup.
+
+    The SQL takes no last click and no signup. Both agree where each user has an earlier gap.
+    """
+    rows = event_seconds(spark, sf_dir)
+    of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "at").distinct()
+    beats, end = of("click"), rows.agg(F.max("at")).scalar()
+    return execution.missed_heartbeats(beats, "user_id", "at", 172800, of("signup").join(beats, "user_id", "left_anti"), end).withColumnRenamed("at", "second")
 
 
 @query(

@@ -226,6 +226,29 @@ def test_callbacks(spark):
     assert got == {1: ("SUCCEEDED", 3), 2: ("TIMED_OUT", 10), 3: ("TIMED_OUT", 10)}
 
 
+def test_a_last_heartbeat_is_missed(spark):
+    of = lambda *rows: spark.createDataFrame(list(rows), "k long, at long")
+    beats = of((1, 0), (1, 5), (2, 0), (3, 0), (3, 20), (3, 100), (4, 95), (5, 40))
+    log = beats.union(of((9, 100)))
+    made = of((4, 90), (5, 0), (6, 30), (7, 95))
+    end = log.agg(F.max("at")).scalar()
+    got = {tuple(r) for r in execution.missed_heartbeats(beats, "k", "at", 10, until=end).collect()}
+    assert got == {(1, 5, 95), (2, 0, 100), (3, 0, 20), (5, 40, 60)}
+    got = {tuple(r) for r in execution.missed_heartbeats(beats, "k", "at", 10, made, F.lit(100)).collect()}
+    assert got == {(1, 5, 95), (2, 0, 100), (3, 0, 20), (5, 0, 40), (6, 30, 70)}
+
+
+def test_heartbeat_timeouts_see_who_stops_for_good(spark, tmp_path):
+    from ledgerfold.plans import catalog
+
+    day = [(1, "click", 1), (1, "click", 2), (2, "click", 1), (3, "click", 9), (4, "signup", 3), (5, "click", 1), (5, "click", 5), (6, "view", 10)]
+    rows = [(i, u, kind, f"2024-01-{d:02} 00:00:00") for i, (u, kind, d) in enumerate(day)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.silent // 86400) for r in catalog.QUERIES["heartbeat_timeouts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 8), (2, 9), (4, 7), (5, 4)}
+
+
 def test_hooks(spark):
     h = lambda op, s, a=1, u=False: one(spark, lifecycle.hooks(F.lit(op), F.lit(s).cast("string"), F.lit(a), F.lit(u)))
     assert h("step", "READY") == "start(false), attempt start" and h("step", "PENDING") is None
