@@ -137,18 +137,37 @@ def suspensions(events: DataFrame, execution: str, order: list[str], permits: Co
     return rows.groupBy(execution).agg(F.min("seq").alias("suspended_at"))
 
 
-def propagated(operations: DataFrame, id_col: str, parent: str, rounds: int = 32) -> DataFrame:
-    """(id, message): for each failed operation without an error of its own, that of its first failed child, down the tree.
+def propagated(operations: DataFrame, id_col: str, parent: str) -> DataFrame:
+    """(id, message): for each failed operation without an error of its own, that of its first failed child that has one, down the tree.
 
-    operations: id, parent, number, status, message. Each round hands messages up one level; it ends when none moved.
+    operations: id, parent, number, status, message. A child has one if it or any
+    failed operation below it does. Steps up, and then down, the tree double with
+    each round; it ends when none reached another, so at any depth.
     """
     from ..sources.stored import stored
 
-    rows = stored(operations.where("status = 'FAILED'").select(id_col, parent, "number", "message"))
-    for _ in range(rounds):
-        up = rows.where(F.col("message").isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(parent).alias("up")).agg(F.min_by("message", "number").alias("theirs"))
-        filled = stored(rows.join(up, F.col(id_col) == F.col("up"), "left").withColumn("moved", F.col("message").isNull() & F.col("theirs").isNotNull()))
-        rows = filled.select(id_col, parent, "number", F.coalesce("message", "theirs").alias("message"))
-        if filled.where("moved").isEmpty():
+    rows = stored(operations.where("status = 'FAILED'").select(F.col(id_col).alias("id"), F.col(parent).alias("parent"), "number", "message"))
+    own = rows.where("message is not null").select(F.col("id").alias("end"), F.col("message").alias("said"))
+    # ids with a message at or below them
+    has, reached = own.select("end"), own.count()
+    jump = rows.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("up"))
+    while True:
+        grown = stored(has.union(jump.join(has, F.col("node") == F.col("end"), "left_semi").select("up")).distinct())
+        before, reached, has = reached, grown.count(), grown
+        if reached == before:
             break
-    return rows.select(id_col, "message")
+        jump = stored(jump.join(jump.select(F.col("node").alias("mid"), F.col("up").alias("top")), F.col("up") == F.col("mid")).select("node", F.col("top").alias("up")))
+
+    # from each operation without a message to the first child that has one, until that child's is its own
+    first = rows.join(has, F.col("id") == F.col("end"), "left_semi").where("parent is not null").groupBy("parent").agg(F.min_by("id", "number").alias("at"))
+    to = rows.where("message is null").select("id").join(first.withColumnRenamed("parent", "id"), "id")
+    left = None
+    while True:
+        to = stored(to.join(own, F.col("at") == F.col("end"), "left").select("id", "at", "end", "said"))
+        before, left = left, to.where("end is null").count()
+        if left in (0, before):
+            break
+        hop = to.select(F.col("id").alias("mid"), F.col("at").alias("next"))
+        to = to.join(hop, (F.col("at") == F.col("mid")) & F.col("end").isNull(), "left").select("id", F.coalesce("next", "at").alias("at"))
+    found = rows.select("id", "message").join(to.select("id", "said"), "id", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("message", "said").alias("message"))

@@ -249,6 +249,18 @@ def test_heartbeat_timeouts_see_who_stops_for_good(spark, tmp_path):
     assert got == {(1, 8), (2, 9), (4, 7), (5, 4)}
 
 
+def test_errors_rise_by_any_number_of_levels(spark):
+    # a chain of 45; a first child whose error lies deeper than its brother's; one without any; one that didn't fail
+    rows = [(f"c{i}", f"c{i - 1}" if i else None, 1, "FAILED", "deep" if i == 44 else None) for i in range(45)]
+    rows += [("p", None, 1, "FAILED", None), ("a", "p", 1, "FAILED", None), ("a1", "a", 1, "FAILED", None), ("a2", "a1", 1, "FAILED", "first"), ("b", "p", 2, "FAILED", "second")]
+    rows += [("q", None, 1, "FAILED", None), ("q1", "q", 1, "FAILED", None), ("q2", "q", 2, "FAILED", "third"), ("q0", "q", 0, "SUCCEEDED", "no")]
+    rows += [("x", "y", 2, "FAILED", None), ("y", "x", 1, "FAILED", None), ("z", "x", 9, "FAILED", "round")]
+    ops = spark.createDataFrame(rows, "id string, parent string, number long, status string, message string")
+    got = {r.id: r.message for r in log.propagated(ops, "id", "parent").collect()}
+    assert {got[f"c{i}"] for i in range(45)} == {"deep"}
+    assert [got[k] for k in ("p", "a", "b", "q", "q1")] == ["first", "first", "second", "third", None] and "q0" not in got and len(got) == 56
+
+
 def test_hooks(spark):
     h = lambda op, s, a=1, u=False: one(spark, lifecycle.hooks(F.lit(op), F.lit(s).cast("string"), F.lit(a), F.lit(u)))
     assert h("step", "READY") == "start(false), attempt start" and h("step", "PENDING") is None
