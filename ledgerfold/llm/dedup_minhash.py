@@ -14,7 +14,8 @@
    connects are a family. In a family, all that isn't tied to its largest part is
    held against the whole family (blocks against blocks, nothing emitted but
    links). Candidate pairs between families pass the collision-corrected
-   estimate of their similarity first.
+   estimate of their similarity first, unless a set is smaller than the sketch:
+   registers that borrow from the same shingle don't differ one by one.
 6. A link is only made by comparing two full sets.
 
 Bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8^5)^32, all but
@@ -289,25 +290,25 @@ def _in_common(index: tuple, members: np.ndarray) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule out a link."""
+    """The pairs (a, b) whose sketches don't rule out a link. Sketches of sets smaller than themselves rule out nothing."""
     goal = percent / 100
     least = goal - DEVIATIONS * math.sqrt(goal * (1 - goal) / REGISTERS)
-    sketch = nodes.select("node", "registers")
-    both = pairs.join(sketch.withColumnsRenamed({"node": "a", "registers": "ra"}), "a").join(
-        sketch.withColumnsRenamed({"node": "b", "registers": "rb"}), "b"
+    sketch = nodes.select("node", "registers", (F.col("n") < REGISTERS).alias("small"))
+    both = pairs.join(sketch.withColumnsRenamed({"node": "a", "registers": "ra", "small": "sa"}), "a").join(
+        sketch.withColumnsRenamed({"node": "b", "registers": "rb", "small": "sb"}), "b"
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-            likely = estimated((ra == rb).sum(axis=1)) >= least
+            likely = (estimated((ra == rb).sum(axis=1)) >= least) | batch.column(4).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(likely))
 
-    return both.select("a", "b", "ra", "rb").mapInArrow(rows, "a binary, b binary")
+    return both.select("a", "b", "ra", "rb", F.col("sa") | F.col("sb")).mapInArrow(rows, "a binary, b binary")
 
 
 def _links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes (node, id, registers), enough to connect all that are linked."""
+    """Links (a, b) between nodes (node, id, registers, n), enough to connect all that are linked."""
     buckets = stored(_buckets(nodes))
     best = (
         buckets.where("rank <> lead")
@@ -382,7 +383,7 @@ def near_classes(
     """
     sketch = stored(sketches(docs, id_col, text_col, words))
     nodes = stored(
-        sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
+        sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("n").alias("n"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     root = stored(components(_links(nodes, texts, words, percent)))

@@ -117,6 +117,16 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_small_sets_are_not_estimated(spark):
+    """Sketches without a register in common: only sets as large as the sketch may be ruled out by it."""
+    size = dedup_minhash.REGISTERS
+    of = lambda name, v, n: (name.encode(), bytearray(np.full(size, v, np.uint16).tobytes()), n)
+    nodes = spark.createDataFrame([of("a", 1, 5), of("b", 2, 4), of("c", 3, size), of("d", 4, size)], "node binary, registers binary, n long")
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c"), (b"c", b"a"), (b"c", b"d")], "a binary, b binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in dedup_minhash._likely(pairs, nodes, 80).collect()}
+    assert got == {(b"a", b"b"), (b"a", b"c"), (b"c", b"a")}
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).select("doc_id", "text", "lang", "source")
     labels = spark.createDataFrame([], "doc_id long, quality int")
