@@ -7,16 +7,17 @@
    next MANTISSA bits. Empty buckets borrow by a fixed permutation of buckets.
 3. Bands of ROWS compressed registers are hashed to keys. Nodes with a key in
    common are candidates.
-4. First round: every node is held against one leader, of all leaders of its
-   buckets the one it shares most keys with. That ties most nodes of a large
-   group together with one comparison each.
-5. Second round, for what the first left open. Nodes that the choice of leaders
-   connects are a family. In a family, all that isn't tied to its largest part is
-   held against the whole family (blocks against blocks, nothing emitted but
-   links). Candidate pairs between families pass the collision-corrected
-   estimate of their similarity first, unless a set is smaller than the sketch:
-   registers that borrow from the same shingle don't differ one by one.
-6. A link is only made by comparing two full sets.
+4. Two rounds tie most nodes of a large group together with one comparison each:
+   every node is held against one leader of its keys. In the first round a key's
+   leader is drawn, in the second, among keys under which untied nodes meet, it
+   is the node with most candidates, so that a group around one text finds it.
+5. What is left open are keys under which nodes meet that aren't tied. There, all
+   nodes but the largest tied part are held against all, in blocks of sketches
+   against blocks of sketches. A block emits the nodes with a likely partner, not pairs.
+6. Whatever is compared passes the collision-corrected estimate of the similarity
+   first, unless a set is smaller than the sketch: registers that borrow from
+   the same shingle don't differ one by one. A link is only made by comparing
+   two full sets.
 
 Bands find a pair of similarity 0.8 with probability 1 - (1 - 0.8^5)^32, all but
 3 in a million; there is no cap on buckets, candidates or partners.
@@ -33,16 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, lower_ascii, mixed, steps, word_hashes
+from .arrowtext import buffers, lower_ascii, mixed, steps, tidy, word_hashes
 from .components import components
-from .scratch import small_enough, stored
+from .scratch import maybe_wanted, sifted, small_enough, stored
 
 ROWS = 5
 BANDS = 32
 REGISTERS = ROWS * BANDS
 MANTISSA = 11
-#: Texts in a block that is held in memory, and in a block that streams past it.
+#: Texts in a block that is held in memory, and in a block that streams past it; the same for sketches.
 HELD, STREAMED = 256, 1024
+SKETCHES_HELD, SKETCHES_STREAMED = 1024, 4096
 #: Standard deviations by which an estimate may be below the threshold.
 DEVIATIONS = 5
 
@@ -112,20 +114,46 @@ def registers(sets: list[np.ndarray], order: np.ndarray) -> np.ndarray:
     return ((np.minimum(zeros, np.uint64(31)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def estimated(equal: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of equal registers, corrected for chance collisions.
+def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Probability that a register agrees for two sets of these sizes though its least hashes differ.
 
-    Two different minima agree when their leading zeros (about 1 in 3 for sets
-    of like size) and all mantissa bits agree.
+    The least of x hashes a bucket has density x * exp(-x * t) at t in (0, 1). Two
+    of them agree if they fall into the same cell; cells with i leading zeros
+    are 2^-(i + 1 + MANTISSA) wide.
     """
-    chance = 2.0**-MANTISSA / 3
-    return np.maximum(0, (equal / REGISTERS - chance) / (1 - chance))
+    a, b = n_a / REGISTERS, n_b / REGISTERS
+    i = np.arange(32)
+    both = (a + b)[..., None]
+    inside = np.exp(-both * 0.5 ** (i + 1)) - np.exp(-both * 0.5**i)
+    return a * b / (a + b) * (inside * 0.5 ** (i + 1 + MANTISSA)).sum(axis=-1)
+
+
+def estimated(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the number of equal registers and the sizes of both sets, corrected for chance collisions."""
+    by_chance = chance(n_a, n_b)
+    return np.maximum(0, (equal / REGISTERS - by_chance) / (1 - by_chance))
+
+
+def _least(percent: int) -> float:
+    """The estimate below which a pair can't be linked, but for DEVIATIONS standard deviations."""
+    goal = percent / 100
+    return goal - DEVIATIONS * math.sqrt(goal * (1 - goal) / REGISTERS)
+
+
+def likely(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be linked: by the sizes of both sets (exactly), then by the estimate."""
+    out = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    doubted = np.flatnonzero(out & (np.minimum(n_a, n_b) >= REGISTERS))
+    if len(doubted):
+        out[doubted] = estimated(equal[doubted], n_a[doubted], n_b[doubted]) >= _least(percent)
+    return out
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, node, n, registers) of every row; node is null for a text without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _borrow_order()
 
@@ -159,6 +187,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 def _bands(nodes: DataFrame) -> DataFrame:
     """(key, node): BANDS keys a node; a key's last five bits are its band."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -179,7 +208,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
     Ranks differ between eight classes of bands, so that a group gets several leaders.
     """
-    keyed = _bands(nodes).repartition("key").withColumn("rank", F.xxhash64("node", F.col("key").bitwiseAND(7)))
+    keyed = _bands(nodes).withColumn("rank", F.xxhash64("node", F.col("key").bitwiseAND(7)))
     shared = keyed.groupBy("key").agg(F.min("rank").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return keyed.join(shared.drop("size"), "key")
 
@@ -212,11 +241,10 @@ def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     )
     cells = stored(cells)
     texts = docs
-    wanted = cells.select("doc").distinct()
     if small_enough(cells.count(), 80):
         cells = F.broadcast(cells)
-    elif small_enough(wanted.count(), 16):
-        texts = docs.join(F.broadcast(wanted), docs["id"].eqNullSafe(wanted["doc"]), "left_semi")
+    else:  # only what a cell asks for is shuffled
+        texts = sifted(docs, "id", cells.select(F.col("doc").alias("id")).distinct())
     dealt = (
         texts.join(cells, texts["id"].eqNullSafe(cells["doc"]))
         .select("grp", "r", "c", "role", "node", "text")
@@ -224,6 +252,7 @@ def block_links(tasks: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
         .sortWithinPartitions("grp", "r", "c", "role")
     )
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, index = None, None
         names, sets, tied = [], [], []
@@ -290,25 +319,166 @@ def _in_common(index: tuple, members: np.ndarray) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule out a link. Sketches of sets smaller than themselves rule out nothing."""
-    goal = percent / 100
-    least = goal - DEVIATIONS * math.sqrt(goal * (1 - goal) / REGISTERS)
-    sketch = nodes.select("node", "registers", (F.col("n") < REGISTERS).alias("small"))
-    both = pairs.join(sketch.withColumnsRenamed({"node": "a", "registers": "ra", "small": "sa"}), "a").join(
-        sketch.withColumnsRenamed({"node": "b", "registers": "rb", "small": "sb"}), "b"
-    )
+    """The pairs (leader, node) whose sketches don't rule out a link."""
+    sketch = nodes.select("node", "registers", "n")
+    both = pairs.join(sketch, "node").join(sketch.withColumnsRenamed({"node": "leader", "registers": "r_lead", "n": "n_lead"}), "leader")
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-            likely = (estimated((ra == rb).sum(axis=1)) >= least) | batch.column(4).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(likely))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+            n_a, n_b = (np.asarray(batch.column(i)) for i in (4, 5))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["leader", "node"]).filter(pa.array(likely((a == b).sum(axis=1), n_a, n_b, percent)))
+
+    return both.select("leader", "node", "registers", "r_lead", "n", "n_lead").mapInArrow(rows, "leader binary, node binary")
+
+
+def _led(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (leader, node)."""
+    pairs = stored(_likely(pairs, nodes, percent))
+    leader = F.col("leader")
+    tasks = pairs.select(leader.alias("grp"), leader.alias("node"), F.lit(0).alias("role")).union(
+        pairs.select(leader.alias("grp"), "node", F.lit(1).alias("role"))
+    )
+    return stored(block_links(tasks, nodes, docs, words, percent))
+
+
+def _joined(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """tied (node, root) after links (a, b) between its nodes: only what they connect is worked on."""
+    root = lambda end: tied.select(F.col("node").alias(end), F.col("root").alias(end + "_root"))
+    edges = links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    top = components(edges).select(F.col("root").alias("top"), F.col("node").alias("root"))
+    return stored(tied.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def _open(buckets: DataFrame, tied: DataFrame) -> DataFrame:
+    """(key, node, part, size) of keys under which nodes meet that aren't tied; part tells what is tied apart."""
+    parted = buckets.select("key", "node").join(tied, "node").select("key", "node", F.xxhash64("root").alias("part"))
+    mixed_keys = parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    return stored(parted.join(mixed_keys.select("key", "size"), "key"))
+
+
+def _central(met: DataFrame) -> DataFrame:
+    """(leader, node): each node of open keys with that leader it shares most of them with, a key's leader being its node with most candidates."""
+    degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
+    lead = met.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "part")).alias("lead"))
+    return (
+        met.join(lead, "key")
+        .where(F.col("part") != F.col("lead.part"))
+        .groupBy("node", F.col("lead.node").alias("leader"))
+        .agg(F.count(F.lit(1)).alias("keys"), F.max("lead.degree").alias("degree"))
+        .groupBy("node")
+        .agg(F.max_by("leader", F.struct("keys", "degree", "leader")).alias("leader"))
+        .select("leader", "node")
+    )
 
-    return both.select("a", "b", "ra", "rb", F.col("sa") | F.col("sb")).mapInArrow(rows, "a binary, b binary")
 
+def sketch_blocks(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Tasks (grp, node, role) for block_links: the nodes of each open key that have a likely partner there which they aren't tied with.
 
-def _links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes (node, id, registers, n), enough to connect all that are linked."""
+    All but a key's largest part is held against all of the key, in cells of
+    SKETCHES_HELD by SKETCHES_STREAMED sketches, so a key of any size is as many
+    tasks as it needs. A pair is looked at under the first key that it shares.
+    """
+    parts = met.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
+    main = stored(
+        main.select(
+            "key",
+            F.col("main.part").alias("main"),
+            F.ceil((F.col("size") - F.col("main.n")) / SKETCHES_HELD).cast("int").alias("rows"),
+            F.ceil(F.col("size") / SKETCHES_STREAMED).cast("int").alias("cols"),
+        )
+    )
+    if small_enough(main.count(), 80):
+        main = F.broadcast(main)
+    known = met.select("key", "node", "part").join(main, "key")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shown = ("key", "r", "c", "role", "node", "part")
+    held = known.where("part <> main").withColumn("role", F.lit(0)).withColumn("r", block("rows")).withColumn("c", every("cols")).select(*shown)
+    streamed = known.withColumn("role", F.lit(1)).withColumn("c", block("cols")).withColumn("r", every("rows")).select(*shown)
+    dealt = (
+        held.union(streamed)
+        .join(nodes.select("node", "n", "registers"), "node")
+        .select(*shown, "n", "registers")
+        .repartition("key", "r", "c")
+        .sortWithinPartitions("key", "r", "c", "role")
+    )
+
+    @tidy
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        block: _Sketches | None = None
+
+        def table(key: int, role: int, names: pa.Array) -> pa.RecordBatch:
+            grp = pa.array([int(key).to_bytes(8, "big", signed=True)] * len(names), pa.binary())
+            return pa.RecordBatch.from_arrays([grp, names, pa.array([role] * len(names), pa.int32())], ["grp", "node", "role"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part, now = batch.slice(a, b - a), tuple(marks[:3, a].tolist())
+                if now != cell:
+                    if block is not None:
+                        yield table(cell[0], 0, block.names.filter(pa.array(block.hit)))
+                    cell, held, block = now, [], None
+                if marks[3, a] == 0:
+                    held.append(part)
+                elif held:
+                    block = block or _Sketches(held, cell[0] & 31, percent)
+                    yield table(cell[0], 1, part.column(4).filter(pa.array(block.met_by(part))))
+        if block is not None:
+            yield table(cell[0], 0, block.names.filter(pa.array(block.hit)))
+
+    return dealt.mapInArrow(rows, "grp binary, node binary, role int").distinct()
+
+
+class _Sketches:
+    """The held sketches of one cell."""
+
+    STEP = 8
+
+    def __init__(self, parts: list[pa.RecordBatch], band: int, percent: int) -> None:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        self.band, self.percent = band, percent
+        self.names, self.part, self.n, self.registers = self._read(whole)
+        self.hit = np.zeros(len(self.n), bool)
+        self.needed = math.ceil(_least(percent) * REGISTERS)
+
+    @staticmethod
+    def _read(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        registers = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        return rows.column(4), np.asarray(rows.column(5)), np.asarray(rows.column(6)), registers
+
+    def met_by(self, rows: pa.RecordBatch) -> np.ndarray:
+        """Which of the rows have a likely partner here; the partners are marked as well."""
+        _, part, n, registers = self._read(rows)
+        out = np.zeros(len(n), bool)
+        for a in range(0, len(n), self.STEP):
+            own = slice(a, a + self.STEP)
+            open_ = part[own, None] != self.part
+            if not open_.any():
+                continue
+            same = registers[own, None] == self.registers
+            equal = same.sum(axis=2, dtype=np.int16)
+            small = np.minimum(n[own, None], self.n) < REGISTERS
+            i, j = np.nonzero(open_ & ((equal >= self.needed) | small))
+            good = likely(equal[i, j], n[own][i], self.n[j], self.percent)
+            i, j = i[good], j[good]
+            bands = same[i, j].reshape(-1, BANDS, ROWS).all(axis=2)
+            here = bands[:, self.band] & ~bands[:, : self.band].any(axis=1)
+            out[a + i[here]] = True
+            self.hit[j[here]] = True
+        return out
+
+
+def _roots(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of all nodes (node, id, registers, n) that share a key with another: root is the same for all that links connect."""
     buckets = stored(_buckets(nodes))
     best = (
         buckets.where("rank <> lead")
@@ -318,54 +488,16 @@ def _links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
         .agg(F.max_by("lead", F.struct("keys", "lead")).alias("lead"))
     )
     leaders = buckets.where("rank = lead").select("lead", F.col("node").alias("leader")).distinct()
-    first = stored(best.join(leaders, "lead").select("node", "leader"))
-    tasks = first.select(F.col("leader").alias("grp"), F.col("leader").alias("node"), F.lit(0).alias("role")).union(
-        first.select(F.col("leader").alias("grp"), "node", F.lit(1).alias("role"))
-    )
-    links = stored(block_links(tasks, nodes, docs, words, percent))
-
-    # one run for two graphs: of candidates (families) and of links (what is tied in them)
-    marked = lambda mark, node: F.concat(F.lit(mark).cast("binary"), F.col(node))
-    graphs = first.select(marked("f", "leader").alias("a"), marked("f", "node").alias("b")).union(
-        links.select(marked("t", "a").alias("a"), marked("t", "b").alias("b"))
-    )
-    found = stored(components(graphs))
-    graph, bare = F.substring("node", 1, 1), lambda c: F.substring(c, 2, 16)
-    of = lambda mark, name: found.where(graph == F.lit(mark).cast("binary")).select(bare("node").alias("node"), bare("root").alias(name))
-    state = stored(
-        buckets.select("node")
-        .distinct()
-        .join(of("f", "fam"), "node", "left")
-        .join(of("t", "comp"), "node", "left")
-        .select("node", F.coalesce("fam", "node").alias("fam"), F.coalesce("comp", "node").alias("comp"))
-    )
-    parts = state.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("fam").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    inside = stored(state.join(largest.select("fam", F.col("top.comp").alias("main")), "fam"))
-    tasks = inside.where("comp <> main").select(F.col("fam").alias("grp"), "node", F.lit(0).alias("role")).union(
-        inside.select(F.col("fam").alias("grp"), "node", F.lit(1).alias("role"))
-    )
-    # keys under which different families meet
-    met = buckets.select("key", "node").join(state.select("node", "fam"), "node").withColumn("f", F.xxhash64("fam"))
-    mixed_keys = met.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo <> hi").select("key")
-    met = stored(met.join(mixed_keys, "key").select("key", "node", "f"))
-    a, b = met.withColumnsRenamed({"node": "a", "f": "fa"}), met.withColumnsRenamed({"node": "b", "f": "fb"})
-    pairs = a.join(b, "key").where("fa < fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(_likely(pairs, nodes, percent))
-    degree = stored(
-        pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    )
-    sided = (
-        pairs.join(degree.withColumnsRenamed({"node": "a", "d": "da"}), "a")
-        .join(degree.withColumnsRenamed({"node": "b", "d": "db"}), "b")
-        .select(F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("y"))
-    )
-    sided = stored(sided)
-    tasks = tasks.union(sided.select(F.concat(F.lit("pair").cast("binary"), F.col("x")).alias("grp"), F.col("x").alias("node"), F.lit(0).alias("role"))).union(
-        sided.select(F.concat(F.lit("pair").cast("binary"), F.col("x")).alias("grp"), F.col("y").alias("node"), F.lit(1).alias("role"))
-    )
-    more = block_links(tasks, nodes, docs, words, percent)
-    return links.union(more)
+    alone = buckets.select("node").distinct().select("node", F.col("node").alias("root"))
+    tied = _joined(stored(alone), _led(best.join(leaders, "lead").select("leader", "node"), nodes, docs, words, percent))
+    met = _open(buckets, tied)
+    if met.isEmpty():
+        return tied
+    tied = _joined(tied, _led(_central(met), nodes, docs, words, percent))
+    met = _open(met, tied)
+    if met.isEmpty():
+        return tied
+    return _joined(tied, stored(block_links(sketch_blocks(met, nodes, percent), nodes, docs, words, percent)))
 
 
 def near_classes(
@@ -386,7 +518,7 @@ def near_classes(
         sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("n").alias("n"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    root = stored(components(_links(nodes, texts, words, percent)))
+    root = _roots(nodes, texts, words, percent)
     named = nodes.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = named.join(least, "root").select("node", "component_id")
@@ -411,6 +543,9 @@ def keep_one_of_each(
     while new in docs.columns:
         new += "_"
     dropped = stored(found.groupBy(F.col("id").alias(new)).agg(F.max("kept").alias(new + "kept")).where(~F.col(new + "kept")).select(new))
+    same = F.col(id_col).eqNullSafe(F.col(new))
     if small_enough(dropped.count(), 16):
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(new)), "left_anti")
+        return docs.join(F.broadcast(dropped), same, "left_anti")
+    doubted = maybe_wanted(docs, id_col, dropped.select(F.col(new).alias(id_col)), new + "maybe")  # only these are shuffled
+    doubtful = F.col(new + "maybe")
+    return doubted.where(~doubtful).union(doubted.where(doubtful).join(dropped, same, "left_anti")).drop(new + "maybe")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a table of known size may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -60,3 +61,36 @@ def partitions(spark: SparkSession) -> int:
 def small_enough(rows: int, bytes_per_row: int) -> bool:
     """Whether a table of so many rows may be broadcast."""
     return rows * bytes_per_row <= BROADCAST_BYTES
+
+
+#: Bits of the filter that `sifted` sends to the executors, in rows of ROW_BITS: 16 MB, whatever the tables' sizes.
+FILTER_BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key is none of the wanted ones; to be followed by an exact join.
+
+    wanted: one column, named like the key. Rows that no join can match aren't shuffled.
+    """
+    maybe = "__maybe"
+    while maybe in rows.columns:
+        maybe += "_"
+    return maybe_wanted(rows, key, wanted, maybe).where(maybe).drop(maybe)
+
+
+def maybe_wanted(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column: false where the key is surely none of the wanted ones. Nulls are keys like others.
+
+    The wanted keys' hashes set bits of a map of fixed size, which is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    row, bits, bit = name + "row", name + "bits", place % ROW_BITS
+    maps = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.floor(F.col("place") / ROW_BITS).alias(row))
+        .agg(F.bitmap_construct_agg(F.col("place") % ROW_BITS).alias(bits))
+    )
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn(row, F.floor(place / ROW_BITS)).join(F.broadcast(maps), row, "left")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).select(*rows.columns, name)
