@@ -10,9 +10,14 @@ from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
 
+#: Bytes of an Arrow batch that goes to a Python worker: long rows come in smaller batches.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 * 1024 * 1024
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once per application."""
+    """Send the package to the executors, once per application, and bound Arrow batches in a session that doesn't."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _SENT:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
