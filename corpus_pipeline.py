@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm import dedup_exact, dedup_minhash, mixing, packing, quality
 from ledgerfold.llm.queries import WEIGHTS, domain_of
-from ledgerfold.llm.scratch import stored
+from ledgerfold.llm.scratch import stored, temporary
 from ledgerfold.llm.tokens import public_tokenizer
 from ledgerfold.sources.shipping import ship
 
@@ -61,8 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Each stage's result is a table; what it stored on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), lasting=True)
     return docs
