@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -19,6 +20,23 @@ PREVIEW = 4096
 HEADER = "__ledgerfold"
 
 
+@dataclass(frozen=True)
+class Codec:
+    """How a value is written to the log and read back, as functions of a column. An input that is only sent has no reader."""
+
+    write: Callable[[Column], Column]
+    read: Callable[[Column], Column] | None = None
+
+
+#: Strings as they are.
+PASSTHROUGH = Codec(lambda value: value, lambda text: text)
+
+
+def json_codec(schema: str) -> Codec:
+    """JSON of values of one schema."""
+    return Codec(F.to_json, lambda text: F.from_json(text, schema))
+
+
 def json_escaped_length(text: Column) -> Column:
     """Bytes of a text inside a JSON string: escapes of two bytes, other control characters six."""
     short = F.regexp_count(text, F.lit('["\\\\\\x08\\t\\n\\f\\r]'))
@@ -89,6 +107,27 @@ def path_is_contained(path: Column) -> Column:
     return ~(path.startswith("/") | path.contains("\\") | path.rlike(r"(^|/)\.\.?(/|$)") | (path == "") | path.isNull())
 
 
+def preview_of(fields: dict[str, Column], how: Preview) -> Column:
+    """The preview of a payload whose paths are known, as JSON: fields by path, nested where paths have dots.
+
+    For previews that stay below the limit whatever the values; others need preview_json.
+    """
+    shown: dict = {}
+    for path, value in fields.items():
+        if how.hides(path):
+            continue
+        *above, last = path.split(".")
+        at = shown
+        for key in above:
+            at = at.setdefault(key, {})
+        at[last] = F.lit(how.mask_text) if how.masks(path) else value
+
+    def made(node: dict) -> Column:
+        return F.struct(*((made(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()))
+
+    return F.to_json(made(shown))
+
+
 @dataclass(frozen=True)
 class Preview:
     """Which fields a preview shows. A field without a dot means that name anywhere, with one exactly that path."""
@@ -104,6 +143,17 @@ class Preview:
     def _in(self, names: tuple[str, ...], path: str) -> bool:
         return any(path == n if "." in n else path.rpartition(".")[2] == n for n in names)
 
+    def masks(self, path: str) -> bool:
+        """Whether a path, or what it is part of, is shown as the mask."""
+        parts = path.split(".")
+        return any(self._in(self.mask, ".".join(parts[: i + 1])) for i in range(len(parts)))
+
+    def hides(self, path: str) -> bool:
+        parts = path.split(".")
+        if any(p in self.unsafe for p in parts) or any(self._in(self.exclude, ".".join(parts[: i + 1])) for i in range(len(parts))):
+            return True
+        return not (self.masks(path) or self.show_all or self._in(self.include, path))
+
     def fields(self, node, prefix: str = ""):
         """(path, value) of what is shown, in document order."""
         if isinstance(node, list):

@@ -18,6 +18,11 @@ KINDS = {
 }
 
 
+def scope(retryable: Column) -> Column:
+    """How far an error of the log's service reaches: the invocation, which runs again, or the whole execution."""
+    return F.when(retryable, "INVOCATION").otherwise("EXECUTION")
+
+
 def wire_type(kind: Column, given: Column | None = None) -> Column:
     """The type an error is written under: its own, else its kind's, else Error."""
     out = F.lit("Error")
@@ -26,6 +31,14 @@ def wire_type(kind: Column, given: Column | None = None) -> Column:
     return out if given is None else F.coalesce(given, out)
 
 
+def reasons(kind: Column) -> Column:
+    """The reasons that an error of this kind may have."""
+    out = F.lit(None).cast("array<string>")
+    for name, (_, own) in KINDS.items():
+        out = F.when(kind == name, F.array(*map(F.lit, own))).otherwise(out)
+    return out
+
+
 def kind_of(wire: Column) -> Column:
     """The kind that a written type stands for; null for any other type."""
     out = F.lit(None).cast("string")

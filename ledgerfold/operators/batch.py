@@ -6,16 +6,16 @@ the order columns given; they must be total within a batch.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import identity
+
 # Why a batch ended.
 ALL, ENOUGH, TOO_MANY = "ALL_COMPLETED", "MIN_SUCCESSFUL_REACHED", "FAILURE_TOLERANCE_EXCEEDED"
 CUSTOM_OK, CUSTOM_FAILED = "CUSTOM_COMPLETION_SUCCEEDED", "CUSTOM_COMPLETION_FAILED"
@@ -71,25 +71,87 @@ def running(items: DataFrame, batch: str, ok: str, settle: str = "idx") -> DataF
     )
 
 
-def completed(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx") -> DataFrame:
-    """(batch, reason, settled, n_ok, n_failed, total): the state at the settle that ended each batch."""
+def with_empty(ended: DataFrame, batches: DataFrame | None, batch: str, **of_empty: Column) -> DataFrame:
+    """ended with a row for each of the batches that has no item, of which no row of items tells; `of_empty` are its values."""
+    if batches is None:
+        return ended
+    rows = batches.select(batch).distinct().join(ended.withColumn("__held", F.lit(True)), batch, "left")
+    value = lambda c: F.when(F.col("__held"), F.col(c)).otherwise(of_empty[c]) if c in of_empty else F.col(c)
+    return rows.select(*(value(c).alias(c) for c in ended.columns))
+
+
+def _ended(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str) -> tuple[DataFrame, Column]:
     rows = running(items, batch, ok, settle).withColumn("reason", policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")))
-    end = F.min(F.when(F.col("reason").isNotNull(), F.struct(settle, "reason", "n_ok", "n_failed", "total")))
-    return (
+    return rows, F.min(F.when(F.col("reason").isNotNull(), F.struct(settle, "reason", "n_ok", "n_failed", "total")))
+
+
+def completed(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx", batches: DataFrame | None = None) -> DataFrame:
+    """(batch, reason, settled, n_ok, n_failed, total): the state at the settle that ended each batch.
+
+    batches: all batches, so that those without items have their row too.
+    """
+    rows, end = _ended(items, batch, ok, policy, settle)
+    ended = (
         rows.groupBy(batch)
         .agg(end.alias("end"))
         .select(batch, "end.reason", (F.col("end.n_ok") + F.col("end.n_failed")).alias("settled"), "end.n_ok", "end.n_failed", "end.total")
     )
+    zero = F.lit(0)
+    return with_empty(ended, batches, batch, reason=policy.reason(zero, zero, zero), settled=zero, n_ok=zero, n_failed=zero, total=zero)
+
 
+def with_end(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx") -> DataFrame:
+    """items with reason and settled of their batch's end, by windows over one partitioning."""
+    rows, end = _ended(items, batch, ok, policy, settle)
+    rows = rows.withColumn("__end", end.over(W.partitionBy(batch)))
+    return rows.select(*items.columns, F.col("__end.reason").alias("reason"), (F.col("__end.n_ok") + F.col("__end.n_failed")).alias("settled"))
+
+
+@dataclass(frozen=True)
+class Stats:
+    """A batch's counts at one moment, as a custom rule sees them."""
 
-def resumed(items: DataFrame, batch: str, ok: str, policy: Policy) -> DataFrame:
-    """(batch, reason, n_ok, n_failed, total): all recorded outcomes applied, then one check. ok is null for an item without outcome."""
+    total: Column
+    succeeded: Column
+    failed: Column
+
+    @property
+    def settled(self) -> Column:
+        return self.succeeded + self.failed
+
+
+def completed_by_counts(
+    items: DataFrame, batch: str, ok: str, decide: Callable[[Stats], Column], settle: str = "idx", batches: DataFrame | None = None
+) -> DataFrame:
+    """(batch, reason, settled, n_ok, n_failed, total): a custom monotone rule over counts, asked before the first start and after each settle.
+
+    decide gives SUCCEEDED or FAILED to end the batch so, null to go on. A batch
+    that it never ends ends with its last item; one without items is asked once.
+    """
+    rows = running(items, batch, ok, settle)
+    zero = F.lit(0)
+    said = decide(Stats(F.col("total"), F.col("n_ok"), F.col("n_failed")))
+    end = F.min(F.when(said.isNotNull(), F.struct(settle, said.alias("said"), "n_ok", "n_failed")))
+    found = rows.groupBy(batch).agg(end.alias("end"), F.max("n_ok").alias("all_ok"), F.max("n_failed").alias("all_failed"), F.max("total").alias("total"))
+    found = found.withColumn("first", decide(Stats(F.col("total"), zero, zero)))
+    at = lambda c, last: F.when(F.col("first").isNotNull(), zero).otherwise(F.coalesce(F.col(c), F.col(last)))
+    reason = lambda said: F.when(said == "SUCCEEDED", CUSTOM_OK).when(said == "FAILED", CUSTOM_FAILED).otherwise(ALL)
+    ended = found.select(
+        batch, reason(F.coalesce("first", "end.said")).alias("reason"), at("end.n_ok", "all_ok").alias("n_ok"), at("end.n_failed", "all_failed").alias("n_failed"), "total"
+    ).withColumn("settled", F.col("n_ok") + F.col("n_failed"))
+    return with_empty(ended, batches, batch, reason=reason(decide(Stats(zero, zero, zero))), settled=zero, n_ok=zero, n_failed=zero, total=zero)
+
+
+def resumed(items: DataFrame, batch: str, ok: str, policy: Policy, batches: DataFrame | None = None) -> DataFrame:
+    """(batch, reason, n_ok, n_failed, total): all recorded outcomes applied, then one check. ok is null for an item without outcome; batches: see completed."""
     counts = items.groupBy(batch).agg(
         F.sum(F.when(F.col(ok), 1).otherwise(0)).alias("n_ok"),
         F.sum(F.when(~F.col(ok), 1).otherwise(0)).alias("n_failed"),
         F.count(F.lit(1)).alias("total"),
     )
-    return counts.select(batch, policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")).alias("reason"), "n_ok", "n_failed", "total")
+    zero = F.lit(0)
+    ended = counts.select(batch, policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")).alias("reason"), "n_ok", "n_failed", "total")
+    return with_empty(ended, batches, batch, reason=policy.reason(zero, zero, zero), n_ok=zero, n_failed=zero, total=zero)
 
 
 def completed_by_rule(
@@ -112,16 +174,15 @@ def completed_by_rule(
     )
 
 
-def item_status(items: DataFrame, ended: DataFrame, batch: str, ok: str, concurrent: bool) -> DataFrame:
-    """items with status; those after the end are STARTED if they ran at once, else left out."""
-    rows = items.join(ended.select(batch, "settled"), batch)
+def item_status(items: DataFrame, ok: str, concurrent: bool) -> DataFrame:
+    """items of with_end with status; those after the end are STARTED if they ran at once, else left out."""
     status = F.when(F.col("idx") >= F.col("settled"), "STARTED").when(F.col(ok), "SUCCEEDED").otherwise("FAILED")
-    rows = rows.withColumn("status", status).drop("settled")
+    rows = items.withColumn("status", status).drop("settled")
     return rows if concurrent else rows.where("status <> 'STARTED'")
 
 
-def views(items: DataFrame, batch: str, value: str) -> DataFrame:
-    """One row a batch from items with idx and status: counts, marks, values in item order, the first failed item."""
+def views(items: DataFrame, batch: str, value: str, *same: str) -> DataFrame:
+    """One row a batch from items with idx and status: counts, marks, values in item order, the first failed item, and columns that are the same in a batch."""
     ordered = lambda when, c: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("idx", F.col(c).alias("v"))))), lambda x: x["v"])
     good, bad = F.col("status") == "SUCCEEDED", F.col("status") == "FAILED"
     mark = F.when(good, "S").when(bad, "F").otherwise("-")
@@ -135,6 +196,7 @@ def views(items: DataFrame, batch: str, value: str) -> DataFrame:
         F.array_join(ordered(F.lit(True), "mark"), "").alias("item_statuses"),
         ordered(good, value).alias("results"),
         F.min(F.when(bad, F.col("idx"))).alias("first_failed"),
+        *(F.first(c).alias(c) for c in same),
     )
 
 
@@ -177,36 +239,27 @@ def mixed_branches(frames: dict[str, DataFrame]) -> DataFrame:
     return branches({n: df.select(F.to_json(F.struct("*")).alias("payload")) for n, df in frames.items()})
 
 
-def dispatched(items: DataFrame, batch: str, seconds: str, slots: int) -> DataFrame:
-    """(batch, idx, slot, started, settled): greedy dispatch in item order over so many slots.
+def one_slot(items: DataFrame, batch: str, seconds: str) -> DataFrame:
+    """items with started and settled if a batch's items run one after the other: running sums in item order."""
+    before = W.partitionBy(batch).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    started = F.coalesce(F.sum(seconds).over(before), F.lit(0))
+    return items.withColumn("started", started).withColumn("settled", F.col("started") + F.col(seconds))
 
-    Which slot is free next depends on all items before, so rows are sorted
-    within partitions by batch and run through once; no batch is held whole.
-    """
-    if slots < 1:
-        raise ValueError("a batch needs a slot")
-    kind = dict(items.dtypes)[batch]
-
-    def simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, free = object(), []
-        for part in batches:
-            out = []
-            for key, seconds in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                if key != now:
-                    now, free = key, [(0, i) for i in range(slots)]
-                at, slot = free[0]
-                heapq.heapreplace(free, (at + seconds, slot))
-                out.append((slot, at, at + seconds))
-            slot, at, end = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(slot, pa.int32()), pa.array(at, pa.int64()), pa.array(end, pa.int64())],
-                [batch, "idx", "slot", "started", "settled"],
-            )
-
-    rows = items.select(batch, F.col("idx").cast("int").alias("idx"), F.col(seconds).cast("long").alias("seconds"))
-    return rows.repartition(batch).sortWithinPartitions(batch, "idx").mapInArrow(
-        simulate, f"{batch} {kind}, idx int, slot int, started long, settled long"
-    )
+
+def at_once(items: DataFrame, batch: str, started: str, settled: str) -> DataFrame:
+    """(batch, most): the most items that recorded times show running at the same time; one that settles makes room for one that starts then."""
+    ends = items.select(batch, F.explode(F.array(F.struct(F.col(started).alias("at"), F.lit(1).alias("change")), F.struct(F.col(settled).alias("at"), F.lit(-1).alias("change")))).alias("e"))
+    w = W.partitionBy(batch).orderBy("at", "change").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ends.select(batch, "e.*").withColumn("running", F.sum("change").over(w)).groupBy(batch).agg(F.max("running").alias("most"))
+
+
+def item_records(items: DataFrame, batch: str, inner: int, flat: bool) -> DataFrame:
+    """(op, parent) of what the log holds of items with idx that run `inner` operations each; flat items keep no record, their operations are the batch's."""
+    own = F.col(batch).cast("string")
+    rows = items.select(own.alias("batch"), identity.child_id(own, F.col("idx") + 1).alias("item"))
+    number = F.explode(F.sequence(F.lit(1), F.lit(inner))).alias("number")
+    within = rows.select("batch", "item", number).select(identity.child_id(F.col("item"), F.col("number")).alias("op"), (F.col("batch") if flat else F.col("item")).alias("parent"))
+    return within if flat else within.union(rows.select("item", "batch"))
 
 
 def mapped(items: DataFrame, batch: str, body: Callable[[Column, Column], Column], item: str, name: str = "value") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import schedules
+from ..functions.codecs import Codec
 from ..functions.identity import is_known
 
 
@@ -23,13 +26,20 @@ def replay_action(status: Column, at_most_once: Column) -> Column:
     )
 
 
-def stepped(inputs: DataFrame, log: DataFrame, key: str, body: Column, recorded: str = "result") -> DataFrame:
-    """inputs with value and is_replay: the recorded result where there is one, else body."""
+def stepped(inputs: DataFrame, log: DataFrame, key: str, body: Column, recorded: str = "result", codec: Codec | None = None) -> DataFrame:
+    """inputs with value and is_replay: the recorded result where there is one, else body.
+
+    With a codec, results are recorded as it writes them; a live value is what
+    it reads back from what it wrote, so that both runs see the same.
+    """
+    held, live = F.col("was"), body
+    if codec is not None:
+        held, live = codec.read(held), codec.read(codec.write(body))
     done = log.where("status = 'SUCCEEDED'").select(key, F.col(recorded).alias("was"), F.lit(True).alias("done"))
     return (
         inputs.join(done, key, "left")
         .withColumn("is_replay", F.col("done").isNotNull())
-        .withColumn("value", F.when(F.col("done"), F.col("was")).otherwise(body))
+        .withColumn("value", F.when(F.col("done"), held).otherwise(live))
         .drop("was", "done")
     )
 
@@ -70,6 +80,61 @@ def retried_blocks(attempts: DataFrame, block: str, attempt: str, ok: str, how:
     )
 
 
+def _until(rows: DataFrame, key: str, attempt: str, end: Column, delay: Column) -> DataFrame:
+    """(key, end, attempts, waited): attempts up to the first that ends, and whole seconds between them; end is null while none did."""
+    w = W.partitionBy(key).orderBy(attempt)
+    marked = rows.select(key, attempt, end.alias("end"), delay.alias("delay"))
+    over = F.max(F.col("end").isNotNull()).over(w.rowsBetween(W.unboundedPreceding, -1))
+    before = schedules.asked_seconds(F.lag("delay").over(w)).cast("long")
+    used = marked.withColumn("over", over).withColumn("before", F.when(F.lag(attempt).over(w).isNotNull(), before)).where(~F.coalesce("over", F.lit(False)))
+    return used.groupBy(key).agg(F.max("end").alias("end"), F.max(attempt).alias("attempts"), F.coalesce(F.sum("before"), F.lit(0)).alias("waited"))
+
+
+def retried_by(attempts: DataFrame, block: str, attempt: str, ok: str, error: str, strategy: Callable[[Column, Column], Column]) -> DataFrame:
+    """(block, status, attempts, waited) under the caller's strategy: of an attempt's error and number, struct(action, delay).
+
+    The action STOP ends the block as FAILED; any other waits for the delay, in
+    seconds (rounded up, at least 1), and tries again.
+    """
+    said = strategy(F.col(error), F.col(attempt))
+    end = F.when(F.col(ok), "SUCCEEDED").when(said["action"] == "STOP", "FAILED")
+    out = _until(attempts, block, attempt, end, said["delay"])
+    return out.select(block, F.coalesce("end", F.lit("PENDING")).alias("status"), "attempts", "waited")
+
+
+def polled_by(checks: DataFrame, key: str, attempt: str, state: str, strategy: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, outcome, checks, waited) under the caller's strategy: of a check's state and number, struct(action, delay).
+
+    COMPLETE returns the state, EXHAUSTED fails, CONTINUE waits for the delay.
+    """
+    said = strategy(F.col(state), F.col(attempt))
+    end = F.when(said["action"] == "COMPLETE", "COMPLETE").when(said["action"] == "EXHAUSTED", "MaxChecksExceeded")
+    out = _until(checks, key, attempt, end, said["delay"])
+    return out.select(key, F.coalesce("end", F.lit("CONTINUE")).alias("outcome"), F.col("attempts").alias("checks"), "waited")
+
+
+def checked(runs: DataFrame, key: str, order: str, seen: str, lost: str, initial: Column, check: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, attempt, state) of every recorded check: the state that check(state, seen) threads through a condition's runs in order.
+
+    A lost run recorded nothing: the check runs again, with the same attempt number
+    and from the initial state. A key's runs, a bounded number of polls, are folded as one array.
+    """
+    one = F.struct(F.col(order).alias("o"), F.col(seen).alias("seen"), F.coalesce(F.col(lost), F.lit(False)).alias("lost"))
+    folded = runs.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("runs"))
+    state = F.lit(None) if initial is None else initial
+    none = F.expr("filter(array(1), x -> false)")
+
+    def step(at: Column, run: Column) -> Column:
+        new = check(at["state"], run["seen"])
+        return F.when(run["lost"], F.struct(state.alias("state"), at["states"].alias("states"))).otherwise(
+            F.struct(new.alias("state"), F.concat(at["states"], F.array(new)).alias("states"))
+        )
+
+    start = F.struct(state.alias("state"), F.transform(none, lambda _: state).alias("states"))
+    states = F.aggregate("runs", start, step, lambda at: at["states"])
+    return folded.select(key, F.posexplode(states).alias("at", "state")).select(key, (F.col("at") + 1).alias("attempt"), "state")
+
+
 def attempt_names(block: Column, attempt: Column) -> tuple[Column, Column]:
     """Names of an attempt's child and of the wait after it."""
     return F.concat(F.lit("attempt-"), attempt.cast("string")), F.concat(block, F.lit("-backoff-"), attempt.cast("string"))
@@ -88,17 +153,18 @@ def polled(checks: DataFrame, key: str, attempt: str, done: Column, how: schedul
     )
 
 
-def refreshes(waiting: DataFrame, key: str, first: Column, deadline: Column, most: int = 120) -> DataFrame:
+def refreshes(waiting: DataFrame, key: str, first: Column, deadline: Column, until: Column) -> DataFrame:
     """(key, n, at): seconds at which an unchanged operation is looked up, as long as a second is left before the deadline.
 
-    A row with a deadline has all its look-ups, however many. Without one they
-    never end; of those the first `most` are given.
+    Without a deadline look-ups never end; of those, the ones up to the second
+    `until` are given (as far as a run lasted, say).
     """
-    rows = waiting.withColumns({"__first": first, "__limit": deadline})
-    last = F.when(F.col("__limit").isNull(), most).otherwise(1 + schedules.unchanged_within(F.col("__limit") - schedules.RESERVE - F.col("__first")))
+    last_at = F.coalesce(deadline - schedules.RESERVE, until)
+    rows = waiting.withColumns({"__first": first, "__last": last_at}).where("__first <= __last")
+    last = 1 + schedules.unchanged_within(F.col("__last") - F.col("__first"))
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), last.cast("int"))))
     rows = rows.withColumn("at", F.col("__first") + schedules.refresh_offset(F.col("n") - 1))
-    return rows.where(F.col("__limit").isNull() | (F.col("at") + schedules.RESERVE <= F.col("__limit"))).select(key, "n", "at")
+    return rows.where("at <= __last").select(key, "n", "at")
 
 
 def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import identity
+
 # Event of each written transition.
 EVENTS = {"START": "operation_started", "SUCCEED": "operation_succeeded", "FAIL": "operation_failed", "RETRY": "operation_retry_scheduled", "REPLAY": "operation_replayed"}
 
@@ -44,6 +47,32 @@ def hooks(op: Column, status: Column, attempt: Column, updated: Column) -> Colum
     )
 
 
+def operation_info(updates: DataFrame, keys: list[str], order: str, at: str) -> DataFrame:
+    """What a plugin is told of each operation: (keys, status, is_terminal, attempts, first_at, last_at, ended_at) from its updates."""
+    end = identity.is_terminal(F.col("status"))
+    return updates.groupBy(*keys).agg(
+        F.max_by("status", order).alias("status"),
+        F.max_by(end, F.col(order)).alias("is_terminal"),
+        F.count_if(F.col("status") == "STARTED").alias("attempts"),
+        F.min(at).alias("first_at"),
+        F.max(at).alias("last_at"),
+        F.min(F.when(end, F.col(at))).alias("ended_at"),
+    )
+
+
+def invocation_info(updates: DataFrame, execution: str, invocation: Column, order: str, at: str) -> DataFrame:
+    """What a plugin is told of each invocation: (execution, invocation, is_first, updates, started_at, ended_at, is_replay).
+
+    is_replay: whether the log had records of the execution when it began.
+    """
+    rows = updates.withColumn("invocation", invocation)
+    found = rows.groupBy(execution, "invocation").agg(
+        F.count(F.lit(1)).alias("updates"), F.min(order).alias("__order"), F.min(at).alias("started_at"), F.max(at).alias("ended_at")
+    )
+    n = F.row_number().over(W.partitionBy(execution).orderBy("__order"))
+    return found.withColumn("is_first", n == 1).withColumn("is_replay", ~F.col("is_first")).drop("__order")
+
+
 def log_line(is_replay: Column, fields: Column) -> Column:
     """A log record as JSON in the order of its fields; null where a replay already wrote it."""
     return F.when(~F.coalesce(is_replay, F.lit(False)), F.to_json(fields))

@@ -72,17 +72,26 @@ def descend(levels: list[DataFrame], keys: list[str], parents: list[str | None])
     return out
 
 
-def descendants(spark, tree_view: str, depth: int) -> DataFrame:
-    """(id, root, depth) of a view (id, parent_id) of any depth, by recursive SQL."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE down(id, root, depth) AS (
-            SELECT id, id, 0 FROM {tree_view} WHERE parent_id IS NULL
-            UNION ALL
-            SELECT t.id, d.root, d.depth + 1 FROM {tree_view} t JOIN down d ON t.parent_id = d.id WHERE d.depth < {depth})
-        SELECT id, root, depth FROM down
-        """
-    )
+def descendants(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, root, depth) of a tree (id, parent_id) of any depth, down to `depth` if given.
+
+    Steps up the tree double with each round, so it ends after as many rounds
+    as the depth has binary digits. Operations below a parent that the tree
+    doesn't hold, or in a circle, have no root and are left out.
+    """
+    from ..sources.stored import stored
+
+    none = F.col("parent_id").isNull()
+    rows = stored(tree.select("id", F.coalesce("parent_id", "id").alias("up"), F.when(none, 0).otherwise(1).alias("steps"), none.alias("done")))
+    reached, limit = 1, rows.count()
+    while reached <= limit and not rows.where("not done").isEmpty():
+        above = rows.select(F.col("id").alias("mid"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("done").alias("there"))
+        moved = rows.where("not done").join(above, F.col("up") == F.col("mid"))
+        moved = moved.select("id", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("done"))
+        rows = stored(rows.where("done").union(moved))
+        reached *= 2
+    found = rows.where("done").select("id", F.col("up").alias("root"), F.col("steps").alias("depth"))
+    return found if depth is None else found.where(F.col("depth") <= depth)
 
 
 def mismatches(log: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
@@ -116,12 +125,18 @@ def outcome(fatal: Column, panicked: Column, completed: Column, failed: Column)
     return F.when(fatal, "FATAL").when(panicked, "PANIC").when(completed & ~failed, "SUCCEEDED").when(completed, "FAILED").otherwise("PENDING")
 
 
-def decoded(payloads: DataFrame, payload: str, schema: str) -> DataFrame:
-    """payloads with value by schema and error: a payload that isn't such JSON is a recorded failure, not a stopped job."""
+def decoded(payloads: DataFrame, payload: str, schema: str, transient: Column | None = None) -> DataFrame:
+    """payloads with value by schema, error and reinvoke.
+
+    A payload that isn't such JSON is a recorded failure, not a stopped job. Where
+    transient holds (the codec could not be reached), nothing is recorded and the
+    invocation runs again.
+    """
+    again = F.lit(False) if transient is None else F.coalesce(transient, F.lit(False))
     value = F.from_json(payload, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    rows = payloads.withColumn("value", value)
+    rows = payloads.withColumn("value", value).withColumn("reinvoke", again)
     bad = F.col("value.__bad").isNotNull()
-    return rows.withColumn("error", F.when(bad, "SerializationFailed")).withColumn("value", F.when(~bad, F.col("value").dropFields("__bad")))
+    return rows.withColumn("error", F.when(bad & ~again, "SerializationFailed")).withColumn("value", F.when(~bad & ~again, F.col("value").dropFields("__bad")))
 
 
 def suspensions(events: DataFrame, execution: str, order: list[str], permits: Column, waits: Column) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, identity
+from ..functions import identity
 from ..operators import batch, combinators
 from .registry import query, table
 
 #: A total order of an order's lines.
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
+LINE_POLICY = batch.Policy(min_successful=3, tolerated_failures=1)
 LINES_SQL = f"""lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE)}) - 1 AS idx,
     l_returnflag <> 'R' AS ok FROM lineitem)"""
 EVENTS_SQL = """items AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
@@ -110,13 +111,45 @@ def batch_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.resumed(items, "user_id", "ok", batch.Policy(min_successful=38, tolerated_failures=12))
 
 
+@query(
+    f"""
+    WITH {LINES_SQL}, run AS (SELECT l_orderkey, idx, count(*) OVER (PARTITION BY l_orderkey) AS total, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS n_ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS n_failed
+        FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT l_orderkey, arg_min(CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' ELSE 'MIN_SUCCESSFUL_REACHED' END, idx) AS reason,
+        arg_min(n_ok, idx) AS n_ok, arg_min(n_failed, idx) AS n_failed, any_value(total) AS total FROM run WHERE n_failed > 1 OR n_ok + n_failed >= total OR n_ok >= 3 GROUP BY 1)
+    SELECT o_orderkey AS l_orderkey, coalesce(reason, 'ALL_COMPLETED') AS reason, coalesce(n_ok + n_failed, 0) AS settled, coalesce(n_ok, 0) AS n_ok, coalesce(n_failed, 0) AS n_failed, coalesce(total, 0) AS total
+    FROM orders LEFT JOIN e ON l_orderkey = o_orderkey
+    """
+)
+def batch_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as batches of their lines; those without lines complete at once."""
+    batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _shown(batch.completed(line_items(spark, sf_dir), "l_orderkey", "ok", LINE_POLICY, batches=batches))
+
+
+@query(
+    f"""
+    WITH {LINES_SQL}, run AS (SELECT l_orderkey, idx, count(*) OVER (PARTITION BY l_orderkey) AS total, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS n_ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS n_failed
+        FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx ROWS UNBOUNDED PRECEDING) UNION ALL
+        SELECT o_orderkey, -1, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey), 0, 0 FROM orders),
+    e AS (SELECT l_orderkey, arg_min(CASE WHEN n_ok >= 3 THEN 'CUSTOM_COMPLETION_SUCCEEDED' WHEN total - n_failed < 3 THEN 'CUSTOM_COMPLETION_FAILED' END, idx) AS reason,
+        arg_min(n_ok, idx) AS n_ok, arg_min(n_failed, idx) AS n_failed, any_value(total) AS total FROM run WHERE n_ok >= 3 OR total - n_failed < 3 GROUP BY 1)
+    SELECT l_orderkey, reason, n_ok + n_failed AS settled, n_ok, n_failed, total FROM e
+    """
+)
+def batch_predicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines have to succeed: a batch succeeds with the third, and fails as soon as too few are left."""
+    batches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    decide = lambda s: F.when(s.succeeded >= 3, "SUCCEEDED").when(s.total - s.failed < 3, "FAILED")
+    return _shown(batch.completed_by_counts(line_items(spark, sf_dir), "l_orderkey", "ok", decide, batches=batches))
+
+
 LINES_ENDED = f"""{LINES_SQL}, run AS (SELECT l_orderkey, idx, ok, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS total,
         sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS n_ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS n_failed
         FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx ROWS UNBOUNDED PRECEDING)),
     judged AS (SELECT *, CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' WHEN n_ok >= 3 THEN 'MIN_SUCCESSFUL_REACHED' END AS reason FROM run),
     ended AS (SELECT l_orderkey, min(idx) + 1 AS settled, arg_min(reason, idx) AS reason FROM judged WHERE reason IS NOT NULL GROUP BY 1),
     st AS (SELECT j.l_orderkey, j.idx, j.l_partkey, e.reason, CASE WHEN j.idx >= settled THEN 'STARTED' WHEN ok THEN 'SUCCEEDED' ELSE 'FAILED' END AS status FROM judged j JOIN ended e USING (l_orderkey))"""
-LINE_POLICY = batch.Policy(min_successful=3, tolerated_failures=1)
 
 
 @query(
@@ -130,10 +163,12 @@ LINE_POLICY = batch.Policy(min_successful=3, tolerated_failures=1)
     """
 )
 def batch_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = line_items(spark, sf_dir)
-    ended = batch.completed(items, "l_orderkey", "ok", LINE_POLICY)
-    shown = batch.views(batch.item_status(items, ended, "l_orderkey", "ok", concurrent=True), "l_orderkey", "l_partkey")
-    return shown.drop("results", "first_failed").join(ended.select("l_orderkey", "reason"), "l_orderkey")
+    return _line_views(spark, sf_dir, True).drop("results", "first_failed")
+
+
+def _line_views(spark: SparkSession, sf_dir: str, concurrent: bool) -> DataFrame:
+    items = batch.with_end(line_items(spark, sf_dir), "l_orderkey", "ok", LINE_POLICY)
+    return batch.views(batch.item_status(items, "ok", concurrent), "l_orderkey", "l_partkey", "reason")
 
 
 @query(
@@ -146,11 +181,8 @@ def batch_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def batch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = line_items(spark, sf_dir)
-    ended = batch.completed(items, "l_orderkey", "ok", LINE_POLICY)
-    shown = batch.views(batch.item_status(items, ended, "l_orderkey", "ok", concurrent=False), "l_orderkey", "l_partkey")
     failed = F.col("reason") == batch.TOO_MANY
-    return shown.join(ended.select("l_orderkey", "reason"), "l_orderkey").select(
+    return _line_views(spark, sf_dir, False).select(
         "l_orderkey",
         "reason",
         F.when(~failed, F.array_join(F.transform("results", lambda x: x.cast("string")), ",")).alias("batch_values"),
@@ -191,37 +223,62 @@ def batch_item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {LINES_SQL}, p AS (SELECT l_orderkey AS b, idx, CAST(l_orderkey AS VARCHAR) || '-' || CAST(idx + 1 AS VARCHAR) AS item FROM lines)
-    SELECT item || '-1' AS inner_op, item AS normal_parent, CAST(b AS VARCHAR) AS flat_parent, true AS item_has_record_normal, false AS item_has_record_flat FROM p
+    WITH {LINES_SQL}, p AS (SELECT CAST(l_orderkey AS VARCHAR) AS b, CAST(l_orderkey AS VARCHAR) || '-' || CAST(idx + 1 AS VARCHAR) AS item FROM lines),
+    i AS (SELECT b, item, item || '-' || unnest(range(1, 3)) AS op FROM p)
+    SELECT 'normal' AS mode, item AS op, b AS parent FROM p UNION ALL SELECT 'normal', op, item FROM i UNION ALL SELECT 'flat', op, b FROM i
     """
 )
 def batch_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.col("l_orderkey").cast("string")
-    item = identity.child_id(own, F.col("idx") + 1)
-    return line_items(spark, sf_dir).select(
-        identity.child_id(item, F.lit(1)).alias("inner_op"),
-        item.alias("normal_parent"),
-        own.alias("flat_parent"),
-        F.lit(True).alias("item_has_record_normal"),
-        F.lit(False).alias("item_has_record_flat"),
-    )
+    items = line_items(spark, sf_dir).select("l_orderkey", "idx")
+    of = lambda mode, flat: batch.item_records(items, "l_orderkey", 2, flat).select(F.lit(mode).alias("mode"), "op", "parent")
+    return of("normal", False).union(of("flat", True))
 
 
 @query(
-    """
-    WITH g AS (SELECT source, sum(octet_length(encode(text)) + 4) AS record_bytes, count(*) AS items FROM documents GROUP BY source)
-    SELECT source, items, CAST(record_bytes AS BIGINT) AS record_bytes, record_bytes > 262144 AS replay_children FROM g
+    f"""
+    WITH {LINES_SQL}, r AS (SELECT l_orderkey, count(*) AS items, '[' || string_agg('"' || l_partkey || '"', ',' ORDER BY idx) || ']' AS record FROM lines GROUP BY 1)
+    SELECT l_orderkey, items, length(record) AS record_bytes, length(record) > 24 AS replay_children FROM r
     """
 )
 def batch_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length("text") + 4).alias("record_bytes"))
-    return sizes.withColumn("replay_children", F.col("record_bytes") > codecs.INLINE_RESULT)
+    """Batches whose results are too large for a record of 24 bytes."""
+    items = line_items(spark, sf_dir).withColumns({"status": F.lit("SUCCEEDED"), "part": F.col("l_partkey").cast("string")})
+    rows = batch.views(items, "l_orderkey", "part").withColumn("record", F.to_json("results"))
+    return rows.select("l_orderkey", F.col("total_count").alias("items"), F.octet_length("record").cast("long").alias("record_bytes"), batch.oversized(F.col("record"), 24).alias("replay_children"))
+
+
+#: Recorded times of lines: they start when shipped and take their quantity in days.
+TIMES_SQL = f"""{LINES_SQL}, t AS (SELECT l_orderkey, idx, ok, epoch_us(l_shipdate) // 1000000 AS started, epoch_us(l_shipdate) // 1000000 + 86400 * CAST(l_quantity AS BIGINT) AS settled FROM lines)"""
+
 
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    started = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
+    rows = line_items(spark, sf_dir).select("l_orderkey", "idx", "ok", "l_quantity", started.alias("started"))
+    return rows.select("l_orderkey", "idx", "ok", "started", (F.col("started") + 86400 * F.col("l_quantity").cast("long")).alias("settled"))
 
-@query()
+
+@query(
+    f"""
+    WITH {TIMES_SQL}, e AS (SELECT l_orderkey, started AS sec, 1 AS change FROM t UNION ALL SELECT l_orderkey, settled, -1 FROM t),
+    s AS (SELECT l_orderkey, sum(change) OVER (PARTITION BY l_orderkey ORDER BY sec, change ROWS UNBOUNDED PRECEDING) AS running FROM e)
+    SELECT l_orderkey, CAST(max(running) AS BIGINT) AS most, max(running) <= 2 AS within_two FROM s GROUP BY 1
+    """
+)
 def batch_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = line_items(spark, sf_dir).select("l_orderkey", "idx", F.col("l_quantity").cast("long").alias("seconds"))
-    return batch.dispatched(items, "l_orderkey", "seconds", 2)
+    """The slots that recorded times show in use, against a limit of two."""
+    out = batch.at_once(timed_lines(spark, sf_dir), "l_orderkey", "started", "settled")
+    return out.select("l_orderkey", F.col("most").cast("long").alias("most"), (F.col("most") <= 2).alias("within_two"))
+
+
+@query(
+    f"""
+    WITH {LINES_SQL}, s AS (SELECT l_orderkey, idx, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY idx ROWS UNBOUNDED PRECEDING) AS settled, CAST(l_quantity AS BIGINT) AS q FROM lines)
+    SELECT l_orderkey, idx, CAST(settled - q AS BIGINT) AS started, CAST(settled AS BIGINT) AS settled FROM s
+    """
+)
+def batch_one_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = line_items(spark, sf_dir).select("l_orderkey", F.col("idx").cast("long").alias("idx"), F.col("l_quantity").cast("long").alias("seconds"))
+    return batch.one_slot(items, "l_orderkey", "seconds").drop("seconds")
 
 
 @query(
@@ -339,12 +396,19 @@ def winner_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select("l_orderkey", combinators.winner_record(F.col("size"), F.col("winner"), 150).alias("record"))
 
 
-@query()
+@query(
+    f"""
+    WITH {TIMES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY settled, idx) AS place FROM t),
+    run AS (SELECT l_orderkey, place, count(*) OVER (PARTITION BY l_orderkey) AS total, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w AS n_ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS n_failed
+        FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY place ROWS UNBOUNDED PRECEDING))
+    SELECT l_orderkey, arg_min(CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' ELSE 'MIN_SUCCESSFUL_REACHED' END, place) AS reason,
+        min(place) AS settled, CAST(arg_min(n_ok, place) AS BIGINT) AS n_ok, CAST(arg_min(n_failed, place) AS BIGINT) AS n_failed, any_value(total) AS total
+    FROM run WHERE n_failed > 1 OR n_ok + n_failed >= total OR n_ok >= 3 GROUP BY 1
+    """
+)
 def batch_concurrent_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two slots, each line taking its quantity in seconds: the policy over the order in which lines settle."""
-    items = line_items(spark, sf_dir).select("l_orderkey", "idx", "ok", F.col("l_quantity").cast("long").alias("seconds"))
-    times = batch.dispatched(items, "l_orderkey", "seconds", 2).select("l_orderkey", "idx", "settled")
-    rows = items.join(times, ["l_orderkey", "idx"]).withColumn("settle", F.struct("settled", "idx")).drop("settled")
+    """The policy over the order in which recorded times let lines settle."""
+    rows = timed_lines(spark, sf_dir).withColumn("settle", F.struct("settled", "idx"))
     return _shown(batch.completed(rows, "l_orderkey", "ok", LINE_POLICY, "settle"))
 
 
@@ -357,11 +421,8 @@ def batch_concurrent_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = line_items(spark, sf_dir)
-    ended = batch.completed(items, "l_orderkey", "ok", LINE_POLICY)
-    shown = batch.views(batch.item_status(items, ended, "l_orderkey", "ok", concurrent=True), "l_orderkey", "l_partkey")
     text = F.concat(F.col("success_count").cast("string"), F.lit(" of "), F.col("total_count").cast("string"))
-    return shown.join(ended.select("l_orderkey", "reason"), "l_orderkey").select("l_orderkey", batch.summary_record("MapResult", F.col("reason"), text).alias("record"))
+    return _line_views(spark, sf_dir, True).select("l_orderkey", batch.summary_record("MapResult", F.col("reason"), text).alias("record"))
 
 
 @query("SELECT l_orderkey, count(*) + 1 AS number, sha256(CAST(count(*) + 1 AS VARCHAR)) AS wire_id FROM lineitem GROUP BY l_orderkey")

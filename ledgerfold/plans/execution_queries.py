@@ -129,16 +129,38 @@ def retry_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("d", decision).select("o_orderkey", "attempt", "retryable", "d.action", "d.delay")
 
 
-@query()
+@query("SELECT o_orderkey, least(5.0::DOUBLE * pow(2.0::DOUBLE, o_orderkey % 5), 60.0::DOUBLE) AS base, true AS inside FROM orders")
 def retry_jitter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full and half jitter of each order's delay with whether it keeps its bounds."""
+    """Each order's delay with whether full and half jitter keep their bounds."""
     how = schedules.PRESETS["default"]
     base = schedules.base_delay(F.col("o_orderkey") % 5 + 1, how)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base"))
     kinds = {k: schedules.jittered(F.col("base"), k, 11) for k in ("half", "full")}
     rows = rows.select("*", *(c.alias(k) for k, c in kinds.items()))
     inside = (F.col("half").between(F.col("base") / 2, F.col("base"))) & F.col("full").between(F.lit(0), F.col("base"))
-    return rows.withColumn("inside", inside)
+    return rows.select("o_orderkey", "base", inside.alias("inside"))
+
+
+@query(
+    """
+    WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events),
+    d AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' ELSE CASE WHEN event_type = 'error' AND n >= 2 OR n >= 6 THEN 'FAILED' END END AS done, CASE event_type WHEN 'view' THEN 1.2 ELSE n * 2.0 END AS delay FROM a),
+    e AS (SELECT user_id, min(n) FILTER (done IS NOT NULL) AS hit, max(n) AS last FROM d GROUP BY 1)
+    SELECT d.user_id, coalesce(max(done) FILTER (n = hit), 'PENDING') AS status, coalesce(any_value(hit), any_value(last)) AS attempts,
+        CAST(coalesce(sum(greatest(1, ceil(delay))) FILTER (n < coalesce(hit, last)), 0) AS BIGINT) AS waited
+    FROM d JOIN e USING (user_id) GROUP BY d.user_id
+    """
+)
+def retry_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's strategy: errors are retried once, anything else five times, views soon and others with growing delay."""
+    from .batch_queries import event_items
+
+    def strategy(error, attempt):
+        stop = (error == "error") & (attempt >= 2) | (attempt >= 6)
+        return F.struct(F.when(stop, "STOP").otherwise("RETRY").alias("action"), F.when(error == "view", 1.2).otherwise(attempt * 2.0).alias("delay"))
+
+    rows = event_items(spark, sf_dir).select("user_id", (F.col("idx") + 1).cast("long").alias("n"), (F.col("event_type") == "purchase").alias("ok"), "event_type")
+    return execution.retried_by(rows, "user_id", "n", "ok", "event_type", strategy)
 
 
 @query(
@@ -181,17 +203,18 @@ def poll_until(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(o_orderkey % 20 AS INT) END AS first, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 900 AS INT) END AS deadline FROM orders WHERE o_orderkey % 50 = 0),
-    r(o_orderkey, n, sec, deadline) AS (SELECT o_orderkey, 1, first, deadline FROM w UNION ALL
-        SELECT o_orderkey, n + 1, sec + CASE WHEN n > 95 THEN 60 ELSE least(n, 10) END, deadline FROM r WHERE n < 120)
-    SELECT o_orderkey, n, CAST(sec AS BIGINT) AS at_second FROM r WHERE deadline IS NULL OR sec + 1 <= deadline
+    WITH w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey % 20 END AS first, CASE WHEN o_orderkey % 40 = 1 THEN 1200 WHEN o_orderkey % 4 > 0 THEN o_orderkey % 200 END AS deadline FROM orders),
+    d AS (SELECT CAST(n AS INT) AS n, coalesce(sum(CASE WHEN n > 95 THEN 60 ELSE least(n, 10) END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM range(1, 400) t(n))
+    SELECT o_orderkey, n, CAST(first + after AS BIGINT) AS at_second FROM w JOIN d ON first + after <= coalesce(deadline - 1, 300)
     """
 )
 def refresh_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a waiting operation; those without a deadline up to second 300."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where(k % 50 == 0).select("o_orderkey")
-    first = F.when(k % 3 == 0, schedules.FIRST_REFRESH).otherwise((k % 20).cast("int"))
-    out = execution.refreshes(rows, "o_orderkey", first, F.when(k % 4 > 0, (k % 900).cast("int")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    first = F.when(k % 3 == 0, schedules.FIRST_REFRESH).otherwise(k % 20)
+    deadline = F.when(k % 40 == 1, 1200).when(k % 4 > 0, k % 200)
+    out = execution.refreshes(rows, "o_orderkey", first, deadline, F.lit(300))
     return out.select("o_orderkey", "n", F.col("at").cast("long").alias("at_second"))
 
 
@@ -216,16 +239,14 @@ def event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE event_type = 'click'),
-    g AS (SELECT user_id, sec, lead(sec) OVER (PARTITION BY user_id ORDER BY sec) - sec AS silent FROM e)
+    WITH e AS (SELECT DISTINCT user_id, event_type, epoch_us(ts) // 1000000 AS sec FROM events), last AS (SELECT max(sec) AS sec FROM e),
+    b AS (SELECT user_id, sec FROM e WHERE event_type = 'click' UNION ALL SELECT user_id, sec FROM e WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'click')),
+    g AS (SELECT user_id, sec, coalesce(lead(sec) OVER (PARTITION BY user_id ORDER BY sec), (SELECT sec FROM last)) - sec AS silent FROM b)
     SELECT user_id, min(sec) AS second, arg_min(silent, sec) AS silent FROM g WHERE silent > 172800 GROUP BY user_id
     """
 )
 def heartbeat_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first click that two days of silence followed, up to the last event; of a user who never clicked, the signup.
-
-    The SQL takes no last click and no signup. Both agree where each user has an earlier gap.
-    """
+    """Each user's first click that two days of silence followed, up to the last event; of a user who never clicked, the signup."""
     rows = event_seconds(spark, sf_dir)
     of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "at").distinct()
     beats, end = of("click"), rows.agg(F.max("at")).scalar()
@@ -254,7 +275,7 @@ def rebuild_resolves(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH o AS (SELECT o_orderkey, {ORDER_STATUS} AS status, o_orderkey % 5 = 0 AS updated FROM orders), t AS (SELECT unnest(['step', 'wait', 'invoke', 'create_callback', 'run_in_child_context']) AS op)
     SELECT o_orderkey, op, CASE WHEN status IS NULL AND op = 'step' THEN 'start(false), attempt start' WHEN status IS NULL THEN 'start(false)'
-        WHEN op = 'step' THEN CASE status WHEN 'STARTED' THEN 'start(true), attempt start' WHEN 'READY' THEN 'start(true), attempt start' END
+        WHEN op = 'step' THEN CASE status WHEN 'STARTED' THEN 'start(true), attempt start' WHEN 'READY' THEN CASE WHEN o_orderkey % 3 > 0 THEN 'start(true), attempt start' ELSE 'start(false), attempt start' END END
         WHEN status IN ('STARTED', 'PENDING', 'READY') THEN 'start(true)'
         WHEN op = 'wait' AND status = 'SUCCEEDED' OR op IN ('invoke', 'create_callback') AND status IN ('SUCCEEDED', 'FAILED', 'TIMED_OUT', 'STOPPED', 'CANCELLED') THEN CASE WHEN updated THEN 'end(false)' ELSE 'end(true)' END
         END AS hooks FROM o, t
@@ -265,21 +286,21 @@ def hook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ops = F.explode(F.array(*map(F.lit, ("step", "wait", "invoke", "create_callback", "run_in_child_context")))).alias("op")
     rows = orders(spark, sf_dir).select("o_orderkey", "status", (F.col("o_orderkey") % 5 == 0).alias("updated"), ops)
-    return rows.select("o_orderkey", "op", hooks(F.col("op"), F.col("status"), F.lit(2), F.col("updated")).alias("hooks"))
+    return rows.select("o_orderkey", "op", hooks(F.col("op"), F.col("status"), F.col("o_orderkey") % 3 + 1, F.col("updated")).alias("hooks"))
 
 
 @query(
     """
-    WITH u AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'view' THEN 'START' WHEN 'purchase' THEN 'SUCCEED' WHEN 'error' THEN 'FAIL' WHEN 'click' THEN 'RETRY' END AS action, event_id % 11 > 0 AS written FROM events)
-    SELECT event_id, CASE action WHEN 'START' THEN 'operation_started' WHEN 'SUCCEED' THEN 'operation_succeeded' WHEN 'FAIL' THEN 'operation_failed' WHEN 'RETRY' THEN 'operation_retry_scheduled' END AS event,
-        false AS is_replay FROM u WHERE action IS NOT NULL AND written
+    WITH u AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'view' THEN 'START' WHEN 'purchase' THEN 'SUCCEED' WHEN 'error' THEN 'FAIL' WHEN 'click' THEN 'RETRY' WHEN 'signup' THEN 'REPLAY' END AS action, event_id % 11 > 0 AS written FROM events)
+    SELECT event_id, CASE action WHEN 'START' THEN 'operation_started' WHEN 'SUCCEED' THEN 'operation_succeeded' WHEN 'FAIL' THEN 'operation_failed' WHEN 'RETRY' THEN 'operation_retry_scheduled' ELSE 'operation_replayed' END AS event,
+        action = 'REPLAY' AS is_replay FROM u WHERE action IS NOT NULL AND (written OR action = 'REPLAY')
     """
 )
 def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lifecycle import emitted
 
     kind = F.col("event_type")
-    action = F.when(kind == "view", "START").when(kind == "purchase", "SUCCEED").when(kind == "error", "FAIL").when(kind == "click", "RETRY")
+    action = F.when(kind == "view", "START").when(kind == "purchase", "SUCCEED").when(kind == "error", "FAIL").when(kind == "click", "RETRY").when(kind == "signup", "REPLAY")
     rows = table(spark, sf_dir, "events").select("event_id", action.alias("action"), (F.col("event_id") % 11 > 0).alias("written"))
     return emitted(rows, "action", "written").select("event_id", "event", "is_replay")
 
@@ -329,3 +350,61 @@ def child_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     result, replay = execution.child_record(F.repeat("text", F.lit(60)), INLINE_RESULT)
     return table(spark, sf_dir, "documents").select("doc_id", replay.alias("replay_children"), F.sha2(result.cast("binary"), 256).alias("recorded"))
+
+
+@query(
+    """
+    WITH a AS (SELECT user_id, event_type = 'error' AS lost, event_id % 10 AS seen, row_number() OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS losses FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY n) AS attempt, sum(seen) OVER (PARTITION BY user_id, losses ORDER BY n ROWS UNBOUNDED PRECEDING) AS state FROM a WHERE NOT lost),
+    e AS (SELECT user_id, min(attempt) FILTER (state >= 25) AS hit, min(attempt) FILTER (attempt >= 7) AS spent, max(attempt) AS last FROM c GROUP BY 1),
+    f AS (SELECT user_id, CASE WHEN hit <= coalesce(spent, hit) THEN 'COMPLETE' WHEN spent IS NOT NULL THEN 'MaxChecksExceeded' ELSE 'CONTINUE' END AS outcome, coalesce(least(hit, spent), last) AS checks FROM e)
+    SELECT user_id, outcome, checks, CAST((checks - 1) * 5 AS BIGINT) AS waited, CAST(state AS BIGINT) AS state FROM f JOIN c USING (user_id) WHERE attempt = checks
+    """
+)
+def poll_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that add up what they see; an error loses a check, which runs again from 0. The strategy is the caller's."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 10).alias("seen"), (F.col("event_type") == "error").alias("lost"))
+    states = execution.checked(rows, "user_id", "event_id", "seen", "lost", F.lit(0).cast("long"), lambda state, seen: state + seen)
+    states = states.withColumn("attempt", F.col("attempt").cast("long"))
+    how = lambda state, attempt: F.struct(
+        F.when(state >= 25, "COMPLETE").when(attempt >= 7, "EXHAUSTED").otherwise("CONTINUE").alias("action"), F.lit(4.5).alias("delay")
+    )
+    out = execution.polled_by(states, "user_id", "attempt", "state", how)
+    last = states.select(F.col("user_id").alias("u"), "attempt", "state")
+    return out.join(last, (F.col("user_id") == F.col("u")) & (F.col("checks") == F.col("attempt"))).select("user_id", "outcome", "checks", "waited", "state")
+
+
+@query(
+    """
+    WITH c AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS attempt, o_orderstatus = 'F' AS done FROM orders)
+    SELECT o_orderkey, attempt, CASE WHEN done THEN 'COMPLETE' WHEN attempt >= 5 THEN 'EXHAUSTED' ELSE 'CONTINUE' END AS action,
+        CASE WHEN NOT done AND attempt < 5 THEN CAST(round(least(5.0::DOUBLE * pow(1.5::DOUBLE, attempt - 1), 300.0::DOUBLE)) AS INT) END AS delay FROM c
+    """
+)
+def poll_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    rows = table(spark, sf_dir, "orders").withColumn("attempt", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+    decision = schedules.poll_decision(F.col("o_orderstatus") == "F", F.col("attempt"), schedules.Backoff(5, 5.0, 300.0, 1.5))
+    return rows.withColumn("d", decision).select("o_orderkey", "attempt", "d.action", "d.delay")
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderstatus = 'F' AS is_replay, CASE WHEN o_orderstatus = 'F' THEN 'kept ' || o_custkey ELSE lower(o_orderpriority) END AS value,
+        o_orderpriority AS passed, '{"key":' || o_orderkey || ',"who":"' || o_custkey || '"}' AS sent FROM orders
+    """
+)
+def codec_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with a caller's codec that loses case: a live value is read back from what is recorded. Inputs pass as they are or are only written."""
+    from ..functions import codecs
+
+    rows = table(spark, sf_dir, "orders")
+    codec = codecs.Codec(lambda value: F.base64(F.lower(value).cast("binary")), lambda text: F.unbase64(text).cast("string"))
+    held = F.base64(F.concat(F.lit("kept "), "o_custkey").cast("binary"))
+    log = rows.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("STARTED").alias("status"), held.alias("result"))
+    out = execution.stepped(rows.select("o_orderkey", "o_custkey", "o_orderpriority"), log, "o_orderkey", F.col("o_orderpriority"), codec=codec)
+    one_way = codecs.Codec(F.to_json)
+    passed = codecs.PASSTHROUGH.read(codecs.PASSTHROUGH.write(F.col("o_orderpriority")))
+    sent = one_way.write(F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("who")))
+    return out.select("o_orderkey", "is_replay", "value", passed.alias("passed"), sent.alias("sent"))

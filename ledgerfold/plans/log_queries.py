@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity
+from ..functions import errors, identity
 from ..operators import log
 from ..sources.stored import stored
 from .registry import query, table
@@ -103,8 +103,7 @@ def op_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(t("customer", "c_custkey", "c_nationkey", "c", "n"))
         .union(t("orders", "o_orderkey", "o_custkey", "o", "c"))
     )
-    tree.createOrReplaceTempView("ledgerfold_tree")
-    return log.descendants(spark, "ledgerfold_tree", 2).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("operations"))
+    return log.descendants(tree, 2).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("operations"))
 
 
 TYPES_SQL = """a AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'ChainedInvoke' WHEN 'F' THEN 'STEP' END AS op_type,
@@ -143,9 +142,9 @@ def determinism_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.mismatches(held, claimed, "o_orderkey")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def virtual_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_orderstatus")
+    held = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     virtual = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return log.virtual_conflicts(held, virtual, "o_orderkey")
 
@@ -160,12 +159,15 @@ def replay_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'FATAL' WHEN o_orderkey % 17 = 0 THEN 'PANIC' WHEN o_orderstatus = 'F' AND o_orderkey % 5 > 0 THEN 'SUCCEEDED'
-        WHEN o_orderstatus = 'F' THEN 'FAILED' ELSE 'PENDING' END AS outcome FROM orders
+        WHEN o_orderstatus = 'F' THEN 'FAILED' ELSE 'PENDING' END AS outcome,
+        CASE WHEN o_orderkey % 31 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'INVOCATION' ELSE 'EXECUTION' END END AS scope FROM orders
     """
 )
 def invocation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", log.outcome(k % 31 == 0, k % 17 == 0, F.col("o_orderstatus") == "F", k % 5 == 0).alias("outcome"))
+    outcome = log.outcome(k % 31 == 0, k % 17 == 0, F.col("o_orderstatus") == "F", k % 5 == 0)
+    scope = F.when(outcome == "FATAL", errors.scope(k % 2 == 0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", outcome.alias("outcome"), scope.alias("scope"))
 
 
 @query(
@@ -212,3 +214,34 @@ def error_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), none, F.col("n_nationkey").cast("long"), F.lit("FAILED"), none))
     )
     return log.propagated(stored(rows), "id", "parent")
+
+
+@query(
+    f"""
+    WITH u AS (SELECT user_id, event_id % 8 AS op, event_id AS seq, {STATUS_SQL} AS status, epoch_us(ts) // 1000000 AS sec FROM events)
+    SELECT user_id, op, arg_max(status, seq) AS status, arg_max(status, seq) IN ('SUCCEEDED', 'FAILED') AS is_terminal, count(*) FILTER (status = 'STARTED') AS attempts, min(sec) AS first_at, max(sec) AS last_at,
+        min(sec) FILTER (status IN ('SUCCEEDED', 'FAILED')) AS ended_at FROM u GROUP BY ALL
+    """
+)
+def operation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import lifecycle
+
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").select("event_id", at.alias("at")).join(updates(spark, sf_dir), F.col("event_id") == F.col("seq"))
+    return lifecycle.operation_info(rows, ["user_id", "op"], "seq", "at")
+
+
+@query(
+    """
+    WITH u AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS sec, event_id // 500 AS invocation FROM events),
+    g AS (SELECT user_id, invocation, count(*) AS updates, min(sec) AS started_at, max(sec) AS ended_at FROM u GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY invocation) = 1 AS is_first, row_number() OVER (PARTITION BY user_id ORDER BY invocation) > 1 AS is_replay FROM g
+    """
+)
+def invocation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each invocation writes what has event ids of one block of 500."""
+    from ..operators import lifecycle
+
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at"))
+    return lifecycle.invocation_info(rows, "user_id", F.expr("event_id div 500"), "event_id", "at")

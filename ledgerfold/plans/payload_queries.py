@@ -119,9 +119,10 @@ def path_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, '{\"id\":' || event_id || ',\"user\":{\"name\":\"***\",\"k\":' || json_extract_string(props, '$.k') || '}}' AS preview FROM events")
 def preview_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preview of payloads with a fixed schema: the mask is a literal."""
-    rows = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int"))
-    return rows.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.lit("***").alias("name"), F.col("p.k").alias("k")).alias("user"))).alias("preview"))
+    """A preview of payloads with a fixed schema: of these fields, only some are shown."""
+    fields = {"id": F.col("event_id"), "user.name": F.col("event_type"), "user.k": F.from_json("props", "k int")["k"], "user.secret": F.col("ts").cast("string"), "value": F.col("value")}
+    how = codecs.Preview(include=("id", "user.k"), mask=("name",), exclude=("user.secret",))
+    return table(spark, sf_dir, "events").select("event_id", codecs.preview_of(fields, how).alias("preview"))
 
 
 @query("SELECT event_id, '{\"id\":' || event_id || ',\"user\":{\"email\":\"***\"},\"k\":' || json_extract_string(props, '$.k') || '}' AS preview FROM events")
@@ -154,13 +155,20 @@ def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    " UNION ALL ".join(
-        f"SELECT '{kind}' AS kind, '{wire}' AS wire, '{reason}' AS reason" for kind, (wire, reasons) in errors.KINDS.items() for reason in reasons
-    )
+    """
+    WITH k(kind, wire, reasons) AS (VALUES ('Step', 'StepError', 'ExecutionFailed,SerializationFailed,Interrupted'), ('Wait', 'WaitError', 'UnexpectedStatus'), ('Invoke', 'InvokeError', 'FunctionFailed,SerializationFailed'),
+        ('Callback', 'CallbackError', 'TimedOut,HeartbeatTimedOut,ExternalFailure,DeserializationFailed,Internal,SubmitterFailed'), ('WaitForCondition', 'WaitForConditionError', 'CheckFailed,MaxChecksExceeded,SerializationFailed'),
+        ('ChildContext', 'ChildContextError', 'ChildFailed,Internal,BatchCompletionFailed,NotCompleted'), ('Combinator', 'PromiseCombinatorError', 'JoinFailed,AllFailed,FirstSettledFailed,EmptyInput,Internal'),
+        ('NonDeterministicExecution', 'NonDeterministicExecutionError', 'OperationMismatch,UnrecognizedStatus')),
+    o AS (SELECT o_orderkey, ['Step', 'Wait', 'Invoke', 'Callback', 'WaitForCondition', 'ChildContext', 'Combinator', 'NonDeterministicExecution'][o_orderkey % 8 + 1] AS kind FROM orders)
+    SELECT o_orderkey, kind, wire, unnest(string_split(reasons, ',')) AS reason FROM o JOIN k USING (kind)
+    """
 )
 def error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(kind, reason) for kind, (_, reasons) in errors.KINDS.items() for reason in reasons]
-    return spark.createDataFrame(rows, "kind string, reason string").select("kind", errors.wire_type(F.col("kind")).alias("wire"), "reason")
+    """The reasons that each failed order's error may have, by its kind."""
+    kind = F.element_at(F.array(*map(F.lit, errors.KINDS)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+    return rows.select("o_orderkey", "kind", errors.wire_type(F.col("kind")).alias("wire"), F.explode(errors.reasons(F.col("kind"))).alias("reason"))
 
 
 @query(
@@ -201,10 +209,28 @@ def bootstrap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT CAST(unnest(range(0, 1000)) AS BIGINT) AS op, CAST(unnest(range(0, 1000)) // 64 AS INT) AS page")
+@query(
+    """
+    WITH n AS (SELECT o_custkey, o_orderkey, o_orderstatus, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS page FROM orders),
+    kept AS (SELECT * FROM n WHERE NOT (o_custkey % 5 = 0 AND page >= 3))
+    SELECT o_custkey, 'op' || o_orderkey % 7 AS op, arg_max('order ' || o_orderkey, o_orderkey) AS result, arg_max(o_orderstatus, o_orderkey) AS status, CAST(max(page) AS INT) AS page FROM kept GROUP BY ALL
+    """
+)
 def paged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(paged.PagedState)
-    return spark.read.format("ledgerfold_pages").option("operations", 1000).option("page", 64).load()
+    """Customers' orders as pages of three records behind markers, of which some chains break off; later pages replace records."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").withColumn("page", F.floor((F.row_number().over(order) - 1) / 3).cast("int"))
+    record = F.struct(F.concat(F.lit("op"), F.col("o_orderkey") % 7).alias("op"), F.concat(F.lit("order "), "o_orderkey").alias("result"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("k"))
+    pages = rows.groupBy("o_custkey", "page").agg(F.array_sort(F.collect_list(record)).alias("held"))
+    # of a page's records of one operation the last counts
+    newest = F.filter("held", lambda x: ~F.exists("held", lambda y: (y["op"] == x["op"]) & (y["k"] > x["k"])))
+    name = lambda n: F.when(n > 0, F.concat(F.lit("m"), n.cast("string")))
+    more = (F.col("page") < F.max("page").over(W.partitionBy("o_custkey"))) & ~((F.col("o_custkey") % 5 == 0) & (F.col("page") == 2))
+    pages = pages.select("o_custkey", newest.alias("operations"), name(F.col("page")).alias("marker"), F.when(more, name(F.col("page") + 1)).alias("next_marker"))
+    found = paged.followed(pages, "o_custkey", "marker", "next_marker")
+    return paged.state_of(found, "o_custkey", "operations", "op").select("o_custkey", "op", "result", "status", F.col("page_number").cast("int").alias("page"))
 
 
 @query(
@@ -221,14 +247,15 @@ def token_withdrawal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT event_id, CASE WHEN event_id % 10 > 0 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 10 = 0 THEN 'SerializationFailed' END AS error FROM events
+    SELECT event_id, CASE WHEN event_id % 10 > 0 AND event_id % 7 > 0 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 10 = 0 AND event_id % 7 > 0 THEN 'SerializationFailed' END AS error, event_id % 7 = 0 AS reinvoke FROM events
     """
 )
 def payload_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.log import decoded
 
     payload = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{broken"), "props")).otherwise(F.col("props"))
-    return decoded(table(spark, sf_dir, "events").select("event_id", payload.alias("payload")), "payload", "k int").select("event_id", "value.k", "error")
+    rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return decoded(rows, "payload", "k int", F.col("event_id") % 7 == 0).select("event_id", "value.k", "error", "reinvoke")
 
 
 @query(

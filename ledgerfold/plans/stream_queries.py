@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import schedules
 from ..sources.stored import shared_folder
 from ..streaming import sink, timers
 from .registry import query
@@ -57,7 +58,29 @@ def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(timers.outcomes(rows, timers.Wait(3600))).drop("batch")
 
 
-@query()
+#: A user's events of some kinds in order, numbered.
+EVENTS_SQL = """e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, CASE event_type {kinds} END AS kind FROM events),
+    s AS (SELECT user_id, ms, kind, row_number() OVER (PARTITION BY user_id ORDER BY ms, kind) AS n FROM e WHERE kind IS NOT NULL),
+    top AS (SELECT max(ms) AS ms FROM s)"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE {EVENTS_SQL.format(kinds="WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'heartbeat'")},
+    r(user_id, n, created, beat, outcome, out_at) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM s UNION ALL
+        SELECT user_id, n, CASE WHEN kind = 'create' AND open IS NULL THEN ms WHEN kind = 'complete' THEN NULL ELSE open END,
+            CASE WHEN kind = 'create' AND open IS NULL THEN ms WHEN kind = 'heartbeat' AND open IS NOT NULL THEN ms WHEN open IS NOT NULL AND kind <> 'complete' THEN beat END,
+            CASE WHEN late AND by_beat THEN 'HEARTBEAT_TIMED_OUT' WHEN late THEN 'TIMED_OUT' WHEN kind = 'complete' AND open IS NOT NULL THEN 'SUCCEEDED' END,
+            CASE WHEN late THEN due WHEN kind = 'complete' AND open IS NOT NULL THEN ms END
+        FROM (SELECT *, CASE WHEN late THEN NULL ELSE created END AS open FROM (SELECT *, coalesce(ms > due, false) AS late FROM (
+            SELECT s.*, r.created, r.beat, least(r.created + 345600000, r.beat + 172800000) AS due, r.beat + 172800000 <= r.created + 345600000 AS by_beat FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)))),
+    last AS (SELECT user_id, arg_max(created, n) FILTER (true) AS created, max(n) AS n FROM r GROUP BY user_id),
+    left_open AS (SELECT r.user_id, r.created, r.beat FROM r JOIN last USING (user_id, n) WHERE r.created IS NOT NULL)
+    SELECT CAST(user_id AS VARCHAR) AS key, outcome, out_at AS at_ms FROM r WHERE outcome IS NOT NULL UNION ALL
+    SELECT CAST(user_id AS VARCHAR), CASE WHEN beat + 172800000 <= created + 345600000 THEN 'HEARTBEAT_TIMED_OUT' ELSE 'TIMED_OUT' END, least(created + 345600000, beat + 172800000)
+        FROM left_open, top WHERE least(created + 345600000, beat + 172800000) <= top.ms
+    """
+)
 def stream_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"signup": "create", "purchase": "complete", "click": "heartbeat"})
     return run_to_end(timers.outcomes(rows, timers.Callback(86400 * 4, 86400 * 2))).drop("batch")
@@ -76,6 +99,58 @@ def stream_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(timers.outcomes(rows, timers.Poll(3), timed=False)).drop("batch")
 
 
+@query(
+    f"""
+    WITH RECURSIVE {EVENTS_SQL.format(kinds="WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'done'")},
+    r(user_id, n, failed, due, ready_at, outcome, out_at) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, -1::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM s UNION ALL
+        SELECT user_id, n, CASE WHEN idle THEN failed WHEN kind = 'done' OR failed >= 3 THEN -1 ELSE failed + 1 END,
+            CASE WHEN idle THEN due WHEN kind = 'done' OR failed >= 3 THEN -1 ELSE ms + CASE failed WHEN 0 THEN 3600000 WHEN 1 THEN 7200000 ELSE 86400000 END END,
+            CASE WHEN NOT idle AND due >= 0 THEN due END, CASE WHEN idle THEN NULL WHEN kind = 'done' THEN 'SUCCEEDED' WHEN failed >= 3 THEN 'FAILED' END, CASE WHEN NOT idle THEN ms END
+        FROM (SELECT s.*, r.failed, r.due, r.failed < 0 OR r.due > s.ms AS idle FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))
+    SELECT CAST(user_id AS VARCHAR) AS key, 'READY' AS outcome, ready_at AS at_ms FROM r WHERE ready_at IS NOT NULL UNION ALL
+    SELECT CAST(user_id AS VARCHAR), outcome, out_at FROM r WHERE outcome IS NOT NULL UNION ALL
+    SELECT CAST(user_id AS VARCHAR), 'READY', due FROM (SELECT user_id, arg_max(due, n) AS due FROM r GROUP BY user_id), top WHERE due BETWEEN 0 AND top.ms
+    """
+)
+def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"error": "fail", "purchase": "done"})
+    return run_to_end(timers.outcomes(rows, timers.Retry([3600, 7200, 86400]))).drop("batch")
+
+
+@query(
+    f"""
+    WITH RECURSIVE {EVENTS_SQL.format(kinds="WHEN 'signup' THEN 'wait' WHEN 'purchase' THEN 'done'")},
+    offsets AS MATERIALIZED (SELECT k, 1000 + coalesce(sum(1000 * CASE WHEN k > 95 THEN 60 ELSE least(k, 10) END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM range(1, 200) t(k)),
+    r(user_id, n, began, ended) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM s UNION ALL
+        SELECT s.user_id, s.n, CASE WHEN kind = 'done' THEN NULL WHEN began IS NULL OR s.ms > gone THEN s.ms ELSE began END, CASE WHEN kind = 'done' OR s.ms > gone THEN began END
+        FROM (SELECT *, began + (SELECT max(off) FROM offsets WHERE off <= 600000) AS gone FROM r) r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1),
+    waits AS (SELECT user_id, began, min(n) AS n FROM r WHERE began IS NOT NULL GROUP BY ALL),
+    ends AS (SELECT w.user_id, w.began, min(s.ms) AS done FROM waits w LEFT JOIN s ON s.user_id = w.user_id AND s.kind = 'done' AND s.n > w.n GROUP BY ALL)
+    SELECT CAST(user_id AS VARCHAR) AS key, 'LOOKED_UP' AS outcome, CAST(began + off AS BIGINT) AS at_ms FROM ends, offsets, top
+    WHERE off <= 600000 AND began + off < coalesce(done, began + off + 1) AND began + off <= top.ms
+    """
+)
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir, {"signup": "wait", "purchase": "done"})
+    return run_to_end(timers.outcomes(rows, timers.Refresh(schedules.FIRST_REFRESH, 600))).drop("batch")
+
+
+@query(
+    f"""
+    WITH RECURSIVE {EVENTS_SQL.format(kinds="WHEN 'view' THEN 'check' WHEN 'error' THEN 'lost'")},
+    r(user_id, n, checks, state, outcome, out_at) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, 0, NULL::VARCHAR, NULL::BIGINT FROM s UNION ALL
+        SELECT s.user_id, s.n, CASE WHEN kind = 'lost' THEN checks ELSE checks + 1 END, CASE WHEN kind = 'lost' THEN 0 ELSE state + 1 END,
+            CASE WHEN kind = 'check' AND state + 1 >= 4 THEN 'COMPLETE' WHEN kind = 'check' AND checks + 1 >= 9 THEN 'MaxChecksExceeded' END, s.ms
+        FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1 WHERE outcome IS NULL)
+    SELECT CAST(user_id AS VARCHAR) AS key, outcome, out_at AS at_ms FROM r WHERE outcome IS NOT NULL
+    """
+)
+def stream_poll_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls for four views in a row without an error, which loses a check and its state."""
+    rows = event_stream(spark, sf_dir, {"view": "check", "error": "lost"})
+    return run_to_end(timers.outcomes(rows, timers.Poll(9, goal=4), timed=False)).drop("batch")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS key, 'fail' AS kind, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'error'")
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"error": "fail"})

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators import log
 
 RECORD = "struct<Id:string,ParentId:string,Type:string,SubType:string,Name:string,Status:string,Result:string,Attempt:int>"
 
@@ -19,41 +18,22 @@ def operations(envelopes: DataFrame, column: str) -> DataFrame:
     return rows.select("arn", *(F.col(f"o.{a}").alias(b) for a, b in names.items()))
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int, first: int, end: int) -> None:
-        self.number, self.first, self.end = number, first, end
-
+def followed(pages: DataFrame, execution: str, marker: str, next_marker: str) -> DataFrame:
+    """pages with number: those that following each page's next marker reaches, from the first (without a marker) on.
 
-class PagedState(DataSource):
-    """A source of numbered operations in pages, one partition a page.
-
-    It stands for a service that hands out state page by page: subclass it and
-    override `fetch` to read a page of a real one.
+    Pages that no chain leads to are left out, a page is taken once. However long
+    a chain is, the rounds are as many as its length has binary digits.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "ledgerfold_pages"
-
-    def schema(self) -> str:
-        return "op bigint, page int"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Pages(int(self.options.get("operations", "0")), int(self.options.get("page", "100")), self.fetch)
-
-    @staticmethod
-    def fetch(number: int, first: int, end: int) -> Iterator[tuple]:
-        return ((i, number) for i in range(first, end))
-
-
-class _Pages(DataSourceReader):
-    def __init__(self, total: int, size: int, fetch) -> None:
-        if size < 1:
-            raise ValueError("a page holds an operation")
-        self.total, self.size, self.fetch = total, size, fetch
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(i, a, min(a + self.size, self.total)) for i, a in enumerate(range(0, self.total, self.size))]
-
-    def read(self, page: _Page) -> Iterator[tuple]:
-        return self.fetch(page.number, page.first, page.end)
+    name = lambda m: F.struct(F.col(execution).alias("execution"), F.coalesce(m, F.lit("")).alias("marker"))
+    once = pages.dropDuplicates([execution, marker])
+    before = once.where(F.col(next_marker).isNotNull()).select(name(F.col(next_marker)).alias("id"), name(F.col(marker)).alias("from"))
+    tree = once.select(name(F.col(marker)).alias("id"), F.col(marker).isNull().alias("first")).join(before, "id", "left")
+    tree = tree.where(F.col("first") | F.col("from").isNotNull()).select("id", F.when(~F.col("first"), F.col("from")).alias("parent_id"))
+    found = log.descendants(tree.groupBy("id").agg(F.min("parent_id").alias("parent_id"))).select("id", F.col("depth").alias("number"))
+    return once.withColumn("id", name(F.col(marker))).join(found, "id").drop("id")
+
+
+def state_of(pages: DataFrame, execution: str, operations_col: str, key: str) -> DataFrame:
+    """The state that numbered pages of operations (an array of structs) give, with page_number: of a record that several pages hold, the last page's."""
+    rows = pages.select(execution, F.col("number").alias("page_number"), F.explode(operations_col).alias("o")).select(execution, "page_number", "o.*")
+    return log.state(rows, [execution, key], ["page_number"])

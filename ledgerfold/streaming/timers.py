@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import schedules
+
 OUT = "key string, outcome string, at_ms long"
 
 
@@ -107,29 +109,138 @@ class Callback(StatefulProcessor):
 
 
 class Poll(StatefulProcessor):
-    """A `check` row is one poll; after so many without `done` the condition is MaxChecksExceeded."""
+    """A `check` row is one poll, which counts up the condition's state; `done` ends it, after so many checks it is MaxChecksExceeded.
+
+    With `goal`, a state of that many checks in a row is enough. A `lost` row is
+    a check whose outcome wasn't recorded: it keeps its number and the state
+    starts again from 0.
+    """
 
-    def __init__(self, most: int) -> None:
-        self.most = most
+    def __init__(self, most: int, goal: int = 0) -> None:
+        self.most, self.goal = most, goal
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.checks = handle.getValueState("checks", "n int")
+        self.checks = handle.getValueState("checks", "n int, state int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = sorted((t, k) for pdf in rows for t, k in zip(_ms(pdf["ts"]), pdf["kind"], strict=True))
-        n = self.checks.get()[0] if self.checks.exists() else 0
+        n, state = self.checks.get() if self.checks.exists() else (0, 0)
         out = []
         for at, kind in events:
-            if n < 0 or kind not in ("check", "done"):
+            if n < 0 or kind not in ("check", "done", "lost"):
                 continue
-            n += 1
-            if kind == "done":
+            if kind == "lost":
+                state = 0
+                continue
+            n, state = n + 1, state + 1
+            if kind == "done" or self.goal and state >= self.goal:
                 out.append(("COMPLETE", at))
                 n = -1
             elif n >= self.most:
                 out.append(("MaxChecksExceeded", at))
                 n = -1
-        self.checks.update((n,))
+        self.checks.update((n, state))
+        return _shown(key, out)
+
+
+class Retry(StatefulProcessor):
+    """A `fail` row makes a step wait for its next attempt: READY after its delay, FAILED after so many attempts; `done` ends it.
+
+    delays: seconds after each failed attempt but the last that is allowed. Rows that come
+    while no attempt runs are ignored.
+    """
+
+    def __init__(self, delays: list[int]) -> None:
+        self.delays = delays
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "failed int, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = sorted((t, k) for pdf in rows for t, k in zip(_ms(pdf["ts"]), pdf["kind"], strict=True))
+        failed, due = self.state.get() if self.state.exists() else (0, -1)
+        out = []
+        for at, kind in events:
+            if failed < 0 or due > at:
+                continue
+            if due >= 0:
+                out.append(("READY", due))
+                due = -1
+            if kind == "done":
+                out.append(("SUCCEEDED", at))
+                failed = -1
+            elif kind == "fail" and failed >= len(self.delays):
+                out.append(("FAILED", at))
+                failed = -1
+            elif kind == "fail":
+                due = at + 1000 * self.delays[failed]
+                failed += 1
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if due >= 0:
+            self.handle.registerTimer(due)
+        self.state.update((failed, due))
+        return _shown(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        failed, due = self.state.get()
+        self.state.update((failed, -1))
+        return _shown(key, [("READY", due)] if due >= 0 else [])
+
+
+class Refresh(StatefulProcessor):
+    """A `wait` row begins a wait that is looked up again and again: LOOKED_UP at first seconds, then after growing delays.
+
+    A `done` row ends it. It gives up after `horizon` seconds. Look-ups of one
+    moment go out together, whatever keys they are for.
+    """
+
+    def __init__(self, first: int, horizon: int) -> None:
+        self.first, self.horizon = first, horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "began long, n int, next long")
+
+    def _upto(self, now: tuple, end: int) -> tuple[tuple | None, list[tuple[str, int]]]:
+        """What is left of a wait at the moment `end`, and the look-ups before it."""
+        began, n, at = now
+        out = []
+        while at < end and at <= began + 1000 * self.horizon:
+            out.append(("LOOKED_UP", at))
+            n += 1
+            at += 1000 * (schedules.EXTENDED if n > schedules.BEFORE_EXTENDED else min(n, schedules.CEILING))
+        return (began, n, at) if at <= began + 1000 * self.horizon else None, out
+
+    def _keep(self, now: tuple | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if now:
+            self.state.update(now)
+            self.handle.registerTimer(now[2])
+        else:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = sorted((t, k) for pdf in rows for t, k in zip(_ms(pdf["ts"]), pdf["kind"], strict=True))
+        now, out = self.state.get() if self.state.exists() else None, []
+        for at, kind in events:
+            if now:
+                now, more = self._upto(now, at)
+                out += more
+            if kind == "done":
+                now = None
+            elif kind == "wait" and now is None:
+                now = (at, 0, at + 1000 * self.first)
+        self._keep(now)
+        return _shown(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return iter(())
+        now, out = self._upto(self.state.get(), timerValues.getCurrentWatermarkInMs() + 1)
+        self._keep(now)
         return _shown(key, out)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import codecs, errors, identity, schedules
 from ledgerfold.operators import batch, combinators, execution, lifecycle, log, packing
+from ledgerfold.options import Options
+from ledgerfold.sources import paged
 
 
 def one(spark, column):
@@ -61,18 +63,42 @@ def test_resume_does_not_depend_on_order(spark):
 
 def test_statuses_after_an_early_end(spark):
     rows = items(spark, "ssss")
-    ended = batch.completed(rows, "b", "ok", batch.Policy(min_successful=2))
-    both = batch.views(batch.item_status(rows, ended, "b", "ok", True), "b", "idx").first()
-    assert (both.item_statuses, both.started_count, both.results) == ("SS--", 2, [0, 1])
-    assert batch.item_status(rows, ended, "b", "ok", False).count() == 2
+    ended = batch.with_end(rows, "b", "ok", batch.Policy(min_successful=2))
+    both = batch.views(batch.item_status(ended, "ok", True), "b", "idx", "reason").first()
+    assert (both.item_statuses, both.started_count, both.results, both.reason) == ("SS--", 2, [0, 1], "MIN_SUCCESSFUL_REACHED")
+    assert batch.item_status(ended, "ok", False).count() == 2
 
 
-def test_dispatch_over_two_slots(spark):
-    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 1), (1, 2, 1), (1, 3, 9)], "b long, idx int, s long")
-    got = [(r.idx, r.slot, r.started, r.settled) for r in batch.dispatched(rows, "b", "s", 2).orderBy("idx").collect()]
-    assert got == [(0, 0, 0, 5), (1, 1, 0, 1), (2, 1, 1, 2), (3, 1, 2, 11)]
-    with pytest.raises(ValueError):
-        batch.dispatched(rows, "b", "s", 0)
+def test_batches_without_items(spark):
+    rows, every = items(spark, "sf", "ss"), spark.createDataFrame([(0,), (1,), (7,), (7,)], "b long")
+    of = lambda df: {r.b: (r.reason, r.n_ok, r.n_failed, r.total) for r in df.collect()}
+    empty = ("ALL_COMPLETED", 0, 0, 0)
+    assert of(batch.completed(rows, "b", "ok", batch.Policy(min_successful=2), batches=every)) == {0: ("ALL_COMPLETED", 1, 1, 2), 1: ("ALL_COMPLETED", 2, 0, 2), 7: empty}
+    assert of(batch.resumed(rows, "b", "ok", batch.Policy(), batches=every))[7] == empty
+    assert set(of(batch.completed(rows, "b", "ok", batch.Policy()))) == {0, 1}
+
+
+def test_rules_over_counts(spark):
+    """Two have succeeded and none has failed; asked before the first start, after each settle, once without items."""
+    rows, every = items(spark, "ssf", "sfs", "fss", "s"), spark.createDataFrame([(i,) for i in range(5)], "b long")
+    decide = lambda s: F.when((s.succeeded >= 2) & (s.failed == 0), "SUCCEEDED").when(s.failed > 0, "FAILED")
+    got = {r.b: (r.reason, r.settled) for r in batch.completed_by_counts(rows, "b", "ok", decide, batches=every).collect()}
+    good, bad = "CUSTOM_COMPLETION_SUCCEEDED", "CUSTOM_COMPLETION_FAILED"
+    assert got == {0: (good, 2), 1: (bad, 2), 2: (bad, 1), 3: ("ALL_COMPLETED", 1), 4: ("ALL_COMPLETED", 0)}
+    at_once = batch.completed_by_counts(rows, "b", "ok", lambda s: F.when(s.settled * 2 >= s.total - 1, "FAILED"), batches=every)
+    assert {r.b: (r.reason, r.settled) for r in at_once.collect()} == {0: (bad, 1), 1: (bad, 1), 2: (bad, 1), 3: (bad, 0), 4: (bad, 0)}
+
+
+def test_recorded_times_show_the_slots_in_use(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, 1), (1, 2, 1, 2), (1, 3, 2, 11), (2, 0, 3, 3)], "b long, idx int, s long, e long")
+    assert {r.b: r.most for r in batch.at_once(rows, "b", "s", "e").collect()} == {1: 2, 2: 0}
+    alone = batch.one_slot(spark.createDataFrame([(1, 0, 5), (1, 1, 2)], "b long, idx int, t long"), "b", "t").orderBy("idx").collect()
+    assert [(r.started, r.settled) for r in alone] == [(0, 5), (5, 7)]
+
+
+def test_flat_items_keep_no_record(spark):
+    of = lambda flat: {tuple(r) for r in batch.item_records(items(spark, "s"), "b", 2, flat).collect()}
+    assert of(False) == {("0-1", "0"), ("0-1-1", "0-1"), ("0-1-2", "0-1")} and of(True) == {("0-1-1", "0"), ("0-1-2", "0")}
 
 
 def test_names(spark):
@@ -167,10 +193,11 @@ def test_containment(spark, path, inside):
 
 
 def test_preview():
-    text = '{"id":"order-123","status":"pending","user":{"email":"a@example.com","name":"Bo"},"total":5}'
-    how = codecs.Preview(include=("id", "status"), mask=("email",))
-    assert how.of(text) == '{"id":"order-123","status":"pending","user":{"email":"***"}}'
-    assert codecs.Preview(show_all=True, exclude=("user.name",)).of(text) == '{"id":"order-123","status":"pending","user":{"email":"a@example.com"},"total":5}'
+    text = '{"ticket":7,"lane":"north","ship":{"captain":"Ada Q.","decks":3},"cargo":[{"kg":1.50},{"kg":2}]}'
+    how = codecs.Preview(include=("ticket", "decks"), mask=("captain",))
+    assert how.of(text) == '{"ticket":7,"ship":{"captain":"***","decks":3}}'
+    assert codecs.Preview(show_all=True, exclude=("ship.captain", "cargo")).of(text) == '{"ticket":7,"lane":"north","ship":{"decks":3}}'
+    assert codecs.Preview(include=("cargo.kg",)).of(text) == '{"cargo":{"kg":2}}'
     assert codecs.Preview(include=("n",)).of('[{"n":340282366920938463463374607431768211455},{"m":1}]') == '{"n":340282366920938463463374607431768211455}'
     assert codecs.Preview(show_all=True).of('{"a.b":1,"__proto__":2}') is None
     assert how.of("not json") is None and how.of(None) is None and how.of("5") is None
@@ -201,13 +228,13 @@ def test_log_state_and_changes(spark):
 
 def test_refreshes_stop_before_the_deadline(spark):
     rows = spark.createDataFrame([(1,)], "k long")
-    at = [r["at"] for r in execution.refreshes(rows, "k", F.lit(1), F.lit(5)).orderBy("n").collect()]
+    at = [r["at"] for r in execution.refreshes(rows, "k", F.lit(1), F.lit(5), F.lit(99)).orderBy("n").collect()]
     assert at == [1, 2, 4]
 
 
 def test_refreshes_go_on_to_a_late_deadline(spark):
-    limits = {1: 5, 2: 2400, 3: 2500, 4: 10_000, 5: 100_000, 6: 0}
-    rows = spark.createDataFrame([(k, k % 3 + 1, v) for k, v in limits.items()] + [(7, 1, None)], "k long, f int, d int")
+    limits = {1: 5, 2: 2400, 3: 2500, 4: 10_000, 5: 100_000, 6: 0, 7: 20_001}
+    rows = spark.createDataFrame([(k, k % 3 + 1, None if k == 7 else v) for k, v in limits.items()], "k long, f int, d int")
     want = set()
     for k, limit in limits.items():
         n, at = 1, k % 3 + 1
@@ -215,8 +242,8 @@ def test_refreshes_go_on_to_a_late_deadline(spark):
             want.add((k, n, at))
             at += 60 if n > 95 else min(n, 10)
             n += 1
-    got = execution.refreshes(rows, "k", F.col("f"), F.col("d")).collect()
-    assert {tuple(r) for r in got if r.k != 7} == want and len(got) == len(want) + 120
+    got = execution.refreshes(rows, "k", F.col("f"), F.col("d"), F.lit(20_000)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and sum(r.k == 7 for r in got) > 300
 
 
 def test_callbacks(spark):
@@ -261,6 +288,60 @@ def test_errors_rise_by_any_number_of_levels(spark):
     assert [got[k] for k in ("p", "a", "b", "q", "q1")] == ["first", "first", "second", "third", None] and "q0" not in got and len(got) == 56
 
 
+def test_trees_of_any_depth(spark):
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)] + [("d", "c3"), ("r", None), ("lost", "nowhere"), ("below", "lost"), ("x", "y"), ("y", "x"), ("z", "x")]
+    tree = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {r.id: (r.root, r.depth) for r in log.descendants(tree).collect()}
+    assert got == {f"c{i}": ("c0", i) for i in range(70)} | {"d": ("c0", 4), "r": ("r", 0)}
+    assert {r.id for r in log.descendants(tree, 2).collect()} == {"c0", "c1", "c2", "r"}
+    assert log.descendants(tree.limit(0)).count() == 0
+
+
+def test_pages_are_followed_from_the_first(spark):
+    op = lambda i, v: (i, v)
+    rows = [("e", None, "m1", [op("a", 1), op("b", 1)]), ("e", "m1", "m2", [op("b", 2)]), ("e", "m1", "m2", [op("b", 2)]), ("e", "m2", None, [op("c", 3)]), ("e", "m9", None, [op("z", 9)]), ("f", "m1", None, [op("q", 9)]), ("g", None, "gone", [])]
+    pages = spark.createDataFrame(rows, "arn string, marker string, next_marker string, ops array<struct<id: string, v: int>>")
+    found = paged.followed(pages, "arn", "marker", "next_marker")
+    assert sorted((r.arn, r.number) for r in found.collect()) == [("e", 0), ("e", 1), ("e", 2), ("g", 0)]
+    assert {(r.arn, r.id, r.v) for r in paged.state_of(found, "arn", "ops", "id").collect()} == {("e", "a", 1), ("e", "b", 2), ("e", "c", 3)}
+
+
+def test_strategies_of_the_caller(spark):
+    rows = spark.createDataFrame([(1, 1, False, "a"), (1, 2, False, "b"), (1, 3, True, None), (1, 4, True, None), (2, 1, False, "stop"), (2, 2, True, None), (3, 1, False, "a")], "k long, n int, ok boolean, e string")
+    how = lambda e, n: F.struct(F.when(e == "stop", "STOP").otherwise("RETRY").alias("action"), (n * 1.2).alias("delay"))
+    got = {r.k: (r.status, r.attempts, r.waited) for r in execution.retried_by(rows, "k", "n", "ok", "e", how).collect()}
+    assert got == {1: ("SUCCEEDED", 3, 2 + 3), 2: ("FAILED", 1, 0), 3: ("PENDING", 1, 0)}
+
+
+def test_a_lost_check_starts_again_from_the_initial_state(spark):
+    rows = spark.createDataFrame([(1, i, v, lost) for i, (v, lost) in enumerate([(1, False), (2, False), (9, True), (3, False), (4, False)])] + [(2, 0, 5, True)], "k long, o int, v int, lost boolean")
+    got = execution.checked(rows, "k", "o", "v", "lost", F.lit(10), lambda state, seen: state + seen)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 11), (1, 2, 13), (1, 3, 13), (1, 4, 17)]
+
+
+def test_codecs(spark):
+    assert one(spark, codecs.PASSTHROUGH.read(codecs.PASSTHROUGH.write(F.lit(" a\"b ")))) == ' a"b '
+    as_json = codecs.json_codec("n long, s string")
+    back = one(spark, as_json.read(as_json.write(F.struct(F.lit(2**53 + 1).alias("n"), F.lit("é").alias("s")))))
+    assert (back.n, back.s) == (2**53 + 1, "é")
+    bad = spark.createDataFrame([("{", False), ("{", True), ('{"k":1}', False)], "p string, again boolean")
+    assert [(r.value and r.value.k, r.error, r.reinvoke) for r in log.decoded(bad, "p", "k int", F.col("again")).collect()] == [(None, "SerializationFailed", False), (None, None, True), (1, None, False)]
+    how = codecs.Preview(include=("id", "deep.k"), mask=("secret",), exclude=("out",))
+    fields = {"id": F.lit(1), "deep.k": F.lit("v"), "deep.out": F.lit(2), "secret.part": F.lit("s"), "constructor": F.lit(1), "other": F.lit(3)}
+    assert one(spark, codecs.preview_of(fields, how)) == '{"id":1,"deep":{"k":"v"},"secret":{"part":"***"}}'
+
+
+def test_options(spark):
+    with pytest.raises(ValueError):
+        Options(depth=-1)
+    with pytest.raises(ValueError):
+        Options(write_delay=-0.5)
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent_id string")
+    assert {r.id for r in Options(depth=1).visible(tree).collect()} == {"a", "b"}
+    rows = spark.createDataFrame([("e", 0.0), ("e", 0.4), ("e", 2.0)], "e string, at double")
+    assert [r.window for r in Options(write_delay=0.5).windows(rows, "e", "at").orderBy("at").collect()] == [1, 1, 2]
+
+
 def test_hooks(spark):
     h = lambda op, s, a=1, u=False: one(spark, lifecycle.hooks(F.lit(op), F.lit(s).cast("string"), F.lit(a), F.lit(u)))
     assert h("step", "READY") == "start(false), attempt start" and h("step", "PENDING") is None

@@ -18,8 +18,8 @@ def fed(spark, tmp_path, processor, batches, timed=True):
     """Outcomes after each batch of (key, kind, seconds) came as a file."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = "key string, kind string, ts timestamp"
-    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
     (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in").withWatermark("ts", "0 seconds")
     out = timers.outcomes(rows, processor, timed)
     started = (
         out.writeStream.foreachBatch(sink.checkpointed(f"file://{tmp_path}/out")).option("checkpointLocation", f"file://{tmp_path}/log").start()
@@ -27,7 +27,7 @@ def fed(spark, tmp_path, processor, batches, timed=True):
     try:
         for i, batch in enumerate(batches):
             df = spark.createDataFrame([(k, kind, START + dt.timedelta(seconds=s)) for k, kind, s in batch], schema)
-            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
             started.processAllAvailable()
     finally:
         started.stop()
@@ -71,6 +71,39 @@ def test_polls_stop_at_the_cap(spark, tmp_path):
     assert got == {("a", "MaxChecksExceeded", ms(4)), ("b", "COMPLETE", ms(3))}
 
 
+def test_a_lost_poll_starts_again(spark, tmp_path):
+    got = fed(
+        spark,
+        tmp_path,
+        timers.Poll(4, goal=3),
+        [[("a", "check", 1), ("a", "check", 2), ("b", "check", 1)], [("a", "lost", 3), ("a", "check", 4)], [("a", "check", 5), ("b", "check", 6), ("b", "check", 7)]],
+        timed=False,
+    )
+    assert got == {("a", "MaxChecksExceeded", ms(5)), ("b", "COMPLETE", ms(7))}
+
+
+def test_failed_steps_become_ready_again(spark, tmp_path):
+    got = fed(
+        spark,
+        tmp_path,
+        timers.Retry([10, 100]),
+        [[("a", "fail", 0), ("a", "fail", 5), ("b", "fail", 1), ("c", "done", 2)], [("a", "fail", 30)], [("z", "noise", 400)], [("a", "fail", 401), ("b", "done", 402)]],
+    )
+    assert got == {
+        ("a", "READY", ms(10)),
+        ("a", "READY", ms(130)),
+        ("a", "FAILED", ms(401)),
+        ("b", "READY", ms(11)),
+        ("b", "SUCCEEDED", ms(402)),
+        ("c", "SUCCEEDED", ms(2)),
+    }
+
+
+def test_waiting_operations_are_looked_up(spark, tmp_path):
+    got = fed(spark, tmp_path, timers.Refresh(1, 20), [[("a", "wait", 0), ("b", "wait", 0)], [("a", "done", 6)], [("z", "noise", 400)], [("z", "noise", 401)]])
+    assert got == {("a", "LOOKED_UP", ms(s)) for s in (1, 2, 4)} | {("b", "LOOKED_UP", ms(s)) for s in (1, 2, 4, 7, 11, 16)}
+
+
 def test_a_batch_written_twice_counts_once(spark, tmp_path):
     write = sink.checkpointed(f"file://{tmp_path}/out")
     write(spark.range(3), 0)
