@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that one step of vectorised work holds at once (one longer text goes alone).
-STEP_BYTES = 3 * 1024 * 1024
+STEP_BYTES = 1024 * 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -7,8 +7,10 @@ a re-read and never a recomputation from the start.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 #: Folders of local sessions without spark.checkpoint.dir, by application.
 _LOCAL: dict[str, str] = {}
+#: Folders of tables that are deleted when the work they are for is done, innermost last.
+_INNER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,17 +43,34 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
 
 
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application stored. To be called when no result that reads it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _deleted(spark, _own_folder(spark))
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within, but for lasting ones, are deleted at its end."""
+    folder = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    _INNER.append(folder)
+    try:
+        yield
+    finally:
+        _INNER.remove(folder)
+        _deleted(spark, folder)
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and return a reader of what was written."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    folder = _INNER[-1] if _INNER and not lasting else _own_folder(spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
