@@ -1,12 +1,14 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of elements and text blocks. Elements that are never
-article text (by tag, role, class or id) are left out, by class or id only if
-the article isn't in them. Each block passes points
-for its length and commas to its ancestors, halved at each level; an ancestor's
-points are discounted by the share of its text that stands in links. The best
-container is kept, with what reads like text beside it and beside the elements
-around it, up to the article's own.
+A page becomes a tree of elements and text blocks, in one pass that never looks
+back, so that broken markup costs no more than other text. Elements that are
+never article text (by tag, role or hidden) are left out; for their class or id
+only if the article isn't in them, and, where such a word is but a part of the name
+(`share-price`), only if they don't read as text. Each block passes points for its
+length and commas to its ancestors, halved at each level; an ancestor's points
+are discounted by the share of its text that stands in links. The best container
+is kept, with what reads like text beside it and beside the elements around it,
+up to the article's own.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import tidy
+
 #: Elements of the HTML language by their part in a page.
 NEVER = set("script style noscript template head title nav header footer aside form button select textarea input iframe object svg canvas menu dialog audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,23 +35,29 @@ BOILERPLATE = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
 READERS = set("comment comments disqus respond reply replies".split())  # may hold more text than the article
+#: Words that add nothing to a name: with these alone beside it, a word of BOILERPLATE names the whole element.
+PLAIN = set("area bar block bottom box button buttons center column container content div group holder inner item items left link links list main outer page panel post posts right row section site slot stories text top unit wrap wrapper".split())
 KEPT_TAGS = {"html", "body", "article", "main"}
 ALONE = {"p", "#text", "blockquote", "pre", "ul", "ol", "table"}  # part of an article without a container
 LONG = 80  # characters from which text reads as a paragraph wherever it stands
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s=>/<\"']+")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _WORD = re.compile(r"[a-z]+")
 _MODIFIER = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*")
 _HEADING = re.compile(r"h[1-6]$")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "text", "out", "named", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "text", "out", "named", "partly", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, named: frozenset[str] = frozenset()) -> None:
+    def __init__(self, tag: str, parent: _Node | None, out: bool, named: frozenset[str] = frozenset(), partly: bool = False) -> None:
         self.tag, self.parent, self.out = tag, parent, out
         self.named = named  # words of its own class and id that speak against it
+        self.partly = partly  # they are but parts of longer names
         self.children: list[_Node] = []
         self.text = ""  # of a block of text; elements have none of their own
         self.points, self.chars, self.linked = 0.0, 0, 0
@@ -55,22 +65,99 @@ class _Node:
             parent.children.append(self)
 
 
-def _judged(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
-    """Whether an element is left out for its tag, role or style, and the words of its class and id that speak against it."""
+def _judged(tag: str, found: dict[str, str]) -> tuple[bool, frozenset[str], bool]:
+    """Whether an element is left out for its tag, role or style, the words of its class and id that speak against it, and whether they are but parts of names."""
     if tag in NEVER:
-        return True, frozenset()
-    if tag in KEPT_TAGS and tag != "article" or not attributes.strip():
-        return False, frozenset()
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
+        return True, frozenset(), False
+    if tag in KEPT_TAGS and tag != "article" or not found:
+        return False, frozenset(), False
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, frozenset()
-    names = _MODIFIER.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return found.get("role", "").lower() in ROLES, BOILERPLATE.intersection(_WORD.findall(names))
+        return True, frozenset(), False
+    names = _MODIFIER.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
+    parts = [frozenset(_WORD.findall(n)) for n in names]
+    against = BOILERPLATE.intersection(*[frozenset().union(*parts)])
+    whole = any(x & BOILERPLATE and (x <= BOILERPLATE | PLAIN or x & READERS) for x in parts)
+    return found.get("role", "").lower() in ROLES, against, bool(against) and not whole
+
+
+class _Scanner:
+    """Tags of a page from left to right; whatever is read is never read again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, 0
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.missing: set[str] = set()
+
+    def next(self) -> tuple[str, bool, str, dict[str, str]] | None:
+        """(text before it, whether it closes, name, attributes) of the next tag; without a name for comments, declarations and the page's end."""
+        page, at, n = self.page, self.at, len(self.page)
+        if at >= n:
+            return None
+        start = at
+        while True:
+            mark = page.find("<", at)
+            if mark < 0:
+                self.at = n
+                return page[start:], False, "", {}
+            ahead = page[mark + 1 : mark + 2]
+            if ahead in ("!", "?") and ahead:
+                end = page.find("-->", mark + 4) if page.startswith("<!--", mark) else page.find(">", mark)
+                self.at = n if end < 0 else end + (3 if page.startswith("<!--", mark) else 1)
+                return page[start:mark], False, "", {}
+            closing = ahead == "/"
+            name = _NAME.match(page, mark + 1 + closing)
+            if name:
+                self.at, found = self._attributes(name.end())
+                return page[start:mark], closing, name[0].lower(), found
+            at = mark + 1  # a mere character
+
+    def _attributes(self, at: int) -> tuple[int, dict[str, str]]:
+        """The attributes from `at` to the tag's end, or to the next tag's beginning if it has none."""
+        page, n, found = self.page, len(self.page), {}
+        while True:
+            if page.startswith(">", at):
+                return at + 1, found
+            at = _GAP.match(page, at).end()
+            if at >= n or page[at] == "<":
+                return at, found
+            if page[at] == ">":
+                return at + 1, found
+            key = _KEY.match(page, at)
+            if key is None:  # a stray quote or equals sign
+                at += 1
+                continue
+            at, value = key.end(), ""
+            equals = _EQUALS.match(page, at)
+            if equals:
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote and quote in "\"'" and self.last[quote] > at:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            found.setdefault(key[0].lower(), value)
+
+    def skip_to(self, tag: str, past: bool) -> bool:
+        """Go to (or past) the next end tag of that name, if there is one."""
+        if tag not in self.missing:
+            m = re.compile(rf"</{re.escape(tag)}(?![\w:-])[^>]*>?", re.I).search(self.page, self.at)
+            if m:
+                self.at = m.end() if past else m.start()
+                return True
+            self.missing.add(tag)
+        return False
+
+
+#: What an opening tag closes without being inside it.
+_ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
 
 def _tree(page: str, by_name: bool) -> _Node:
     root = _Node("html", None, False)
     stack = [root]
+    depth: dict[str, int] = {}  # open elements by tag, but the root
     inline: list[str] = []  # text of the block being read, and whether each part stands in a link
     links: list[bool] = []
     link = 0
@@ -87,54 +174,49 @@ def _tree(page: str, by_name: bool) -> _Node:
             inline.clear()
             links.clear()
 
-    def say(text: str) -> None:
-        if text:
-            inline.append(text)
-            links.append(link > 0)
+    def pop() -> str:
+        tag = stack.pop().tag
+        depth[tag] -= 1
+        return tag
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:  # a comment or declaration
+    scanner = _Scanner(page)
+    while (step := scanner.next()) is not None:
+        before, closing, tag, found = step
+        if before:
+            inline.append(before)
+            links.append(link > 0)
+        if not tag:  # a comment or declaration
             continue
-        closing, tag = m[1] == "/", m[2].lower()
         if tag in INLINE:
             link = max(0, link + (-1 if closing else 1)) if tag == "a" else link
             if tag == "br":
-                say(" ")
+                inline.append(" ")
+                links.append(link > 0)
             if closing or tag in VOID:
                 continue
-            out, named = _judged(tag, m[3])
-            if not out and not (by_name and named):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)  # a hidden phrase
-            link -= tag == "a" and link > 0
-            at = end.end() if end else at
+            out, named, partly = _judged(tag, found)
+            if out or by_name and named and not partly:  # a hidden phrase
+                link -= tag == "a" and link > 0
+                scanner.skip_to(tag, past=True)
             continue
         end_block()
         link = 0
         if tag in VOID:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if depth.get(tag):
+                while pop() != tag:
+                    pass
             continue
-        if stack[-1].tag == "p" or tag == "li" and stack[-1].tag == "li" or tag in ("td", "th", "tr") and stack[-1].tag in ("td", "th") or tag in ("dt", "dd") and stack[-1].tag in ("dt", "dd"):
-            stack.pop()
+        if stack[-1].tag == "p" or stack[-1].tag in _ENDS.get(tag, ()):
+            pop()
         if tag == "tr" and stack[-1].tag == "tr":
-            stack.pop()
-        out, named = _judged(tag, m[3])
-        node = _Node(tag, stack[-1], stack[-1].out or out, named if by_name else frozenset())
-        if tag in RAW:
-            end = re.compile(rf"</{tag}", re.I).search(page, at)
-            at = end.start() if end else n
-        stack.append(node)
+            pop()
+        out, named, partly = _judged(tag, found)
+        stack.append(_Node(tag, stack[-1], stack[-1].out or out, named if by_name else frozenset(), partly))
+        depth[tag] = depth.get(tag, 0) + 1
+        if tag in RAW and not scanner.skip_to(tag, past=False):
+            break
     end_block()
     return root
 
@@ -163,11 +245,13 @@ def _leave_out_named(root: _Node) -> None:
     if not any(x.named for x in order):
         return
     # of each element: text without links, its h1 and main, and its articles and mains that bear no such name
-    text, heads, holders, theirs, within = ({id(x): 0 for x in order} for _ in range(5))
+    text, heads, holders, theirs, within, said, prose = ({id(x): 0 for x in order} for _ in range(7))
     readers = {id(x) for x in order if x.named & READERS and (x.tag != "article" or "comment" in x.named)}
     for x in reversed(order):
         i = id(x)
         text[i] += x.chars - x.linked if x.text and not x.parent.named else 0
+        said[i] += x.chars if x.text else 0
+        prose[i] += x.chars if x.text and _plain(x) else 0
         heads[i] += x.tag in ("h1", "main")
         holders[i] += x.tag in ("article", "main") and not x.named
         if i in readers and heads[i]:
@@ -175,7 +259,7 @@ def _leave_out_named(root: _Node) -> None:
         theirs[i] = text[i] if i in readers else theirs[i]
         if x.parent is not None:
             up = id(x.parent)
-            for of in (text, heads, holders, theirs):
+            for of in (text, heads, holders, theirs, said, prose):
                 of[up] += of[i]
     total = text[id(root)] - theirs[id(root)]
     for x in order:
@@ -184,6 +268,8 @@ def _leave_out_named(root: _Node) -> None:
         within[i] = 0 if up is None else within[id(up)] + (up.tag in ("article", "main") and not up.named)
         if up is not None and up.out:
             x.out = True
+        elif x.named and x.partly and 0 < said[i] <= 2 * prose[i]:
+            continue
         elif x.named:
             own = 0 if i in readers else text[i] - theirs[i]
             elsewhere = holders[id(root)] > holders[i] + within[i]
@@ -191,6 +277,19 @@ def _leave_out_named(root: _Node) -> None:
             x.out = not (most or i not in readers and (holders[id(root)] == 1 == holders[i] and 4 * own >= total or heads[i] and within[i]))
 
 
+def _score(root: _Node, blocks: list[_Node]) -> None:
+    """Points, characters and linked characters of every element, in one pass from the leaves up."""
+    for b in blocks:
+        # a paragraph's own element is no container
+        paragraph = b.parent.parent is not None and (b.parent.tag in ("p", "li", "td", "blockquote", "pre") or _HEADING.match(b.parent.tag))
+        (b.parent.parent if paragraph else b.parent).points += 1 + b.text.count(",") + min(b.chars / 100, 3)
+    for x in reversed(list(_walk(root))):
+        if x.parent is not None and not x.out:
+            x.parent.chars += x.chars
+            x.parent.linked += x.linked
+            x.parent.points += x.points / 2
+
+
 def main_text(page: str | None) -> str:
     """The page's article, a line for each block of text; empty if there is none."""
     root = _tree(page or "", True)
@@ -200,29 +299,14 @@ def main_text(page: str | None) -> str:
     if len(blocks) < len(before) and (not blocks or not any(map(_plain, blocks)) and any(map(_plain, before))) or not blocks:
         root = _tree(page or "", False)
     blocks = [x for x in _walk(root) if x.text and not x.out]
-    scored: dict[int, _Node] = {}
-    for b in blocks:
-        points = 1 + b.text.count(",") + min(b.chars / 100, 3)
-        # a paragraph's own element is no container
-        node = b.parent.parent if b.parent.parent is not None and (b.parent.tag in ("p", "li", "td", "blockquote", "pre") or _HEADING.match(b.parent.tag)) else b.parent
-        share = 1.0
-        above = b.parent
-        while above is not None:
-            above.chars += b.chars
-            above.linked += b.linked
-            above = above.parent
-        while node is not None:
-            node.points += points * share
-            scored[id(node)] = node
-            share /= 2
-            node = node.parent
+    _score(root, blocks)
     if not blocks:
         return ""
 
     def score(x: _Node) -> float:
         return x.points * (1 - x.linked / x.chars) if x.chars else 0.0
 
-    best = max(scored.values(), key=score)
+    best = max((x for x in _walk(root) if x.points), key=score)
     kept = _article(best, 0.2 * score(best), score)
     lines, held = [], [root]
     while held:
@@ -264,9 +348,15 @@ def _prose(x: _Node) -> bool:
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: id, url, text, n_chars. A null or empty page has empty text; other columns are not read."""
+    """One row per row of pages: id, url, text, n_chars.
+
+    A null or empty page, or one without text, has empty text. Pages of any length
+    are read whole, in time that grows with it. Rows that repeat an id, or all
+    columns, each get a row; null ids and urls stay null. Other columns are not read.
+    """
     kind = pages.schema[id_col].dataType.simpleString()
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
