@@ -30,7 +30,9 @@ def folded(events: DataFrame) -> DataFrame:
     any type that sorts. Kinds: `message` and `edit` set the text, `regenerate`
     empties it, `delta` appends; any other kind is ignored. Null text is empty;
     the role is that of the last event that has one, else empty. Events of a
-    message with equal seq fold in the order of kind, then text.
+    message with equal seq fold in the order of kind, then text; an event that a log
+    repeats is folded as often. Null conversations and messages are groups of
+    their own. Texts of any length are folded whole. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     known = events.where(F.col("kind").isin("message", "edit", "regenerate", "delta"))
@@ -110,25 +112,40 @@ def read_back(chats: DataFrame) -> DataFrame:
     )
 
 
+#: Pieces in which an assistant's text is streamed.
+PIECES = 4
+
+
 def turn_events(rows: DataFrame) -> DataFrame:
-    """A table of (conv_id, turn, role, text) as a log with one `message` event a row.
+    """A table of (conv_id, turn, role, text) as the log that such a chat leaves behind.
 
-    Rows that agree in everything are as many messages. Within a turn, messages
-    sort by role, then by a digest of the text.
+    An assistant's turn begins as an outdated message, is regenerated and
+    streamed in deltas; any other turn begins as a draft that an edit replaces.
+    Null roles and texts are empty. Rows that agree in everything are as many
+    messages. Within a turn, messages sort by role, then by a digest of the text. The
+    log is dealt by conversation, so folding and rendering need no other shuffle.
     """
     text = F.coalesce("text", F.lit(""))
     role = F.coalesce("role", F.lit(""))
+    size = F.ceil(F.length("text") / PIECES).cast("int")
+    event = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+    old = F.concat(F.lit("old: "), F.left("text", F.lit(20)))
+    streamed = [event(2 + i, "delta", F.substring("text", F.lit(i) * size + 1, size)) for i in range(PIECES)]
+    assistant = F.array(event(0, "message", old), event(1, "regenerate", F.lit(None).cast("string")), *streamed)
+    other = F.array(event(0, "message", old), event(1, "edit", F.col("text")))
     return (
         rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+        .repartition("conv_id")
         .groupBy("conv_id", "turn", "role", "text")
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .withColumn("event", F.explode(F.when(F.col("role") == "assistant", assistant).otherwise(other)))
         .select(
             "conv_id",
             F.struct("turn", "role", F.md5("text").alias("digest"), "copy").alias("message"),
-            F.lit(0).alias("seq"),
-            F.lit("message").alias("kind"),
+            "event.seq",
+            "event.kind",
             "role",
-            "text",
+            F.col("event.text").alias("text"),
         )
     )
