@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .arrowtext import buffers, steps
-from .scratch import partitions, small_enough, stored
+from .arrowtext import buffers, steps, tidy
+from .scratch import maybe_wanted, partitions, sifted, small_enough, stored
 
 #: Fingerprints of about so many rows go to one owner.
 ROWS_PER_OWNER = 500_000
@@ -85,6 +85,7 @@ def _fingerprint(sha: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sha, fp) of every row."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, sha in _normalised(batch.column(1)):
@@ -104,6 +105,7 @@ def _blocks(table: DataFrame, owners: int) -> DataFrame:
     own: a bitmap of the fingerprints that the sender itself holds more than once.
     """
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = TaskContext.get().partitionId()
         held = [np.asarray(b.column(0)) for b in batches]
@@ -152,8 +154,10 @@ def suspects(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     owners = max(partitions(spark), math.ceil(table.count() / ROWS_PER_OWNER))
     blocks = stored(_blocks(table, owners))
-    answers = _bitmaps(blocks.repartition(owners, "owner"))
+    # stored, so that no task needs two Python workers at once
+    answers = stored(_bitmaps(blocks.repartition(owners, "owner")))
 
+    @tidy
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -171,6 +175,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored(suspects(table))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts, sha in _normalised(batch.column(1)):
@@ -182,8 +187,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         with_bytes, f"id {kind}, bytes binary, sha binary, fp long"
     )
-    if small_enough(found.count(), 16):  # else Spark shuffles the texts by fingerprint
+    if small_enough(found.count(), 16):
         found = F.broadcast(found)
+    else:  # only what may be a suspect is shuffled to the join
+        texts = sifted(texts, "fp", found)
     groups = (
         texts.join(found, "fp", "left_semi")
         .groupBy("sha", "bytes")
@@ -229,6 +236,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
     kinds = to_arrow_schema(schema)
 
+    @tidy
     def with_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, sha in _normalised(batch.column(at).cast(pa.string())):
@@ -236,9 +244,14 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     hashed = docs.mapInArrow(with_sha, schema)
     groups = groups.select(F.col("sha").alias(key), F.col("keep_id").alias(key + "id"), F.lit(True).alias(key + "in"))
+    stays = F.col(key + "in").isNull() | F.col(id_col).eqNullSafe(F.col(key + "id"))
     if small_enough(groups.count(), 64):
-        groups = F.broadcast(groups)
-    kept = hashed.join(groups, key, "left").where(F.col(key + "in").isNull() | F.col(id_col).eqNullSafe(F.col(key + "id")))
+        kept = hashed.join(F.broadcast(groups), key, "left").where(stays)
+    else:  # only what may be in a group is shuffled
+        maybe = key + "maybe"
+        doubted = maybe_wanted(hashed, key, groups.select(key), maybe)
+        sure = doubted.where(~F.col(maybe)).drop(maybe)
+        kept = doubted.where(maybe).drop(maybe).join(groups, key, "left").where(stays).unionByName(sure, allowMissingColumns=True)
     # rows that repeat both id and text: they are in one group of (id, sha)
     twice = stored(
         kept.where(F.col(key + "in")).groupBy(id_col, key).agg(F.count(F.lit(1)).alias(key + "n")).where(F.col(key + "n") > 1)
