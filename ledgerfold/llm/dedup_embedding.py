@@ -13,8 +13,11 @@ that a crowded cell is many tasks. Vectors with equal components are one node
 with a weight. A block emits link counts and enough links to connect what is
 linked, not its pairs.
 
-On vectors without any clusters in many dimensions no pivot separates much and
-the work nears that of all blocks against all blocks; it stays exact.
+There is about one pivot for each HELD vectors, up to PIVOTS: a vector goes to
+one cell at least for each block of partners that it may have, so more pivots up to there don't send it
+to more tasks, and the more the vectors cluster the fewer tasks it goes to. On vectors
+without any clusters in many dimensions no pivot separates much and the work
+nears that of all blocks against all blocks; it stays exact.
 """
 
 from __future__ import annotations
@@ -28,15 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import tidy
 from .components import components
-from .scratch import stored
+from .scratch import small_enough, stored
 
-#: Pivots for each number of dimensions; bounds what is sent to every executor.
-PIVOTS = 16
 #: Vectors of a cell held by one task, and of those compared at a time.
 HELD, STEP = 4096, 512
+#: Most pivots for each number of dimensions, and the bytes of all; both bound what is sent to every executor.
+PIVOTS, PIVOT_BYTES = 4096, 16 * 1024 * 1024
+#: How near to the limit a product of unit vectors is computed again from the vectors themselves.
+DOUBT = 1e-12
 
 
+@tidy
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, node, dim, vec): node and vec are null where the vector can't be compared."""
     for batch in batches:
@@ -59,11 +66,28 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unit(vecs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    x = _scaled(vecs, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(vecs: list[bytes], dim: int) -> np.ndarray:
+    """The vectors over powers of two, which changes no digit: squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(vecs), np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float, vecs_x: list[bytes], vecs_y: list[bytes]) -> np.ndarray:
+    """Which unit vectors of x and y have a cosine of at least `least`; doubtful ones by dot product over norms."""
+    product = x @ y.T
+    near = product >= least
+    i, j = np.nonzero(np.abs(product - least) <= DOUBT)
+    if len(i):
+        a, b = _scaled([vecs_x[k] for k in i.tolist()], x.shape[1]), _scaled([vecs_y[k] for k in j.tolist()], x.shape[1])
+        dot = np.array([u @ v for u, v in zip(a, b, strict=True)])
+        near[i, j] = dot / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= least
+    return near
+
+
 def _local_roots(near: np.ndarray) -> np.ndarray:
     """The first node of each node's component in a symmetric matrix of links."""
     n = len(near)
@@ -98,7 +122,7 @@ class _Block:
         self.count = np.zeros(len(self.w), np.int64)
         near = np.empty((len(self.w), len(self.w)), bool)
         for a in range(0, len(self.w), STEP):
-            near[a : a + STEP] = self.x[a : a + STEP] @ self.x.T >= self.least
+            near[a : a + STEP] = _near(self.x[a : a + STEP], self.x, self.least, self.vecs[a : a + STEP], self.vecs)
         near |= near.T
         np.fill_diagonal(near, False)
         self.count = near @ self.w
@@ -112,7 +136,7 @@ class _Block:
         """Compare streamed vectors with the held ones."""
         out: list[tuple[bytes, int | None, bytes | None]] = []
         for a in range(0, len(names), STEP):
-            near = _unit(vecs[a : a + STEP], dim) @ self.x.T >= self.least
+            near = _near(_unit(vecs[a : a + STEP], dim), self.x, self.least, vecs[a : a + STEP], self.vecs)
             rows = np.flatnonzero(near.any(axis=1))
             if not len(rows):
                 continue
@@ -130,6 +154,7 @@ class _Block:
 def _cells(pivots: dict[int, np.ndarray], radius: float):
     """A function for mapInArrow: (cell, home, node, dim, vec, weight), one row a cell that a vector goes to."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(1))
@@ -164,7 +189,9 @@ def near_vectors(
     `cosine`. Vectors that are null, zero, empty or hold null or non-finite
     components are linked with nothing, nor are vectors of different length.
     n_links counts other rows, copies too. component_id is the smallest id
-    reachable by links, itself included; kept is id = component_id. Other
+    reachable by links, itself included (a null id is only used where no other is
+    reachable); kept is id = component_id. Rows that repeat an id are vectors of
+    their own, each with its row and counted as links of each other if near. Other
     columns are not read.
     """
     spark = vectors.sparkSession
@@ -179,10 +206,12 @@ def near_vectors(
         .groupBy("node", "dim", "vec")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     )
+    count, longest = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    most = max(2, min(PIVOTS, count // HELD, PIVOT_BYTES // (8 * (longest or 1))))
     chosen: dict[int, list[bytes]] = {}
-    for r in nodes.select("dim", "vec").orderBy(F.xxhash64("node")).limit(4 * PIVOTS).collect():
+    for r in nodes.select("dim", "vec").orderBy(F.xxhash64("node"), "node").limit(most).collect():
         chosen.setdefault(r["dim"], []).append(bytes(r["vec"]))
-    pivots = {dim: _unit(vecs[:PIVOTS], dim) for dim, vecs in chosen.items()}
+    pivots = {dim: _unit(vecs, dim) for dim, vecs in chosen.items()}
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
 
     sent = stored(
@@ -190,7 +219,9 @@ def near_vectors(
             _cells(pivots, radius), "cell int, home boolean, node binary, dim int, vec binary, weight long"
         ).select("cell", "home", "node", "dim", "weight")
     )
-    sizes = sent.where("home").groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"))
+    sizes = stored(sent.where("home").groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks")))
+    if small_enough(sizes.count(), 40):
+        sizes = F.broadcast(sizes)
     dealt = (
         sent.join(sizes, ["dim", "cell"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -203,6 +234,7 @@ def near_vectors(
         .sortWithinPartitions("dim", "cell", "block", "role")
     )
 
+    @tidy
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, _Block(cosine)
 
