@@ -130,14 +130,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def leaf_rows(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def leaf_rows(docs: DataFrame, domain: Column, tokens: Column, id_col: str, lang_col: str, source_col: str) -> DataFrame:
     none = F.lit("")
     return docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(domain, none).alias("domain"),
         F.coalesce(F.col(lang_col), none).alias("lang"),
         F.coalesce(F.col(source_col), none).alias("source"),
-        words(F.col(text_col)).alias("tokens"),
+        tokens.alias("tokens"),
     )
 
 
@@ -152,15 +152,18 @@ def mixed_sources(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    tokens: Column | None = None,
 ) -> DataFrame:
     """One row per document that is drawn: id, domain, lang, source, tokens, epochs, part_tokens, taken_tokens.
 
-    Tokens are white-space separated words. Null domains, languages and sources
-    are empty strings; a text without words is never drawn. Rows that repeat an
-    id share a place in the order; if the prefix ends there, each gives its
-    share, rounded down. Other columns are not read.
+    tokens: each row's number of tokens (null is 0), else white-space separated
+    words of the whole text. Null domains, languages and sources are empty
+    strings; a text without tokens is never drawn. Rows that repeat an id share a
+    place in the order, as do null ids; if the prefix ends there, each gives its share,
+    rounded down. Other columns are not read.
     """
-    rows = stored(leaf_rows(docs, domain, id_col, text_col, lang_col, source_col))
+    counted = words(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    rows = stored(leaf_rows(docs, domain, counted, id_col, lang_col, source_col))
     leaves = plan(rows, weights, percent, max_epochs, seed)
     key = order_key(seed, F.col("epochs"), F.col("id"))
     part = (
@@ -187,12 +190,15 @@ def keep_drawn(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    tokens: Column | None = None,
 ) -> DataFrame:
     """docs, all columns: the rows that are drawn within one epoch, that at the end of a prefix whole.
 
-    Rows without words are kept: they take nothing from a budget.
+    Rows without tokens are kept: they take nothing from a budget. Rows that
+    repeat an id share a place in the order, so all or none of them are drawn with the prefix.
     """
-    rows = stored(leaf_rows(docs, domain, id_col, text_col, lang_col, source_col))
+    counted = words(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    rows = stored(leaf_rows(docs, domain, counted, id_col, lang_col, source_col))
     new = "__"
     while any(c.startswith(new) for c in docs.columns):
         new += "_"
@@ -208,4 +214,4 @@ def keep_drawn(
         & (F.coalesce(F.col(source_col), none) == F.col(new + "source"))
     )
     drawn = (F.col(new + "epochs") > 0) | (order_key(seed, F.col(new + "epochs"), F.col(id_col)) <= F.col(new + "cut"))
-    return docs.join(leaves, same).where(F.coalesce(drawn, F.lit(False)) | (words(F.col(text_col)) == 0)).select(*docs.columns)
+    return docs.join(leaves, same).where(F.coalesce(drawn, F.lit(False)) | (counted == 0)).select(*docs.columns)
