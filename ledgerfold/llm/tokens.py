@@ -7,27 +7,28 @@ Cutting a text there changes nothing, so a batch of texts becomes a batch of
 short chunks, of which each distinct one is encoded once, joined to calls of about
 equal bytes: as tokens keep the bytes of a text, their widths tell where each
 chunk's tokens end. A text of any length is just more chunks. Chunks met before
-are kept in a bounded cache of the worker.
+are kept in a bounded cache until the task ends.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, steps
+from .arrowtext import buffers, steps, tidy
 
 #: Bytes of distinct chunks that go to the tokenizer in one call.
 CALL_BYTES = 16 * 1024
-#: Chunks that a worker remembers, the first that it met, and the longest of them.
+#: Chunks that a task remembers, the first that it met, and the longest of them.
 REMEMBERED, LONGEST = 250_000, 48
 #: Bytes of text that are handled at a time.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 #: First bytes of the UTF-8 forms of white space outside ASCII.
 _TWO, _THREE = 0xC2, (0xE1, 0xE2, 0xE3)
@@ -54,6 +55,27 @@ def _joinable(chunk: bytes) -> bool:
     return len(chunk) > 1 and chunk[0] in (0x20, 0x0A) and chunk[1] > 0x20 and chunk[1] != _TWO and chunk[1] not in _THREE and 0x20 < chunk[-1] < 0x80
 
 
+def _check_cuts(tokenizer) -> None:
+    """Refuse a tokenizer for which the cuts of `safe_cuts` may change a text's ids.
+
+    Its file must name byte-level BPE without a normalizer or an inserted space, and its
+    pretokenizer must begin a pretoken at a single space or newline between
+    characters of any two kinds; added tokens must hold no white space.
+    """
+    said = json.loads(tokenizer.to_str())
+    if said["model"]["type"] != "BPE" or said["normalizer"] or tokenizer.pre_tokenizer is None:
+        raise ValueError("only byte-level BPE tokenizers without a normalizer are supported")
+    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content):
+        raise ValueError("an added token holds white space")
+    kinds = ["a", "Z", "7", ".", "'", "-", "_", "é", "中", "(", '"', "…", "\U0001f600", "\u0301"]
+    for mark in " \n":
+        for left in kinds:
+            for right in kinds:
+                begins = {a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(f"{left}{mark}{right}")}
+                if 0 not in begins or 1 not in begins:
+                    raise ValueError(f"this tokenizer's pretokens span {mark!r} between {left!r} and {right!r}")
+
+
 class Encoder:
     """Ids of chunks by one tokenizer file, with memory."""
 
@@ -62,6 +84,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _check_cuts(self.tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -124,6 +147,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forgetting(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows for mapInArrow, without encoders in memory after a partition."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            _ENCODERS.clear()
+
+    return run
+
+
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(ids of each distinct chunk, chunk numbers in text order, offsets into these by text)."""
     mark = np.zeros(len(data) + 1, bool)
@@ -142,12 +178,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     n_tokens is the length of the tokenizer's encoding of the whole text without
     begin or end tokens; special strings inside a text are handled as the
-    tokenizer file says. Null and empty texts have none. Other columns are not
-    read. path: the file of a byte-level BPE tokenizer without normalizer, at
-    the same place on every executor.
+    tokenizer file says. Null and empty texts have none; texts of any length are
+    read whole. Rows that repeat an id each get a row; a null id stays null.
+    Other columns are not read. path: the file of a byte-level BPE tokenizer
+    without normalizer, at the same place on every executor; others are refused.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @forgetting
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
