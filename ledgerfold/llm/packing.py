@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, steps
+from .arrowtext import buffers, steps, tidy
 from .scratch import stored
-from .tokens import BATCH_BYTES, encoded
+from .tokens import BATCH_BYTES, encoded, forgetting
 
 #: The part of its slot that a piece may leave empty, and the length below which it may leave more.
 PADDING, SHORT = 0.02, 24
@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """(id, start, length, ids_crc32, doc_tokens, ids): every document's pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @forgetting
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -91,34 +92,37 @@ def _filled(rows: DataFrame, capacity: int, turn: int) -> DataFrame:
     Of sequence ids, the four highest digits in base 2 are the turn, the next 28 the partition.
     """
 
+    @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = (turn << 59) | (TaskContext.get().partitionId() << 31)
-        bins = 0
-        waiting: dict[int, list[dict]] = {}
-        schema = None
+        base, bins = (turn << 59) | (TaskContext.get().partitionId() << 31), 0
+        waiting: list[pa.RecordBatch] = []  # fewer rows than k of each class k
 
-        def table(out: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(out, schema)
+        def placed(part: pa.Table, sequence: np.ndarray | None, offset: np.ndarray | None) -> list[pa.RecordBatch]:
+            nulls = pa.nulls(part.num_rows, pa.int64())
+            part = part.append_column("sequence_id", nulls if sequence is None else pa.array(sequence))
+            return part.append_column("offset", nulls if offset is None else pa.array(offset)).combine_chunks().to_batches()
 
         for batch in batches:
-            if schema is None:
-                schema = batch.schema.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
-            out = []
-            for row in batch.to_pylist():
-                k = capacity // row["length"]
-                same = waiting.setdefault(k, [])
-                same.append(row)
-                if len(same) == k:
-                    at = 0
-                    for r in same:
-                        r["sequence_id"], r["offset"] = base | bins, at
-                        at += r["length"]
-                    out += same
-                    bins += 1
-                    waiting[k] = []
-            yield table(out)
-        if schema is not None:
-            yield table([r | {"sequence_id": None, "offset": None} for same in waiting.values() for r in same])
+            both = pa.Table.from_batches([*waiting, batch])
+            length = both.column("length").to_numpy()
+            k = capacity // length
+            order = np.argsort(k, kind="stable")
+            k, length = k[order], length[order]
+            first = np.flatnonzero(np.diff(k, prepend=-1))  # of each class
+            count = np.diff(first, append=len(k))
+            place = np.arange(len(k)) - np.repeat(first, count)  # within the class
+            own = k[first] if len(first) else np.zeros(0, np.int64)
+            whole = count // np.maximum(own, 1)  # bins of each class that are full
+            full = place < np.repeat(whole * own, count)
+            number = np.repeat(np.cumsum(whole) - whole, count) + place // np.maximum(k, 1)
+            before = np.cumsum(length) - length
+            start = np.arange(len(k)) - place % np.maximum(k, 1)
+            offset = before - before[start] if len(k) else before
+            yield from placed(both.take(pa.array(order[full])), base | (bins + number[full]), offset[full])
+            bins += int(whole.sum())
+            waiting = both.take(pa.array(order[~full])).combine_chunks().to_batches()
+        if waiting:
+            yield from placed(pa.Table.from_batches(waiting), None, None)
 
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(fill, f"{names}, sequence_id long, offset long")
@@ -128,6 +132,7 @@ def _last(rows: DataFrame, capacity: int) -> DataFrame:
     """First fit by decreasing length; for fewer pieces than the classes' bins hold."""
     schema = rows.schema
 
+    @tidy
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for batch in batches for r in batch.to_pylist()]
         arrow = None
