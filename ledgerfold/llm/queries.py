@@ -47,7 +47,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: DuckDB: the smallest id reachable from each of all(id) by links(a, b), both ways.
+REACHED = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach(id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+    least AS (SELECT id, min(other) AS other FROM reach GROUP BY id)"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS MATERIALIZED (SELECT id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+    n AS (SELECT id, len(s) AS n FROM g),
+    u AS (SELECT id, unnest(s) AS x FROM g),
+    p AS (SELECT a.id AS a, b.id AS b, count(*) AS n_both FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * n_both >= 80 * (na.n + nb.n - n_both)),
+    {REACHED}
+    SELECT n.id AS doc_id, n.n AS n_shingles, coalesce(least(n.id, other), n.id) AS component_id, n.id = coalesce(least(n.id, other), n.id) AS kept
+    FROM n LEFT JOIN least ON least.id = n.id
+    """
+)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup_minhash import near_classes
 
@@ -113,7 +131,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+    {REACHED},
+    n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(vec_id, other), vec_id) AS component_id, vec_id = coalesce(least(vec_id, other), vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN least ON least.id = vec_id
+    """
+)
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup_embedding import near_vectors
 
