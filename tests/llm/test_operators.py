@@ -105,6 +105,73 @@ def test_near_dedup_of_a_group_over_several_blocks(spark, monkeypatch):
     assert sorted(((r.id is None, r.id or 0), r.n_shingles, r.component_id) for r in got.collect()) == classes(rows, 2, 80)
 
 
+def test_many_families_under_common_keys(spark, monkeypatch):
+    """Texts around several bases that share most words, so that keys are common to families which aren't linked; blocks of a few sketches."""
+    for name, size in (("HELD", 5), ("STREAMED", 9), ("SKETCHES_HELD", 6), ("SKETCHES_STREAMED", 10)):
+        monkeypatch.setattr(dedup_minhash, name, size)
+    rng = random.Random(12)
+    common = [f"c{rng.randrange(10_000)}" for _ in range(150)]
+    texts = []
+    for f in range(12):
+        base = common + [f"f{f}x{i}" for i in range(30)]
+        for k in range(8):
+            own = list(base)
+            for _ in range(3 * k):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = dedup_minhash.near_classes(docs(spark, rows), words=2)
+    want = classes(rows, 2, 80)
+    assert sorted(((r.id is None, r.id or 0), r.n_shingles, r.component_id) for r in got.collect()) == want
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+
+
+def test_all_near_copies_of_the_documents_are_found(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from ledgerfold.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    shown = lambda rows: sorted((int(a), int(b), int(c), bool(d)) for a, b, c, d in rows)
+    found = dedup_minhash.near_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), words=2)
+    assert shown(found.select("id", "n_shingles", "component_id", "kept").collect()) == shown(
+        con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({SQL['op1_minhash_near_dedup']})").fetchall()
+    )
+    found = dedup_embedding.near_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    assert shown(found.select("id", "n_links", "component_id", "kept").collect()) == shown(
+        con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({SQL['op9_embedding_near_dedup']})").fetchall()
+    )
+
+
+def test_results_hold_without_broadcasts(spark, monkeypatch):
+    """Tables beyond what may be broadcast go by the filter and a shuffle."""
+    from ledgerfold.llm import scratch
+
+    rows = EDGE + [(100 + i, t) for i, t in enumerate(family(random.Random(3), 30))] + [(200 + i, "copy") for i in range(40)]
+    df = docs(spark, rows)
+    of = lambda out: sorted(map(str, out.collect()))
+    ops = (
+        dedup_exact.exact_dedup,
+        dedup_exact.keep_first_copies,
+        lambda d: dedup_minhash.near_classes(d, words=2),
+        lambda d: dedup_minhash.keep_one_of_each(d, words=2),
+    )
+    want = [of(op(df)) for op in ops]
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
+    assert [of(op(df)) for op in ops] == want
+
+
+def test_rows_that_no_join_can_match_are_sifted(spark):
+    from ledgerfold.llm import scratch
+
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    for wanted in ("id * 70", "CAST(NULL AS BIGINT)"):
+        some = spark.range(100).select(F.expr(wanted).alias("k"))
+        got, want = {r.k for r in scratch.sifted(rows, "k", some).collect()}, {r.k for r in some.collect()}
+        assert {k for k in want if k is None or 0 < k} <= got and len(got) < 110
+
+
 def test_keep_one_of_each(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, None), (5, "z y x w v u")]
     kept = dedup_minhash.keep_one_of_each(docs(spark, rows))
@@ -122,9 +189,9 @@ def test_small_sets_are_not_estimated(spark):
     size = dedup_minhash.REGISTERS
     of = lambda name, v, n: (name.encode(), bytearray(np.full(size, v, np.uint16).tobytes()), n)
     nodes = spark.createDataFrame([of("a", 1, 5), of("b", 2, 4), of("c", 3, size), of("d", 4, size)], "node binary, registers binary, n long")
-    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c"), (b"c", b"a"), (b"c", b"d")], "a binary, b binary")
-    got = {(bytes(r.a), bytes(r.b)) for r in dedup_minhash._likely(pairs, nodes, 80).collect()}
-    assert got == {(b"a", b"b"), (b"a", b"c"), (b"c", b"a")}
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"b", b"a"), (b"c", b"a"), (b"c", b"d")], "leader binary, node binary")
+    got = {(bytes(r.leader), bytes(r.node)) for r in dedup_minhash._likely(pairs, nodes, 80).collect()}
+    assert got == {(b"a", b"b"), (b"b", b"a")}  # a and c differ too much in size
 
 
 def test_empty_tables(spark):
@@ -248,6 +315,12 @@ def test_packing_brings_left_overs_together_in_groups(spark, monkeypatch):
     assert whole > 0.9 * 2048 * len(bins)
 
 
+def test_padding_of_the_documents_is_small(spark):
+    pieces = packing.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokens.public_tokenizer())
+    used, bins = pieces.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert used > 0.99 * 2048 * bins
+
+
 def test_near_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dedup_embedding, "HELD", 13)
     monkeypatch.setattr(dedup_embedding, "PIVOTS", 4)
@@ -275,6 +348,105 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
         assert got[i] == (0, i, True)
 
 
+def test_embeddings_at_the_limit_and_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.95, (1 - 0.95**2) ** 0.5, 0.0]
+    rows = [(1, a), (1, a), (2, b), (3, [v * 1e-300 for v in a]), (4, [v * 1e300 for v in a]), (None, None), (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u, v = np.array(a), np.array(b)
+    linked = (u @ v) / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.95
+    got = sorted((r.id or 0, r.n_links) for r in dedup_embedding.near_vectors(df).collect())
+    assert got == [(0, 0), (1, 3 + linked), (1, 3 + linked), (2, 4 * linked), (3, 3 + linked), (4, 3 + linked), (5, 0)]
+
+
+def test_urls_that_are_odd(spark):
+    long = "http://" + "a." * 50_000 + "example.com/en/" + "x" * 100_000
+    rows = [(1, long), (1, long), (None, "http://h.com/en/"), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(0)).withColumn("verdict", F.lit(1))
+    got = sorted((r.id or 0, r.rule or "", r.verdict, len(r.path)) for r in url_filter.judged_urls(df, {"com/en/": "block", "example.com/en/x": "allow"}).collect())
+    assert got == [(0, "com/en/", "block", 4), (1, "example.com/en/x", "allow", 100_004), (1, "example.com/en/x", "allow", 100_004), (2, "", "allow", 0), (2, "", "allow", 0)]
+
+
+def test_pages_that_are_odd(spark):
+    body = "<article>" + "<p>Some text, of an article.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", None), (2, None, ""), (3, "v", body), (3, "v", body), (None, "w", "<p>x &amp; y</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(5)).withColumn("id", F.lit("clash"))
+    got = sorted((r.id or 0, r.url or "", r.n_chars, r.text[:9]) for r in html_text.extracted(df).collect())
+    n = 20_000 * 26 - 1 + 19_999 * 0
+    assert [(a, b) for a, b, _, _ in got] == [(0, "w"), (1, "u"), (2, ""), (3, "v"), (3, "v")]
+    assert [c for _, _, c, _ in got] == [5, 0, 0, len("\n".join(["Some text, of an article."] * 20_000))] + [len("\n".join(["Some text, of an article."] * 20_000))]
+    assert n > 0 and got[0][3] == "x & y"
+
+
+def test_long_chats_and_repeated_events(spark):
+    long = "<&x " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "assistant", "abc")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.rendered(chat.folded(chat.turn_events(df.withColumn("seq", F.lit(1)))))).collect()}
+    assert [t.text for t in got[1].turns] == [long] * 3 and got[1].loss_texts == [long] * 2 and got[2].loss_texts == ["abc"]
+    kinds = {r.kind: r["count"] for r in chat.turn_events(df).groupBy("kind").count().collect()}
+    assert kinds == {"message": 4, "edit": 1, "regenerate": 3, "delta": 12}
+
+
+def test_posteriors_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(f"h{rng.randrange(4)}" if i % 9 else None, f"p{rng.randrange(3)}", min(0.99, max(0.01, rng.random()))) for i in range(300)]
+    df = spark.createDataFrame(rows, "host string, path string, p double")
+    got = quality.judged(df, F.col("host"), F.col("path"), "p", 0.5).collect()
+
+    def sums(keys):
+        out = defaultdict(lambda: [0, 0.0, 0.0])
+        for row in rows:
+            own = out[keys(row)]
+            own[0], own[1], own[2] = own[0] + 1, own[1] + row[2], own[2] + row[2] ** 2
+        return out
+
+    def strength(groups):
+        n, s = sum(g[0] for g in groups), sum(g[1] for g in groups)
+        between_sums = sum(g[1] ** 2 / g[0] for g in groups)
+        within = (sum(g[2] for g in groups) - between_sums) / (n - len(groups))
+        between = (between_sums - s * s / n - (len(groups) - 1) * within) / (n - sum(g[0] ** 2 for g in groups) / n)
+        return min(max(within / between, 5.0), 10_000.0) if between > 0 else 10_000.0
+
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    mean = sum(r[2] for r in rows) / len(rows)
+    a, b = strength(list(hosts.values())), strength(list(paths.values()))
+    odds = lambda x: np.log(x / (1 - x))
+    for r in got:
+        n, s, _ = hosts[r.host]
+        host = (s - r.p + a * mean) / (n - 1 + a)
+        n, s, _ = paths[r.host, r.path]
+        path = (s - r.p + b * host) / (n - 1 + b)
+        want = 1 / (1 + np.exp(-(odds(r.p) + odds(path) - odds(mean))))
+        assert (r.p_host, r.p_path, r.p_quality) == pytest.approx((host, path, want))
+        assert r.kept == (r.p_quality >= 0.5)
+
+
+def test_held_out_accuracy_on_the_labels(spark):
+    """Fitted on half of the labelled documents, tested on the other half."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    train = F.xxhash64(F.lit("half"), "doc_id") % 2 == 0
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    out = quality.quality(df, labels.where(train)).join(labels.where(~train), F.col("id") == F.col("doc_id")).select("p_quality", "quality", "kept").toPandas()
+    rank = out.p_quality.rank()
+    good = out.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.99 and (out.kept == good).mean() > 0.99 and out.kept[good].mean() > 0.995
+
+
+def test_a_sample_of_labels_is_bounded_and_repeatable(spark):
+    df = docs(spark, [(i // 2, f"text {i}") for i in range(400)] + [(None, "x")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 1)], "doc_id long, quality int")
+    of = lambda: sorted((r.id, r.y, r.text) for r in quality.labelled(df, labels, sample=50).collect())
+    assert len(of()) == 50 and of() == of() and all(t == min(f"text {2 * i}", f"text {2 * i + 1}") for i, _, t in of())
+    everything = quality.fit(df, labels, sample=1000)
+    assert len(everything.weights) == 2 * quality.FEATURES + 1
+
+
+def test_ties_at_the_threshold_are_kept(spark):
+    df = spark.createDataFrame([("h", "p", 0.5), ("h", "p", 0.5)], "host string, path string, p double")
+    assert [r.kept for r in quality.judged(df, F.col("host"), F.col("path"), "p", 0.5).collect()] == [True, True]
+
+
 def test_quality_learns_and_shrinks(spark):
     rng = random.Random(6)
     good = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(40)) + "."
@@ -310,6 +482,17 @@ def test_mixing_repeats_epochs_and_is_seeded(spark):
     assert {r.id for r in draw(2).collect()} != set(a)
 
 
+def test_mixing_takes_counted_tokens_long_texts_and_repeated_ids(spark):
+    rows = [(1, "word " * 200_000), (2, None), (3, ""), (4, "a b")] + [(5, "a b c")] * 3
+    df = docs(spark, rows).withColumn("tokens", F.lit(7))
+    drawn = {r.id: r.tokens for r in mixing.mixed_sources(df, F.lit("d"), {}, percent=100, max_epochs=1).collect()}
+    assert drawn == {1: 200_000, 4: 2, 5: 3}
+    counted = mixing.mixed_sources(df, F.lit("d"), {}, percent=50, max_epochs=1, tokens=F.col("tokens")).agg(F.sum("taken_tokens")).first()[0]
+    assert 21 <= counted <= 24  # 24 of 49, shares of repeated ids are rounded down
+    kept = mixing.keep_drawn(df, F.lit("d"), {}, 50).groupBy("doc_id").count().collect()
+    assert all(r["count"] == (3 if r.doc_id == 5 else 1) for r in kept)
+
+
 def test_keep_drawn_keeps_columns(spark):
     df = docs(spark, EDGE + [(100 + i, "x y z") for i in range(200)])
     kept = mixing.keep_drawn(df, F.lit("d"), {}, 50)
@@ -324,3 +507,59 @@ def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     assert list(tmp_path.glob("ledgerfold/*/*/*.parquet"))
     scratch.clear(spark)
     assert not list(tmp_path.glob("ledgerfold/*"))
+
+
+def test_temporary_tables_go_when_their_work_is_done(spark, tmp_path, monkeypatch):
+    from ledgerfold.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{tmp_path}")
+    with scratch.temporary(spark):
+        inner, lasting = scratch.stored(spark.range(3)), scratch.stored(spark.range(4), lasting=True)
+        assert inner.count() == 3
+    assert lasting.count() == 4 and len(list(tmp_path.glob("ledgerfold/*/*"))) == 1
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """All stages against what each should keep, on nulls, empty and very long texts and repeated rows."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    good = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(60)) + "."
+    bad = lambda: " | ".join(f"w{rng.randrange(900)}!!#" for _ in range(60))
+    texts = [(i, good() if i % 4 else bad()) for i in range(1, 301)]
+    near = texts[0][1].split()
+    texts += [(400, None), (401, ""), (402, texts[4][1].upper()), (403, " ".join(["changed", *near[1:]])), (404, "long " + good() * 3000), (5, texts[4][1]), (5, texts[4][1])]
+    rows = [(i, t, "en", f"s{i % 5}", len(t or "")) for i, t in texts] + [(None, good(), None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(1, 301, 2)] + [(4, 0, 0), (8, 0, 0), (12, 0, 0), (16, 0, 0), (20, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    out = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/out{i}")
+        out.append(docs.collect())
+        if i < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    lower = lambda r: (r.text or "").translate(LOWER)
+    accepted = quality.quality(spark.createDataFrame(rows, schema), spark.read.parquet(f"file://{tmp_path}/labels.parquet")).where("kept").collect()
+    assert sorted(str(r.doc_id) for r in out[0]) == sorted(str(r.id) for r in accepted)
+    assert sum(r.doc_id is None or r.doc_id % 4 > 0 or r.doc_id > 300 for r in out[0]) >= len(out[0]) - 2
+    groups = defaultdict(list)
+    for r in out[0]:
+        groups[lower(r)].append(r.doc_id)
+    assert sorted(str(r.doc_id) for r in out[1]) == sorted(str(max((i for i in own if i is not None), default=None)) for own in groups.values())
+    want = classes([(r.doc_id, r.text) for r in out[1]], 5, 80)
+    assert sorted(str(r.doc_id) for r in out[2]) == sorted(str(None if none else i) for (none, i), n, least in want if least == (None if none else i) or n == 0)
+    assert {(r.doc_id, r.text) for r in out[3]} <= {(r.doc_id, r.text) for r in out[2]} and 0 < len(out[3]) < len(out[2])
+    n_words = lambda found: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in found)
+    assert n_words(out[3]) >= 0.79 * n_words(out[2])
+    encode = pytest.importorskip("tokenizers").Tokenizer.from_file(tokens.public_tokenizer()).encode
+    total = {str(r.doc_id): len(encode(r.text or "", add_special_tokens=False).ids) + 1 for r in out[3]}
+    packed = defaultdict(int)
+    for r in out[4]:
+        packed[str(r.doc_id)] += r.length
+    assert packed == total
+    assert sorted(map(str, corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(
+        map(str, spark.read.parquet(f"file://{tmp_path}/out4").select("doc_id", "start", "length", "ids_crc32").collect())
+    )

@@ -1,6 +1,7 @@
 """The operators without Spark: codes, filters, cuts, trees."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -34,7 +35,7 @@ def test_registers_estimate_similarity():
             b = np.unique(np.concatenate([both, rng.integers(0, 2**63, int(1000 * (1 - share))).astype(np.uint64)]))
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             ra, rb = dedup_minhash.registers([a, b], order)
-            errors.append(float(dedup_minhash.estimated((ra == rb).sum())) - true)
+            errors.append(float(dedup_minhash.estimated((ra == rb).sum(), np.array([len(a)]), np.array([len(b)]))[0]) - true)
         assert abs(np.mean(errors)) < 0.03
 
 
@@ -51,11 +52,41 @@ def test_cascade_is_exact():
     rng = random.Random(1)
     keys = list({f"k{rng.random()}" for _ in range(5000)})
     listed, others = keys[:200], keys[200:]
-    bloom_in = lambda bloom: [k for k, hit in zip(others, bloom.has(others), strict=True) if hit]
-    cascade = url_filter.build_cascade(listed, bloom_in, 40)  # a bound so small that several levels are needed
-    assert len(cascade.levels) > 2
+    asked = []
+
+    def passing(levels, most):
+        found = [[k for k, hit in zip(others, level.has(others), strict=True) if hit] for level in levels]
+        asked.append(sum(map(len, found)))
+        return found if asked[-1] <= most else None
+
+    (first,) = url_filter.first_levels([listed], 40, passing)  # a bound so small that several levels are needed
+    cascade = url_filter.build_cascade(listed, *first)
+    assert asked[0] > 1400 >= asked[-1] and len(cascade.levels) > 2  # too many passed at first
     assert cascade.has(listed).all() and not cascade.has(others).any()
-    assert not url_filter.build_cascade([], lambda _: [], 10).has(others).any()
+    (first,) = url_filter.first_levels([[]], 10, passing)
+    assert not url_filter.build_cascade([], *first).has(others).any()
+
+
+def test_chance_collisions_follow_the_sizes():
+    order, rng = dedup_minhash._borrow_order(), np.random.default_rng(1)
+    for n, m in ((400, 400), (300, 3000), (5000, 4000)):
+        equal = []
+        for _ in range(150):
+            ra, rb = dedup_minhash.registers([np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m)], order)
+            equal.append((ra == rb).mean())
+        want = dedup_minhash.chance(np.array([n]), np.array([m]))[0]
+        assert 0 < want < 1e-3 and abs(np.mean(equal) - want) < 5 * (want / (150 * dedup_minhash.REGISTERS)) ** 0.5
+
+
+def test_a_tokenizer_that_joins_over_white_space_is_refused(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    joining = tokenizers.Tokenizer(tokenizers.models.BPE())
+    joining.pre_tokenizer = tokenizers.pre_tokenizers.Sequence(
+        [tokenizers.pre_tokenizers.Split(tokenizers.Regex(r"[.]\s?|\w+|\s"), "isolated"), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    joining.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        tokens.Encoder(str(tmp_path / "t.json"))
 
 
 @pytest.mark.parametrize(
@@ -173,3 +204,76 @@ def test_the_neighbours_of_an_article_stay_out():
 
 def test_plain_text_is_its_own_article():
     assert html_text.main_text("just  text &eacute;") == "just text é"
+
+
+@pytest.mark.parametrize(
+    "kept, page",
+    [
+        ("Shares fell, a lot.", f'<article><p class="share-price">Shares fell, a lot.</p>{BODY}</article>'),
+        ("A court said so.", f'<article><div class="legal-news"><p>A court said so.</p></div>{BODY}</article>'),
+        (None, f'<article><div class="ad-banner"><p>Buy now.</p></div>{BODY}</article>'),
+        (None, f'<article><div class="promo-teaser">Buy our book.</div>{BODY}</article>'),
+        (None, f'<article>{BODY}<ul class="share-tools"><li><a href="#">Mail</a></li><li><a href="#">Print</a></li></ul></article>'),
+    ],
+)
+def test_part_of_a_name_does_not_drop_a_paragraph(kept, page):
+    lines = html_text.main_text(page).split("\n")
+    assert [x for x in lines if x not in LINES] == ([kept] if kept else [])
+    assert [x for x in lines if x in LINES] == LINES
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<p", "<div>x", "<p title='x>text ", '<a href="', "<!-- ", "<span hidden>", "<b hidden><i hidden>x", "<script>x</script", "<div class=ad>x", "<div class=share-price><p>text", "<", "<p a=b ", "</div>"],
+)
+def test_broken_markup_costs_no_more_than_its_length(piece):
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 12 * took(10_000) + 0.5
+
+
+def brute_best(page):
+    """The best container by plain recursion over the tree."""
+    root = html_text._tree(page, True)
+    html_text._leave_out_named(root)
+
+    def blocks(x):
+        return [] if x.out else ([x] if x.text else []) + [b for c in x.children for b in blocks(c)]
+
+    def distance(b, x):
+        n = b.parent
+        if n.parent is not None and (n.tag in ("p", "li", "td", "blockquote", "pre") or n.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
+            n = n.parent
+        for d in range(1000):
+            if n is x:
+                return d
+            if n is None:
+                return None
+            n = n.parent
+
+    def points(x):
+        return sum((1 + b.text.count(",") + min(len(b.text) / 100, 3)) / 2**d for b in blocks(x) if (d := distance(b, x)) is not None)
+
+    def score(x):
+        n = sum(len(b.text) for b in blocks(x))
+        return points(x) * (1 - sum(b.linked for b in blocks(x)) / n) if n else 0.0
+
+    def every(x):
+        return [x] + [y for c in x.children for y in every(c)]
+
+    return {id(x): (points(x), score(x)) for x in every(root) if not x.text}, root
+
+
+def test_scores_match_recursion_over_all_pages():
+    pages = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    for page in [*pages, PAGE]:
+        want, root = brute_best(page or "")
+        html_text._score(root, [x for x in html_text._walk(root) if x.text and not x.out])
+        for x in html_text._walk(root):
+            if not x.text and not x.out:
+                assert x.points == pytest.approx(want[id(x)][0])
+                assert (x.points * (1 - x.linked / x.chars) if x.chars else 0.0) == pytest.approx(want[id(x)][1])
