@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,14 +35,26 @@ def by_size(updates: DataFrame, execution: str, order: list[str], size: str, mos
         now, request, count, held = object(), 0, 0, 0
         for batch in batches:
             out = np.empty(batch.num_rows, np.int64)
-            for i, (key, n) in enumerate(zip(batch.column(at).to_pylist(), batch.column(at_size).to_pylist(), strict=True)):
+            sizes = batch.column(at_size).to_numpy(zero_copy_only=False)
+            runs = pc.run_end_encode(batch.column(at))  # rows of one execution stand together
+            begin = 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if key != now:
                     now, request, count, held = key, 0, 0, 0
-                elif count >= most or (count and held + n > most_bytes):
-                    request, count, held = request + 1, 0, 0
-                count += 1
-                held += n
-                out[i] = request
+                upto = np.cumsum(sizes[begin:end])
+                done = 0
+                while done < len(upto):  # once a request
+                    before = int(upto[done - 1]) if done else 0
+                    fits = min(int(np.searchsorted(upto, before + most_bytes - held, side="right")) - done, most - count)
+                    if fits <= 0 and count:
+                        request, count, held = request + 1, 0, 0
+                        continue
+                    fits = max(fits, 1)
+                    out[begin + done : begin + done + fits] = request
+                    count += fits
+                    held += int(upto[min(done + fits, len(upto)) - 1]) - before
+                    done += fits
+                begin = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "request"])
 
     return updates.repartition(execution).sortWithinPartitions(execution, *order).mapInArrow(rows, schema)
