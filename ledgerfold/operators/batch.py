@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from . import spread
 
 # Why a batch ended.
 ALL, ENOUGH, TOO_MANY = "ALL_COMPLETED", "MIN_SUCCESSFUL_REACHED", "FAILURE_TOLERANCE_EXCEEDED"
@@ -100,6 +101,17 @@ def completed(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str
     return with_empty(ended, batches, batch, reason=policy.reason(zero, zero, zero), settled=zero, n_ok=zero, n_failed=zero, total=zero)
 
 
+def completed_spread(items: DataFrame, batch: str, ok: str, policy: Policy, order: list[str]) -> DataFrame:
+    """What completed gives for items that settle in the given order, with a batch of any size dealt to many tasks."""
+    one = F.when(F.col(ok), 1).otherwise(0)
+    rows = spread.running_sums(items.select(batch, ok, *order), batch, order, {"n_ok": one, "n_failed": 1 - one})
+    rows = rows.withColumn("total", F.col("n_ok_all") + F.col("n_failed_all"))
+    rows = rows.withColumn("reason", policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")))
+    settled = (F.col("n_ok") + F.col("n_failed")).alias("settled")
+    end = F.min(F.when(F.col("reason").isNotNull(), F.struct(settled, "reason", "n_ok", "n_failed", "total")))
+    return rows.groupBy(batch).agg(end.alias("end")).select(batch, "end.reason", "end.settled", "end.n_ok", "end.n_failed", "end.total")
+
+
 def with_end(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx") -> DataFrame:
     """items with reason and settled of their batch's end, by windows over one partitioning."""
     rows, end = _ended(items, batch, ok, policy, settle)

@@ -53,6 +53,18 @@ def batch_completion_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(batch.completed(event_items(spark, sf_dir), "user_id", "ok", batch.Policy(min_successful=5, tolerated_percentage=25.0)))
 
 
+@query(
+    _ended(
+        """CASE WHEN n_failed * 100.0::DOUBLE > 25.0::DOUBLE * total THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED'
+        WHEN n_ok >= 5 THEN 'MIN_SUCCESSFUL_REACHED' END"""
+    )
+)
+def batch_completion_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for batches of which one may hold a large part of all items."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return batch.completed_spread(events, "user_id", "ok", batch.Policy(min_successful=5, tolerated_percentage=25.0), ["ts", "event_id"])
+
+
 @query(_ended("CASE WHEN n_failed > 0 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' END"))
 def batch_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(batch.completed(event_items(spark, sf_dir), "user_id", "ok", batch.Policy()))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import codecs, errors, identity, schedules
-from ledgerfold.operators import batch, combinators, execution, lifecycle, log, packing
+from ledgerfold.operators import batch, combinators, execution, lifecycle, log, packing, spread
 from ledgerfold.options import Options
 from ledgerfold.sources import paged
 
@@ -101,6 +101,18 @@ def test_flat_items_keep_no_record(spark):
     assert of(False) == {("0-1", "0"), ("0-1-1", "0-1"), ("0-1-2", "0-1")} and of(True) == {("0-1-1", "0"), ("0-1-2", "0")}
 
 
+def test_a_large_group_is_dealt_to_many_tasks(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 7 > 0, 2).alias("g"), F.col("id"), (F.col("id") % 5).alias("v"))
+    got = spread.running_sums(rows, "g", ["id"], {"s": F.col("v"), "n": F.lit(1)}, parts=9)
+    w = W.partitionBy("g").orderBy("id")
+    want = rows.withColumns({"s": F.sum("v").over(w), "n": F.row_number().over(w), "s_all": F.sum("v").over(W.partitionBy("g")), "n_all": F.count(F.lit(1)).over(W.partitionBy("g"))})
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.select(got.columns).collect())))
+    some = items(spark, "sfss", "f", "ss")
+    policy = batch.Policy(min_successful=2, tolerated_failures=1)
+    of = lambda df: sorted(tuple(r) for r in df.collect())
+    assert of(batch.completed_spread(some, "b", "ok", policy, ["idx"])) == of(batch.completed(some, "b", "ok", policy))
+
+
 def test_names(spark):
     assert one(spark, batch.item_name(F.lit(""), F.lit(3))) == "map-item-3"
     assert one(spark, batch.item_name(F.lit(None), F.lit(0), "parallel-branch")) == "parallel-branch-0"
