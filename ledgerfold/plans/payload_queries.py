@@ -268,9 +268,9 @@ def payload_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from ..sources import payloads
-    from ..sources.stored import shared_folder
+    from ..sources.stored import own_folder
 
-    folder = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     quoted = F.to_json(F.array("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value"))
     kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), codecs.hashed_segment(F.col("doc_id").cast("string"))), always=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedules
-from ..sources.stored import shared_folder
+from ..sources.stored import own_folder
 from ..streaming import sink, timers
 from .registry import query
 
@@ -37,7 +37,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
-    folder = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     spark.conf.set(provider, ROCKS)  # a stream keeps the settings it starts with
     try:
         started = (

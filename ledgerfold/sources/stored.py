@@ -22,9 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The shared folder's part that this application writes to."""
+    return f"{shared_folder(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application stored. To be called when no result that reads it is needed any more."""
+    deleted(spark, own_folder(spark))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and return a reader of what was written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
