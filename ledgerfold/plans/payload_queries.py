@@ -89,18 +89,20 @@ def payload_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH d AS (SELECT doc_id, octet_length(encode('{"__ledgerfold":{"version":1,"kind":"inline"},"value":' || '{"id":' || doc_id || '}' || '}')) + 40 * n_chars AS bytes,
+    WITH d AS (SELECT doc_id, 56 + 2 + 40 * n_chars AS bytes,
         'exec/' || sha256(CAST(doc_id AS VARCHAR)) AS path FROM documents)
     SELECT doc_id, bytes > 261120 AS overflowed,
         CASE WHEN bytes > 261120 THEN '{"__ledgerfold":{"version":1,"kind":"file"},"file":"' || path || '","preview":{"id":' || doc_id || '}}' END AS envelope FROM d
     """
 )
 def payload_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of 40 times a document's length; those beyond the limit become files."""
+    """Payloads of 40 times a document's length; those whose inline envelope is beyond the limit become files."""
     own = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit("}"))
     path = F.concat(F.lit("exec/"), codecs.hashed_segment(F.col("doc_id").cast("string")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(codecs.inline_envelope(own)) + 40 * F.col("n_chars") > codecs.OVERFLOW).alias("overflowed"), path.alias("path"), own.alias("own"))
-    return rows.select("doc_id", "overflowed", F.when(F.col("overflowed"), codecs.stored_payload(F.col("own"), F.col("path"), F.col("own"), always=True)).alias("envelope"))
+    value = F.concat(F.lit('"'), F.repeat(F.lit("x"), (40 * F.col("n_chars")).cast("int")), F.lit('"'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", codecs.stored_payload(value, path, own).alias("payload"))
+    overflowed = codecs.envelope_kind(F.col("payload")) == "file"
+    return rows.select("doc_id", overflowed.alias("overflowed"), F.when(overflowed, F.col("payload")).alias("envelope"))
 
 
 @query(
@@ -188,12 +190,14 @@ def combinator_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PENDING' ELSE 'FAILED' END AS status, o_custkey FROM orders)
-    SELECT o_orderkey, '{"Status":"' || status || '"' || CASE status WHEN 'SUCCEEDED' THEN ',"Result":"' || o_custkey || '"' WHEN 'FAILED' THEN ',"Error":"lost"' ELSE '' END || '}' AS envelope FROM o
+    SELECT o_orderkey, '{"Status":"' || status || '"' || CASE status WHEN 'SUCCEEDED' THEN ',"Result":"' || CASE WHEN o_orderkey % 4000 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END || '"' WHEN 'FAILED' THEN ',"Error":"lost"' ELSE '' END || '}' AS envelope FROM o
     """
 )
 def result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("FAILED")
-    envelope = codecs.response_envelope(status, F.col("o_custkey").cast("string"), F.lit("lost"))
+    # some results are a byte too long for a response
+    result = F.when(F.col("o_orderkey") % 4000 == 0, F.repeat(F.lit("r"), F.lit(codecs.RESPONSE + 1))).otherwise(F.col("o_custkey").cast("string"))
+    envelope = codecs.response_envelope(status, result, F.lit("lost"))
     return table(spark, sf_dir, "orders").select("o_orderkey", envelope.alias("envelope"))
 
 
@@ -275,3 +279,44 @@ def payload_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value"))
     kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), codecs.hashed_segment(F.col("doc_id").cast("string"))), always=True)
     return payloads.read(kept, folder).select("doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha"), "problem")
+
+
+@query(
+    """
+    SELECT doc_id, 2 + 1000 * (doc_id % 300) AS value_bytes, 58 + 1000 * (doc_id % 300) > 261120 AS in_file, CAST(NULL AS VARCHAR) AS problem FROM documents
+    """
+)
+def payload_store_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of up to 299,002 bytes: only those whose inline envelope is too large go to files; all come back."""
+    import uuid
+
+    from ..sources import payloads
+    from ..sources.stored import own_folder
+
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    value = F.concat(F.lit('"'), F.repeat(F.lit("y"), (1000 * (F.col("doc_id") % 300)).cast("int")), F.lit('"'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", value.alias("value"))
+    kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), codecs.hashed_segment(F.col("doc_id").cast("string"))))
+    kept = kept.withColumn("in_file", codecs.envelope_kind(F.col("payload")) == "file")
+    return payloads.read(kept, folder).select("doc_id", F.octet_length("value").cast("long").alias("value_bytes"), "in_file", "problem")
+
+
+@query(
+    """
+    WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+    SELECT CAST(o_custkey AS VARCHAR) AS arn, CASE WHEN count(*) > 4 THEN 'm1' END AS next_marker, '{"customer":' || o_custkey || '}' AS input, least(count(*), 4) AS held, CAST(min(o_orderkey) AS VARCHAR) AS first_op FROM n GROUP BY o_custkey
+    """
+)
+def bootstrap_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes with an execution's input, the first four of its operations and, if there are more, where they go on."""
+    one = F.struct(F.col("o_orderkey").cast("string").alias("Id"), F.lit("STEP").alias("Type"), F.lit("STARTED").alias("Status"), F.col("o_orderkey").alias("n"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    first = F.slice(F.array_sort("all", lambda x, y: F.when(x["n"] < y["n"], -1).otherwise(1)), 1, 4)
+    envelope = F.struct(
+        F.col("o_custkey").cast("string").alias("Arn"),
+        F.when(F.size("all") > 4, "m1").alias("NextMarker"),
+        F.concat(F.lit('{"customer":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("Input"),
+        first.alias("Operations"),
+    )
+    pages = paged.bootstrap(rows.select(F.to_json(envelope).alias("envelope")), "envelope")
+    return pages.select("arn", "next_marker", "input", F.size("operations").cast("long").alias("held"), F.col("operations")[0]["Id"].alias("first_op"))

@@ -34,6 +34,11 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def run_to_end(stream: DataFrame) -> DataFrame:
     """All that a stream has to say now, each micro-batch written once."""
+    return sink.written(stream.sparkSession, run(stream))
+
+
+def run(stream: DataFrame) -> str:
+    """The folder to which a stream's micro-batches of what there is now were written."""
     spark = stream.sparkSession
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
@@ -49,7 +54,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
         started.awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return sink.written(spark, f"{folder}/out")
+    return f"{folder}/out"
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, 'RESUMED' AS outcome, epoch_us(min(ts)) // 1000 + 3600000 AS at_ms FROM events WHERE event_type = 'view' GROUP BY user_id HAVING min(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'view')")
@@ -151,6 +156,15 @@ def stream_poll_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(timers.outcomes(rows, timers.Poll(9, goal=4), timed=False)).drop("batch")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, (epoch_us(ts), event_type)) AS kind, max(epoch_us(ts)) // 1000 AS at_ms FROM events GROUP BY user_id")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates written batch by batch, merged to each user's newest record."""
+    kinds = {k: k for k in ("view", "click", "signup", "purchase", "error")}
+    rows = event_stream(spark, sf_dir, kinds).select("key", "kind", F.unix_micros("ts").alias("at_us"))
+    folder = run(rows)
+    return sink.state(spark, folder, ["key"], ["at_us", "kind"]).select("key", "kind", F.floor(F.col("at_us") / 1000).cast("long").alias("at_ms"))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS key, 'fail' AS kind, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'error'")
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"error": "fail"})

@@ -18,6 +18,15 @@ def operations(envelopes: DataFrame, column: str) -> DataFrame:
     return rows.select("arn", *(F.col(f"o.{a}").alias(b) for a, b in names.items()))
 
 
+def bootstrap(envelopes: DataFrame, column: str) -> DataFrame:
+    """(arn, marker, next_marker, operations, input) of each envelope: the first page of its execution's state, which `followed` can go on from."""
+    schema = f"Arn string, NextMarker string, Input string, Operations array<{RECORD}>"
+    parsed = envelopes.select(F.from_json(column, schema).alias("e"))
+    none = F.lit(None).cast("string")
+    held = F.coalesce("e.Operations", F.from_json(F.lit("[]"), f"array<{RECORD}>"))
+    return parsed.select(F.col("e.Arn").alias("arn"), none.alias("marker"), F.nullif("e.NextMarker", F.lit("")).alias("next_marker"), held.alias("operations"), F.col("e.Input").alias("input"))
+
+
 def followed(pages: DataFrame, execution: str, marker: str, next_marker: str) -> DataFrame:
     """pages with number: those that following each page's next marker reaches, from the first (without a marker) on.
 

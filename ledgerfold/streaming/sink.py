@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import log
+
 
 def checkpointed(folder: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch into a folder of its own, overwritten when the batch is run again.
@@ -23,3 +25,8 @@ def checkpointed(folder: str) -> Callable[[DataFrame, int], None]:
 
 def written(spark, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+
+
+def state(spark, folder: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The log that all written batches give when each is merged into what was there: by key the newest record of the last batch."""
+    return log.state(written(spark, folder), keys, ["batch", *order]).drop("batch")
