@@ -7,10 +7,11 @@
    next MANTISSA bits. Empty buckets borrow by a fixed permutation of buckets.
 3. Bands of ROWS compressed registers are hashed to keys. Nodes with a key in
    common are candidates.
-4. Two rounds tie most nodes of a large group together with one comparison each:
-   every node is held against one leader of its keys. In the first round a key's
-   leader is drawn, in the second, among keys under which untied nodes meet, it
-   is the node with most candidates, so that a group around one text finds it.
+4. Rounds of leaders tie most nodes of a large group together with one comparison
+   each: every node is held against one leader of its keys. In the first round a
+   key's leader is drawn. Where step 5 would have much to compare, there is a
+   second, among keys under which untied nodes meet; there, it is the node with
+   most candidates, so that a group around one text finds it.
 5. What is left open are keys under which nodes meet that aren't tied. There, all
    nodes but the largest tied part are held against all, in blocks of sketches
    against blocks of sketches. A block emits the nodes with a likely partner, not pairs.
@@ -45,6 +46,8 @@ MANTISSA = 11
 #: Texts in a block that is held in memory, and in a block that streams past it; the same for sketches.
 HELD, STREAMED = 256, 1024
 SKETCHES_HELD, SKETCHES_STREAMED = 1024, 4096
+#: Comparisons of sketches for each open node from which another round of leaders saves more than it costs.
+WORTH = 500
 #: Standard deviations by which an estimate may be below the threshold.
 DEVIATIONS = 5
 
@@ -373,23 +376,22 @@ def _central(met: DataFrame) -> DataFrame:
     )
 
 
-def sketch_blocks(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _main_parts(met: DataFrame) -> DataFrame:
+    """(key, main, others, size) of open keys: the largest part of each, and how many nodes are in other ones and in all."""
+    parts = met.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
+    return stored(main.select("key", F.col("main.part").alias("main"), (F.col("size") - F.col("main.n")).alias("others"), "size"))
+
+
+def sketch_blocks(met: DataFrame, main: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Tasks (grp, node, role) for block_links: the nodes of each open key that have a likely partner there which they aren't tied with.
 
     All but a key's largest part is held against all of the key, in cells of
     SKETCHES_HELD by SKETCHES_STREAMED sketches, so a key of any size is as many
     tasks as it needs. A pair is looked at under the first key that it shares.
     """
-    parts = met.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"))
-    main = stored(
-        main.select(
-            "key",
-            F.col("main.part").alias("main"),
-            F.ceil((F.col("size") - F.col("main.n")) / SKETCHES_HELD).cast("int").alias("rows"),
-            F.ceil(F.col("size") / SKETCHES_STREAMED).cast("int").alias("cols"),
-        )
-    )
+    cells = lambda c, n: F.ceil(F.col(c) / n).cast("int")
+    main = main.select("key", "main", cells("others", SKETCHES_HELD).alias("rows"), cells("size", SKETCHES_STREAMED).alias("cols"))
     if small_enough(main.count(), 80):
         main = F.broadcast(main)
     known = met.select("key", "node", "part").join(main, "key")
@@ -491,13 +493,15 @@ def _roots(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     alone = buckets.select("node").distinct().select("node", F.col("node").alias("root"))
     tied = _joined(stored(alone), _led(best.join(leaders, "lead").select("leader", "node"), nodes, docs, words, percent))
     met = _open(buckets, tied)
-    if met.isEmpty():
-        return tied
-    tied = _joined(tied, _led(_central(met), nodes, docs, words, percent))
-    met = _open(met, tied)
-    if met.isEmpty():
+    main = _main_parts(met)
+    pairs, open_ = main.agg(F.sum(F.col("others") * F.col("size")), F.sum("size")).first()
+    if pairs and pairs > WORTH * open_:
+        tied = _joined(tied, _led(_central(met), nodes, docs, words, percent))
+        met = _open(met, tied)
+        main = _main_parts(met)
+    if main.isEmpty():
         return tied
-    return _joined(tied, stored(block_links(sketch_blocks(met, nodes, percent), nodes, docs, words, percent)))
+    return _joined(tied, stored(block_links(sketch_blocks(met, main, nodes, percent), nodes, docs, words, percent)))
 
 
 def near_classes(
