@@ -8,49 +8,28 @@ a re-read and never a recomputation from the start.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import deleted, shared_folder
+
 #: Bytes up to which a table of known size may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-#: Folders of local sessions without spark.checkpoint.dir, by application.
-_LOCAL: dict[str, str] = {}
 #: Folders of tables that are deleted when the work they are for is done, innermost last.
 _INNER: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session gets a temporary folder; any other
-    session is refused, as its executors could not see such a folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerfold-"))
-
-
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
 
 
-def _deleted(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def clear(spark: SparkSession) -> None:
     """Delete what this application stored. To be called when no result that reads it is needed any more."""
-    _deleted(spark, _own_folder(spark))
+    deleted(spark, _own_folder(spark))
 
 
 @contextlib.contextmanager
@@ -62,7 +41,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _INNER.remove(folder)
-        _deleted(spark, folder)
+        deleted(spark, folder)
 
 
 def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
