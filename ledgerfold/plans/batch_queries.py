@@ -129,7 +129,7 @@ def batch_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx ROWS UNBOUNDED PRECEDING)),
     e AS (SELECT l_orderkey, arg_min(CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' ELSE 'MIN_SUCCESSFUL_REACHED' END, idx) AS reason,
         arg_min(n_ok, idx) AS n_ok, arg_min(n_failed, idx) AS n_failed, any_value(total) AS total FROM run WHERE n_failed > 1 OR n_ok + n_failed >= total OR n_ok >= 3 GROUP BY 1)
-    SELECT o_orderkey AS l_orderkey, coalesce(reason, 'ALL_COMPLETED') AS reason, coalesce(n_ok + n_failed, 0) AS settled, coalesce(n_ok, 0) AS n_ok, coalesce(n_failed, 0) AS n_failed, coalesce(total, 0) AS total
+    SELECT o_orderkey AS l_orderkey, coalesce(reason, 'ALL_COMPLETED') AS reason, CAST(coalesce(n_ok + n_failed, 0) AS BIGINT) AS settled, CAST(coalesce(n_ok, 0) AS BIGINT) AS n_ok, CAST(coalesce(n_failed, 0) AS BIGINT) AS n_failed, coalesce(total, 0) AS total
     FROM orders LEFT JOIN e ON l_orderkey = o_orderkey
     """
 )
@@ -146,7 +146,7 @@ def batch_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT o_orderkey, -1, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey), 0, 0 FROM orders),
     e AS (SELECT l_orderkey, arg_min(CASE WHEN n_ok >= 3 THEN 'CUSTOM_COMPLETION_SUCCEEDED' WHEN total - n_failed < 3 THEN 'CUSTOM_COMPLETION_FAILED' END, idx) AS reason,
         arg_min(n_ok, idx) AS n_ok, arg_min(n_failed, idx) AS n_failed, any_value(total) AS total FROM run WHERE n_ok >= 3 OR total - n_failed < 3 GROUP BY 1)
-    SELECT l_orderkey, reason, n_ok + n_failed AS settled, n_ok, n_failed, total FROM e
+    SELECT l_orderkey, reason, CAST(n_ok + n_failed AS BIGINT) AS settled, CAST(n_ok AS BIGINT) AS n_ok, CAST(n_failed AS BIGINT) AS n_failed, total FROM e
     """
 )
 def batch_predicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
