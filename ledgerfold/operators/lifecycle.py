@@ -12,6 +12,21 @@ from ..functions import identity
 EVENTS = {"START": "operation_started", "SUCCEED": "operation_succeeded", "FAIL": "operation_failed", "RETRY": "operation_retry_scheduled", "REPLAY": "operation_replayed"}
 
 
+# Fields of an event's record, in order.
+FIELDS = ("executionArn", "requestId", "operationId", "operationName", "tenantId", "operationType", "operationSubType", "attempt", "isReplay", "delaySeconds", "error")
+
+
+def event_record(event: Column, fields: dict[str, Column]) -> Column:
+    """An event as JSON: its name and fields in their order; a delay only where a retry is scheduled, an error only there and at a failure. Nulls are left out."""
+    unknown = set(fields) - set(FIELDS)
+    if unknown:
+        raise ValueError(f"an event has no field {sorted(unknown)[0]}")
+    retry = event == EVENTS["RETRY"]
+    told = {"delaySeconds": retry, "error": retry | (event == EVENTS["FAIL"])}
+    shown = [(F.when(told[name], fields[name]) if name in told else fields[name]).alias(name) for name in FIELDS if name in fields]
+    return F.to_json(F.struct(event.alias("message"), *shown))
+
+
 def emitted(updates: DataFrame, action: str, written: str) -> DataFrame:
     """updates with event and is_replay; only transitions that were written emit one, or recorded ends that were replayed."""
     event = F.lit(None).cast("string")

@@ -408,3 +408,31 @@ def codec_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = codecs.PASSTHROUGH.read(codecs.PASSTHROUGH.write(F.col("o_orderpriority")))
     sent = one_way.write(F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("who")))
     return out.select("o_orderkey", "is_replay", "value", passed.alias("passed"), sent.alias("sent"))
+
+
+@query(
+    """
+    WITH u AS (SELECT *, CASE event_type WHEN 'view' THEN 'operation_started' WHEN 'purchase' THEN 'operation_succeeded' WHEN 'error' THEN 'operation_failed' WHEN 'click' THEN 'operation_retry_scheduled' ELSE 'operation_replayed' END AS m FROM events)
+    SELECT event_id, '{"message":"' || m || '","executionArn":"user-' || user_id || '","operationId":"' || sha256(CAST(event_id % 8 AS VARCHAR)) || '"' || CASE WHEN event_id % 4 > 0 THEN ',"operationName":"slot ' || event_id % 8 || '"' ELSE '' END
+        || ',"operationType":"Step","attempt":' || event_id % 5 + 1 || ',"isReplay":' || CASE m WHEN 'operation_replayed' THEN 'true' ELSE 'false' END
+        || CASE WHEN m = 'operation_retry_scheduled' THEN ',"delaySeconds":' || event_id % 60 ELSE '' END || CASE WHEN m IN ('operation_retry_scheduled', 'operation_failed') THEN ',"error":"lost ' || event_id || '"' ELSE '' END || '}' AS record FROM u
+    """
+)
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import identity
+    from ..operators import lifecycle
+
+    kind, n = F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "view", "START").when(kind == "purchase", "SUCCEED").when(kind == "error", "FAIL").when(kind == "click", "RETRY").otherwise("REPLAY")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", action.alias("action"), F.lit(True).alias("written"))
+    fields = {
+        "executionArn": F.concat(F.lit("user-"), F.col("user_id").cast("string")),
+        "operationId": identity.wire_id((n % 8).cast("string")),
+        "operationName": F.when(n % 4 > 0, F.concat(F.lit("slot "), (n % 8).cast("string"))),
+        "operationType": F.lit("Step"),
+        "attempt": n % 5 + 1,
+        "isReplay": F.col("is_replay"),
+        "delaySeconds": n % 60,
+        "error": F.concat(F.lit("lost "), n.cast("string")),
+    }
+    return lifecycle.emitted(rows, "action", "written").select("event_id", lifecycle.event_record(F.col("event"), fields).alias("record"))
