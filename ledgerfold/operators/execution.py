@@ -121,16 +121,15 @@ def checked(runs: DataFrame, key: str, order: str, seen: str, lost: str, initial
     """
     one = F.struct(F.col(order).alias("o"), F.col(seen).alias("seen"), F.coalesce(F.col(lost), F.lit(False)).alias("lost"))
     folded = runs.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    state = F.lit(None) if initial is None else initial
     none = F.expr("filter(array(1), x -> false)")
 
     def step(at: Column, run: Column) -> Column:
         new = check(at["state"], run["seen"])
-        return F.when(run["lost"], F.struct(state.alias("state"), at["states"].alias("states"))).otherwise(
+        return F.when(run["lost"], F.struct(initial.alias("state"), at["states"].alias("states"))).otherwise(
             F.struct(new.alias("state"), F.concat(at["states"], F.array(new)).alias("states"))
         )
 
-    start = F.struct(state.alias("state"), F.transform(none, lambda _: state).alias("states"))
+    start = F.struct(initial.alias("state"), F.transform(none, lambda _: initial).alias("states"))
     states = F.aggregate("runs", start, step, lambda at: at["states"])
     return folded.select(key, F.posexplode(states).alias("at", "state")).select(key, (F.col("at") + 1).alias("attempt"), "state")
 
