@@ -8,8 +8,8 @@ pivot h, so by the triangle inequality in its sharper form for Euclidean space
     d(v, k)^2 - d(v, h)^2 <= 2 r d(h, k).
 
 Where that holds, v is also sent to cell k (only for k > h: one of the two cells
-is enough to find the pair). Cells then join independently, cut into blocks so
-that a crowded cell is many tasks. Vectors with equal components are one node
+is enough to find the pair). Cells then join independently, cut into blocks of
+held by streamed vectors, so that a crowded cell is many tasks of bounded size. Vectors with equal components are one node
 with a weight. A block emits link counts and enough links to connect what is
 linked, not its pairs.
 
@@ -35,8 +35,8 @@ from .arrowtext import tidy
 from .components import components
 from .scratch import small_enough, stored
 
-#: Vectors of a cell held by one task, and of those compared at a time.
-HELD, STEP = 4096, 512
+#: Vectors of a cell held by one task, of those that stream past them, and of those compared at a time.
+HELD, STREAMED, STEP = 4096, 32_768, 512
 #: Most pivots for each number of dimensions, and the bytes of all; both bound what is sent to every executor.
 PIVOTS, PIVOT_BYTES = 4096, 16 * 1024 * 1024
 #: How near to the limit a product of unit vectors is computed again from the vectors themselves.
@@ -79,8 +79,10 @@ def _scaled(vecs: list[bytes], dim: int) -> np.ndarray:
 def _near(x: np.ndarray, y: np.ndarray, least: float, vecs_x: list[bytes], vecs_y: list[bytes]) -> np.ndarray:
     """Which unit vectors of x and y have a cosine of at least `least`; doubtful ones by dot product over norms."""
     product = x @ y.T
-    near = product >= least
-    i, j = np.nonzero(np.abs(product - least) <= DOUBT)
+    near = product >= least - DOUBT
+    i, j = np.nonzero(near)
+    doubtful = product[i, j] <= least + DOUBT
+    i, j = i[doubtful], j[doubtful]
     if len(i):
         a, b = _scaled([vecs_x[k] for k in i.tolist()], x.shape[1]), _scaled([vecs_y[k] for k in j.tolist()], x.shape[1])
         dot = np.array([u @ v for u, v in zip(a, b, strict=True)])
@@ -105,10 +107,10 @@ def _local_roots(near: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The held vectors of one cell block."""
+    """The held vectors of one cell block; of several blocks with the same ones only the first counts links between them."""
 
-    def __init__(self, least: float) -> None:
-        self.least = least
+    def __init__(self, least: float, first: bool) -> None:
+        self.least, self.first = least, first
         self.names: list[bytes] = []
         self.vecs: list[bytes] = []
         self.weights: list[int] = []
@@ -130,6 +132,9 @@ class _Block:
         self.root = np.arange(len(self.w))
         if len(some):
             self.root[some] = some[_local_roots(near[np.ix_(some, some)])]
+        if not self.first:
+            self.count[:] = 0
+            return []
         return [(self.names[i], None, self.names[self.root[i]]) for i in some.tolist() if self.root[i] != i]
 
     def meet(self, names: list[bytes], vecs: list[bytes], weights: np.ndarray, dim: int) -> list[tuple[bytes, int | None, bytes | None]]:
@@ -219,7 +224,11 @@ def near_vectors(
             _cells(pivots, radius), "cell int, home boolean, node binary, dim int, vec binary, weight long"
         ).select("cell", "home", "node", "dim", "weight")
     )
-    sizes = stored(sent.where("home").groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks")))
+    sizes = stored(
+        sent.groupBy("dim", "cell").agg(
+            F.ceil(F.count_if("home") / HELD).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / STREAMED).cast("int").alias("columns")
+        ).where("blocks > 0")
+    )
     if small_enough(sizes.count(), 40):
         sizes = F.broadcast(sizes)
     dealt = (
@@ -228,15 +237,17 @@ def near_vectors(
         .withColumn("last", F.when(F.col("home"), F.col("own")).otherwise(F.col("blocks") - 1))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .withColumn("role", F.when(F.col("home") & (F.col("block") == F.col("own")), 0).otherwise(1))
+        .withColumn("streams", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("columns")).cast("int"))
+        .withColumn("column", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("columns") - 1)).otherwise(F.array("streams"))))
         .join(nodes.select("node", "vec"), "node")
-        .select("dim", "cell", "block", "role", "node", "weight", "vec")
-        .repartition("dim", "cell", "block")
-        .sortWithinPartitions("dim", "cell", "block", "role")
+        .select("dim", "cell", "block", "column", "role", "node", "weight", "vec")
+        .repartition("dim", "cell", "block", "column")
+        .sortWithinPartitions("dim", "cell", "block", "column", "role")
     )
 
     @tidy
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, _Block(cosine)
+        key, block = None, _Block(cosine, True)
 
         def table(out: list) -> pa.RecordBatch:
             node, links, other = zip(*out, strict=True) if out else ((), (), ())
@@ -252,17 +263,17 @@ def near_vectors(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
+            marks = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5)])
             cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(marks[:3, a].tolist())
+                now = tuple(marks[:4, a].tolist())
                 if now != key:
                     yield table(closed())
-                    key, block = now, _Block(cosine)
+                    key, block = now, _Block(cosine, now[3] == 0)
                 part = batch.slice(a, b - a)
-                names, vecs = part.column(4).to_pylist(), part.column(6).to_pylist()
-                weights = np.asarray(part.column(5))
-                if marks[3, a] == 0:
+                names, vecs = part.column(5).to_pylist(), part.column(7).to_pylist()
+                weights = np.asarray(part.column(6))
+                if marks[4, a] == 0:
                     block.names += names
                     block.vecs += vecs
                     block.weights += weights.tolist()
