@@ -154,7 +154,6 @@ def test_results_hold_without_broadcasts(spark, monkeypatch):
     ops = (
         dedup_exact.exact_dedup,
         dedup_exact.keep_first_copies,
-        lambda d: dedup_minhash.near_classes(d, words=2),
         lambda d: dedup_minhash.keep_one_of_each(d, words=2),
     )
     want = [of(op(df)) for op in ops]
@@ -323,6 +322,7 @@ def test_padding_of_the_documents_is_small(spark):
 
 def test_near_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dedup_embedding, "HELD", 13)
+    monkeypatch.setattr(dedup_embedding, "STREAMED", 20)
     monkeypatch.setattr(dedup_embedding, "PIVOTS", 4)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(150, 8)).astype(np.float32)

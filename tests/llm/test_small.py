@@ -239,7 +239,7 @@ def test_broken_markup_costs_no_more_than_its_length(piece):
 def brute_best(page):
     """The best container by plain recursion over the tree."""
     root = html_text._tree(page, True)
-    html_text._leave_out_named(root)
+    html_text._leave_out_named(list(html_text._walk(root)))
 
     def blocks(x):
         return [] if x.out else ([x] if x.text else []) + [b for c in x.children for b in blocks(c)]
@@ -272,8 +272,9 @@ def test_scores_match_recursion_over_all_pages():
     pages = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
     for page in [*pages, PAGE]:
         want, root = brute_best(page or "")
-        html_text._score(root, [x for x in html_text._walk(root) if x.text and not x.out])
-        for x in html_text._walk(root):
+        walk = list(html_text._walk(root))
+        html_text._score(walk, [x for x in walk if x.text and not x.out])
+        for x in walk:
             if not x.text and not x.out:
                 assert x.points == pytest.approx(want[id(x)][0])
                 assert (x.points * (1 - x.linked / x.chars) if x.chars else 0.0) == pytest.approx(want[id(x)][1])
