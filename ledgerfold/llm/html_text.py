@@ -42,6 +42,7 @@ ALONE = {"p", "#text", "blockquote", "pre", "ul", "ol", "table"}  # part of an a
 LONG = 80  # characters from which text reads as a paragraph wherever it stands
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)>")
 _GAP = re.compile(r"[\s/]*")
 _KEY = re.compile(r"[^\s=>/<\"']+")
 _EQUALS = re.compile(r"\s*=\s*")
@@ -99,6 +100,10 @@ class _Scanner:
             if mark < 0:
                 self.at = n
                 return page[start:], False, "", {}
+            plain = _PLAIN_TAG.match(page, mark)
+            if plain:
+                self.at = plain.end()
+                return page[start:mark], bool(plain[1]), plain[2].lower(), {}
             ahead = page[mark + 1 : mark + 2]
             if ahead in ("!", "?") and ahead:
                 end = page.find("-->", mark + 4) if page.startswith("<!--", mark) else page.find(">", mark)
@@ -234,16 +239,17 @@ def _plain(x: _Node) -> bool:
     return not _HEADING.match(x.parent.tag) and x.linked < 0.3 * x.chars and (x.chars >= LONG or x.parent.tag in ("p", "blockquote", "pre"))
 
 
-def _leave_out_named(root: _Node) -> None:
+def _leave_out_named(walk: list[_Node]) -> None:
     """Leave out elements for their class or id, but for those that hold the article.
 
     An element holds it with most of the page's text (what readers wrote aside;
     most by far if there is an article elsewhere), with the only article or main and
     a quarter of that text, or with an h1 within one of these. Its text is what stands in elements of it.
     """
-    order = [x for x in _walk(root) if not x.out]
+    order = [x for x in walk if not x.out]
     if not any(x.named for x in order):
         return
+    root = order[0]
     # of each element: text without links, its h1 and main, and its articles and mains that bear no such name
     text, heads, holders, theirs, within, said, prose = ({id(x): 0 for x in order} for _ in range(7))
     readers = {id(x) for x in order if x.named & READERS and (x.tag != "article" or "comment" in x.named)}
@@ -277,13 +283,13 @@ def _leave_out_named(root: _Node) -> None:
             x.out = not (most or i not in readers and (holders[id(root)] == 1 == holders[i] and 4 * own >= total or heads[i] and within[i]))
 
 
-def _score(root: _Node, blocks: list[_Node]) -> None:
+def _score(walk: list[_Node], blocks: list[_Node]) -> None:
     """Points, characters and linked characters of every element, in one pass from the leaves up."""
     for b in blocks:
         # a paragraph's own element is no container
         paragraph = b.parent.parent is not None and (b.parent.tag in ("p", "li", "td", "blockquote", "pre") or _HEADING.match(b.parent.tag))
         (b.parent.parent if paragraph else b.parent).points += 1 + b.text.count(",") + min(b.chars / 100, 3)
-    for x in reversed(list(_walk(root))):
+    for x in reversed(walk):
         if x.parent is not None and not x.out:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
@@ -292,23 +298,23 @@ def _score(root: _Node, blocks: list[_Node]) -> None:
 
 def main_text(page: str | None) -> str:
     """The page's article, a line for each block of text; empty if there is none."""
-    root = _tree(page or "", True)
-    before = [x for x in _walk(root) if x.text and not x.out]
-    _leave_out_named(root)
+    walk = list(_walk(_tree(page or "", True)))
+    before = [x for x in walk if x.text and not x.out]
+    _leave_out_named(walk)
     blocks = [x for x in before if not x.out]
     if len(blocks) < len(before) and (not blocks or not any(map(_plain, blocks)) and any(map(_plain, before))) or not blocks:
-        root = _tree(page or "", False)
-    blocks = [x for x in _walk(root) if x.text and not x.out]
-    _score(root, blocks)
+        walk = list(_walk(_tree(page or "", False)))
+        blocks = [x for x in walk if x.text and not x.out]
+    _score(walk, blocks)
     if not blocks:
         return ""
 
     def score(x: _Node) -> float:
         return x.points * (1 - x.linked / x.chars) if x.chars else 0.0
 
-    best = max((x for x in _walk(root) if x.points), key=score)
+    best = max((x for x in walk if x.points), key=score)
     kept = _article(best, 0.2 * score(best), score)
-    lines, held = [], [root]
+    lines, held = [], [walk[0]]
     while held:
         x = held.pop()
         if id(x) in kept:
