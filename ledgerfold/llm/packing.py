@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, steps, tidy
+from .arrowtext import buffers, gathered, steps, tidy
 from .scratch import stored
 from .tokens import BATCH_BYTES, encoded, forgetting
 
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     @forgetting
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches, BATCH_BYTES):
             data, offsets = buffers(batch.column(1))
             for a, b in steps(offsets, BATCH_BYTES):
                 ids, order, at = encoded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path)

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, steps, tidy
+from .arrowtext import buffers, gathered, steps, tidy
 
 #: Bytes of distinct chunks that go to the tokenizer in one call.
 CALL_BYTES = 16 * 1024
 #: Chunks that a task remembers, the first that it met, and the longest of them.
 REMEMBERED, LONGEST = 250_000, 48
 #: Bytes of text that are handled at a time.
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 
 #: First bytes of the UTF-8 forms of white space outside ASCII.
 _TWO, _THREE = 0xC2, (0xE1, 0xE2, 0xE3)
@@ -187,7 +187,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     @forgetting
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BATCH_BYTES):
             data, offsets = buffers(batch.column(1))
             for a, b in steps(offsets, BATCH_BYTES):
                 own = offsets[a : b + 1] - offsets[a]
