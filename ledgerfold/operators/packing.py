@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,9 +35,11 @@ def by_size(updates: DataFrame, execution: str, order: list[str], size: str, mos
         for batch in batches:
             out = np.empty(batch.num_rows, np.int64)
             sizes = batch.column(at_size).to_numpy(zero_copy_only=False)
-            runs = pc.run_end_encode(batch.column(at))  # rows of one execution stand together
+            code = np.nan_to_num(batch.column(at).dictionary_encode().indices.to_numpy(zero_copy_only=False), nan=-1)
+            ends = [*(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             begin = 0
-            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            for end in ends:  # rows of one execution stand together
+                key = batch.column(at)[begin].as_py()
                 if key != now:
                     now, request, count, held = key, 0, 0, 0
                 upto = np.cumsum(sizes[begin:end])
