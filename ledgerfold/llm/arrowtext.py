@@ -110,3 +110,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each white-space separated word its first byte, the byte after it and a code that equal words share; and the words' offsets by text."""
+    space = _SPACE[data]
+    inside = ~space
+    begins, over = inside.copy(), inside.copy()
+    if len(data):
+        begins[1:] &= space[:-1]
+        texts = offsets[1:-1]
+        texts = texts[texts < len(data)]
+        begins[texts] |= inside[texts]  # a text starts a new word
+        over[:-1] &= space[1:] | begins[1:]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(over) + 1
+    packed = np.ascontiguousarray(data[inside])
+    at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(packed)])
+    codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return starts, ends, codes, np.searchsorted(starts, offsets)

@@ -238,6 +238,132 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "doc_id")
 
 
+#: What the shards of documents are ordered by, and their number.
+SHARD_DIMS, SHARDS = ["lang", "source", "<bytes>"], 40
+
+
+#: DuckDB: unsigned CRC-32 of a text's UTF-8, a bit of each byte in a step.
+CRC32 = """xor(list_reduce(flatten(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+        lambda c, v: CASE WHEN xor(c, v) % 2 = 1 THEN xor(xor(c, v) // 2, 3988292384) ELSE xor(c, v) // 2 END, 4294967295), 4294967295)"""
+
+
+def _bins(dim: str) -> str:
+    """SQL: the cuts of one dimension; see sharding.cuts."""
+    return f"""SELECT '{dim}' AS dim, min(v) AS v, bin FROM (SELECT v, (2 * sum(n) OVER (ORDER BY v) - n) * 32 // (2 * sum(n) OVER ()) AS bin
+        FROM (SELECT {dim} AS v, count(*) AS n FROM d WHERE {dim} IS NOT NULL GROUP BY 1)) GROUP BY bin HAVING bin > 0"""
+
+
+def _curve_sql() -> str:
+    """SQL: the place on a Hilbert curve through 32 x 32 x 32 of a point (a, b, c)."""
+    from .sharding import states
+
+    moves = [i * 24 + after for row in states(3) for i, after in row]
+    levels = ", ".join(f"(a >> {n}) % 2 + 2 * ((b >> {n}) % 2) + 4 * ((c >> {n}) % 2)" for n in range(4, -1, -1))
+    return f"list_reduce([{levels}], lambda u, w: u // 24 * 192 + {moves}[u % 24 * 8 + w + 1], CAST(0 AS BIGINT)) // 24"
+
+
+@query(
+    f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, lang, substr(source, 1, 64) AS source, octet_length(encode(coalesce(text, ''))) AS bytes, md5(coalesce(text, '')) AS m, {CRC32.format("coalesce(text, '')")} AS crc FROM documents),
+    l AS ({_bins("lang")}), s AS ({_bins("source")}), z AS ({_bins("bytes")}),
+    p AS (SELECT *, (SELECT count(*) FROM l WHERE v <= lang) AS a, (SELECT count(*) FROM s WHERE v <= source) AS b, (SELECT count(*) FROM z WHERE v <= bytes) AS c FROM d),
+    o AS (SELECT doc_id, bytes + 16 AS size, crc, sum(bytes + 16) OVER w AS upto, sum(bytes + 16) OVER () AS total, row_number() OVER w AS n
+        FROM p WINDOW w AS (ORDER BY {_curve_sql()}, m, doc_id ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, CAST(least(39, (2 * upto - size) * 40 // (2 * total)) AS INT) AS shard FROM o)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM c
+    """
+)
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    out = sharded(table(spark, sf_dir, "documents"), SHARDS, SHARD_DIMS)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def branched(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that begin with some turns of another one: (conv, at, said, words) and all (conv).
+
+    Conversation c takes the first crc32(c) % 4 turns of conversation c - c % 20, as
+    many as there are, in place of as many of its own.
+    """
+    from .scratch import stored
+
+    turns = stored(turns)
+    c = F.col("conv")
+    taken = turns.groupBy("conv").agg(F.count("*").alias("n"))
+    giver = taken.select(c.alias("giver"), F.col("n").alias("given"))
+    info = taken.select("conv", (c - c % 20).alias("giver"), (F.crc32(c.cast("string").cast("binary")) % 4).alias("h")).join(giver, "giver", "left")
+    info = stored(info.select("conv", "giver", "h", F.least("h", F.coalesce("given", F.lit(0))).alias("taken")))
+    own = turns.join(info, "conv").where("at > h").select("conv", (F.col("at") - F.col("h") + F.col("taken")).alias("at"), "said", "words")
+    first = turns.where("at <= 3").withColumnRenamed("conv", "giver")
+    lent = info.join(first, "giver").where("at <= taken").select("conv", "at", "said", "words")
+    return own.unionByName(lent), info.select("conv")
+
+
+@query(
+    f"""
+    WITH t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS nth
+        FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, count(*) AS n, {CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h FROM t GROUP BY c),
+    i AS (SELECT n.c, g.c AS giver, n.h, least(n.h, coalesce(g.n, 0)) AS taken FROM n LEFT JOIN n g ON g.c = n.c - n.c % 20),
+    b AS (SELECT t.c, nth - h + taken AS nth, k FROM t JOIN i USING (c) WHERE nth > h UNION ALL SELECT i.c, nth, k FROM i JOIN t ON t.c = giver AND nth <= taken),
+    l AS (SELECT i.c, coalesce(list(k ORDER BY nth) FILTER (nth IS NOT NULL), []) AS p FROM i LEFT JOIN b USING (c) GROUP BY i.c),
+    m AS (SELECT c, d, p[1:d] AS p, len(p) = d AS ends FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM l)),
+    f AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM m GROUP BY p, d),
+    ch AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM f WHERE d > 0 GROUP BY ALL),
+    v AS (SELECT f.*, coalesce(ch.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(f.p[-1].x, '[^\x20\x09-\x0D]+')) END AS saved FROM f LEFT JOIN ch USING (p, d)),
+    a AS (SELECT p[1:up] AS p, up AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM v) GROUP BY ALL)
+    SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(v.ids) AS ends_sha256
+    FROM v JOIN a ON a.p = v.p AND a.d = v.d LEFT JOIN f o ON v.d > 0 AND o.p = v.p[1:v.d - 1] AND o.d = v.d - 1
+    """
+)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import numbered, trie
+
+    turns = numbered(table(spark, sf_dir, "conversations"))
+    return trie(*branched(turns)).drop("node", "parent")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by crc32 of its id repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("long")
+    a = F.expr("g % size(words)")
+    p = F.expr("1 + (size(words) - g % size(words)) div (3 + g % 8)")
+    rows = rows.select("doc_id", "text", "words", F.when(n > 0, F.struct(a.alias("a"), p.alias("p"))).alias("at"))
+    place = lambda i: F.when(i < F.col("at.a"), i).otherwise(F.col("at.a") + (i - F.col("at.a")) % F.col("at.p")).cast("int")
+    again = F.array_join(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", place(i))), " ")
+    return rows.select("doc_id", F.when(F.col("at").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    found = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    none = F.get("runs", F.lit(0))
+
+    def better(best, run):
+        a, b = run["length"] * best["period"], best["length"] * run["period"]
+        first = (run["start"] < best["start"]) | (run["start"] == best["start"]) & (run["period"] < best["period"])
+        return F.when((a > b) | (a == b) & first, run).otherwise(best)
+
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("best", F.aggregate("runs", none, better)).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
