@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements and text blocks, in one pass that never looks
 back, so that broken markup costs no more than other text. Elements that are
-never article text (by tag, role or hidden) are left out; for their class or id
+never article text (by tag, role or hidden) are left out, menus, headers, asides and
+forms unless the article stands in them; for their class or id
 only if the article isn't in them, and, where such a word is but a part of the name
 (`share-price`), only if they don't read as text. Each block passes points for its
 length and commas to its ancestors, halved at each level; an ancestor's points
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .arrowtext import tidy
 
 #: Elements of the HTML language by their part in a page.
-NEVER = set("script style noscript template head title nav header footer aside form button select textarea input iframe object svg canvas menu dialog audio video".split())
+NEVER = set("script style noscript template head title footer button select textarea input iframe object svg canvas menu dialog audio video".split())
+SOFT = set("nav header aside form".split())  # no article text, unless the article stands in them
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -35,6 +37,8 @@ BOILERPLATE = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
 READERS = set("comment comments disqus respond reply replies".split())  # may hold more text than the article
+#: A name with a word of each speaks of what readers wrote.
+WHOSE, SAID = set("user users customer customers reader readers guest guests visitor visitors".split()), set("review reviews opinion opinions feedback rating ratings".split())
 #: Words that add nothing to a name: with these alone beside it, a word of BOILERPLATE names the whole element.
 PLAIN = set("area bar block bottom box button buttons center column container content div group holder inner item items left link links list main outer page panel post posts right row section site slot stories text top unit wrap wrapper".split())
 KEPT_TAGS = {"html", "body", "article", "main"}
@@ -53,10 +57,11 @@ _HEADING = re.compile(r"h[1-6]$")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "text", "out", "named", "partly", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "text", "out", "soft", "named", "partly", "points", "chars", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, named: frozenset[str] = frozenset(), partly: bool = False) -> None:
         self.tag, self.parent, self.out = tag, parent, out
+        self.soft = tag in SOFT
         self.named = named  # words of its own class and id that speak against it
         self.partly = partly  # they are but parts of longer names
         self.children: list[_Node] = []
@@ -74,8 +79,11 @@ def _judged(tag: str, found: dict[str, str]) -> tuple[bool, frozenset[str], bool
         return False, frozenset(), False
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True, frozenset(), False
+    if tag in SOFT:
+        return False, frozenset(), False
     names = _MODIFIER.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
     parts = [frozenset(_WORD.findall(n)) for n in names]
+    parts = [x | {"comments"} if x & WHOSE and x & SAID else x for x in parts]
     against = BOILERPLATE.intersection(*[frozenset().union(*parts)])
     whole = any(x & BOILERPLATE and (x <= BOILERPLATE | PLAIN or x & READERS) for x in parts)
     return found.get("role", "").lower() in ROLES, against, bool(against) and not whole
@@ -239,6 +247,52 @@ def _plain(x: _Node) -> bool:
     return not _HEADING.match(x.parent.tag) and x.linked < 0.3 * x.chars and (x.chars >= LONG or x.parent.tag in ("p", "blockquote", "pre"))
 
 
+def _leave_out_soft(walk: list[_Node]) -> None:
+    """Leave out menus, headers, asides and forms, but for those that the article stands in.
+
+    A header within article or main is the article's own if it has a heading or a
+    paragraph and isn't mostly links. Any other stays if it holds most of the
+    page's paragraphs, or (but for an aside) an article or main with some: it
+    wraps the page, or was never closed. Of such a one its link lists and short texts go.
+    """
+    if not any(x.soft for x in walk):
+        return
+    prose, heads, said, linked, holds = ({id(x): 0 for x in walk} for _ in range(5))
+    for x in reversed(walk):
+        i = id(x)
+        if x.text and not x.out:
+            said[i], linked[i], prose[i] = x.chars, x.linked, x.chars if _plain(x) else 0
+        heads[i] += bool(_HEADING.match(x.tag))
+        holds[i] += x.tag in ("article", "main") and prose[i] > 0
+        if x.parent is not None:
+            for of in (prose, heads, said, linked, holds):
+                of[id(x.parent)] += of[i]
+    total, never = prose[id(walk[0])], {id(x) for x in walk if x.out}
+    inside: dict[int, bool] = {}
+    wraps: set[int] = set()
+    for x in walk:
+        i, up = id(x), x.parent
+        inside[i] = x.tag in ("article", "main") or up is not None and inside[id(up)]
+        if up is not None and up.out:
+            x.out = True
+        elif up is not None and id(up) in wraps:
+            x.out |= not _plain(x) if x.text else not (x.soft or prose[i] or heads[i]) and 2 * linked[i] >= said[i]
+        if x.soft and not x.out:
+            own = x.tag == "header" and inside[i] and (heads[i] or prose[i]) and 2 * linked[i] < said[i]
+            if 2 * prose[i] > total or x.tag != "aside" and holds[i]:
+                wraps.add(i)
+            elif not own:
+                x.out = True
+    if total and not any(x.text and not x.out and _plain(x) for x in walk):  # none holds most of them: that with the most stays
+        most = max((x for x in walk if x.soft and not x.parent.out), key=lambda x: prose[id(x)])
+        back = {id(most)}
+        most.out = False
+        for x in walk:
+            if id(x.parent) in back and not x.soft and id(x) not in never:
+                back.add(id(x))
+                x.out = False
+
+
 def _leave_out_named(walk: list[_Node]) -> None:
     """Leave out elements for their class or id, but for those that hold the article.
 
@@ -299,11 +353,13 @@ def _score(walk: list[_Node], blocks: list[_Node]) -> None:
 def main_text(page: str | None) -> str:
     """The page's article, a line for each block of text; empty if there is none."""
     walk = list(_walk(_tree(page or "", True)))
+    _leave_out_soft(walk)
     before = [x for x in walk if x.text and not x.out]
     _leave_out_named(walk)
     blocks = [x for x in before if not x.out]
     if len(blocks) < len(before) and (not blocks or not any(map(_plain, blocks)) and any(map(_plain, before))) or not blocks:
         walk = list(_walk(_tree(page or "", False)))
+        _leave_out_soft(walk)
         blocks = [x for x in walk if x.text and not x.out]
     _score(walk, blocks)
     if not blocks:
@@ -341,7 +397,7 @@ def _article(best: _Node, least: float, score: Callable[[_Node], float]) -> set[
         beside = [c for c in x.children if c is not above[i] and not c.out and c.chars]
         texts = [c for c in beside if c.linked < 0.3 * c.chars]
         if bound is None or i >= bound:  # not inside: headings, paragraphs and what scores like the best
-            texts = [c for c in texts if c.tag in ALONE or _HEADING.match(c.tag) or bound is None and _prose(c) or score(c) >= least]
+            texts = [c for c in texts if c.tag in ALONE or c.tag == "header" or _HEADING.match(c.tag) or bound is None and _prose(c) or score(c) >= least]
         kept.update(map(id, texts))
         if bound is not None and i >= bound or bound is None and 2 * sum(c.chars for c in texts) < sum(c.chars for c in beside):
             break
