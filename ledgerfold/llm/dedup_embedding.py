@@ -157,30 +157,36 @@ class _Block:
 
 
 def _cells(pivots: dict[int, np.ndarray], radius: float):
-    """A function for mapInArrow: (cell, home, node, dim, vec, weight), one row a cell that a vector goes to."""
+    """A function for mapInArrow: (cell, home, node, dim, weight), one row a cell that a vector goes to.
+
+    Vectors are taken STEP at a time; an output batch has at most STEP times the pivots' rows, none with a vector.
+    """
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(1))
-            vecs = batch.column(2).to_pylist()
+            names = pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 3)], ["node", "dim", "weight"])
             for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                p = pivots.get(dim)
-                if p is None:
-                    home, goes = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
-                else:
-                    d2 = 2 - 2 * (_unit([vecs[i] for i in at.tolist()], dim) @ p.T)
-                    home = d2.argmin(axis=1)
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
-                    goes = d2 - d2[np.arange(len(at)), home][:, None] <= 2 * radius * apart[home] + 1e-9
-                    goes &= np.arange(len(p)) >= home[:, None]
-                i, cell = np.nonzero(goes)
-                part = batch.take(pa.array(at[i]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(cell == home[i]), *part.columns],
-                    ["cell", "home", "node", "dim", "vec", "weight"],
-                )
+                whole, p = np.flatnonzero(dims == dim), pivots.get(dim)
+                for a in range(0, len(whole), STEP):
+                    at = whole[a : a + STEP]
+                    if p is None:
+                        home, goes = np.zeros(len(at), np.int64), np.ones((len(at), 1), bool)
+                    else:
+                        d2 = 2 - 2 * (_unit([batch.column(2)[i].as_py() for i in at.tolist()], dim) @ p.T)
+                        home = d2.argmin(axis=1)
+                        near, which = np.unique(home, return_inverse=True)
+                        apart = 2 * radius * np.sqrt(np.maximum(0, 2 - 2 * (p[near] @ p.T))) + 1e-9
+                        d2 -= d2[np.arange(len(at)), home][:, None]
+                        goes = np.arange(len(p)) >= home[:, None]
+                        for k in range(len(at)):
+                            goes[k] &= d2[k] <= apart[which[k]]
+                    i, cell = np.nonzero(goes)
+                    part = names.take(pa.array(at[i]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell.astype(np.int32)), pa.array(cell == home[i]), *part.columns], ["cell", "home", "node", "dim", "weight"]
+                    )
 
     return rows
 
@@ -221,8 +227,8 @@ def near_vectors(
 
     sent = stored(
         nodes.select("node", "dim", "vec", "weight").mapInArrow(
-            _cells(pivots, radius), "cell int, home boolean, node binary, dim int, vec binary, weight long"
-        ).select("cell", "home", "node", "dim", "weight")
+            _cells(pivots, radius), "cell int, home boolean, node binary, dim int, weight long"
+        )
     )
     sizes = stored(
         sent.groupBy("dim", "cell").agg(
