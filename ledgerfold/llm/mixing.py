@@ -15,6 +15,9 @@ where it ends, so no leaf is ever sorted in one task.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from .scratch import small_enough, stored
 
 #: Hexadecimal digits of a digest that make a range: 65536 ranges a leaf.
 DIGITS = 4
+#: The largest weight.
+MOST = 1 << 20
 LEAF = ["domain", "lang", "source"]
 
 
@@ -40,12 +45,18 @@ def shared_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     children: the parent's columns, `name`, budget (of the parent), weight and
     capacity, whole numbers. Children in the order of capacity by weight are
     full as long as an equal share by weight of what is left would fill them;
-    the others share the rest by weight, rounded down.
+    the others share the rest by weight, rounded down. A child of weight 0 gets
+    nothing. The order is exact: whole parts first, then remainders by weight, which
+    as doubles differ where the fractions do, weights being at most MOST.
     """
     own = W.partitionBy(*parent)
-    before = own.orderBy(F.col("capacity") / F.col("weight"), name).rowsBetween(W.unboundedPreceding, -1)
+    by = F.greatest("weight", F.lit(1))
+    whole = F.expr("capacity div greatest(weight, 1)")
+    before = own.orderBy(whole, (F.col("capacity") - whole * by) / by, name).rowsBetween(W.unboundedPreceding, -1)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    full = (F.col("budget") - F.col("c_before")) * F.col("weight") >= F.col("capacity") * (F.col("w_all") - F.col("w_before"))
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  # products of two longs
+    full = wide(F.col("budget") - F.col("c_before")) * F.col("weight") >= wide(F.col("capacity")) * (F.col("w_all") - F.col("w_before"))
+    given = F.expr("cast(budget - c_full as decimal(19,0)) * weight div nullif(w_all - w_full, 0)")
     return (
         children.withColumn("c_before", earlier("capacity"))
         .withColumn("w_before", earlier("weight"))
@@ -55,7 +66,7 @@ def shared_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
         .withColumn("w_full", F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0)).over(own))
         .withColumn(
             "given",
-            F.when(F.col("full"), F.col("capacity")).otherwise(F.expr("(budget - c_full) * weight div nullif(w_all - w_full, 0)")),
+            F.when(F.col("weight") == 0, F.lit(0)).when(F.col("full"), F.col("capacity")).otherwise(given),
         )
         .drop("c_before", "w_before", "w_all", "full", "c_full", "w_full")
     )
@@ -65,8 +76,15 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], other: int, p
     """(domain, lang, source, tokens, given) from leaves (domain, lang, source, tokens).
 
     The whole budget is `percent` of all tokens. weights: by level, of its names.
+    A leaf whose domain, language or source has weight 0 has no capacity, so what
+    it would have had goes to its siblings, then to its ancestors'.
     """
-    cap = F.col("tokens") * max_epochs
+    for known in [{"other": other}, *weights.values()]:
+        for name, weight in known.items():
+            if int(weight) != weight or not 0 <= weight <= MOST:
+                raise ValueError(f"the weight of {name} must be a whole number from 0 to {MOST}, not {weight}")
+    drawn = functools.reduce(operator.and_, (weight_of(F.col(n), weights.get(n, {}), other) > 0 for n in LEAF))
+    cap = F.when(drawn, F.col("tokens")).otherwise(0) * max_epochs
     level = lambda df, keys: df.groupBy(*keys).agg(F.sum(cap).alias("capacity"))
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     top = shared_out(
@@ -132,6 +150,7 @@ def words(text: Column) -> Column:
 
 def leaf_rows(docs: DataFrame, domain: Column, tokens: Column, id_col: str, lang_col: str, source_col: str) -> DataFrame:
     none = F.lit("")
+    tokens = F.when(tokens < 0, F.raise_error(F.concat(F.lit("negative number of tokens: "), tokens.cast("string"))).cast("long")).otherwise(tokens)
     return docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(domain, none).alias("domain"),
@@ -156,6 +175,9 @@ def mixed_sources(
 ) -> DataFrame:
     """One row per document that is drawn: id, domain, lang, source, tokens, epochs, part_tokens, taken_tokens.
 
+    weights: whole numbers from 0 to MOST by level and name (a name without one has
+    100); 0 switches a domain, language or source off: nothing of it is drawn. Other
+    weights, and negative numbers of tokens, are errors.
     tokens: each row's number of tokens (null is 0), else white-space separated
     words of the whole text. Null domains, languages and sources are empty
     strings; a text without tokens is never drawn. Rows that repeat an id share a
@@ -194,7 +216,7 @@ def keep_drawn(
 ) -> DataFrame:
     """docs, all columns: the rows that are drawn within one epoch, that at the end of a prefix whole.
 
-    Rows without tokens are kept: they take nothing from a budget. Rows that
+    Rows without tokens are kept, whatever their source's weight: they take nothing from a budget. Weights and tokens are as in `mixed_sources`. Rows that
     repeat an id share a place in the order, so all or none of them are drawn with the prefix.
     """
     counted = words(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))

@@ -207,7 +207,7 @@ def _level(above: str, keys: str, name: str, weight: str) -> str:
                     sum(weight) OVER ({over}) AS w_all
                 FROM (SELECT {keys}, CAST({weight} AS BIGINT) AS weight, capacity, budget FROM (
                     SELECT {keys}, sum(tokens) * 3 AS capacity FROM leaves GROUP BY {keys}) {above})
-                WINDOW o AS ({over} ORDER BY capacity / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+                WINDOW o AS ({over} ORDER BY capacity // weight, (capacity % weight) / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
     """
 
 

@@ -493,6 +493,34 @@ def test_mixing_takes_counted_tokens_long_texts_and_repeated_ids(spark):
     assert all(r["count"] == (3 if r.doc_id == 5 else 1) for r in kept)
 
 
+def test_mixing_draws_nothing_of_what_is_switched_off(spark):
+    rows = [(i, "w " * 10, "en" if i % 2 else "de", f"s{i % 4}", "web" if i % 3 else "bad") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
+    draw = lambda weights, percent=40: mixing.mixed_sources(df, F.col("domain"), weights, percent=percent, max_epochs=1).collect()
+    drawn = draw({"domain": {"web": 100, "bad": 0}})
+    assert {r.domain for r in drawn} == {"web"} and sum(r.taken_tokens for r in drawn) == 2400
+    assert sum(r.taken_tokens for r in draw({"domain": {"web": 100, "bad": 0}}, 90)) == 4000  # all that may be drawn
+    assert draw({"domain": {"web": 0, "bad": 0}}) == []
+    # bad has no language left: its share goes to web, though its own weight isn't 0
+    drawn = draw({"domain": {"web": 1, "bad": 99}, "source": {"s0": 0, "s1": 0, "s2": 0}})
+    assert {r.source for r in drawn} == {"s3"} and sum(r.taken_tokens for r in drawn) == 1500
+    kept = mixing.keep_drawn(df, F.col("domain"), {"lang": {"de": 0}}, 30).collect()
+    assert {r.lang for r in kept} == {"en"} and 175 <= len(kept) <= 185
+    for weights in ({"domain": {"web": -1}}, {"lang": {"en": 1.5}}, {"lang": {"en": 1 << 21}}):
+        with pytest.raises(ValueError):
+            draw(weights)
+    with pytest.raises(Exception, match="negative number of tokens"):
+        mixing.mixed_sources(df.withColumn("n", F.lit(-1)), F.col("domain"), {}, tokens=F.col("n")).collect()
+
+
+def test_children_are_ordered_by_exact_fractions(spark):
+    big = 10**17
+    rows = [("a", 3 * big + 1, 3), ("b", big, 1), ("c", 7 * big - 1, 7)]
+    df = spark.createDataFrame([(n, c, w, 8 * big) for n, c, w in rows], "name string, capacity long, weight long, budget long")
+    given = {r["name"]: r["given"] for r in mixing.shared_out(df, [], "name").collect()}
+    assert sum(given.values()) <= 8 * big and all(given[n] <= c for n, c, _ in rows) and given == {n: 8 * big * w // 11 for n, _, w in rows}
+
+
 def test_keep_drawn_keeps_columns(spark):
     df = docs(spark, EDGE + [(100 + i, "x y z") for i in range(200)])
     kept = mixing.keep_drawn(df, F.lit("d"), {}, 50)

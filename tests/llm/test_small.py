@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from ledgerfold.llm import dedup_exact, dedup_minhash, html_text, packing, tokens, url_filter
+from ledgerfold.llm import dedup_embedding, dedup_exact, dedup_minhash, html_text, packing, tokens, url_filter
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
@@ -278,3 +278,71 @@ def test_scores_match_recursion_over_all_pages():
             if not x.text and not x.out:
                 assert x.points == pytest.approx(want[id(x)][0])
                 assert (x.points * (1 - x.linked / x.chars) if x.chars else 0.0) == pytest.approx(want[id(x)][1])
+
+
+def test_cells_hold_ids_only_and_few_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    pivots, vectors, radius = unit(4096), unit(6000), (2 - 2 * 0.95) ** 0.5
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"%016d" % i for i in range(6000)], pa.binary()), pa.array([64] * 6000, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([1] * 6000, pa.int64())],
+        ["node", "dim", "vec", "weight"],
+    )
+    tracemalloc.start()
+    base, most, sent = pa.total_allocated_bytes(), 0, 0
+    for out in dedup_embedding._cells({64: pivots}, radius)(iter([batch])):
+        assert out.schema.names == ["cell", "home", "node", "dim", "weight"]
+        most, sent = max(most, pa.total_allocated_bytes() - base), sent + out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most + peak < 300e6
+    d2 = 2 - 2 * vectors[:1500] @ pivots.T
+    home = d2.argmin(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots[home] @ pivots.T))
+    goes = (d2 - d2[np.arange(1500), home][:, None] <= 2 * radius * apart + 1e-9) & (np.arange(4096) >= home[:, None])
+    found = np.zeros_like(goes)
+    first = batch.slice(0, 1500)
+    for out in dedup_embedding._cells({64: pivots}, radius)(iter([first])):
+        at = [int(x) for x in out.column(2).to_pylist()]
+        found[at, np.asarray(out.column(0))] = True
+    assert (found == goes).all() and sent > 4 * goes.sum() * 0.9
+
+
+SAID = [f"Sentence number {n} of the article goes on for a while, with commas, and says what there is to say about it at length." for n in range(5)]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in SAID)
+TEXT = "\n".join(SAID)
+LINKS = "<ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li><li><a href=/c>Three</a></li></ul>"
+OWN_HEADER = "<header><h1>Title</h1><p>A lead of some words.</p></header>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id=aspnetForm><div class=content><h1>Head</h1>{PARAGRAPHS}</div></form>", f"Head\n{TEXT}"),
+        (f"<body><form id=aspnetForm><input name=q><nav>{LINKS}</nav><div class=content><h1>Head</h1>{PARAGRAPHS}</div><footer><p>{SAID[0]}</p></footer></form>", f"Head\n{TEXT}"),
+        (f"<body><form><h1>Head</h1>{PARAGRAPHS}<div>{LINKS}</div>Search:<button>Go</button></form>", f"Head\n{TEXT}"),
+        (f"<body><nav>{LINKS}<div id=main><article>{PARAGRAPHS}</article></div>", TEXT),
+        (f"<body><nav>{LINKS}<main>{PARAGRAPHS}</main><footer>Imprint</footer>", TEXT),
+        (f"<body><header><a href=/>Home</a><div id=main><article>{PARAGRAPHS}</article></div>", TEXT),
+        (f"<body><header><a href=/>Home</a>{LINKS}<h1>Head</h1>{PARAGRAPHS}", f"Head\n{TEXT}"),
+        (f"<body><aside>{LINKS}<div>{PARAGRAPHS}</div>", TEXT),
+        (f"<body><article>{OWN_HEADER}{PARAGRAPHS}</article>", f"Title\nA lead of some words.\n{TEXT}"),
+        (f"<body><main>{OWN_HEADER}<article>{PARAGRAPHS}</article></main>", f"Title\nA lead of some words.\n{TEXT}"),
+        (f"<body><header><h1>Site</h1></header><article>{PARAGRAPHS}</article>", TEXT),
+        (f"<body><article><header>{LINKS}</header>{PARAGRAPHS}</article>", TEXT),
+        (f"<body><article>{PARAGRAPHS}</article><div class=user-reviews>{PARAGRAPHS * 2}</div>", TEXT),
+        (f"<body><div class=post>{PARAGRAPHS}</div><section id=customer_feedback>{PARAGRAPHS}</section>", TEXT),
+        (f"<body><div class=review>{PARAGRAPHS}</div>", TEXT),
+        (f"<body><article>{PARAGRAPHS}</article><aside><p>{SAID[0]}</p></aside><form><p>{SAID[1]}</p><input></form>", TEXT),
+        (f"<body><form hidden>{PARAGRAPHS}</form><p>{SAID[0]}</p>", SAID[0]),
+        (f"<body><nav>{LINKS}</nav><footer><p>{SAID[0]}</p></footer>", ""),
+        (f"<body><header><p>{SAID[0]}</p></header><aside><p>{SAID[1]}</p></aside>", SAID[0]),
+        (f"<body><form><header>{LINKS}<div><article>{OWN_HEADER}{PARAGRAPHS}</article></div></form>", f"Title\nA lead of some words.\n{TEXT}"),
+    ],
+)
+def test_pages_whose_article_stands_in_forms_menus_and_headers(page, text):
+    assert html_text.main_text(page) == text
