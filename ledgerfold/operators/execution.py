@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import schedules
 from ..functions.codecs import Codec
 from ..functions.identity import is_known
+from . import spread
 
 
 def replay_action(status: Column, at_most_once: Column) -> Column:
@@ -80,14 +83,14 @@ def retried_blocks(attempts: DataFrame, block: str, attempt: str, ok: str, how:
     )
 
 
-def _until(rows: DataFrame, key: str, attempt: str, end: Column, delay: Column) -> DataFrame:
-    """(key, end, attempts, waited): attempts up to the first that ends, and whole seconds between them; end is null while none did."""
+def _until(rows: DataFrame, key: str, attempt: str, end: Column, delay: Column, last: str | None = None) -> DataFrame:
+    """(key, end, attempts, waited, last): attempts up to the first that ends, whole seconds between them and the last one's column of that name; end is null while none did."""
     w = W.partitionBy(key).orderBy(attempt)
-    marked = rows.select(key, attempt, end.alias("end"), delay.alias("delay"))
+    marked = rows.select(key, attempt, end.alias("end"), delay.alias("delay"), (F.lit(None) if last is None else F.col(last)).alias("held"))
     over = F.max(F.col("end").isNotNull()).over(w.rowsBetween(W.unboundedPreceding, -1))
     before = schedules.asked_seconds(F.lag("delay").over(w)).cast("long")
     used = marked.withColumn("over", over).withColumn("before", F.when(F.lag(attempt).over(w).isNotNull(), before)).where(~F.coalesce("over", F.lit(False)))
-    return used.groupBy(key).agg(F.max("end").alias("end"), F.max(attempt).alias("attempts"), F.coalesce(F.sum("before"), F.lit(0)).alias("waited"))
+    return used.groupBy(key).agg(F.max("end").alias("end"), F.max(attempt).alias("attempts"), F.coalesce(F.sum("before"), F.lit(0)).alias("waited"), F.max_by("held", attempt).alias("last"))
 
 
 def retried_by(attempts: DataFrame, block: str, attempt: str, ok: str, error: str, strategy: Callable[[Column, Column], Column]) -> DataFrame:
@@ -103,35 +106,56 @@ def retried_by(attempts: DataFrame, block: str, attempt: str, ok: str, error: st
 
 
 def polled_by(checks: DataFrame, key: str, attempt: str, state: str, strategy: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, outcome, checks, waited) under the caller's strategy: of a check's state and number, struct(action, delay).
+    """(key, outcome, checks, waited, state) under the caller's strategy: of a check's state and number, struct(action, delay).
 
     COMPLETE returns the state, EXHAUSTED fails, CONTINUE waits for the delay.
     """
     said = strategy(F.col(state), F.col(attempt))
     end = F.when(said["action"] == "COMPLETE", "COMPLETE").when(said["action"] == "EXHAUSTED", "MaxChecksExceeded")
-    out = _until(checks, key, attempt, end, said["delay"])
-    return out.select(key, F.coalesce("end", F.lit("CONTINUE")).alias("outcome"), F.col("attempts").alias("checks"), "waited")
+    out = _until(checks, key, attempt, end, said["delay"], state)
+    return out.select(key, F.coalesce("end", F.lit("CONTINUE")).alias("outcome"), F.col("attempts").alias("checks"), "waited", F.col("last").alias("state"))
 
 
-def checked(runs: DataFrame, key: str, order: str, seen: str, lost: str, initial: Column, check: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, attempt, state) of every recorded check: the state that check(state, seen) threads through a condition's runs in order.
+def checked(runs: DataFrame, key: str, order: str, seen: str, lost: str, initial: Column, combine: str = "sum") -> DataFrame:
+    """(key, attempt, state) of every recorded check, for checks whose state is the initial one combined with what each run saw.
 
-    A lost run recorded nothing: the check runs again, with the same attempt number
-    and from the initial state. A key's runs, a bounded number of polls, are folded as one array.
+    combine is the name of a scan (sum, min, max). A lost run recorded nothing: the
+    check runs again, with the same attempt number and from the initial state. What a
+    run saw may be null, which changes nothing. One scan with restarts over
+    ranges of runs, so that a key with very many runs is many tasks; order must be total within a key.
     """
-    one = F.struct(F.col(order).alias("o"), F.col(seen).alias("seen"), F.coalesce(F.col(lost), F.lit(False)).alias("lost"))
-    folded = runs.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    none = F.expr("filter(array(1), x -> false)")
+    gone = F.coalesce(F.col(lost), F.lit(False))
+    rows = runs.select(key, order, F.col(seen).alias("__seen"), gone.alias("__lost"))
+    values = {"state": (combine, F.when(~F.col("__lost"), F.col("__seen"))), "attempt": ("sum", (~F.col("__lost")).cast("long"))}
+    scanned = spread.running(rows, key, [order], values, restart=F.col("__lost"), whole=("attempt",))
+    return scanned.where("not __lost").select(key, "attempt", spread.KINDS[combine][1](initial, F.col("state")).alias("state"))
 
-    def step(at: Column, run: Column) -> Column:
-        new = check(at["state"], run["seen"])
-        return F.when(run["lost"], F.struct(initial.alias("state"), at["states"].alias("states"))).otherwise(
-            F.struct(new.alias("state"), F.concat(at["states"], F.array(new)).alias("states"))
-        )
 
-    start = F.struct(initial.alias("state"), F.transform(none, lambda _: initial).alias("states"))
-    states = F.aggregate("runs", start, step, lambda at: at["states"])
-    return folded.select(key, F.posexplode(states).alias("at", "state")).select(key, (F.col("at") + 1).alias("attempt"), "state")
+def checked_in_order(runs: DataFrame, key: str, order: str, seen: str, lost: str, initial: object, check: Callable[[object, object], object], state_type: str) -> DataFrame:
+    """What checked gives, for any check(state, seen), a Python function, and states of a Spark type.
+
+    A key's runs stream through one task in order, of which only the state is
+    held: checks that don't combine can't be split.
+    """
+    shape = runs.select(key).withColumns({"attempt": F.lit(0).cast("long"), "state": F.lit(None).cast(state_type)}).schema
+    fields = to_arrow_schema(shape)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, any_yet, state, attempt = None, False, initial, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for own, what, gone in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if own != now or not any_yet:
+                    now, any_yet, state, attempt = own, True, initial, 0
+                if gone:
+                    state = initial
+                else:
+                    state, attempt = check(state, what), attempt + 1
+                    out.append((own, attempt, state))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], fields.field(i).type) for i in range(3)], schema=fields)
+
+    ordered = runs.select(key, order, seen, F.coalesce(F.col(lost), F.lit(False)).alias("lost")).repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInArrow(rows, shape)
 
 
 def attempt_names(block: Column, attempt: Column) -> tuple[Column, Column]:
@@ -169,11 +193,18 @@ def refreshes(waiting: DataFrame, key: str, first: Column, deadline: Column, unt
 def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int) -> DataFrame:
     """(key, created, outcome, after): each callback's first completion within timeout seconds of its creation.
 
-    created and completions have key and at (seconds). A timeout of 0 is none.
+    created and completions have key and at (seconds); creations equal in both are
+    one. A timeout of 0 is none. A creation without key or time is never completed.
+
+    Both stand in one order of key and time, in which the next completion is the
+    least one from there to the key's end: no pairs are made, and a key with
+    very many is dealt by ranges of time to many tasks.
     """
-    late = F.lit(False) if timeout == 0 else F.col("done_at") > F.col("at") + timeout
-    rows = created.join(completions.select(F.col(key).alias("__key"), F.col("at").alias("done_at")), (F.col(key) == F.col("__key")) & (F.col("done_at") >= F.col("at")), "left")
-    first = rows.groupBy(key, "at").agg(F.min(F.when(~late, F.col("done_at"))).alias("done_at"))
+    both = created.select(key, "at").distinct().withColumn("__done", F.lit(False)).unionByName(completions.select(key, "at").withColumn("__done", F.lit(True)))
+    known = F.col(key).isNotNull() & F.col("at").isNotNull()
+    next_one = spread.running(both, key, ["at", "__done"], {"done_at": ("min", F.when(F.col("__done"), F.col("at")))}, backwards=True)
+    done = F.when(known & (F.lit(timeout == 0) | (F.col("done_at") <= F.col("at") + timeout)), F.col("done_at"))
+    first = next_one.where("not __done").select(key, "at", done.alias("done_at"))
     return first.select(
         key,
         F.col("at").alias("created"),

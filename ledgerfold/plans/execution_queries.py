@@ -228,7 +228,7 @@ def refresh_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def callback_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_seconds(spark, sf_dir)
-    of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "at").distinct()
+    of = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "at")
     return execution.callbacks(of("signup"), of("purchase"), "user_id", 86400).withColumnRenamed("after", "settled_after")
 
 
@@ -364,14 +364,12 @@ def child_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poll_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks that add up what they see; an error loses a check, which runs again from 0. The strategy is the caller's."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 10).alias("seen"), (F.col("event_type") == "error").alias("lost"))
-    states = execution.checked(rows, "user_id", "event_id", "seen", "lost", F.lit(0).cast("long"), lambda state, seen: state + seen)
-    states = states.withColumn("attempt", F.col("attempt").cast("long"))
+    states = execution.checked(rows, "user_id", "event_id", "seen", "lost", F.lit(0).cast("long"))
     how = lambda state, attempt: F.struct(
         F.when(state >= 25, "COMPLETE").when(attempt >= 7, "EXHAUSTED").otherwise("CONTINUE").alias("action"), F.lit(4.5).alias("delay")
     )
     out = execution.polled_by(states, "user_id", "attempt", "state", how)
-    last = states.select(F.col("user_id").alias("u"), "attempt", "state")
-    return out.join(last, (F.col("user_id") == F.col("u")) & (F.col("checks") == F.col("attempt"))).select("user_id", "outcome", "checks", "waited", "state")
+    return out.select("user_id", "outcome", "checks", "waited", "state")
 
 
 @query(

@@ -327,8 +327,12 @@ def test_strategies_of_the_caller(spark):
 
 def test_a_lost_check_starts_again_from_the_initial_state(spark):
     rows = spark.createDataFrame([(1, i, v, lost) for i, (v, lost) in enumerate([(1, False), (2, False), (9, True), (3, False), (4, False)])] + [(2, 0, 5, True)], "k long, o int, v int, lost boolean")
-    got = execution.checked(rows, "k", "o", "v", "lost", F.lit(10), lambda state, seen: state + seen)
+    got = execution.checked(rows, "k", "o", "v", "lost", F.lit(10))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 11), (1, 2, 13), (1, 3, 13), (1, 4, 17)]
+    by_hand = execution.checked_in_order(rows, "k", "o", "v", "lost", 10, lambda state, seen: state + seen, "long")
+    assert sorted(map(tuple, by_hand.collect())) == sorted(map(tuple, got.collect()))
+    joined = execution.checked_in_order(rows, "k", "o", "v", "lost", "", lambda state, seen: f"{seen}({state})", "string")
+    assert sorted(map(tuple, joined.collect())) == [(1, 1, "1()"), (1, 2, "2(1())"), (1, 3, "3()"), (1, 4, "4(3())")]
 
 
 def test_codecs(spark):
