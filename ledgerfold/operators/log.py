@@ -16,15 +16,20 @@ def state(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(newest.alias("newest")).select(*keys, "newest.*")
 
 
-def merged(log: DataFrame, response: DataFrame, keys: list[str]) -> DataFrame:
-    """The log after a response's records replaced those of the same keys."""
-    return log.join(response.select(*keys), keys, "left_anti").unionByName(response)
+def merged(log: DataFrame, response: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The log after a response's records replaced those of the same keys.
+
+    order: columns of the response that say which of several records of a key is
+    the last one; only that counts. Without it a response must hold a key once.
+    """
+    newest = response if order is None else state(response, keys, order).select(*response.columns)
+    return log.join(response.select(*keys), keys, "left_anti").unionByName(newest.select(*log.columns))
 
 
-def changed(log: DataFrame, response: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, status): keys whose status a response changes, each once."""
+def changed(log: DataFrame, response: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """(keys, status): keys whose status a response changes, each once. order as in `merged`."""
     old = log.select(*keys, F.col("status").alias("old_status"), F.lit(True).alias("known"))
-    new = response.select(*keys, "status").distinct()
+    new = response.select(*keys, "status").distinct() if order is None else state(response, keys, order).select(*keys, "status")
     return new.join(old, keys, "left").where(F.col("known").isNull() | ~F.col("status").eqNullSafe(F.col("old_status"))).select(*keys, "status")
 
 
@@ -152,6 +157,36 @@ def suspensions(events: DataFrame, execution: str, order: list[str], permits: Co
     return rows.groupBy(execution).agg(F.min("seq").alias("suspended_at"))
 
 
+def stops(operations: DataFrame, id_col: str, parent: str, end: str) -> DataFrame:
+    """(id, stopped_at): when an operation is stopped: the earliest end of itself and all that it stands below; null for those that nothing stops.
+
+    Steps up the tree double with each round and carry the least end on the way, so
+    it takes as many rounds as the depth has binary digits. A parent that the table doesn't hold ends nothing.
+    """
+    from ..sources.stored import stored
+
+    rows = stored(operations.select(F.col(id_col).alias("id"), F.col(parent).alias("up"), F.col(end).alias("stopped_at")))
+    reached, limit = 1, rows.count()
+    while reached <= 2 * limit and not rows.where("up is not null").isEmpty():
+        above = rows.select(F.col("id").alias("mid"), F.col("up").alias("further"), F.col("stopped_at").alias("sooner"))
+        moved = rows.where("up is not null").join(above, F.col("up") == F.col("mid"), "left")
+        rows = stored(rows.where("up is null").union(moved.select("id", F.col("further").alias("up"), F.least("stopped_at", "sooner").alias("stopped_at"))))
+        reached *= 2
+    return rows.select(F.col("id").alias(id_col), "stopped_at")
+
+
+def before_stops(writes: DataFrame, stopped: DataFrame, id_col: str, at: str) -> DataFrame:
+    """writes without those that an operation would have made after it was stopped."""
+    ends = stopped.where("stopped_at is not null").select(F.col(id_col).alias("__id"), "stopped_at")
+    rows = writes.join(ends, F.col(id_col) == F.col("__id"), "left")
+    return rows.where(F.col("stopped_at").isNull() | (F.col(at) <= F.col("stopped_at"))).select(*writes.columns)
+
+
+def stopped_status(status: Column, started: Column, settled: Column, stopped_at: Column) -> Column:
+    """How an operation stands when stops are known: as recorded if it settled by then, null if it hadn't started, else STOPPED."""
+    return F.when(stopped_at.isNull() | (settled <= stopped_at), status).when(started <= stopped_at, "STOPPED")
+
+
 def propagated(operations: DataFrame, id_col: str, parent: str) -> DataFrame:
     """(id, message): for each failed operation without an error of its own, that of its first failed child that has one, down the tree.
 

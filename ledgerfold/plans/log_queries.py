@@ -245,3 +245,49 @@ def invocation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at"))
     return lifecycle.invocation_info(rows, "user_id", F.expr("event_id div 500"), "event_id", "at")
+
+
+#: Nations stop on a day or never; a customer races its orders, of which the first to settle stops the others unless they run on their own.
+STOPS_SQL = """w AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS began, epoch_us(o_orderdate) // 86400000000 + o_orderkey % 90 AS settled, o_orderstatus = 'P' AS own FROM orders),
+    first AS (SELECT o_custkey, min({'at': settled, 'o': o_orderkey}) AS f FROM w GROUP BY o_custkey),
+    t AS (SELECT 'n' || n_nationkey AS id, NULL AS parent_id, CASE WHEN n_nationkey % 3 = 0 THEN 8766 + n_nationkey * 50 END AS ends FROM nation
+        UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, NULL FROM customer
+        UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CASE WHEN NOT own AND {'at': settled, 'o': o_orderkey} > f THEN f.at END FROM w JOIN first USING (o_custkey)),
+    d(id, stopped_at) AS (SELECT id, ends FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, least(t.ends, d.stopped_at) FROM t JOIN d ON t.parent_id = d.id)"""
+
+
+def race_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, parent_id, ends) of nations, customers and orders, and orders with when they began and settled."""
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    o = table(spark, sf_dir, "orders").select(
+        named("o", "o_orderkey").alias("id"), named("c", "o_custkey").alias("parent_id"), "o_orderkey", day.alias("began"), (day + F.col("o_orderkey") % 90).alias("settled"), "o_orderstatus"
+    )
+    won = o.groupBy("parent_id").agg(F.min(F.struct("settled", "o_orderkey")).alias("won"))
+    loses = (F.col("o_orderstatus") != "P") & (F.struct("settled", "o_orderkey") > F.col("won"))
+    inputs = o.join(won, "parent_id").select("id", "parent_id", F.when(loses, F.col("won.settled")).alias("ends"))
+    none = F.lit(None)
+    nations = table(spark, sf_dir, "nation").select(named("n", "n_nationkey").alias("id"), none.cast("string").alias("parent_id"), F.when(F.col("n_nationkey") % 3 == 0, 8766 + F.col("n_nationkey") * 50).cast("long").alias("ends"))
+    customers = table(spark, sf_dir, "customer").select(named("c", "c_custkey").alias("id"), named("n", "c_nationkey").alias("parent_id"), none.cast("long").alias("ends"))
+    return nations.union(customers).union(inputs), o
+
+
+@query(f"WITH RECURSIVE {STOPS_SQL} SELECT id, stopped_at, CASE WHEN stopped_at IS NULL OR settled <= stopped_at THEN 'SUCCEEDED' WHEN began <= stopped_at THEN 'STOPPED' END AS status FROM d JOIN w ON id = 'o' || o_orderkey")
+def stopped_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, o = race_tree(spark, sf_dir)
+    found = log.stops(tree, "id", "parent_id", "ends").join(o.select("id", "began", "settled"), "id")
+    return found.select("id", "stopped_at", log.stopped_status(F.lit("SUCCEEDED"), F.col("began"), F.col("settled"), F.col("stopped_at")).alias("status"))
+
+
+@query(
+    f"""
+    WITH RECURSIVE {STOPS_SQL}, l AS (SELECT l_orderkey, l_linenumber, l_partkey, epoch_us(l_shipdate) // 86400000000 AS at_day FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, at_day FROM l LEFT JOIN d ON id = 'o' || l_orderkey WHERE stopped_at IS NULL OR at_day <= stopped_at
+    """
+)
+def stopped_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as writes of orders: those beyond the stop of their order, or of anything above it, are never made."""
+    tree, _ = race_tree(spark, sf_dir)
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
+    writes = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), "l_orderkey", "l_linenumber", "l_partkey", day.alias("at_day"))
+    return log.before_stops(writes, log.stops(tree, "id", "parent_id", "ends"), "id", "at_day").drop("id")
