@@ -291,3 +291,56 @@ def stopped_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
     writes = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), "l_orderkey", "l_linenumber", "l_partkey", day.alias("at_day"))
     return log.before_stops(writes, log.stops(tree, "id", "parent_id", "ends"), "id", "at_day").drop("id")
+
+
+@query(
+    """
+    WITH RECURSIVE k AS (SELECT event_type AS writer, row_number() OVER (ORDER BY event_type) AS n, count(*) AS written, count(DISTINCT user_id) AS changed FROM events GROUP BY event_type),
+    c(number, writer, follows, token, written, changed) AS (SELECT n, writer, '', sha256(':' || writer), written, changed FROM k WHERE n = 1
+        UNION ALL SELECT k.n, k.writer, c.token, sha256(c.token || ':' || k.writer), k.written, k.changed FROM c JOIN k ON k.n = c.number + 1)
+    SELECT CAST(number AS INT) AS number, writer, follows, token, written, changed FROM c
+    """
+)
+def write_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written kind by kind in a chain of tokens; each write is run twice, and a stranger tries to follow each token too."""
+    import uuid
+
+    from ..sources import manifest
+    from ..sources.stored import own_folder
+
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    token = ""
+    for kind in sorted(r["event_type"] for r in events.select("event_type").distinct().collect()):
+        rows = events.where(F.col("event_type") == kind)
+        after = manifest.append(folder, token, rows, ["user_id"], kind)
+        manifest.append(folder, token, rows, ["user_id"], kind)
+        try:
+            manifest.append(folder, token, rows, ["user_id"], "a stranger")
+            raise AssertionError("two writes follow one token")
+        except manifest.TokenWithdrawn:
+            token = after
+    chain = manifest.entries(spark, folder)
+    counted = lambda column, name: (
+        spark.read.parquet(f"{folder}/writes/*/{column}").groupBy(F.regexp_extract(F.input_file_name(), "writes/([^/]*)/", 1).alias("write")).agg(F.count(F.lit(1)).alias(name))
+    )
+    named = chain.withColumn("write", F.regexp_extract("rows", "writes/([^/]*)/", 1))
+    return named.join(counted("rows", "written"), "write").join(counted("changed", "changed_ids"), "write").select("number", "writer", "follows", "token", "written", F.col("changed_ids").alias("changed"))
+
+
+@query("SELECT user_id, arg_max(event_id, (event_type, event_id)) AS event_id, max(event_type) AS event_type FROM events GROUP BY user_id")
+def write_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest record after writes in a chain, read from a snapshot of the first ones and what came after."""
+    import uuid
+
+    from ..sources import manifest
+    from ..sources.stored import own_folder
+
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    token = ""
+    for n, kind in enumerate(sorted(r["event_type"] for r in events.select("event_type").distinct().collect())):
+        token = manifest.append(folder, token, events.where(F.col("event_type") == kind), ["user_id"], kind)
+        if n == 2:
+            manifest.compact(spark, folder, ["user_id"], ["event_id"])
+    return manifest.state(spark, folder, ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")

@@ -320,3 +320,30 @@ def bootstrap_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = paged.bootstrap(rows.select(F.to_json(envelope).alias("envelope")), "envelope")
     return pages.select("arn", "next_marker", "input", F.size("operations").cast("long").alias("held"), F.col("operations")[0]["Id"].alias("first_op"))
+
+
+@query(
+    """
+    SELECT doc_id, doc_id % 5 = 1 AS external, doc_id % 5 = 1 AS opaque,
+        CASE WHEN doc_id % 5 IN (0, 4) THEN sha256('"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"') END AS value_sha,
+        CASE WHEN doc_id % 5 IN (2, 3) THEN 'ForeignReference' END AS problem FROM documents
+    """
+)
+def payload_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a file of its operation; some payloads are forged: sent from outside, another operation's reference, or a name that nobody wrote."""
+    import uuid
+
+    from ..sources import payloads
+    from ..sources.stored import own_folder, stored
+
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    quoted, n = F.to_json(F.array("text")), F.col("doc_id")
+    path = lambda n: F.concat(F.lit("run/"), codecs.hashed_segment(n.cast("string")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("run").alias("execution"), n.cast("string").alias("operation"), F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value"))
+    kept = stored(payloads.written_by(rows, "value", folder, path(n), "execution", "operation", always=True))
+    other = codecs.file_envelope(path(n - n % 5))
+    forged = F.when((n % 5).isin(1, 2), other).when(n % 5 == 3, codecs.file_envelope(F.concat(F.lit("run/none-"), n.cast("string")))).otherwise(F.col("payload"))
+    sent = kept.withColumn("payload", forged).withColumn("external", n % 5 == 1)
+    found = payloads.read_by_origin(sent, folder, "execution", "operation", "external")
+    opaque = F.coalesce(F.col("value") == F.col("payload"), F.lit(False))
+    return found.select("doc_id", "external", opaque.alias("opaque"), F.when(~opaque, F.sha2(F.col("value").cast("binary"), 256)).alias("value_sha"), "problem")

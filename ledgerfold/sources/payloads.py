@@ -39,3 +39,35 @@ def read(rows: DataFrame, folder: str, payload: str = "payload") -> DataFrame:
         F.when(kind == "inline", inline).otherwise(F.col("held")).alias("value"),
         F.when(kind.isNull(), "NotAnEnvelope").when((kind == "file") & ~safe, "OutsideFolder").when((kind == "file") & F.col("held").isNull(), "FileLost").alias("problem"),
     )
+
+
+def written_by(rows: DataFrame, value: str, folder: str, path: Column, execution: str, operation: str, always: bool = False) -> DataFrame:
+    """What written does, and beside the values a manifest of who wrote which: (execution, operation, path, sha)."""
+    kept = written(rows.withColumn("__value", F.col(value)), value, f"{folder}/values", path, always=always)
+    own = kept.where(codecs.envelope_kind(F.col("payload")) == "file")
+    sha = F.sha2(F.col("__value").cast("binary"), 256)
+    own.select(F.col(execution).alias("execution"), F.col(operation).alias("operation"), F.get_json_object("payload", "$.file").alias("path"), sha.alias("sha")).write.mode("append").parquet(f"{folder}/manifest")
+    return kept.drop("__value")
+
+
+def read_by_origin(rows: DataFrame, folder: str, execution: str, operation: str, external: str, payload: str = "payload") -> DataFrame:
+    """rows with value and problem, where only what this library wrote for an operation can name a file.
+
+    external: whether a payload came from outside (a callback's completion): it is
+    the value as it stands, whatever it looks like. In a record, a reference is
+    honoured if the manifest has it for the same execution and operation (else
+    ForeignReference) and the file still holds what was written (else FileChanged).
+    """
+    outside = F.coalesce(F.col(external), F.lit(False))
+    manifest = rows.sparkSession.read.schema("execution string, operation string, path string, sha string").parquet(f"{folder}/manifest").distinct()
+    named = F.when(~outside & (codecs.envelope_kind(F.col(payload)) == "file"), F.get_json_object(payload, "$.file"))
+    known = manifest.select(F.col("execution").alias("__e"), F.col("operation").alias("__o"), F.col("path").alias("__p"), F.col("sha").alias("__sha"))
+    marked = rows.withColumn("__named", named)
+    same = (F.col(execution).cast("string") == F.col("__e")) & (F.col(operation).cast("string") == F.col("__o")) & (F.col("__named") == F.col("__p"))
+    marked = marked.join(known, same, "left").withColumn("__foreign", F.col("__named").isNotNull() & F.col("__p").isNull())
+    trusted = marked.withColumn("__payload", F.when(~outside & ~F.col("__foreign"), F.col(payload)))
+    found = read(trusted, f"{folder}/values", "__payload")
+    changed = F.col("__named").isNotNull() & F.col("value").isNotNull() & (F.sha2(F.col("value").cast("binary"), 256) != F.col("__sha"))
+    problem = F.when(F.col("__foreign"), "ForeignReference").when(changed, "FileChanged").when(~outside, F.col("problem"))
+    value = F.when(outside, F.col(payload)).when(~changed, F.col("value"))
+    return found.select(*(F.col(c) for c in rows.columns), value.alias("value"), problem.alias("problem"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import log
+from ..sources import manifest
 
 
 def checkpointed(folder: str) -> Callable[[DataFrame, int], None]:
@@ -23,7 +24,29 @@ def checkpointed(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def written(spark, folder: str) -> DataFrame:
+def chained(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch as a write in a chain of tokens, of which readers see the entries, changed ids and state (sources.manifest).
+
+    A batch that is run again finds its own entry and changes nothing; a second
+    stream that writes to the folder is refused.
+    """
+    last = {"token": ""}
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = {r["writer"]: r["token"] for r in manifest.entries(spark, folder).select("writer", "token").collect()} if not last["token"] else {}
+        again = done.get(f"batch {number}")
+        last["token"] = again or manifest.append(folder, manifest.head(spark, folder, last["token"]), batch, keys, f"batch {number}")
+
+    return write
+
+
+def written(spark, folder: str, schema: str | None = None) -> DataFrame:
+    """All written batches. schema: of their rows, for a stream that has written none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if schema is not None and (found is None or len(found) == 0):
+        return spark.createDataFrame([], f"{schema}, batch long")
     return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
 
 
