@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schedules
@@ -15,15 +15,15 @@ from .registry import query
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, kinds: dict[str, str]) -> DataFrame:
-    """events as a file stream of (key, kind, ts); kinds: by event type."""
+def event_stream(spark: SparkSession, sf_dir: str, kinds: dict[str, str], *more: Column, to: str = "millisecond") -> DataFrame:
+    """events as a file stream of (key, kind, ts) and more columns; kinds: by event type; to: what times are rounded down to."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     path = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
     kind = F.lit(None).cast("string")
     for name, shown in kinds.items():
         kind = F.when(F.col("event_type") == name, shown).otherwise(kind)
-    shown = rows.select(F.col("user_id").cast("string").alias("key"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    shown = rows.select(F.col("user_id").cast("string").alias("key"), kind.alias("kind"), F.date_trunc(to, F.col("ts").cast("timestamp")).alias("ts"), *more)
     return shown.where("kind is not null").withWatermark("ts", "0 seconds")
 
 
@@ -101,7 +101,7 @@ def stream_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"view": "check", "purchase": "done"})
-    return run_to_end(timers.outcomes(rows, timers.Poll(3), timed=False)).drop("batch")
+    return run_to_end(timers.outcomes(rows, timers.Poll(3))).drop("batch")
 
 
 @query(
@@ -122,19 +122,19 @@ def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(timers.outcomes(rows, timers.Retry([3600, 7200, 86400]))).drop("batch")
 
 
-@query(
-    f"""
-    WITH RECURSIVE {EVENTS_SQL.format(kinds="WHEN 'signup' THEN 'wait' WHEN 'purchase' THEN 'done'")},
+#: Users' look-ups as rows (key, at_ms) of looked_up.
+LOOKED_UP_SQL = f"""{EVENTS_SQL.format(kinds="WHEN 'signup' THEN 'wait' WHEN 'purchase' THEN 'done'")},
     offsets AS MATERIALIZED (SELECT k, 1000 + coalesce(sum(1000 * CASE WHEN k > 95 THEN 60 ELSE least(k, 10) END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM range(1, 200) t(k)),
     r(user_id, n, began, ended) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM s UNION ALL
         SELECT s.user_id, s.n, CASE WHEN kind = 'done' THEN NULL WHEN began IS NULL OR s.ms > gone THEN s.ms ELSE began END, CASE WHEN kind = 'done' OR s.ms > gone THEN began END
         FROM (SELECT *, began + (SELECT max(off) FROM offsets WHERE off <= 600000) AS gone FROM r) r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1),
     waits AS (SELECT user_id, began, min(n) AS n FROM r WHERE began IS NOT NULL GROUP BY ALL),
-    ends AS (SELECT w.user_id, w.began, min(s.ms) AS done FROM waits w LEFT JOIN s ON s.user_id = w.user_id AND s.kind = 'done' AND s.n > w.n GROUP BY ALL)
-    SELECT CAST(user_id AS VARCHAR) AS key, 'LOOKED_UP' AS outcome, CAST(began + off AS BIGINT) AS at_ms FROM ends, offsets, top
-    WHERE off <= 600000 AND began + off < coalesce(done, began + off + 1) AND began + off <= top.ms
-    """
-)
+    ends AS (SELECT w.user_id, w.began, min(s.ms) AS done FROM waits w LEFT JOIN s ON s.user_id = w.user_id AND s.kind = 'done' AND s.n > w.n GROUP BY ALL),
+    looked_up AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(began + off AS BIGINT) AS at_ms, top.ms AS upto FROM ends, offsets, top
+        WHERE off <= 600000 AND began + off < coalesce(done, began + off + 1) AND began + off <= top.ms)"""
+
+
+@query(f"WITH RECURSIVE {LOOKED_UP_SQL} SELECT key, 'LOOKED_UP' AS outcome, at_ms FROM looked_up")
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"signup": "wait", "purchase": "done"})
     return run_to_end(timers.outcomes(rows, timers.Refresh(schedules.FIRST_REFRESH, 600))).drop("batch")
@@ -153,7 +153,7 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_poll_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls for four views in a row without an error, which loses a check and its state."""
     rows = event_stream(spark, sf_dir, {"view": "check", "error": "lost"})
-    return run_to_end(timers.outcomes(rows, timers.Poll(9, goal=4), timed=False)).drop("batch")
+    return run_to_end(timers.outcomes(rows, timers.Poll(9, goal=4))).drop("batch")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, (epoch_us(ts), event_type)) AS kind, max(epoch_us(ts)) // 1000 AS at_ms FROM events GROUP BY user_id")
@@ -169,3 +169,28 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_stream(spark, sf_dir, {"error": "fail"})
     return run_to_end(rows.select("key", "kind", F.unix_millis("ts").alias("at_ms"))).drop("batch")
+
+
+@query(
+    f"""
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, event_type = 'error' AS lost, event_id % 10 AS seen, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+    r(user_id, n, checks, state, outcome, ms) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM e UNION ALL
+        SELECT e.user_id, e.n, CASE WHEN lost THEN checks ELSE checks + 1 END, CASE WHEN lost THEN 0 ELSE state + seen END,
+            CASE WHEN NOT lost AND state + seen >= 25 THEN 'COMPLETE' WHEN NOT lost AND checks + 1 >= 7 THEN 'MaxChecksExceeded' END, e.ms
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1 WHERE outcome IS NULL)
+    SELECT CAST(user_id AS VARCHAR) AS key, outcome, ms AS at_ms, checks, state FROM r WHERE outcome IS NOT NULL
+    """
+)
+def stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of poll_state over a stream: they add up what they see, an error loses one; the check and its end are the caller's functions."""
+    rows = event_stream(spark, sf_dir, {"error": "lost", "view": "check", "click": "check", "signup": "check", "purchase": "check"}, F.col("event_id").alias("number"), (F.col("event_id") % 10).alias("seen"))
+    how = timers.Checks(0, lambda state, seen: state + seen, lambda state, n: "COMPLETE" if state >= 25 else "EXHAUSTED" if n >= 7 else None, "long")
+    return run_to_end(timers.checked(rows, how)).drop("batch")
+
+
+@query(f"WITH RECURSIVE {LOOKED_UP_SQL.replace('epoch_us(ts) // 1000', 'epoch_us(ts) // 60000000 * 60000')} SELECT at_ms, string_agg(key, ',' ORDER BY key) AS keys FROM looked_up WHERE at_ms < upto GROUP BY at_ms")
+def stream_shared_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-ups of stream_refresh, one request for all users that are due at the same moment; events are taken by the minute."""
+    rows = event_stream(spark, sf_dir, {"signup": "wait", "purchase": "done"}, to="minute")
+    out = run_to_end(timers.shared(rows, timers.Refresh(schedules.FIRST_REFRESH, 600)))
+    return out.select("at_ms", F.array_join("keys", ",").alias("keys"))

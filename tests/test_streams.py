@@ -14,13 +14,13 @@ def ms(seconds):
     return int((START + dt.timedelta(seconds=seconds)).replace(tzinfo=dt.UTC).timestamp() * 1000)
 
 
-def fed(spark, tmp_path, processor, batches, timed=True):
+def fed(spark, tmp_path, processor, batches):
     """Outcomes after each batch of (key, kind, seconds) came as a file."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = "key string, kind string, ts timestamp"
     (tmp_path / "in").mkdir()
     rows = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in").withWatermark("ts", "0 seconds")
-    out = timers.outcomes(rows, processor, timed)
+    out = timers.outcomes(rows, processor)
     started = (
         out.writeStream.foreachBatch(sink.checkpointed(f"file://{tmp_path}/out")).option("checkpointLocation", f"file://{tmp_path}/log").start()
     )
@@ -66,7 +66,6 @@ def test_polls_stop_at_the_cap(spark, tmp_path):
         tmp_path,
         timers.Poll(3),
         [[("a", "check", 1), ("b", "check", 1)], [("a", "check", 2), ("b", "done", 3)], [("a", "check", 4), ("b", "check", 5)]],
-        timed=False,
     )
     assert got == {("a", "MaxChecksExceeded", ms(4)), ("b", "COMPLETE", ms(3))}
 
@@ -77,7 +76,6 @@ def test_a_lost_poll_starts_again(spark, tmp_path):
         tmp_path,
         timers.Poll(4, goal=3),
         [[("a", "check", 1), ("a", "check", 2), ("b", "check", 1)], [("a", "lost", 3), ("a", "check", 4)], [("a", "check", 5), ("b", "check", 6), ("b", "check", 7)]],
-        timed=False,
     )
     assert got == {("a", "MaxChecksExceeded", ms(5)), ("b", "COMPLETE", ms(7))}
 
@@ -120,3 +118,69 @@ def test_exclusive_plugins(spark):
     registry.add(plugins.Recorder())
     registry.close()
     assert not registry.listeners
+
+
+def run_parts(spark, tmp_path, name, batches, build, columns="key string, kind string, ts timestamp", each=None):
+    """Rows out of a stream built by build over (key, kind, seconds, ...) that is stopped after each batch and started again from its checkpoint; and the state rows it held in the end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source = tmp_path / f"in-{name}"
+    source.mkdir()
+    held = None
+    for batch in batches:
+        rows = [(r[0], r[1], START + dt.timedelta(seconds=r[2]), *r[3:]) for r in batch]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"file://{source}")
+        stream = spark.readStream.schema(columns).parquet(f"file://{source}").withWatermark("ts", "0 seconds")
+        started = (
+            build(stream).writeStream.foreachBatch(sink.checkpointed(f"file://{tmp_path}/out-{name}"))
+            .option("checkpointLocation", f"file://{tmp_path}/log-{name}").trigger(availableNow=True).start()
+        )
+        started.awaitTermination()
+        held = [o["numRowsTotal"] for o in started.lastProgress["stateOperators"]]
+    return sorted(map(tuple, sink.written(spark, f"file://{tmp_path}/out-{name}").drop("batch").collect())), held
+
+
+@pytest.mark.parametrize(
+    ("name", "make"),
+    [("callback", lambda: timers.Callback(timeout=100, heartbeat=30)), ("retry", lambda: timers.Retry([10, 100], keep=1000)), ("wait", lambda: timers.Wait(60))],
+)
+def test_a_stream_that_stops_and_goes_on_is_one_stream(spark, tmp_path, name, make):
+    kinds = {"callback": ["create", "heartbeat", "complete", "create"], "retry": ["fail", "fail", "done", "fail"], "wait": ["start", "start", "noise", "start"]}[name]
+    parts = [[(f"k{(7 * i + s) % 5}", kinds[(i + s) % 4], 40 * i + s) for s in range(0, 40, 6)] for i in range(3)] + [[("z", "noise", 2000)]]
+    build = lambda stream: timers.outcomes(stream, make())
+    stopped, _ = run_parts(spark, tmp_path, "parts", parts, build)
+    whole, _ = run_parts(spark, tmp_path, "whole", [sum(parts[:3], []), *parts[3:]], build)
+    assert stopped == whole and len(whole) > 3
+
+
+def test_finished_keys_are_forgotten(spark, tmp_path):
+    ends = [[("z", "noise", 5000)], [("z", "noise", 5001)], [("z", "noise", 5002)]]
+    polls, held = run_parts(spark, tmp_path, "poll", [[(f"k{i}", "check", i) for i in range(20)], [(f"k{i}", "done", 30 + i) for i in range(20)], *ends], lambda s: timers.outcomes(s.where("kind <> 'noise' or key = 'z'"), timers.Poll(5, keep=100)))
+    assert len(polls) == 20 and held == [1]  # z alone, which never ends
+    retries, held = run_parts(spark, tmp_path, "retry", [[(f"k{i}", "fail", i) for i in range(20)], [(f"k{i}", "done", 100 + i) for i in range(20)], *ends], lambda s: timers.outcomes(s, timers.Retry([10], keep=100)))
+    assert len(retries) == 40 and held == [1]
+
+
+def test_checks_are_the_callers(spark, tmp_path):
+    how = timers.Checks("", lambda state, seen: state + seen, lambda state, n: "COMPLETE" if state.endswith("abc") else "EXHAUSTED" if n >= 5 else None, "string", keep=50)
+    rows = [
+        [("x", "check", 1, 1, "a"), ("x", "check", 1, 2, "b"), ("y", "check", 1, 1, "a")],
+        [("x", "check", 3, 3, "c"), ("y", "lost", 2, 2, None), ("y", "check", 3, 3, "abc"), ("x", "check", 4, 4, "d")],
+        [("w", "check", 5, 1, "c"), ("v", "check", 5, 1, "q")],
+        [("v", "noise", 900, 9, "")],
+        [("v", "noise", 901, 9, "")],
+    ]
+    began = spark.createDataFrame([("w", 2, "ab"), ("v", 4, "?")], "key string, n int, state string")
+    got, held = run_parts(spark, tmp_path, "checks", rows, lambda s: timers.checked(s, how, began), "key string, kind string, ts timestamp, number long, seen string")
+    assert got == [("v", "MaxChecksExceeded", ms(5), 5, "?q"), ("w", "COMPLETE", ms(5), 3, "abc"), ("x", "COMPLETE", ms(3), 3, "abc"), ("y", "COMPLETE", ms(3), 2, "abc")]
+    assert held[0] <= 1
+
+
+def test_look_ups_of_one_moment_are_one_request(spark, tmp_path):
+    parts = [[("a", "wait", 0), ("b", "wait", 0), ("c", "wait", 1)], [("a", "done", 3)], [("z", "noise", 400)], [("z", "noise", 401)], [("z", "noise", 402)]]
+    got, _ = run_parts(spark, tmp_path, "shared", parts, lambda s: timers.shared(s, timers.Refresh(1, 10)))
+    at = {}
+    for key, began, until in (("a", 0, 3), ("b", 0, 99), ("c", 1, 99)):
+        for s in (1, 2, 4, 7):
+            if began + s < until:
+                at.setdefault(began + s, []).append(key)
+    assert got == sorted((ms(s), 0, keys) for s, keys in at.items())
