@@ -87,8 +87,8 @@ def gram_counts(column: pa.Array, y: np.ndarray, fold: np.ndarray) -> np.ndarray
         low, own = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
         words, at = word_hashes(low, own)
         for kind, (codes, by) in enumerate(_grams(low, own, words, at)):
-            for i in range(b - a):
-                out[fold[a + i], int(y[a + i]), kind, np.unique(codes[by[i] : by[i + 1]])] += 1
+            text, code = np.divmod(np.unique(np.repeat(np.arange(b - a), np.diff(by)) * CODES + codes), CODES)  # each gram of a text once
+            np.add.at(out, (fold[a + text], y[a + text].astype(np.int64), kind, code), 1)
     return out
 
 
@@ -120,7 +120,11 @@ def features(column: pa.Array, tables: list[np.ndarray], table: np.ndarray | Non
             same[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(words))] - 1] = False  # not across texts
             again[2:] = np.cumsum(same)
         repeated = again[at[1:]] - again[at[:-1]]
-        distinct = np.array([len(np.unique(words[x:y])) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        text = np.repeat(np.arange(b - a), n)
+        order = np.lexsort((words, text))
+        fresh = np.ones(len(words), bool)
+        fresh[1:] = (np.diff(text[order]) > 0) | (words[order][1:] != words[order][:-1])
+        distinct = np.bincount(text[order][fresh], minlength=b - a)
         some = np.maximum(n, 1)
         columns += [np.log1p(n), size / some / 10, repeated / some, distinct / some, np.log1p(size), (n == 0).astype(float)]
         which = np.zeros(b - a, np.int64) if table is None else table[a:b]
