@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .arrowtext import buffers, gathered, steps, tidy
 from .scratch import stored
-from .tokens import BATCH_BYTES, encoded, forgetting
+from .tokens import BATCH_BYTES, encoded
 
 #: The part of its slot that a piece may leave empty, and the length below which it may leave more.
 PADDING, SHORT = 0.02, 24
 #: Left-over pieces that are brought together in one group: several times what its classes can leave.
 GROUP_ROWS = 50_000
+#: The turn that sequence ids of the last left-overs have.
+LAST = 15
 
 
 def cut(total: int, capacity: int) -> list[int]:
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """(id, start, length, ids_crc32, doc_tokens, ids): every document's pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    @forgetting
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in gathered(batches, BATCH_BYTES):
@@ -91,6 +93,8 @@ def _filled(rows: DataFrame, capacity: int, turn: int) -> DataFrame:
 
     Of sequence ids, the four highest digits in base 2 are the turn, the next 28 the partition.
     """
+    if turn >= LAST:  # each turn leaves a part of the groups only
+        raise ValueError("too many pieces are left over for the turns that sequence ids have room for; take larger groups")
 
     @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def _last(rows: DataFrame, capacity: int) -> DataFrame:
             i = next((i for i, x in enumerate(room) if x >= r["length"]), len(room))
             if i == len(room):
                 room.append(capacity)
-            r["sequence_id"], r["offset"] = (15 << 59) | i, capacity - room[i]
+            r["sequence_id"], r["offset"] = (LAST << 59) | i, capacity - room[i]
             room[i] -= r["length"]
         if held:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,7 +169,9 @@ def packed(
 
     Each id of each document lies in one piece; pieces of a sequence follow
     each other from offset 0. A null or empty text is a document of the end id
-    alone. Rows that repeat an id are documents of their own. ids is null unless
+    alone. Rows that repeat an id are documents of their own, as are rows with a null
+    id, which stays null. A text of any length is read whole and cut into
+    pieces; an empty table gives none. ids is null unless
     keep_ids. Other columns are not read.
     """
     filled = stored(_filled(stored(pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids)), capacity, 0))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,7 @@ class Encoder:
         return found
 
 
+#: A worker's tokenizers with the chunks that they know, at most REMEMBERED each; they stay for later partitions.
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -147,19 +148,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def forgetting(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """rows for mapInArrow, without encoders in memory after a partition."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from rows(batches)
-        finally:
-            _ENCODERS.clear()
-
-    return run
-
-
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(ids of each distinct chunk, chunk numbers in text order, offsets into these by text)."""
     mark = np.zeros(len(data) + 1, bool)
@@ -185,7 +173,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    @forgetting
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, BATCH_BYTES):
             data, offsets = buffers(batch.column(1))
