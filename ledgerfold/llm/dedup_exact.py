@@ -226,7 +226,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that exact_dedup drops."""
+    """docs, all columns, without the rows that exact_dedup drops.
+
+    Null texts are empty ones. Of rows that are equal in id and text one stays, with
+    all its columns: that whose columns as JSON come first.
+    """
     _, groups = exact_groups(docs, id_col, text_col)
     names = docs.columns
     key = "__sha"
@@ -263,5 +267,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         again = F.broadcast(again)
     kept = kept.join(again, key, "left")
     once = kept.where(F.col(key + "again").isNull()).select(*names)
-    first = [F.first(c).alias(c) for c in names]
-    return once.unionByName(kept.where(F.col(key + "again")).groupBy(F.col(key).alias(key + "g")).agg(*first).select(*names))
+    row = F.struct(*names)
+    first = F.min_by(row, F.to_json(row)).alias(key + "row")
+    one = kept.where(F.col(key + "again")).groupBy(F.col(key).alias(key + "g")).agg(first)
+    return once.unionByName(one.select(*(F.col(key + "row").getField(n).alias(n) for n in names)))

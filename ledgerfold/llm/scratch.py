@@ -8,6 +8,7 @@ a re-read and never a recomputation from the start.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ from ..sources.stored import deleted, shared_folder
 #: Bytes up to which a table of known size may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-#: Folders of tables that are deleted when the work they are for is done, innermost last.
-_INNER: list[str] = []
+#: The folder of tables that are deleted when the work they are for is done; each thread has its own.
+_INNER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -36,21 +37,26 @@ def clear(spark: SparkSession) -> None:
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that are stored within, but for lasting ones, are deleted at its end."""
     folder = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
-    _INNER.append(folder)
+    before = _INNER.set(folder)
     try:
         yield
     finally:
-        _INNER.remove(folder)
+        _INNER.reset(before)
         deleted(spark, folder)
 
 
 def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and return a reader of what was written."""
+    return stored_at(df, lasting)[0]
+
+
+def stored_at(df: DataFrame, lasting: bool = False) -> tuple[DataFrame, str]:
+    """A reader of what was written, and its folder, to be given to `deleted` when it isn't needed any more."""
     spark = df.sparkSession
-    folder = _INNER[-1] if _INNER and not lasting else _own_folder(spark)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    inner = _INNER.get()
+    path = f"{_own_folder(spark) if inner is None or lasting else inner}/{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def partitions(spark: SparkSession) -> int:

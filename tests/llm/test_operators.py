@@ -591,3 +591,44 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(
         map(str, spark.read.parquet(f"file://{tmp_path}/out4").select("doc_id", "start", "length", "ids_crc32").collect())
     )
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["__", "__id", "__sha", "kept", "id", "keep_id", "node", "key", "group_size", "p_text", "domain", "tokens", "epochs", "size", "sequence_id"]
+    good = [(i, f"Text number {i} says what there is to say, again and again, in words like {i * 7} and {i * 13}.", "en", f"s{i % 3}", 9, *range(len(names))) for i in range(60)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    spark.createDataFrame([(i, 1 if i % 5 else 0, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for rows in ([], [*good, good[3], (3, good[3][1], "xx", None, None, *reversed(range(len(names))))]):
+        docs = spark.createDataFrame(rows, shape)
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/out{len(rows)}-{i}")
+            docs = spark.read.parquet(f"file://{tmp_path}/out{len(rows)}-{i}")
+            assert (docs.count() > 0) == bool(rows), name
+            if i < 4:
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+            if i == 1 and rows:
+                (r,) = docs.where("doc_id = 3").collect()  # one of three equal rows, always the same
+                assert (r.lang, r.source) == ("en", "s0")
+
+
+def test_two_threads_keep_their_own_temporary_tables(spark, tmp_path, monkeypatch):
+    import threading
+
+    from ledgerfold.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{tmp_path}")
+    found = {}
+    with scratch.temporary(spark):
+        mine = scratch.stored(spark.range(3))
+
+        def other():
+            with scratch.temporary(spark):
+                scratch.stored(spark.range(4))
+            found["after"] = mine.count()
+
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert found["after"] == 3
