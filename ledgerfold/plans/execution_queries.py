@@ -73,47 +73,54 @@ def invoke_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execution.invoked(table(spark, sf_dir, "customer").select("c_custkey"), registry, "c_custkey").select("c_custkey", "status", "error")
 
 
-def _delays(name: str, formula: str, most: int) -> str:
-    return f"""SELECT '{name}' AS strategy, CAST(a AS INT) AS attempt, {formula} AS base, CAST(greatest(1, round({formula})) AS INT) AS seconds, a >= {most} AS stops FROM range(1, 9) t(a)"""
-
-
-def _schedule(spark: SparkSession, strategies: dict[str, schedules.Backoff]) -> DataFrame:
-    attempts = spark.range(1, 9).select(F.col("id").cast("int").alias("attempt"))
-    out = None
-    for name, how in strategies.items():
+def _delays(a: tuple[str, str, int], b: tuple[str, str, int]) -> str:
+    """SQL: each order's attempt and the delay before jitter after it, where two strategies take turns."""
+    pick = lambda i: f"CASE WHEN o_orderkey % 2 = 0 THEN {a[i]} ELSE {b[i]} END"
+    return f"""WITH o AS (SELECT o_orderkey, o_orderkey // 2 % 8 + 1 AS a FROM orders), d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '{a[0]}' ELSE '{b[0]}' END AS strategy, a, {pick(1)} AS base, {pick(2)} AS most FROM o)
+    SELECT o_orderkey, strategy, CAST(a AS INT) AS attempt, base, CAST(greatest(1, round(base)) AS INT) AS seconds, a >= most AS stops FROM d"""
+
+
+def _schedule(spark: SparkSession, sf_dir: str, strategies: dict[str, schedules.Backoff]) -> DataFrame:
+    """Orders as failed attempts, each under one of the strategies in turn."""
+    n, count = F.col("o_orderkey"), len(strategies)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(n / count) % 8 + 1).cast("int").alias("attempt"))
+    chosen = F.lit(None)
+    for i, (name, how) in enumerate(strategies.items()):
         base = schedules.base_delay(F.col("attempt"), how)
-        own = attempts.select(F.lit(name).alias("strategy"), "attempt", base.alias("base"), schedules.whole_seconds(base).alias("seconds"), (F.col("attempt") >= how.max_attempts).alias("stops"))
-        out = own if out is None else out.union(own)
-    return out
+        one = F.struct(F.lit(name).alias("strategy"), base.alias("base"), schedules.whole_seconds(base).alias("seconds"), (F.col("attempt") >= how.max_attempts).alias("stops"))
+        chosen = F.when(n % count == i, one).otherwise(chosen)
+    return rows.withColumn("s", chosen).select("o_orderkey", "s.strategy", "attempt", "s.base", "s.seconds", "s.stops")
 
 
-@query(_delays("x3", "least(2.0::DOUBLE * pow(3.0::DOUBLE, a - 1), 300.0::DOUBLE)", 5) + " UNION ALL " + _delays("x1.5", "least(0.5::DOUBLE * pow(1.5::DOUBLE, a - 1), 60.0::DOUBLE)", 6))
+@query(_delays(("x3", "least(2.0::DOUBLE * pow(3.0::DOUBLE, a - 1), 300.0::DOUBLE)", 5), ("x1.5", "least(0.5::DOUBLE * pow(1.5::DOUBLE, a - 1), 60.0::DOUBLE)", 6)))
 def retry_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _schedule(spark, {"x3": schedules.Backoff(5, 2.0, 300.0, 3.0, jitter="none"), "x1.5": schedules.Backoff(6, 0.5, 60.0, 1.5, jitter="none")})
+    return _schedule(spark, sf_dir, {"x3": schedules.Backoff(5, 2.0, 300.0, 3.0, jitter="none"), "x1.5": schedules.Backoff(6, 0.5, 60.0, 1.5, jitter="none")})
 
 
-@query(_delays("by1", "least(1.0::DOUBLE + 1.0::DOUBLE * (a - 1), 300.0::DOUBLE)", 6) + " UNION ALL " + _delays("by2.5", "least(1.0::DOUBLE + 2.5::DOUBLE * (a - 1), 10.0::DOUBLE)", 4))
+@query(_delays(("by1", "least(1.0::DOUBLE + 1.0::DOUBLE * (a - 1), 300.0::DOUBLE)", 6), ("by2.5", "least(1.0::DOUBLE + 2.5::DOUBLE * (a - 1), 10.0::DOUBLE)", 4)))
 def retry_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _schedule(spark, {"by1": schedules.Backoff(6, 1.0, 300.0, None, 1.0, "none"), "by2.5": schedules.Backoff(4, 1.0, 10.0, None, 2.5, "none")})
+    return _schedule(spark, sf_dir, {"by1": schedules.Backoff(6, 1.0, 300.0, None, 1.0, "none"), "by2.5": schedules.Backoff(4, 1.0, 10.0, None, 2.5, "none")})
 
 
 @query(
     """
-    WITH p(preset, most, initial, cap, rate, inc, jitter) AS (VALUES ('default', 6, 5.0, 60.0, 2.0, 1.0, 'full'), ('linear', 6, 1.0, 300.0, NULL, 1.0, 'none'), ('no_retry', 1, 5.0, 300.0, 2.0, 1.0, 'full'),
-        ('exponential_fill', 3, 5.0, 300.0, 2.0, 1.0, 'full'), ('linear_fill', 6, 1.0, 300.0, NULL, 1.0, 'full'), ('polling', 60, 5.0, 300.0, 1.5, 1.0, 'full')),
-    b AS (SELECT preset, CAST(a AS INT) AS attempt, jitter, a >= most AS stops, least(CASE WHEN rate IS NULL THEN initial::DOUBLE + inc::DOUBLE * (a - 1) ELSE initial::DOUBLE * pow(rate::DOUBLE, a - 1) END, cap::DOUBLE) AS high FROM p, range(1, 7) t(a))
-    SELECT preset, attempt, stops, CASE jitter WHEN 'none' THEN high ELSE 0.0 END AS low, high FROM b
+    WITH p(n, preset, most, initial, cap, rate, inc, jitter) AS (VALUES (0, 'default', 6, 5.0, 60.0, 2.0, 1.0, 'full'), (1, 'linear', 6, 1.0, 300.0, NULL, 1.0, 'none'), (2, 'no_retry', 1, 5.0, 300.0, 2.0, 1.0, 'full'),
+        (3, 'exponential_fill', 3, 5.0, 300.0, 2.0, 1.0, 'full'), (4, 'linear_fill', 6, 1.0, 300.0, NULL, 1.0, 'full'), (5, 'polling', 60, 5.0, 300.0, 1.5, 1.0, 'full')),
+    o AS (SELECT o_orderkey, o_orderkey // 6 % 6 + 1 AS a, o_orderkey % 6 AS n FROM orders),
+    b AS (SELECT o_orderkey, preset, CAST(a AS INT) AS attempt, jitter, a >= most AS stops, least(CASE WHEN rate IS NULL THEN initial::DOUBLE + inc::DOUBLE * (a - 1) ELSE initial::DOUBLE * pow(rate::DOUBLE, a - 1) END, cap::DOUBLE) AS high FROM o JOIN p USING (n))
+    SELECT o_orderkey, preset, attempt, stops, CASE jitter WHEN 'none' THEN high ELSE 0.0 END AS low, high FROM b
     """
 )
 def retry_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, how in schedules.PRESETS.items():
+    """Orders as failed attempts, each under one of the presets in turn, with the bounds of its delay."""
+    n, count = F.col("o_orderkey"), len(schedules.PRESETS)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(n / count) % 6 + 1).cast("int").alias("attempt"))
+    chosen = F.lit(None)
+    for i, (name, how) in enumerate(schedules.PRESETS.items()):
         low, high = schedules.jitter_bounds(schedules.base_delay(F.col("attempt"), how), how.jitter)
-        own = spark.range(1, 7).select(F.col("id").cast("int").alias("attempt")).select(
-            F.lit(name).alias("preset"), "attempt", (F.col("attempt") >= how.max_attempts).alias("stops"), low.alias("low"), high.alias("high")
-        )
-        out = own if out is None else out.union(own)
-    return out
+        one = F.struct(F.lit(name).alias("preset"), (F.col("attempt") >= how.max_attempts).alias("stops"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+        chosen = F.when(n % count == i, one).otherwise(chosen)
+    return rows.withColumn("s", chosen).select("o_orderkey", "s.preset", "attempt", "s.stops", "s.low", "s.high")
 
 
 @query(
@@ -434,3 +441,32 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "error": F.concat(F.lit("lost "), n.cast("string")),
     }
     return lifecycle.emitted(rows, "action", "written").select("event_id", lifecycle.event_record(F.col("event"), fields).alias("record"))
+
+
+@query(
+    """
+    WITH u AS (SELECT user_id, event_id, event_id % 6 AS op, epoch_us(ts) // 604800000000 AS invocation, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+        CASE event_type WHEN 'click' THEN 'RETRY' WHEN 'purchase' THEN 'SUCCEED' WHEN 'error' THEN 'FAIL' ELSE 'START' END AS action FROM events),
+    v AS (SELECT *, count(*) FILTER (action IN ('SUCCEED', 'FAIL')) OVER (PARTITION BY user_id, op ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM u),
+    w AS (SELECT *, lag(invocation) OVER o AS prior, lag(action) OVER o AS was FROM v WHERE over = 0 WINDOW o AS (PARTITION BY user_id, op ORDER BY n)),
+    x AS (SELECT *, prior IS NULL OR prior <> invocation AS fresh, op < 4 AND (prior IS NULL OR prior <> invocation OR was = 'RETRY') AS tries FROM w),
+    y AS (SELECT *, sum(CASE WHEN tries THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, op ORDER BY n) AS attempt, row_number() OVER r = 1 AS head, lead(n) OVER r IS NULL AS tail,
+        invocation > min(invocation) OVER (PARTITION BY user_id) AS again, CASE action WHEN 'SUCCEED' THEN 'SUCCEEDED' WHEN 'FAIL' THEN 'FAILED' END AS outcome FROM x WINDOW r AS (PARTITION BY user_id, invocation ORDER BY n)),
+    h AS (SELECT user_id, invocation, n, 0 AS place, 'on_invocation_start' AS hook, NULL AS op, NULL AS attempt, again AS is_replay, NULL AS outcome FROM y WHERE head
+        UNION ALL SELECT user_id, invocation, n, 1, 'on_operation_start', op, NULL, prior IS NOT NULL, NULL FROM y WHERE fresh
+        UNION ALL SELECT user_id, invocation, n, 2, 'on_attempt_start', op, attempt, false, NULL FROM y WHERE tries
+        UNION ALL SELECT user_id, invocation, n, 3, 'on_attempt_end', op, attempt, false, coalesce(outcome, 'RETRY') FROM y WHERE op < 4 AND action <> 'START'
+        UNION ALL SELECT user_id, invocation, n, 4, 'on_operation_end', op, NULL, false, outcome FROM y WHERE outcome IS NOT NULL
+        UNION ALL SELECT user_id, invocation, n, 5, 'on_invocation_end', NULL, NULL, again, NULL FROM y WHERE tail)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY n, place) AS number, invocation, hook, op, CAST(attempt AS BIGINT) AS attempt, is_replay, outcome FROM h
+    """
+)
+def hook_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as updates of six operations, a week being an invocation; two of the operations know no attempts."""
+    from ..operators import lifecycle
+
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "RETRY").when(kind == "purchase", "SUCCEED").when(kind == "error", "FAIL").otherwise("START")
+    week = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 604800000000")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 6).alias("op"), week.alias("invocation"), F.struct("ts", "event_id").alias("at"), action.alias("action"))
+    return lifecycle.hook_timeline(rows, "user_id", "op", "invocation", "at", "action", F.col("op") < 4)
