@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import schedules
+from ..functions import errors, schedules
 from ..functions.codecs import Codec
 from ..functions.identity import is_known
 from . import spread
@@ -213,6 +213,17 @@ def callbacks(created: DataFrame, completions: DataFrame, key: str, timeout: int
     )
 
 
+def submitted(callbacks: DataFrame, callback_id: str, status: str, wire: str, submit: Callable[[Column], Column]) -> DataFrame:
+    """callbacks with submit_error and failure, where each id was handed to the caller's submitter first.
+
+    submit(id) is the submitter's error, or null if it took the id. A failed
+    submission fails the wait, whatever the callback's record says; else its own end does.
+    """
+    error = submit(F.col(callback_id)).cast("string")
+    rows = callbacks.withColumn("submit_error", error)
+    return rows.withColumn("failure", F.when(F.col("submit_error").isNotNull(), "SubmitterFailed").otherwise(errors.callback_failure(F.col(status), F.col(wire))))
+
+
 def missed_heartbeats(beats: DataFrame, key: str, at: str, seconds: int, created: DataFrame | None = None, until: Column | None = None) -> DataFrame:
     """(key, at, silent): heartbeats that no other followed within so many seconds, of each key the first.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import errors, schedules
+from ..functions import schedules
 from ..operators import execution
 from .registry import query, table
 
@@ -268,9 +268,11 @@ def heartbeat_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def wait_for_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as callbacks whose ids go to a submitter that can't take every 29th."""
     k = F.col("o_orderkey")
-    failed = errors.callback_failure(F.col("status"), F.when(k % 2 == 0, "Callback.Heartbeat"))
-    return orders(spark, sf_dir).select("o_orderkey", F.when(k % 29 == 0, "SubmitterFailed").otherwise(failed).alias("failure"))
+    rows = orders(spark, sf_dir).withColumn("wire", F.when(k % 2 == 0, "Callback.Heartbeat"))
+    out = execution.submitted(rows, "o_orderkey", "status", "wire", lambda id: F.when(id % 29 == 0, F.concat(F.lit("no route for "), id.cast("string"))))
+    return out.select("o_orderkey", "failure")
 
 
 @query(f"SELECT o_orderkey, ({ORDER_STATUS}) IN ('SUCCEEDED', 'FAILED', 'CANCELLED', 'TIMED_OUT', 'STOPPED') AS resolves FROM orders")

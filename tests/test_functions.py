@@ -372,3 +372,9 @@ def test_trigger_is_the_first_row_that_ends_the_batch(spark):
     run = batch.running(rows, "b", "ok").withColumn("r", policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")))
     first = {r.b: r.n for r in run.withColumn("n", F.row_number().over(w)).where("r is not null").groupBy("b").agg(F.min("n").alias("n")).collect()}
     assert {r.b: r.settled for r in batch.completed(rows, "b", "ok", policy).collect()} == first
+
+
+def test_a_failed_submission_fails_the_wait(spark):
+    rows = spark.createDataFrame([(1, "SUCCEEDED", None), (2, "SUCCEEDED", None), (3, "TIMED_OUT", "Callback.Heartbeat"), (4, None, None)], "id long, status string, wire string")
+    got = execution.submitted(rows, "id", "status", "wire", lambda id: F.when(id == 2, "gone"))
+    assert {r.id: (r.submit_error, r.failure) for r in got.collect()} == {1: (None, None), 2: ("gone", "SubmitterFailed"), 3: (None, "HeartbeatTimedOut"), 4: (None, None)}
