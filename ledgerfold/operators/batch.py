@@ -2,6 +2,10 @@
 
 Items are rows. Settle order isn't something a log records, so it is taken from
 the order columns given; they must be total within a batch.
+
+Running counts are windows by batch, one shuffle for all batches, of which each
+is sorted in one task. Where a batch may hold a large part of all items, `large`
+takes them as scans over ranges of (batch, order) instead, with the same results.
 """
 
 from __future__ import annotations
@@ -56,13 +60,19 @@ class Policy:
         return out if self.min_successful is None else out.when(ok >= self.min_successful, ENOUGH)
 
 
-def numbered(items: DataFrame, batch: str, order: list[str | Column]) -> DataFrame:
-    """items with idx, from 0 in the given order."""
+def numbered(items: DataFrame, batch: str, order: list[str | Column], large: bool = False) -> DataFrame:
+    """items with idx, from 0 in the given order (of column names, if large)."""
+    if large:
+        return spread.running(items, batch, order, {"idx": ("sum", F.lit(1).cast("long"))}).withColumn("idx", F.col("idx") - 1)
     return items.withColumn("idx", F.row_number().over(W.partitionBy(batch).orderBy(*order)) - 1)
 
 
-def running(items: DataFrame, batch: str, ok: str, settle: str = "idx") -> DataFrame:
+def running(items: DataFrame, batch: str, ok: str, settle: str = "idx", large: bool = False) -> DataFrame:
     """items with total, n_ok and n_failed as they stand when each item has settled."""
+    if large:
+        one = F.when(F.col(ok), 1).otherwise(0).cast("long")
+        rows = spread.running_sums(items, batch, [settle], {"n_ok": one, "n_failed": 1 - one})
+        return rows.withColumn("total", F.col("n_ok_all") + F.col("n_failed_all")).select(*items.columns, "total", "n_ok", "n_failed")
     so_far = W.partitionBy(batch).orderBy(settle).rowsBetween(W.unboundedPreceding, W.currentRow)
     one = F.when(F.col(ok), 1).otherwise(0)
     return (
@@ -81,17 +91,17 @@ def with_empty(ended: DataFrame, batches: DataFrame | None, batch: str, **of_emp
     return rows.select(*(value(c).alias(c) for c in ended.columns))
 
 
-def _ended(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str) -> tuple[DataFrame, Column]:
-    rows = running(items, batch, ok, settle).withColumn("reason", policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")))
+def _ended(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str, large: bool) -> tuple[DataFrame, Column]:
+    rows = running(items, batch, ok, settle, large).withColumn("reason", policy.reason(F.col("n_ok"), F.col("n_failed"), F.col("total")))
     return rows, F.min(F.when(F.col("reason").isNotNull(), F.struct(settle, "reason", "n_ok", "n_failed", "total")))
 
 
-def completed(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx", batches: DataFrame | None = None) -> DataFrame:
+def completed(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx", batches: DataFrame | None = None, large: bool = False) -> DataFrame:
     """(batch, reason, settled, n_ok, n_failed, total): the state at the settle that ended each batch.
 
     batches: all batches, so that those without items have their row too.
     """
-    rows, end = _ended(items, batch, ok, policy, settle)
+    rows, end = _ended(items, batch, ok, policy, settle, large)
     ended = (
         rows.groupBy(batch)
         .agg(end.alias("end"))
@@ -112,10 +122,14 @@ def completed_spread(items: DataFrame, batch: str, ok: str, policy: Policy, orde
     return rows.groupBy(batch).agg(end.alias("end")).select(batch, "end.reason", "end.settled", "end.n_ok", "end.n_failed", "end.total")
 
 
-def with_end(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx") -> DataFrame:
-    """items with reason and settled of their batch's end, by windows over one partitioning."""
-    rows, end = _ended(items, batch, ok, policy, settle)
-    rows = rows.withColumn("__end", end.over(W.partitionBy(batch)))
+def with_end(items: DataFrame, batch: str, ok: str, policy: Policy, settle: str = "idx", large: bool = False) -> DataFrame:
+    """items with reason and settled of their batch's end, by windows over one partitioning (if large, by a join with the ends)."""
+    rows, end = _ended(items, batch, ok, policy, settle, large)
+    if large:
+        ends = rows.groupBy(F.col(batch).alias("__batch")).agg(end.alias("__end"))
+        rows = items.join(ends, F.col(batch).eqNullSafe(F.col("__batch")))
+    else:
+        rows = rows.withColumn("__end", end.over(W.partitionBy(batch)))
     return rows.select(*items.columns, F.col("__end.reason").alias("reason"), (F.col("__end.n_ok") + F.col("__end.n_failed")).alias("settled"))
 
 
@@ -133,14 +147,14 @@ class Stats:
 
 
 def completed_by_counts(
-    items: DataFrame, batch: str, ok: str, decide: Callable[[Stats], Column], settle: str = "idx", batches: DataFrame | None = None
+    items: DataFrame, batch: str, ok: str, decide: Callable[[Stats], Column], settle: str = "idx", batches: DataFrame | None = None, large: bool = False
 ) -> DataFrame:
     """(batch, reason, settled, n_ok, n_failed, total): a custom monotone rule over counts, asked before the first start and after each settle.
 
     decide gives SUCCEEDED or FAILED to end the batch so, null to go on. A batch
     that it never ends ends with its last item; one without items is asked once.
     """
-    rows = running(items, batch, ok, settle)
+    rows = running(items, batch, ok, settle, large)
     zero = F.lit(0)
     said = decide(Stats(F.col("total"), F.col("n_ok"), F.col("n_failed")))
     end = F.min(F.when(said.isNotNull(), F.struct(settle, said.alias("said"), "n_ok", "n_failed")))
@@ -167,23 +181,28 @@ def resumed(items: DataFrame, batch: str, ok: str, policy: Policy, batches: Data
 
 
 def completed_by_rule(
-    items: DataFrame, batch: str, states: dict[str, Column], done: Column, failed: bool = False, settle: str = "idx"
+    items: DataFrame, batch: str, states: dict[str, Column], done: Column, failed: bool = False, settle: str = "idx", batches: DataFrame | None = None, large: bool = False
 ) -> DataFrame:
     """(batch, reason, settled): a custom monotone rule, asked after each settle.
 
     states: running facts by name, as conditions on one item that must have held
-    for some settled item; done: the rule over these names.
+    for some settled item; done: the rule over these names. batches: see completed; one without items has no facts.
     """
-    so_far = W.partitionBy(batch).orderBy(settle).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = items.withColumn("n_settled", F.row_number().over(W.partitionBy(batch).orderBy(settle)))
-    for name, holds in states.items():
-        rows = rows.withColumn(name, F.max(holds).over(so_far))
+    if large:
+        scans = {name: ("max", holds) for name, holds in states.items()} | {"n_settled": ("sum", F.lit(1).cast("long"))}
+        rows = spread.running(items, batch, [settle], scans)
+    else:
+        so_far = W.partitionBy(batch).orderBy(settle).rowsBetween(W.unboundedPreceding, W.currentRow)
+        rows = items.withColumn("n_settled", F.row_number().over(W.partitionBy(batch).orderBy(settle)))
+        for name, holds in states.items():
+            rows = rows.withColumn(name, F.max(holds).over(so_far))
     found = rows.groupBy(batch).agg(F.min(F.when(done, F.col("n_settled"))).alias("at"), F.count(F.lit(1)).alias("total"))
-    return found.select(
+    ended = found.select(
         batch,
         F.when(F.col("at").isNull(), ALL).otherwise(CUSTOM_FAILED if failed else CUSTOM_OK).alias("reason"),
         F.coalesce("at", "total").alias("settled"),
     )
+    return with_empty(ended, batches, batch, reason=F.lit(ALL), settled=F.lit(0))
 
 
 def item_status(items: DataFrame, ok: str, concurrent: bool) -> DataFrame:

@@ -446,11 +446,11 @@ def combinator_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines with recorded times: days at which they started and settled. Lines of the first weeks settle at once, some never do.
-TIMED = {
+SWEPT = {
     "started": "datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) - l_partkey % 7",
     "settled": "CASE WHEN l_suppkey % 41 > 0 THEN datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + l_partkey % 3 * (l_suppkey % 60) - l_partkey % 7 END",
 }
-TIMED_SQL = f"""{LINES_SQL}, timed AS (SELECT l_orderkey AS o, idx, ok, {TIMED["started"]} AS started, {TIMED["settled"]} AS settled, 'line ' || l_partkey AS err, l_quantity > 25 AS big FROM lines),
+SWEPT_SQL = f"""{LINES_SQL}, timed AS (SELECT l_orderkey AS o, idx, ok, {SWEPT["started"]} AS started, {SWEPT["settled"]} AS settled, 'line ' || l_partkey AS err, l_quantity > 25 AS big FROM lines),
     m AS (SELECT o, idx, ok, err, big, started AS tm, 1 AS what FROM timed UNION ALL SELECT o, idx, ok, err, big, settled, CASE WHEN settled = started THEN 2 ELSE 0 END FROM timed WHERE settled IS NOT NULL),
     n AS (SELECT o, count(*) AS total, count(*) FILTER (big) AS big_total FROM timed GROUP BY o),
     s AS (SELECT m.*, total, big_total, sum(CASE WHEN what = 1 THEN 1 ELSE -1 END) OVER w - CASE WHEN what = 1 THEN 1 ELSE 0 END AS n_running,
@@ -460,7 +460,7 @@ TIMED_SQL = f"""{LINES_SQL}, timed AS (SELECT l_orderkey AS o, idx, ok, {TIMED["
         FROM m JOIN n USING (o) WINDOW w AS (PARTITION BY o ORDER BY tm, what, idx ROWS UNBOUNDED PRECEDING))"""
 
 
-def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def swept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     started = day - F.col("l_partkey") % 7
     settled = F.when(F.col("l_suppkey") % 41 > 0, day + F.col("l_partkey") % 3 * (F.col("l_suppkey") % 60) - F.col("l_partkey") % 7)
@@ -470,7 +470,7 @@ def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {TIMED_SQL}, j AS (SELECT *, CASE WHEN total >= 9 OR head_failed > 0 OR n_failed >= 3 THEN 'CUSTOM_COMPLETION_FAILED' WHEN big_total > 0 AND big_ok = big_total AND 2 * (n_ok + n_failed) >= total THEN 'CUSTOM_COMPLETION_SUCCEEDED'
+    WITH {SWEPT_SQL}, j AS (SELECT *, CASE WHEN total >= 9 OR head_failed > 0 OR n_failed >= 3 THEN 'CUSTOM_COMPLETION_FAILED' WHEN big_total > 0 AND big_ok = big_total AND 2 * (n_ok + n_failed) >= total THEN 'CUSTOM_COMPLETION_SUCCEEDED'
             WHEN what <> 1 AND n_ok + n_failed = total THEN 'ALL_COMPLETED' END AS reason FROM s),
     e AS (SELECT o, arg_min({{'reason': reason, 'n_running': n_running, 'n_ok': n_ok, 'n_failed': n_failed, 'bad': bad_idx, 'what': what, 'tm': tm}}, {{'tm': tm, 'what': what, 'idx': idx}}) AS e FROM j WHERE reason IS NOT NULL GROUP BY o)
     SELECT o_orderkey, CASE WHEN total IS NULL THEN 'ALL_COMPLETED' ELSE e.reason END AS reason,
@@ -491,13 +491,13 @@ def batch_predicate_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     subsets = {"big": F.col("big"), "head": F.col("idx") == 0}
-    out = timeline.ended_by_rule(timed_lines(spark, sf_dir), "l_orderkey", "ok", "started", "settled", rule, subsets, "err", every)
+    out = timeline.ended_by_rule(swept_lines(spark, sf_dir), "l_orderkey", "ok", "started", "settled", rule, subsets, "err", every)
     return out.select(F.col("l_orderkey").alias("o_orderkey"), "reason", "status", "error", "total", "n_running", "n_ok", "n_failed", F.col("end.at").alias("ended_on"), (F.col("end.what") == timeline.STARTS).alias("before_a_start"))
 
 
 @query(
     f"""
-    WITH {TIMED_SQL}, j AS (SELECT *, CASE WHEN what <> 1 THEN CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' WHEN n_ok >= 3 THEN 'MIN_SUCCESSFUL_REACHED' END END AS reason FROM s),
+    WITH {SWEPT_SQL}, j AS (SELECT *, CASE WHEN what <> 1 THEN CASE WHEN n_failed > 1 THEN 'FAILURE_TOLERANCE_EXCEEDED' WHEN n_ok + n_failed >= total THEN 'ALL_COMPLETED' WHEN n_ok >= 3 THEN 'MIN_SUCCESSFUL_REACHED' END END AS reason FROM s),
     e AS (SELECT o, arg_min(reason, {{'tm': tm, 'what': what, 'idx': idx}}) AS reason, min({{'tm': tm, 'what': what, 'idx': idx}}) AS e FROM j WHERE reason IS NOT NULL GROUP BY o),
     r AS (SELECT t.*, e.reason, CASE WHEN settled IS NOT NULL AND (e.e IS NULL OR {{'tm': settled, 'what': CASE WHEN settled = started THEN 2 ELSE 0 END, 'idx': idx}} <= e.e) THEN CASE WHEN ok THEN 'SUCCEEDED' ELSE 'FAILED' END
         WHEN e.e IS NULL OR {{'tm': started, 'what': 1, 'idx': idx}} < e.e THEN 'STARTED' END AS item_status FROM timed t LEFT JOIN e USING (o))
@@ -506,7 +506,7 @@ def batch_predicate_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_early_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines an order's result holds when it ends early: settled ones, those still running, none that hadn't begun."""
-    lines = timed_lines(spark, sf_dir)
+    lines = swept_lines(spark, sf_dir)
     ended = timeline.ended_by_policy(lines, "l_orderkey", "ok", "started", "settled", LINE_POLICY)
     out = timeline.reported(lines, ended, "l_orderkey", "ok", "started", "settled")
     return out.select("l_orderkey", F.col("idx").cast("long").alias("idx"), "reason", "item_status")

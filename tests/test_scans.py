@@ -93,3 +93,30 @@ def test_a_key_with_very_many_checks(spark):
     for name, fold in (("min", min), ("max", max)):
         few = execution.checked(runs.where("o < 40"), "k", "o", "v", "lost", F.lit(5).cast("long"), name).toPandas().sort_values("attempt")
         assert few["state"].tolist() == [fold([5, *(j % 10 for j in range(i + 1))]) for i in range(40)]
+
+
+def test_large_batches_end_as_others_do(spark):
+    from ledgerfold.operators import batch
+
+    rng = random.Random(11)
+    rows = [(1 if rng.random() < 0.4 else rng.choice([None, *range(2, 40)]), rng.randrange(10**9), rng.random() < 0.8) for _ in range(800)]
+    raw = spark.createDataFrame(rows, "b long, at long, ok boolean")
+    every = spark.range(45).withColumnRenamed("id", "b")
+    policy = batch.Policy(min_successful=9, tolerated_percentage=40.0)
+    items = {large: batch.numbered(raw, "b", ["at"], large=large) for large in (False, True)}
+    shown = lambda df: sorted(repr(tuple(int(v) if isinstance(v, bool) else v for v in r)) for r in df.select(sorted(df.columns)).collect())
+    decide = lambda s: F.when(s.failed >= 4, "FAILED").when(s.succeeded * 2 > s.total, "SUCCEEDED")
+    facts = {"a": (F.col("idx") == 2) & F.col("ok"), "b_failed": ~F.col("ok")}
+    of = {
+        large: [
+            shown(x)
+            for x in (
+                batch.completed(items[large], "b", "ok", policy, batches=every, large=large),
+                batch.with_end(items[large], "b", "ok", policy, large=large),
+                batch.completed_by_counts(items[large], "b", "ok", decide, batches=every, large=large),
+                batch.completed_by_rule(items[large], "b", facts, F.col("a") & F.col("b_failed"), batches=every, large=large),
+            )
+        ]
+        for large in (False, True)
+    }
+    assert of[True] == of[False] and all(of[True])
