@@ -153,10 +153,12 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     Of children with equally many members that with the largest hash is the heavy one. Without conversations there is no node, not even the root.
     """
     rows = stored(members(turns, convs))
-    found = rows.groupBy("node").agg(
-        F.min("conv").alias("conv_id"), F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.count("*").alias("n_convs"), F.min("words").alias("words")
+    parent = F.min("parent")
+    # beginnings with the same last hash and the same parent's sum are the same: so a sum stands for one beginning if it has one parent
+    alone = F.when(parent.isNull() | (parent == F.max("parent")), parent).otherwise(F.raise_error(F.lit("two beginnings have the same sum of hashes")).cast("string"))
+    found = stored(
+        rows.groupBy("node").agg(F.min("conv").alias("conv_id"), F.min("depth").alias("depth"), alone.alias("parent"), F.count("*").alias("n_convs"), F.min("words").alias("words"))
     )
-    found = stored(found)
     children = found.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.max(F.struct("n_convs", "node")).alias("most"))
     leaf = F.col("most").isNull()
     nodes = stored(

@@ -164,6 +164,13 @@ def test_trie_without_conversations_and_without_turns(spark):
     assert root["parent"] is None and root["ends_sha256"] == hashlib.sha256(b"3,5").hexdigest()
 
 
+def test_sums_that_collide_are_an_error(spark, monkeypatch):
+    turns = spark.createDataFrame([(1, 1, "aa", 1), (1, 2, "bb", 1), (2, 1, "cc", 1), (2, 2, "dd", 1)], "conv long, at long, said string, words long")
+    monkeypatch.setattr(trie, "members", lambda turns, convs: spark.createDataFrame([(1, 2, "n", "p"), (2, 2, "n", "q")], "conv long, depth long, node string, parent string").selectExpr("*", "0L AS words", "true AS ends"))
+    with pytest.raises(Exception, match="same sum"):
+        trie.trie(turns, turns.select("conv"))
+
+
 # Runs
 
 
