@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, gathered, steps, tidy
+from .arrowtext import STEP_BYTES, buffers, gathered, steps, tidy
 
 #: Bytes of distinct chunks that go to the tokenizer in one call.
 CALL_BYTES = 16 * 1024
+#: Distinct chunks that are Python objects at a time.
+CALL_CHUNKS = 32 * 1024
 #: Chunks that a task remembers, the first that it met, and the longest of them.
 REMEMBERED, LONGEST = 250_000, 48
 #: Bytes of text that are handled at a time.
@@ -40,8 +42,15 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Positions of single spaces or newlines between characters that surely aren't white space."""
+def safe_cuts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of single spaces or newlines between characters that surely aren't white space, a range of data at a time."""
+    for start in range(0, len(data), STEP_BYTES):
+        own = max(start - 3, 0)  # what stands in front of a range's first bytes decides as well
+        cuts = own + _cuts(data[own : start + STEP_BYTES + 1])
+        yield cuts[cuts >= start]
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
     mark = np.flatnonzero((data == 0x20) | (data == 0x0A))
     mark = mark[(mark > 0) & (mark < len(data) - 1)]
     before, after = data[mark - 1], data[mark + 1]
@@ -151,14 +160,21 @@ def encoder(path: str) -> Encoder:
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(ids of each distinct chunk, chunk numbers in text order, offsets into these by text)."""
     mark = np.zeros(len(data) + 1, bool)
-    mark[safe_cuts(data)] = True
+    for part in safe_cuts(data):
+        mark[part] = True
     mark[offsets] = True
     cuts = np.flatnonzero(mark)
+    del mark
     chunks = pa.Array.from_buffers(
         pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
     at = np.searchsorted(cuts, offsets)
-    return encoder(path).ids(chunks.dictionary.to_pylist()), chunks.indices.to_numpy(zero_copy_only=False), at
+    order, distinct = chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary
+    del chunks, cuts
+    ids: list[bytes] = []
+    for start in range(0, len(distinct), CALL_CHUNKS):
+        ids += encoder(path).ids(distinct.slice(start, CALL_CHUNKS).to_pylist())
+    return ids, order, at
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
