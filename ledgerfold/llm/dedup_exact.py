@@ -3,8 +3,8 @@
 1. Each text is normalised (A-Z to a-z), hashed with SHA-256, and the row
    ``(id, sha, fingerprint, sender)`` is written to the shared folder; texts
    stay where they are.
-2. A sender is one partition of that table. It sorts its distinct fingerprints,
-   cuts them by owner (a range of the fingerprint space), and codes each
+2. A sender is one partition of that table, or several small ones. It sorts its
+   distinct fingerprints, cuts them by owner (a range of the fingerprint space), and codes each
    owner's share as Golomb-Rice gaps.
 3. An owner decodes what its senders sent, finds the fingerprints that more
    than one sender holds (or that one sender holds twice), and answers each
@@ -31,8 +31,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .arrowtext import buffers, steps, tidy
 from .scratch import maybe_wanted, partitions, sifted, small_enough, stored
 
-#: Fingerprints of about so many rows go to one owner.
-ROWS_PER_OWNER = 500_000
+#: Fingerprints of about so many rows go to one owner, and come from one sender at least: however many
+#: rows and files there are, a block holds hundreds of fingerprints or blocks are few.
+ROWS_PER_OWNER = ROWS_PER_SENDER = 2_000_000
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -152,8 +153,10 @@ def _bitmaps(blocks: DataFrame) -> DataFrame:
 def suspects(table: DataFrame) -> DataFrame:
     """Distinct fingerprints that occur more than once in the table (id, sha, fp), which must be stored."""
     spark = table.sparkSession
-    owners = max(partitions(spark), math.ceil(table.count() / ROWS_PER_OWNER))
-    blocks = stored(_blocks(table, owners))
+    rows = table.count()
+    senders, owners = (max(partitions(spark), math.ceil(rows / n)) for n in (ROWS_PER_SENDER, ROWS_PER_OWNER))
+    # many small files join to fewer senders, without a shuffle
+    blocks = stored(_blocks(table.coalesce(senders), owners))
     # stored, so that no task needs two Python workers at once
     answers = stored(_bitmaps(blocks.repartition(owners, "owner")))
 

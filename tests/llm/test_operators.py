@@ -60,6 +60,19 @@ def classes(rows, words, percent):
 EDGE = [(1, None), (2, ""), (3, "Solo"), (4, "solo"), (5, " \t\n"), (6, "A b"), (7, "a B"), (8, "É a"), (9, "é a"), (10, "long " * 60_000), (11, "LONG " * 60_000), (None, "a b"), (None, None), (12, "a b c"), (12, "a b c")]
 
 
+def test_exchange_of_many_small_files(spark, monkeypatch):
+    """Senders and owners are as many as rows ask for, not as files there are."""
+    monkeypatch.setattr(dedup_exact, "ROWS_PER_SENDER", 500)
+    monkeypatch.setattr(dedup_exact, "ROWS_PER_OWNER", 300)
+    texts = [f"text {n % 2900}" for n in range(3000)]
+    table = dedup_exact.stored(dedup_exact.fingerprints(docs(spark, list(enumerate(texts))).repartition(40), "doc_id", "text"))
+    blocks = dedup_exact._blocks(table.repartition(40).coalesce(6), 10).collect()
+    assert len({b["sender"] for b in blocks}) <= 6 and {b["owner"] for b in blocks} == set(range(10))
+    got = sorted(r["fp"] for r in dedup_exact.suspects(table).collect())
+    twice = table.groupBy("fp").count().where("count > 1")
+    assert got == sorted(r["fp"] for r in twice.collect()) and len(got) == 100
+
+
 def test_exact_dedup(spark):
     rows = EDGE + [(100 + i, "copy of many") for i in range(300)]
     groups = defaultdict(list)

@@ -346,3 +346,14 @@ OWN_HEADER = "<header><h1>Title</h1><p>A lead of some words.</p></header>"
 )
 def test_pages_whose_article_stands_in_forms_menus_and_headers(page, text):
     assert html_text.main_text(page) == text
+
+
+def test_cuts_don_t_depend_on_ranges(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["a", "b ", " ", "\n", "é", "\u2003", "\u00a0", " c", "中 "]) for _ in range(3000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = tokens._cuts(data).tolist()
+    for size in (1, 2, 3, 7, 1000, len(data)):
+        monkeypatch.setattr(tokens, "STEP_BYTES", size)
+        assert [c for part in tokens.safe_cuts(data) for c in part.tolist()] == whole
+    assert len(whole) > 100
