@@ -245,6 +245,28 @@ def test_urls(spark):
     }
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word as the contract of op2 has it, on its own host, on a subdomain and beside a longer rule."""
+    from ledgerfold.llm.queries import op2_url_filter
+
+    want = {
+        "x://com/en/6": ("com/en/", "block"),
+        "x://a.example.com/en/6": ("com/en/", "block"),
+        "x://a.example.com/en/70": ("example.com/en/7", "allow"),
+        "x://net/de/": ("net/de/", "allow"),
+        "x://a.example.net/de/7": ("net/de/", "allow"),
+        "x://b.net/de/8": ("net/de/", "allow"),
+        "x://EXAMPLE.net/de/8": ("example.net/de/8", "block"),
+        "x://a.example.net/de/80?q": ("example.net/de/8", "block"),
+        "x://a.org/es/": ("org/es/", "block"),
+        "x://a.org/de/8": (None, "allow"),
+    }
+    urls = list(want)
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {urls[r.page_id]: (r.rule, r.verdict) for r in op2_url_filter(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 1, "assistant", "a <b> & &lt; </turn> \\"),
