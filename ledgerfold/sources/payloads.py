@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 
 
+#: Bytes of a value in one row of a file: readers take thousands of rows at once, so that no row may be long, whatever a value's length.
+PIECE = 8192
+
+
 def written(rows: DataFrame, value: str, folder: str, path: Column, preview: Column | None = None, always: bool = False) -> DataFrame:
     """rows with payload instead of value: inline, or a reference where the value was written to the folder.
 
-    path: relative, unique for each value; values are written once, as Parquet of (path, value).
+    path: relative, unique for each value; values are written once, as Parquet of (path, piece, pieces, value), a row for each PIECE bytes.
     """
     marked = rows.withColumn("__path", path).withColumn("__inline", codecs.inline_envelope(F.col(value)))
     large = F.lit(True) if always else F.octet_length("__inline") > codecs.OVERFLOW
-    marked.where(large).select(F.col("__path").alias("path"), F.col(value).alias("value")).write.mode("append").parquet(folder)
+    whole = marked.where(large).where(F.col(value).isNotNull()).select(F.col("__path").alias("path"), F.col(value).cast("binary").alias("whole"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("whole") / PIECE).cast("int"))
+    cut = whole.withColumn("pieces", pieces).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    own = F.substring("whole", F.col("piece") * PIECE + 1, F.lit(PIECE))
+    cut.select("path", "piece", "pieces", own.alias("value")).write.mode("append").parquet(folder)
     payload = F.when(large, codecs.file_envelope(F.col("__path"), preview)).otherwise(F.col("__inline"))
     return marked.withColumn("payload", payload).drop("__path", "__inline", value)
 
 
+def _held(spark: SparkSession, folder: str) -> DataFrame:
+    """(__held_path, held) of each value whose pieces are all there; pieces that a write run again repeats count once, other ones for the same path make it lost."""
+    rows = spark.read.schema("path string, piece int, pieces int, value binary").parquet(folder).where("value is not null")
+    piece = F.struct(F.coalesce("piece", F.lit(0)).alias("piece"), "value")
+    found = rows.groupBy("path").agg(F.array_sort(F.collect_list(piece)).alias("all"), F.coalesce(F.max("pieces"), F.lit(1)).alias("pieces"))
+    once = F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1)))
+    found = found.select("path", "pieces", once.alias("once")).where(F.size("once") == F.col("pieces"))
+    return found.select(F.col("path").alias("__held_path"), F.array_join(F.transform("once", lambda x: x["value"].cast("string")), "").alias("held"))
+
+
 def read(rows: DataFrame, folder: str, payload: str = "payload") -> DataFrame:
     """rows with value, the JSON that stands in the payload or in its file, and problem where it can't be had.
 
-    A reference that leaves the folder is refused; one without a file is lost.
+    A reference that leaves the folder is refused; one without a file is lost. Only
+    rows with a reference are brought together with files, payloads stay where they are.
     """
-    spark = rows.sparkSession
     head = f"$.{codecs.HEADER}"
+    start = codecs._header("inline") + '"value":'
     kind = F.get_json_object(payload, f"{head}.kind")
     file = F.get_json_object(payload, "$.file")
-    held = spark.read.schema("path string, value string").parquet(folder).withColumnRenamed("value", "held")
-    safe = codecs.path_is_contained(file)
-    start = F.length(F.lit(codecs._header("inline") + '"value":'))
-    inline = F.substring(payload, start + 1, F.length(payload) - start - 1)
-    joined = rows.withColumn("__file", F.when((kind == "file") & safe, file)).join(held, F.col("__file") == F.col("path"), "left")
-    return joined.select(
+    # what begins as an inline envelope is none of a file, so that long payloads aren't parsed for it
+    named = F.coalesce(~F.startswith(payload, F.lit(start)) & (kind == "file") & codecs.path_is_contained(file), F.lit(False))
+    inline = F.substring(payload, F.lit(len(start) + 1), F.length(payload) - len(start) - 1)
+    others = rows.where(~named).withColumn("__kind", kind).select(
         *(F.col(c) for c in rows.columns),
-        F.when(kind == "inline", inline).otherwise(F.col("held")).alias("value"),
-        F.when(kind.isNull(), "NotAnEnvelope").when((kind == "file") & ~safe, "OutsideFolder").when((kind == "file") & F.col("held").isNull(), "FileLost").alias("problem"),
+        F.when(F.col("__kind") == "inline", inline).alias("value"),
+        F.when(F.col("__kind").isNull(), "NotAnEnvelope").when(F.col("__kind") == "file", "OutsideFolder").alias("problem"),
     )
+    # values are far larger than their files: they are never broadcast
+    joined = rows.where(named).withColumn("__file", file).join(_held(rows.sparkSession, folder).hint("merge"), F.col("__file") == F.col("__held_path"), "left")
+    return others.union(joined.select(*(F.col(c) for c in rows.columns), F.col("held").alias("value"), F.when(F.col("held").isNull(), "FileLost").alias("problem")))
 
 
 def written_by(rows: DataFrame, value: str, folder: str, path: Column, execution: str, operation: str, always: bool = False) -> DataFrame:

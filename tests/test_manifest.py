@@ -84,3 +84,42 @@ def test_only_own_references_are_honoured(spark, tmp_path):
     (r,) = payloads.read_by_origin(df.limit(0).unionByName(spark.createDataFrame([("e2", "o1", theirs["e2", "o1"], False)], df.schema)), folder, "e", "o", "outside").collect()
     assert (r.value, r.problem) == (None, "FileChanged")
     assert codecs.HEADER in theirs["e1", "o1"]
+
+
+def test_long_values_lie_in_short_rows_and_come_back_whole(spark, tmp_path):
+    folder = f"file://{tmp_path}/payloads"
+    value = lambda n: '"' + "aéß漢😀"[n % 5 :] * n + '"'
+    long = {f"p{n}": value(n) for n in (9000, 8191, 20_001, 30_003, 40_007)} | {"empty": "", "one": '"x"'}
+    rows = spark.createDataFrame(list(long.items()), "id string, value string")
+    kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), "id"), always=True)
+    assert spark.read.parquet(folder).agg(F.max(F.octet_length("value"))).first()[0] <= 8192
+    assert {r.id: (r.value, r.problem) for r in payloads.read(kept, folder).collect()} == {k: (v, None) for k, v in long.items()}
+    payloads.written(rows.where("id <> 'p9000'"), "value", folder, F.concat(F.lit("run/"), "id"), always=True)  # a write run again
+    assert {r.id: r.value for r in payloads.read(kept, folder).collect()} == long
+    other = spark.createDataFrame([("p9000", value(9001)), ("one", '"y"')], "id string, value string")
+    payloads.written(other, "value", folder, F.concat(F.lit("run/"), "id"), always=True)
+    lost = {r.id for r in payloads.read(kept, folder).collect() if (r.value, r.problem) == (None, "FileLost")}
+    assert lost == {"p9000", "one"}
+
+
+def test_a_value_without_one_of_its_pieces_is_lost(spark, tmp_path):
+    folder = f"file://{tmp_path}/payloads"
+    rows = spark.createDataFrame([("a", '"' + "x" * 50_000 + '"')], "id string, value string")
+    kept = payloads.written(rows, "value", folder, F.col("id"), always=True)
+    spark.read.parquet(folder).where("piece <> 3").write.parquet(f"{folder}-cut")
+    (r,) = payloads.read(kept, f"{folder}-cut").collect()
+    assert (r.value, r.problem) == (None, "FileLost")
+
+
+def test_inline_payloads_stay_where_they_are(spark, tmp_path):
+    folder = f"file://{tmp_path}/payloads"
+    rows = spark.range(80, numPartitions=8).select("id", F.concat(F.lit('"'), F.repeat(F.lit("y"), (F.col("id") % 2 * 300_000).cast("int")), F.lit('"')).alias("value"))
+    kept = payloads.written(rows, "value", folder, F.concat(F.lit("run/"), F.col("id").cast("string")))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more files
+    try:
+        got = payloads.read(kept, folder).withColumn("at", F.spark_partition_id()).select("id", F.length("value").alias("n"), "problem", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted((r.id, r.n, r.problem) for r in got) == [(i, 2 + i % 2 * 300_000, None) for i in range(80)]
+    assert len({r.at for r in got if r.id % 2 == 0}) == 8
