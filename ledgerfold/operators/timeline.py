@@ -5,7 +5,8 @@ didn't). Each is enrolled before all else, starts, and settles: its moments. Of
 at the same time settles come first, for one that settles makes room for one
 that starts then, and items go by index. A batch's counts at a moment are
 running sums over ranges of (batch, moment), so a batch of any size is dealt to
-many tasks, and no moment needs a look at the other items.
+many tasks, and no moment needs a look at the other items. `reported_by_policy`
+takes windows by batch, unless batches are said to be large.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import spread
@@ -160,12 +162,8 @@ def ended_by_policy(
     return _ends(swept, view, reason, batch, _batches(items, batch, batches), policy.reason(zero, zero, zero))
 
 
-def reported(items: DataFrame, ended: DataFrame, batch: str, ok: str, started: str, settled: str) -> DataFrame:
-    """items that their batch's result holds, with its reason and item_status: SUCCEEDED or FAILED if they had settled when it ended, STARTED if they ran then.
-
-    Items that had not started are left out. Of a batch that still runs all that has started is reported.
-    """
-    ends = ended.select(F.col(batch).alias("__batch"), F.col("end").alias("__end"), F.col("reason").alias("__reason"))
+def _held(rows: DataFrame, columns: list[str], ok: str, started: str, settled: str) -> DataFrame:
+    """Of rows with their batch's __end and __reason the columns, reason and item_status of those that its result holds."""
     begins = began(F.col(started), F.col(settled))
     moment = lambda at, what: F.struct(at.alias("at"), what.cast("int").alias("what"), F.col("idx"))
     upto = lambda m: F.col("__end").isNull() | (m <= F.col("__end"))
@@ -173,4 +171,38 @@ def reported(items: DataFrame, ended: DataFrame, batch: str, ok: str, started: s
     start = moment(begins, F.lit(STARTS))
     has_begun = begins.isNotNull() & (F.col("__end").isNull() | (start < F.col("__end")))  # ended as it was about to start: it didn't
     status = F.when(has_settled, F.when(F.col(ok), "SUCCEEDED").otherwise("FAILED")).when(has_begun, "STARTED")
-    return items.join(ends, F.col(batch).eqNullSafe(F.col("__batch"))).withColumn("item_status", status).where("item_status is not null").select(*items.columns, F.col("__reason").alias("reason"), "item_status")
+    return rows.withColumn("item_status", status).where("item_status is not null").select(*columns, F.col("__reason").alias("reason"), "item_status")
+
+
+def reported(items: DataFrame, ended: DataFrame, batch: str, ok: str, started: str, settled: str) -> DataFrame:
+    """items that their batch's result holds, with its reason and item_status: SUCCEEDED or FAILED if they had settled when it ended, STARTED if they ran then.
+
+    Items that had not started are left out. Of a batch that still runs all that has started is reported.
+    """
+    ends = ended.select(F.col(batch).alias("__batch"), F.col("end").alias("__end"), F.col("reason").alias("__reason"))
+    return _held(items.join(ends, F.col(batch).eqNullSafe(F.col("__batch"))), items.columns, ok, started, settled)
+
+
+def reported_by_policy(items: DataFrame, batch: str, ok: str, started: str, settled: str, policy: Policy, large: bool = False) -> DataFrame:
+    """What reported gives where ended_by_policy ends each batch.
+
+    A policy is asked after settles only, so that an item is one row and windows
+    over one partitioning by batch find the end: one shuffle, of which each batch is sorted in
+    one task. Where a batch may hold a large part of all items, `large` takes the sweep over ranges instead.
+    """
+    if large:
+        return reported(items, ended_by_policy(items, batch, ok, started, settled, policy), batch, ok, started, settled)
+    has_settled, good = F.col(settled).isNotNull(), F.coalesce(F.col(ok), F.lit(False))
+    moment = [F.col(settled).alias("at"), _settles(F.col(started), F.col(settled)).cast("int").alias("what"), F.col("idx")]
+    whole = W.partitionBy(batch)
+    so_far = whole.orderBy(*moment).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = items.withColumns({
+        "__total": F.count(F.lit(1)).over(whole),
+        "__ok": F.sum(F.when(has_settled & good, 1).otherwise(0)).over(so_far),
+        "__failed": F.sum(F.when(has_settled & ~good, 1).otherwise(0)).over(so_far),
+    })
+    reason = policy.reason(F.col("__ok"), F.col("__failed"), F.col("__total"))
+    ends = has_settled & reason.isNotNull() & F.col(batch).isNotNull()  # as in a join: items without a batch are never ended
+    rows = rows.withColumn("__end", F.min(F.when(ends, F.struct(*moment, reason.alias("reason")))).over(whole))
+    rows = rows.withColumn("__reason", F.col("__end.reason")).withColumn("__end", F.when(F.col("__end").isNotNull(), F.struct(*(F.col(f"__end.{c}").alias(c) for c in MOMENT))))
+    return _held(rows, items.columns, ok, started, settled)

@@ -507,6 +507,5 @@ def batch_predicate_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_early_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines an order's result holds when it ends early: settled ones, those still running, none that hadn't begun."""
     lines = swept_lines(spark, sf_dir)
-    ended = timeline.ended_by_policy(lines, "l_orderkey", "ok", "started", "settled", LINE_POLICY)
-    out = timeline.reported(lines, ended, "l_orderkey", "ok", "started", "settled")
+    out = timeline.reported_by_policy(lines, "l_orderkey", "ok", "started", "settled", LINE_POLICY)
     return out.select("l_orderkey", F.col("idx").cast("long").alias("idx"), "reason", "item_status")

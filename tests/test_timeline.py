@@ -110,6 +110,24 @@ def test_policies_are_asked_after_settles_only(spark):
     _check(spark, rows, range(62), ended, want)
 
 
+@pytest.mark.parametrize("policy", [batch.Policy(min_successful=2, tolerated_failures=1), batch.Policy(), batch.Policy(tolerated_percentage=25.0), batch.Policy(min_successful=0)])
+def test_windows_report_what_the_sweep_reports(spark, policy):
+    rows = _items(7) + [(None, i, ok, 0, s, "e") for i, (ok, s) in enumerate([(True, 1), (False, 1), (False, 2), (True, None)])]
+    rows += [(90, 0, None, 1, 1, "e"), (90, 1, None, None, 1, "e"), (90, 2, True, 3, 1, "e"), (90, 3, True, 1, 2, "e"), (91, 0, False, 5, 5, "e"), (91, 1, True, 5, 5, "e"), (91, 2, True, 4, None, "e")]
+    df = spark.createDataFrame(rows, SHAPE)
+    ended = timeline.ended_by_policy(df, "b", "ok", "started", "settled", policy)
+    want = sorted(map(repr, map(tuple, timeline.reported(df, ended, "b", "ok", "started", "settled").collect())))
+    for large in (False, True):
+        assert sorted(map(repr, map(tuple, timeline.reported_by_policy(df, "b", "ok", "started", "settled", policy, large).collect()))) == want
+
+
+def test_early_ends_take_one_shuffle(spark):
+    from ledgerfold.plans import catalog
+
+    plan = catalog.QUERIES["batch_early_end"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1
+
+
 def test_a_rule_may_end_a_batch_before_its_first_start(spark):
     df = spark.createDataFrame([(1, 0, True, 5, 6, None), (1, 1, True, 5, 7, None)], SHAPE)
     (r,) = timeline.ended_by_rule(df, "b", "ok", "started", "settled", lambda items, _: F.when(items.total > 1, "FAILED")).collect()
